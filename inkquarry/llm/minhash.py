@@ -121,7 +121,8 @@ def bucket_ties(found: DataFrame, reps: DataFrame, threshold: float, samples: in
     seats = spread.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     seats = staged(seats.select("key", "block", "doc_id", "head", "n"), "seats")
     needed = found.join(seats.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sketch")
-    full = seats.where("doc_id <> head or n <= %d" % BLOCK).select("key", "block", "doc_id").join(needed, "doc_id").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "doc_id")
+    full = seats.where("doc_id <> head or n <= %d" % BLOCK).select("key", "block", "doc_id").join(needed, "doc_id")
+    full = full.select("key", "block", "doc_id", "sketch").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, sketches = None, [], []
