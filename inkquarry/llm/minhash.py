@@ -194,7 +194,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[i
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).where("node is not null")
-    held = placed.join(texts, "node").dropDuplicates(["node"])
+    # always by shuffle: how much is moved then follows the input, whatever the number of groups
+    held = placed.join(texts.hint("merge"), "node").dropDuplicates(["node"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
