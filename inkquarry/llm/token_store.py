@@ -1,7 +1,7 @@
 """Token ids in a content-addressed store.
 
-Format, below one folder: `chunks/` (digest, n, data: unique runs of ids as little-endian unsigned 16-bit integers, SHA-256 as address),
-`recipes/` (one row per document in ascending doc_id order, dealt to shards by doc_id range: its place in the id stream, the digests of its chunks
+Format, below one folder: `chunks/` (digest, n, data: unique runs of ids as little-endian unsigned 16-bit integers, SHA-256 as address, number of copies, and the
+place that owns it), `recipes/` (one row per document in ascending doc_id order, dealt to shards by doc_id range: its place in the id stream, the digests of its chunks
 and their Merkle root) and `manifest/` (per shard: first place, documents, ids and the Merkle root of its documents' roots). A rolling hash over the
 last WINDOW ids cuts each document, so passages that documents share end up in chunks that are stored once. Reading joins recipes to
 chunks and checks every chunk against its address and every document and shard against its Merkle root.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from inkquarry.llm.common import Cached, mix64, new_path, text_of
 
 #: Ids that the rolling hash sees; a cut where its top bits are zero (one id in CUT); least and most ids of a chunk; documents of a shard.
-WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 16, 256, 64, 2048, 50_000
+WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 16, 1024, 256, 4096, 50_000
 END_ID = 2
 
 
@@ -51,21 +51,20 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.model, self.letters, self.pieces = self.whole.model, byte_letters(), Cached(self.piece)
+        self.model, self.letters, self.pieces, self.words = self.whole.model, byte_letters(), Cached(self.piece, 500_000), Cached(self.word, 500_000)
 
-    def _word(self, word: str) -> list[int]:
-        return [x.id for x in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case run of letters, or of one mark."""
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("H", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        core = piece[:-1] if piece[-1:] in (".", ",") else piece
+        mark = piece[-1:]
+        core = piece[:-1] if mark == "." or mark == "," else piece
         low = core.lower()
-        if core.isalpha() and low.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
-            ids = self._word(low)
-            if core is not piece and len(core) < len(piece):
-                ids += self._word(piece[-1])
-        else:
-            ids = self.whole.encode(piece, add_special_tokens=False).ids
-        return array("H", ids).tobytes()
+        if core.isalpha() and (core.isascii() or low.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core)):
+            return self.words[low] if core is piece else self.words[low] + self.words[mark]
+        return array("H", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
@@ -129,17 +128,28 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, CODED)
 
 
+RECIPES = "doc_id long, n_tokens long, root binary, digests array<binary>, shard int, place long, before long"
+CHUNKS = "digest binary, n int, data binary, copies long, owner struct<doc_id:long,root:binary,part:int>"
+MANIFEST = "shard int, docs long, ids long, root binary, start long"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
-    spark = docs.sparkSession
-    encode_documents(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(f"{path}/encoded")
-    coded = spark.read.schema(CODED).parquet(f"{path}/encoded")
-    pairs = coded.select(F.explode(F.arrays_zip("digests", "chunks")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.chunks").alias("data"))
-    unique = pairs.groupBy("digest").agg(F.first("data").alias("data")).select("digest", (F.octet_length("data") / 2).cast("int").alias("n"), "data")
-    unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    spark, zstd = docs.sparkSession, {"compression": "zstd"}
+    encode_documents(docs, tokenizer, end_id).write.options(**zstd).parquet(f"{path}/_encoded")
+    coded = spark.read.schema(CODED).parquet(f"{path}/_encoded")
+    pairs = coded.select("doc_id", "root", F.posexplode(F.arrays_zip("digests", "chunks")).alias("part", "x"))
+    owner = F.struct("doc_id", "root", "part")
+    unique = pairs.groupBy(F.col("x.digests").alias("digest")).agg(F.first("x.chunks").alias("data"), F.count("*").alias("copies"), F.min(owner).alias("owner"))
+    unique.select("digest", (F.octet_length("data") / 2).cast("int").alias("n"), "data", "copies", "owner").write.options(**zstd).parquet(f"{path}/chunks")
     shards = max(1, -(-coded.count() // SHARD_DOCS))
     slim = coded.select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shards, "doc_id", "root").sortWithinPartitions("doc_id", "root")
-    slim.withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/ordered")
-    ordered = spark.read.schema("doc_id long, n_tokens long, root binary, digests array<binary>, shard int").parquet(f"{path}/ordered")
+    slim.withColumn("shard", F.spark_partition_id()).write.options(**zstd).parquet(f"{path}/_ordered")
+    ordered = spark.read.schema("doc_id long, n_tokens long, root binary, digests array<binary>, shard int").parquet(f"{path}/_ordered")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "root"], na_position="first", kind="stable")
@@ -147,44 +157,49 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
         pdf["before"] = pdf["n_tokens"].cumsum() - pdf["n_tokens"]
         return pdf
 
-    recipes = ordered.groupBy("shard").applyInPandas(number, "doc_id long, n_tokens long, root binary, digests array<binary>, shard int, place long, before long")
-    recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = read_recipes(spark, path)
+    ordered.groupBy("shard").applyInPandas(number, RECIPES).write.options(**zstd).parquet(f"{path}/recipes")
 
     def roots(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
         return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "docs": [len(pdf)], "ids": [int(pdf["n_tokens"].sum())], "root": [merkle(list(pdf["root"]))]})
 
-    sums = recipes.select("shard", "place", "n_tokens", "root").groupBy("shard").applyInPandas(roots, "shard int, docs long, ids long, root binary")
+    sums = read_recipes(spark, path).select("shard", "place", "n_tokens", "root").groupBy("shard").applyInPandas(roots, "shard int, docs long, ids long, root binary")
     # One row per shard of SHARD_DOCS documents: the only ordered sum in one task.
     start = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums.withColumn("start", start).write.parquet(f"{path}/manifest")
+    for temporary in ("_encoded", "_ordered"):
+        _drop(spark, f"{path}/{temporary}")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, n_tokens long, root binary, digests array<binary>, shard int, place long, before long").parquet(f"{path}/recipes")
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Every document rebuilt from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers). Fails on any mismatch."""
-    recipes = read_recipes(spark, path)
-    manifest = spark.read.schema("shard int, docs long, ids long, root binary, start long").parquet(f"{path}/manifest")
-    chunks = spark.read.schema("digest binary, n int, data binary").parquet(f"{path}/chunks").select("digest", "data")
-    parts = recipes.select("shard", "place", F.posexplode("digests").alias("part", "digest")).join(chunks, "digest", "left").select("shard", "place", "part", "data")
-    whole = parts.groupBy("shard", "place").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
-    rows = recipes.select("shard", "place", "doc_id", "before", "n_tokens", "root").join(whole, ["shard", "place"], "left").join(manifest.select("shard", "start"), "shard")
+    """Every document rebuilt from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers). Fails on any mismatch.
+
+    Each chunk goes straight to the document that owns it; only chunks with more than one copy are joined by address, to the other places that name them."""
+    recipes, manifest, chunks = read_recipes(spark, path), spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    own = chunks.select("owner.doc_id", "owner.root", "owner.part", "data")
+    shared = chunks.where("copies > 1")
+    places = recipes.select("doc_id", "root", F.posexplode("digests").alias("part", "digest")).distinct()
+    others = places.join(shared.select("digest", "owner", "data"), "digest").where(~F.struct("doc_id", "root", "part").eqNullSafe(F.col("owner"))).select("doc_id", "root", "part", "data")
+    whole = own.unionByName(others).groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
+    whole = whole.withColumnsRenamed({"doc_id": "_id", "root": "_root"})
+    rows = recipes.select("shard", "doc_id", "before", "n_tokens", "root").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("root") == F.col("_root")), "left").join(manifest.select("shard", "start"), "shard")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, ids = [], []
-            for row in batch.to_pylist():
-                data = [x["data"] or b"" for x in row["parts"] or ()]
-                joined = b"".join(data)
-                if merkle([hashlib.sha256(x).digest() for x in data]) != row["root"] or len(joined) != 2 * row["n_tokens"]:
-                    raise ValueError(f"document {row['doc_id']} does not match its Merkle root")
-                starts.append(row["start"] + row["before"])
-                ids.append(np.frombuffer(joined, dtype="<u2").astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            for lo in range(0, batch.num_rows, 500):
+                part, starts, ids = batch.slice(lo, 500), [], []
+                for row in part.to_pylist():
+                    data = [x["data"] for x in row["parts"] or ()]
+                    joined = b"".join(data)
+                    if merkle([hashlib.sha256(x).digest() for x in data]) != row["root"] or len(joined) != 2 * row["n_tokens"]:
+                        raise ValueError(f"document {row['doc_id']} does not match its Merkle root")
+                    starts.append(row["start"] + row["before"])
+                    ids.append(np.frombuffer(joined, dtype="<u2").astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts, pa.int64()), part.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return rows.select("doc_id", "start", "before", "n_tokens", "root", "parts").mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -196,7 +211,7 @@ def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "found": [merkle(list(pdf.sort_values("place")["root"]))]})
 
     found = read_recipes(spark, path).select("shard", "place", "root").groupBy("shard").applyInPandas(root, "shard int, found binary")
-    manifest = spark.read.schema("shard int, docs long, ids long, root binary, start long").parquet(f"{path}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     return manifest.join(found, "shard", "full").where("not root <=> found")
 
 
