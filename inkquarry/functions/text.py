@@ -117,7 +117,7 @@ def panel_labels(caption: Column) -> Column:
 def panel_caption(caption: Column, label: Column) -> Column:
     """From a label to the next label or the end; the whole caption if the label isn't there."""
     pattern = F.concat(F.lit(r"(?s)[\(\[]?"), label, F.lit(r"[\)\].]\s*(.*?)(?=[\(\[]?[A-H][\)\].]\s|$)"))
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(caption, pattern, 1)), F.lit("")), caption)
+    return F.coalesce(F.nullif(F.trim(F.call_function("regexp_extract", caption, pattern, F.lit(1))), F.lit("")), caption)
 
 
 def safe_name(*parts: Column) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from inkquarry.functions.text import stem
 
@@ -60,7 +61,7 @@ def text_parser(content: bytes) -> dict:
 
 def infer(df: DataFrame, model: Callable[[str, bytes | None], str], prompt: str = "prompt", image: str | None = None, attempts: int = 3, wait: float = 2.0, out: str = "answer") -> DataFrame:
     """Adds the model's answer, null after the last attempt. Filter rows before this boundary and write its result, as answers are dear."""
-    schema = df.schema.add(out, "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

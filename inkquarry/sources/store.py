@@ -22,7 +22,7 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/_current")
+        fs, p = self._fs(f"{self.root}/{table}/current.txt")
         return self.spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
 
     def read(self, table: str) -> DataFrame:
@@ -33,11 +33,11 @@ class Store:
         """Replaces a table: writes a new version, then moves the pointer by a rename."""
         version = f"v-{uuid.uuid4().hex}"
         df.select(*self.spark.createDataFrame([], TABLES[table]).columns).write.parquet(f"{self.root}/{table}/{version}")
-        fs, new = self._fs(f"{self.root}/{table}/_new-{version}")
+        fs, new = self._fs(f"{self.root}/{table}/new-{version}.txt")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        _, old = self._fs(f"{self.root}/{table}/_current")
+        _, old = self._fs(f"{self.root}/{table}/current.txt")
         if fs.exists(old):
             fs.delete(old, False)
         fs.rename(new, old)
