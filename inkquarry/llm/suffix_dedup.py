@@ -95,12 +95,12 @@ def find_runs(docs: DataFrame) -> DataFrame:
 
 
 def ranks_of(data: np.ndarray) -> dict[int, np.ndarray]:
-    """For lengths 8, 16, ... 128: the rank of the string of that length at each place (bytes beyond the end count as 0), by prefix doubling."""
+    """For lengths 8, 16, ... 128: the rank of the string of that length at each place (bytes beyond the end count as 0), by prefix doubling; at 0, the next eight bytes themselves."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
     value = np.zeros(len(data), dtype=np.uint64)
     for k in range(8):
         value |= padded[k : k + len(data)] << np.uint64(56 - 8 * k)
-    ranks, length = {8: np.unique(value, return_inverse=True)[1].astype(np.int64) + 1}, 8
+    ranks, length = {0: value, 8: np.unique(value, return_inverse=True)[1].astype(np.int64) + 1}, 8
     while length < 128:
         ranks[2 * length] = pair_ranks(ranks[length], length)
         length *= 2
@@ -125,6 +125,9 @@ def suffix_order(ranks: dict[int, np.ndarray], places: np.ndarray) -> tuple[np.n
         equal = np.zeros(len(a), dtype=bool)
         equal[at] = ranks[length][a[at] + lcp[at]] == ranks[length][b[at] + lcp[at]]
         lcp += length * equal
+    last = len(full) - 1
+    differ = ranks[0][np.minimum(a + lcp, last)] ^ ranks[0][np.minimum(b + lcp, last)]
+    lcp += sum((differ >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8))
     return order, np.concatenate([[0], np.where(same, LENGTH, np.minimum(lcp, LENGTH - 1))])
 
 
