@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from inkquarry.llm.common import Cached, mix64, new_path, text_of
 
 #: Ids that the rolling hash sees; a cut where its top bits are zero (one id in CUT); least and most ids of a chunk; documents of a shard.
-WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 16, 1024, 256, 4096, 50_000
+WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 8, 1024, 256, 4096, 50_000
 END_ID = 2
+#: A random 64-bit integer for each id.
+ID_MIX = mix64(np.arange(1, 65537, dtype=np.uint64))
 
 
 def byte_letters() -> list[str]:
@@ -82,11 +84,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    mixed, rolled = mix64(ids.astype(np.uint64) + np.uint64(1)), np.zeros(n, dtype=np.uint64)
+    mixed, rolled = ID_MIX[ids], np.zeros(n, dtype=np.uint64)
     for k in range(min(WINDOW, n)):
         rolled[k:] += mixed[: n - k] << np.uint64(k)
     ends, start = [], 0
-    for end in (np.flatnonzero(mix64(rolled) < np.uint64(2**64 // CUT)) + 1).tolist():
+    for end in (np.flatnonzero(rolled * np.uint64(0x9E3779B97F4A7C15) < np.uint64(2**64 // CUT)) + 1).tolist():
         while end - start > MOST:
             start += MOST
             ends.append(start)
@@ -129,7 +131,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
 
 
 RECIPES = "doc_id long, n_tokens long, root binary, digests array<binary>, shard int, place long, before long"
-CHUNKS = "digest binary, n int, data binary, copies long, owner struct<doc_id:long,root:binary,part:int>"
+CHUNKS = "digest binary, n int, data binary, copies long, owner struct<doc_id:long,mark:long,part:int>"
 MANIFEST = "shard int, docs long, ids long, root binary, start long"
 
 
@@ -143,7 +145,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
     encode_documents(docs, tokenizer, end_id).write.options(**zstd).parquet(f"{path}/_encoded")
     coded = spark.read.schema(CODED).parquet(f"{path}/_encoded")
     pairs = coded.select("doc_id", "root", F.posexplode(F.arrays_zip("digests", "chunks")).alias("part", "x"))
-    owner = F.struct("doc_id", "root", "part")
+    # the owner's root, shortened, tells rows apart that repeat a doc_id
+    owner = F.struct("doc_id", F.xxhash64("root").alias("mark"), "part")
     unique = pairs.groupBy(F.col("x.digests").alias("digest")).agg(F.first("x.chunks").alias("data"), F.count("*").alias("copies"), F.min(owner).alias("owner"))
     unique.select("digest", (F.octet_length("data") / 2).cast("int").alias("n"), "data", "copies", "owner").write.options(**zstd).parquet(f"{path}/chunks")
     shards = max(1, -(-coded.count() // SHARD_DOCS))
@@ -175,33 +178,36 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Every document rebuilt from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers). Fails on any mismatch.
+def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Every document rebuilt from the files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers), or with ids=False their ids_crc32. Fails on any mismatch.
 
     Each chunk goes straight to the document that owns it; only chunks with more than one copy are joined by address, to the other places that name them."""
     recipes, manifest, chunks = read_recipes(spark, path), spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    own = chunks.select("owner.doc_id", "owner.root", "owner.part", "data")
+    own = chunks.select("owner.doc_id", "owner.mark", "owner.part", "data")
     shared = chunks.where("copies > 1")
-    places = recipes.select("doc_id", "root", F.posexplode("digests").alias("part", "digest")).distinct()
-    others = places.join(shared.select("digest", "owner", "data"), "digest").where(~F.struct("doc_id", "root", "part").eqNullSafe(F.col("owner"))).select("doc_id", "root", "part", "data")
-    whole = own.unionByName(others).groupBy("doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
-    whole = whole.withColumnsRenamed({"doc_id": "_id", "root": "_root"})
-    rows = recipes.select("shard", "doc_id", "before", "n_tokens", "root").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("root") == F.col("_root")), "left").join(manifest.select("shard", "start"), "shard")
+    places = recipes.select("doc_id", F.xxhash64("root").alias("mark"), F.posexplode("digests").alias("part", "digest")).distinct()
+    others = places.join(shared.select("digest", "owner", "data"), "digest").where(~F.struct("doc_id", "mark", "part").eqNullSafe(F.col("owner"))).select("doc_id", "mark", "part", "data")
+    whole = own.unionByName(others).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
+    whole = whole.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    rows = recipes.select("shard", "doc_id", "before", "n_tokens", "root").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("root") == F.col("_mark")), "left").join(manifest.select("shard", "start"), "shard")
+
+    last = "ids binary" if ids else "ids_crc32 long"
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                part, starts, ids = batch.slice(lo, 500), [], []
+                part, starts, out = batch.slice(lo, 500), [], []
                 for row in part.to_pylist():
                     data = [x["data"] for x in row["parts"] or ()]
                     joined = b"".join(data)
                     if merkle([hashlib.sha256(x).digest() for x in data]) != row["root"] or len(joined) != 2 * row["n_tokens"]:
                         raise ValueError(f"document {row['doc_id']} does not match its Merkle root")
                     starts.append(row["start"] + row["before"])
-                    ids.append(np.frombuffer(joined, dtype="<u2").astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts, pa.int64()), part.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    wide = np.frombuffer(joined, dtype="<u2").astype("<u4").tobytes()
+                    out.append(wide if ids else zlib.crc32(wide))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts, pa.int64()), part.column("n_tokens"), pa.array(out, pa.binary() if ids else pa.int64())], ["doc_id", "start", "n_tokens", last.split()[0]])
 
-    return rows.select("doc_id", "start", "before", "n_tokens", "root", "parts").mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.select("doc_id", "start", "before", "n_tokens", "root", "parts").mapInArrow(rebuild, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -220,4 +226,4 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-store")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_store(spark, path, ids=False)
