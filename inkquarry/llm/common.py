@@ -74,20 +74,29 @@ class Cached(dict):
         return value
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows (any number a key) with the columns of per_key (one row a key, just aggregated by it); key is a long.
+
+    An aggregate is partitioned by its key already, and adaptive skew join only splits what comes straight from a shuffle. The complement of the key
+    is another expression, so both sides are shuffled for the join, and the rows of a hot key are split over tasks."""
+    other = per_key.withColumn("_key", F.bitwise_not(F.col(key))).drop(key)
+    return rows.withColumn("_key", F.bitwise_not(F.col(key))).join(other, "_key").drop("_key")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge; component is the smallest node that can be reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) in joins and partial aggregates: a node with very many
-    neighbours is never collected, Spark's adaptive skew join splits its rows. Each round is staged in the shared folder.
+    neighbours is never collected, adaptive skew join splits its rows. Each round is staged in the shared folder.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = staged(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_per_key(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = join_per_key(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import Cached, Forest, connected_components, mix64, staged, text_of
+from inkquarry.llm.common import Cached, Forest, connected_components, join_per_key, mix64, staged, text_of
 
 ROWS, BANDS, BITS, MARGIN, BLOCK = 6, 54, 1024, 0.12, 512
 ODD = tuple(np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 2**62, size=8, dtype=np.int64).tolist())
@@ -118,7 +118,7 @@ def bucket_ties(found: DataFrame, reps: DataFrame, threshold: float, samples: in
     """(a, b): spanning forests of the compatible pairs in each bucket, and the ties of large buckets' blocks."""
     spread = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1")
-    seats = spread.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    seats = join_per_key(spread, buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     seats = staged(seats.select("key", "block", "doc_id", "head", "n"), "seats")
     needed = found.join(seats.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sketch")
     full = seats.where("doc_id <> head or n <= %d" % BLOCK).select("key", "block", "doc_id").join(needed, "doc_id")
@@ -191,7 +191,7 @@ def links(sets: list[np.ndarray], threshold: tuple[int, int], split: int | None
 def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """(a, b): a spanning forest of confirmed links in each candidate group. groups: node, component."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = join_per_key(groups, sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).where("node is not null")
     # always by shuffle: how much is moved then follows the input, whatever the number of groups
