@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import mix64, staged
+from inkquarry.llm.common import join_per_key, mix64, staged
 
 LENGTH, GRAM, CAP = 200, 40, 4096
 #: Widths of the offset ranges that runs of frequent labels are cut to, in turn.
@@ -208,7 +208,7 @@ def decide(runs: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     covered = runs.join(many, ["label", "content"])
     covered = covered.where(~((F.col("doc") == F.col("rep.doc")) & (F.col("first") == F.col("rep.first")) & (F.col("fp") == F.col("rep.fp")))) if keep == "first" else covered
     labels = kinds.groupBy("label").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    reps = kinds.join(labels, "label").select("label", "content", "kinds", "rep.*")
+    reps = join_per_key(kinds, labels, "label").select("label", "content", "kinds", "rep.*")
     return covered.select("doc", "fp", "first", "n"), reps
 
 
@@ -252,8 +252,8 @@ def with_bytes(reps: DataFrame, docs: DataFrame) -> DataFrame:
 def covered_windows(docs: DataFrame, keep: str = "none") -> DataFrame:
     """(doc, fp, first, n): stretches of windows that are to go. docs: keyed()."""
     runs = find_runs(docs)
-    labels = runs.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label")
-    repeats = staged(runs.join(labels, "label").select(*_RUN_NAMES), "runs")
+    labels = runs.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeats = staged(join_per_key(runs, labels, "label").select(*_RUN_NAMES), "runs")
     found, reps = decide(repeats, keep)
     segments = staged(with_bytes(reps, docs), "segments")
     out = [found, build_arrays(segments.where(F.col("kinds") <= CAP), keep)]
