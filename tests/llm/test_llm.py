@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkquarry.llm import ann, bpe, exact_dedup, minhash, packing, secrets, suffix_dedup, token_store, toxicity, url_filter
+from inkquarry.llm import ann, bpe, common, exact_dedup, minhash, packing, secrets, suffix_dedup, token_store, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, shard int"
 
@@ -66,6 +66,17 @@ def test_suffix_dedup_keeps_first(spark, corpus):
     assert got[3]["n_removed"] == 0 and got[4]["n_removed"] == got[4]["n_bytes"] and got[10]["n_removed"] == 0 and got[11]["n_removed"] > 200
 
 
+def test_join_per_key(spark):
+    rows = spark.range(200).select((F.col("id") % 7).alias("k"), "id").unionByName(spark.createDataFrame([(None, 900), (7, 901)], "k long, id long"))
+    sums = rows.where("k <> 7").groupBy("k").agg(F.count("*").alias("n"))
+    joined = common.join_per_key(rows, sums, "k")
+    assert joined.columns == ["k", "id", "n"]
+    assert sorted(map(tuple, joined.collect())) == sorted((i % 7, i, len(range(i % 7, 200, 7))) for i in range(200))
+    merged = common.join_per_key(rows, sums.hint("merge"), "k")._jdf.queryExecution().executedPlan().toString()
+    # one exchange for the aggregate and one on either side of the join
+    assert merged.count("Exchange hashpartitioning(") == 3 and merged.count("Exchange hashpartitioning(_key") == 2
+
+
 def test_previous_factors():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, size=600).astype(np.uint8)
