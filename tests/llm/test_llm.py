@@ -269,6 +269,21 @@ def test_empty_tables(spark, tmp_path):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
-    assert 0 < len({r["doc_id"] for r in out}) <= docs.text.nunique()
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    cache, last, want = model.cache(), {}, {}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        if model.score(model.sentences(r["text"] or "", cache)) < 0.3:
+            last[r["text"] or ""] = r["doc_id"]
+    groups = brute_components([(i, t) for t, i in last.items()], 5, 80, 100)
+    for t, i in last.items():
+        if groups[i][1] == i:
+            want[i] = len(re.findall(r"[^\x20\x09-\x0D]+", secrets.masked(t))) + 1
+    got, held, bins = {}, {}, {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+        held[r["shard"], r["bin"]] = held.get((r["shard"], r["bin"]), 0) + r["length"]
+        bins[r["shard"], r["bin"]] = r["capacity"], r["bin_used"]
+    assert got == want
+    assert all(bins[k][1] == n <= bins[k][0] for k, n in held.items())
