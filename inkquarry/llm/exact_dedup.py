@@ -122,15 +122,19 @@ def lookup(rows: DataFrame, history: DataFrame, shards: int) -> DataFrame:
 def decide(rows: DataFrame, winners: DataFrame) -> DataFrame:
     """(doc_id, digest, keep_id, group_size) of every (doc_id, digest) row, given historical winners.
 
-    Digests of at least 1/HOT_SHARE of all rows are answered by a broadcast of at most HOT_SHARE rows, so no shard of the lookup holds a hot group."""
-    n, kept = rows.count(), winners.count()
+    Digests of at least 1/HOT_SHARE of the rows looked up are answered by a broadcast (HOT_SHARE rows at most, by counting), so no shard of the lookup holds a
+    hot group; only those are left out of the index. A hot digest that the history lacks gets its own group's answer."""
+    n, kept, winners = rows.count(), winners.count(), winners.where("keep_id is not null")
     shards = max(1, n // SHARD_ROWS, kept // SHARD_KEYS)
-    hot = winners.where(F.col("group_size") * HOT_SHARE >= F.lit(n)).limit(HOT_SHARE)
-    there = rows.join(F.broadcast(hot), "digest", "left").select("doc_id", "digest", "keep_id", "group_size")
-    cold = there.where("group_size is null").select("doc_id", "digest")
-    found = staged(lookup(cold, build_history(winners.where(F.col("group_size") * HOT_SHARE < F.lit(n)), shards), shards), "lookup")
+    hot = staged(groups(rows).where(F.col("group_size") * HOT_SHARE >= F.lit(n)), "hot")
+    past = winners.join(F.broadcast(hot.select("digest")), "digest").select("digest", F.struct("keep_id", "group_size").alias("past"))
+    answers = hot.join(past, "digest", "left").select("digest", F.coalesce("past", F.struct("keep_id", "group_size")).alias("answer"))
+    there = rows.join(F.broadcast(answers), "digest", "left")
+    cold = there.where("answer is null").select("doc_id", "digest")
+    index = build_history(winners.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), shards)
+    found = staged(lookup(cold, index, shards), "lookup")
     new = found.where("keep_id is null").select("doc_id", "digest")
-    return there.where("group_size is not null").unionByName(found.where("keep_id is not null")).unionByName(new.join(groups(new), "digest").select("doc_id", "digest", "keep_id", "group_size"))
+    return there.where("answer is not null").select("doc_id", "digest", "answer.*").unionByName(found.where("keep_id is not null")).unionByName(new.join(groups(new), "digest").select("doc_id", "digest", "keep_id", "group_size"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -129,6 +129,21 @@ def test_exact_dedup(spark, corpus):
     assert {r["doc_id"]: r["keep_id"] for r in new} == {100: 9, 101: 102, 102: 102}
 
 
+def test_exact_dedup_against_long_history(spark):
+    past = [(i, f"old {i}") for i in range(3000)] + [(5000 + i, "often") for i in range(40)]
+    for extra in (0, 1500):
+        batch = [(10000 + i, f"old {i}") for i in range(0, 3000, 6)] + [(20000 + i, f"new {i // 2}") for i in range(100 + extra)] + [(30000 + i, "hot") for i in range(30)] + [(40000, "often"), (None, "idless")]
+        last, size = {t: i for i, t in batch}, {}
+        for _, t in batch:
+            size[t] = size.get(t, 0) + 1
+        last |= {t: i for i, t in past}
+        size |= {t: 40 if t == "often" else 1 for _, t in past}
+        got = exact_dedup.against_history(table(spark, batch), table(spark, past)).collect()
+        text = {hashlib.sha256(t.encode()).digest(): t for _, t in batch}
+        assert len(got) == len(batch)
+        assert all((r["keep_id"], r["group_size"]) == (last[text[bytes(r["digest"])]], size[text[bytes(r["digest"])]]) for r in got)
+
+
 def test_minimal_perfect_hash():
     digests = np.array([hashlib.sha256(str(i).encode()).digest() for i in range(5000)], dtype=object)
     words = exact_dedup._words(digests)
