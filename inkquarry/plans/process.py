@@ -25,8 +25,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def process(files: DataFrame, store: Store, parser: Callable, classify: Callable, extract: Callable, threshold: float = 0.7, most_figures: int = 50) -> dict[str, DataFrame]:
-    """files: path, content. Documents that can't be parsed become rows of errors; figures are keyed by paper, number and panel."""
+def process(files: DataFrame, store: Store, parser: Callable, classify: Callable, extract: Callable, threshold: float = 0.7, most_figures: int | None = None) -> dict[str, DataFrame]:
+    """files: path, content. Documents that can't be parsed become rows of errors; figures are keyed by paper, number and panel. most_figures, if given, keeps only the first ones of a paper."""
     store.init()
     parsed = kept(parse(files, parser), "parsed")
     good = parsed.where("error is null")
@@ -34,7 +34,9 @@ def process(files: DataFrame, store: Store, parser: Callable, classify: Callable
     papers = papers_from_pages(pages, good.select(F.col("path").alias("paper_id"), "title", "author", "creator"))
     store.upsert_papers(papers.select(F.col("paper_id").alias("pdf_path"), "doi", "title", "authors", "journal", "year"))
     ids = store.read("papers").select(F.col("id").alias("pid"), F.col("pdf_path").alias("paper_id"))
-    raw = good.select(F.col("path").alias("paper_id"), F.posexplode("figures").alias("ord", "f")).select("paper_id", "ord", "f.*").where(F.col("ord") < most_figures)
+    raw = good.select(F.col("path").alias("paper_id"), F.posexplode("figures").alias("ord", "f")).select("paper_id", "ord", "f.*")
+    if most_figures is not None:
+        raw = raw.where(F.col("ord") < most_figures)
     raw = raw.withColumn("figure_id", F.concat_ws("#", "paper_id", "ord"))
     asked = kept(infer(raw.withColumn("prompt", F.concat_ws("\n", F.lit("What type of figure is this?"), "caption")), classify, out="class_answer"), "classified")
     figures = asked.withColumn("c", classified(F.col("class_answer"), threshold)).drop("prompt", "class_answer")

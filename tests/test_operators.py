@@ -127,3 +127,18 @@ def test_synthetic_is_repeatable(spark):
     a = synthetic.points(synthetic.plots(spark, 20)).collect()
     b = synthetic.points(synthetic.plots(spark, 20).repartition(5)).collect()
     assert sorted(a) == sorted(b) and {r["plot_type"] for r in a} <= set(synthetic.KINDS)
+
+
+def many_figures(content):
+    figure = lambda k: {"figure_number": str(k), "page_number": 1, "caption": f"Figure {k}.", "x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 5.0, "source": "pdffigures"}
+    return files.text_parser(content) | {"figures": [figure(k) for k in range(1, 64)]}
+
+
+def test_process_keeps_all_figures(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.pdf").write_text("A very fine paper title\nResults\nFig. 1 shows growth.\n")
+    out = process(files.documents(spark, str(src)), Store(spark, str(tmp_path / "s1")), many_figures, classify, extract)
+    assert sorted(int(r["figure_number"]) for r in out["figures"].collect()) == list(range(1, 64)) and out["series"].count() == 63
+    few = process(files.documents(spark, str(src)), Store(spark, str(tmp_path / "s2")), many_figures, classify, extract, most_figures=5)
+    assert few["figures"].count() == 5
