@@ -101,11 +101,20 @@ def section_name(heading: Column) -> Column:
 
 
 def sections(text: Column, swallow_next: bool = False) -> Column:
-    """Array of (ord, name, body): each body runs to the next heading (with swallow_next, to its end)."""
+    """Array of (ord, name, body): each body runs to the next heading (with swallow_next, to its end), without white space around it; bodies of
+    repeated headings are joined by a blank line, in the place of the first."""
     heads = F.regexp_extract_all(text, F.lit(SECTION), F.lit(0))
     bodies = F.slice(F.split(text, SECTION, -1), F.lit(2), F.size(heads))
     tail = lambda i: F.when(F.lit(swallow_next), F.coalesce(F.get(heads, i + 1), F.lit(""))).otherwise("")
-    return F.transform(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda x, i: F.struct(i.alias("ord"), section_name(x["h"]).alias("name"), F.trim(F.concat(x["b"], tail(i))).alias("body")))
+    each = F.transform(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda x, i: F.struct(section_name(x["h"]).alias("name"), F.regexp_replace(F.concat(x["b"], tail(i)), r"^\s+|\s+$", "").alias("body")))
+    # through a fold, so that the array of all sections is made once and not for every name
+    return F.aggregate(
+        F.array(each), F.array().cast("array<struct<ord:int,name:string,body:string>>"),
+        lambda _, all_: F.transform(
+            F.array_distinct(F.transform(all_, lambda s: s["name"])),
+            lambda name, i: F.struct(i.alias("ord"), name.alias("name"), F.array_join(F.transform(F.filter(all_, lambda s: s["name"] == name), lambda s: s["body"]), "\n\n").alias("body")),
+        ),
+    )
 
 
 def panel_labels(caption: Column) -> Column:

@@ -10,6 +10,7 @@ from inkquarry.functions import model_json as J
 from inkquarry.functions import text as T
 from inkquarry.operators import metrics as M
 from inkquarry.operators import ordered as O
+from inkquarry.operators.context import build_contexts
 from inkquarry.plans.process import process
 from inkquarry.sources import files, synthetic
 from inkquarry.sources.store import Store
@@ -142,3 +143,14 @@ def test_process_keeps_all_figures(spark, tmp_path):
     assert sorted(int(r["figure_number"]) for r in out["figures"].collect()) == list(range(1, 64)) and out["series"].count() == 63
     few = process(files.documents(spark, str(src)), Store(spark, str(tmp_path / "s2")), many_figures, classify, extract, most_figures=5)
     assert few["figures"].count() == 5
+
+
+def test_repeated_sections_are_joined(spark):
+    text = "Title\nMethods\n\nfirst way \nRESULTS\nFig. 1 rose.\nmaterials and methods\n  second way of growth\nResults\n\nDiscussion\nwhy\nResults\nFig. 1 fell.\n"
+    got = [(r["ord"], r["name"], r["body"]) for r in one(spark, T.sections(F.lit(text)))]
+    assert got == [(0, "Methods", "first way\n\nsecond way of growth"), (1, "Results", "Fig. 1 rose.\n\n\n\nFig. 1 fell."), (2, "Discussion", "why")]
+    assert one(spark, T.sections(F.lit("no heading"))) == [] and one(spark, T.sections(F.lit(None).cast("string"))) is None
+    papers = spark.createDataFrame([("p", "t", None, text)], "paper_id string, title string, doi string, full_text string")
+    figures = spark.createDataFrame([("p", "p#0", "1", "Figure 1. Growth of second")], "paper_id string, figure_id string, figure_number string, caption string")
+    row = build_contexts(figures, papers).first()
+    assert "second way of growth" in row["methods_context"] and "fell" in row["results_context"] and "rose" in row["results_context"]
