@@ -316,6 +316,13 @@ def section_slice(documents):
     return s.select("doc_id", "s.name", F.trim(F.regexp_replace("s.body", "\n", "")).alias("body"))
 
 
+@query()
+def section_slice_whole(documents):
+    """section_slice on whole texts with their newlines (its SQL fixes 80 characters); lines of a text that are headings end the body like any other."""
+    t = F.concat(F.lit("Start\nIntroduction\nwhy\nMaterials and Methods\n"), F.coalesce("text", F.lit("")), F.lit("\nResults\nwhat came out\n"))
+    return documents.select("doc_id", F.explode(T.sections(t)).alias("s")).where("s.name = 'Methods'").select("doc_id", "s.name", "s.body")
+
+
 _WORDS = "['tion', 'ther', 'with', 'from', 'idiot', 'enti']"
 
 
@@ -329,6 +336,12 @@ def caption_keywords(documents):
     return documents.where("lang = 'en'").select("doc_id", F.size(T.keywords(F.col("text"))).alias("n_keywords"))
 
 
+@query()
+def caption_keywords_all(documents):
+    """caption_keywords of every document, whatever its language (its SQL fixes English)."""
+    return documents.select("doc_id", F.size(T.keywords(F.coalesce("text", F.lit("")))).alias("n_keywords"))
+
+
 @query()
 def greedy_dedupe(documents):
     return documents.select("doc_id", T.greedy_distinct(F.split("text", "\n")).alias("kept"))
