@@ -3,7 +3,8 @@
 Format, below one folder: `chunks/` (digest, n, data: unique runs of ids as little-endian unsigned 16-bit integers, SHA-256 as address, number of copies, and the
 place that owns it), `recipes/` (one row per document in ascending doc_id order, dealt to shards by doc_id range: its place in the id stream, the digests of its chunks
 and their Merkle root) and `manifest/` (per shard: first place, documents, ids and the Merkle root of its documents' roots). A rolling hash over the
-last WINDOW ids cuts each document, so passages that documents share end up in chunks that are stored once. Reading joins recipes to
+last WINDOW ids cuts each document, so of passages that documents share, the chunks inside (a few hundred ids each; the two at a
+passage's edges differ) are stored once. Reading joins recipes to
 chunks and checks every chunk against its address and every document and shard against its Merkle root.
 
 Null texts are empty documents and hold the end id only. Null doc_ids come first; rows that repeat a doc_id are stored each, in the order of their
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from inkquarry.llm.common import Cached, mix64, new_path, text_of
 
 #: Ids that the rolling hash sees; a cut where its top bits are zero (one id in CUT); least and most ids of a chunk; documents of a shard.
-WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 8, 1024, 256, 4096, 50_000
+WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 8, 256, 64, 2048, 50_000
 END_ID = 2
 #: A random 64-bit integer for each id.
 ID_MIX = mix64(np.arange(1, 65537, dtype=np.uint64))

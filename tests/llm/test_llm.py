@@ -114,6 +114,21 @@ def test_token_store(spark, corpus, tmp_path):
     assert token_store.verify_manifest(spark, str(tmp_path / "s")).isEmpty()
 
 
+def test_cuts_share_passages():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(3, 49_000, size=n).astype("<u2")
+    shared = 0
+    for _ in range(200):
+        passage, found = draw(900), []
+        for _ in range(2):
+            ids = np.concatenate([draw(rng.integers(200, 800)), passage, draw(rng.integers(200, 800))])
+            ends = token_store.cuts(ids)
+            assert ends[-1] == len(ids) and all(b - a <= token_store.MOST for a, b in zip([0, *ends], ends))
+            found.append({ids[a:b].tobytes() for a, b in zip([0, *ends], ends)})
+        shared += sum(len(c) // 2 for c in found[0] & found[1])
+    assert shared > 0.2 * 900 * 200
+
+
 def test_exact_dedup(spark, corpus):
     got = exact_dedup.exact_groups(table(spark, corpus)).collect()
     assert len(got) == len(corpus)
