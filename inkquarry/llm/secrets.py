@@ -1,7 +1,8 @@
 """Secret scans: three base patterns, and an assignment-aware lexer.
 
-The lexer looks at every `=`, `:`, `:=` and `=>` of a text, takes the name before it (quoted or not, `export`, attributes and subscripts allowed) and the literal or
-name after it, and so turns source code and configuration into name-literal pairs. A name on the right is replaced by the literal it was last bound to
+The lexer looks at every `=`, `:`, `:=` and `=>` of a text, takes the name before it (quoted or not, of any length, `export`, attributes and subscripts allowed) and the
+literal or name after it, and so turns source code and configuration into name-literal pairs. A type between name and operator is stepped over (`name: type =`, and
+`name type =` with a plain type or after `var` or `const`). A name on the right, also as $NAME or ${NAME}, is replaced by the literal it was last bound to
 (constants propagate through chains of names). A literal is scored by the words of its target's name and by its own entropy; those of at least
 THRESHOLD are reported as kind `literal`, or `constant` where the value came through another name (the span is then that of the literal itself).
 
@@ -35,10 +36,20 @@ SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api key": 3.0, "access key": 3.0, "private key": 3.0,
     "secret key": 3.0, "signing key": 3.0, "encryption key": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 2.0, "authorization": 2.0, "bearer": 2.0, "key": 1.0, "pin": 1.0, "salt": 1.0,
 }
-THRESHOLD, LEAST_LENGTH, LONGEST_NAME = 3.5, 8, 80
+THRESHOLD, LEAST_LENGTH = 3.5, 8
 OPERATOR = re.compile(r":=|=>|(?<![=!<>])=(?!=)|:(?![:/=])")
-NAME_BEFORE = re.compile(r"""(?:(["'])([A-Za-z_][A-Za-z0-9_.\- ]*)\1|([A-Za-z_$][A-Za-z0-9_.$-]*))\]?[ \t]*$""")
-VALUE_AFTER = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=$-]+))""")
+#: The name before an operator, read backwards in the reversed text, so that it has no longest length.
+NAME_BEFORE = re.compile(r"""[ \t]*\]?(?:(["'])([A-Za-z0-9_.\- ]*[A-Za-z_])\1|([A-Za-z0-9_.$-]*[A-Za-z_$]))""")
+VALUE_AFTER = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\{[A-Za-z_][A-Za-z0-9_]*\}(?![A-Za-z0-9+/_.=$-])|[A-Za-z0-9+/_.=$-]+))""")
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
+#: `: type =` after a name, with brackets three deep and unions; and, read backwards, `name type` before an operator, with a keyword before it.
+_ARGUMENTS = r"[^\[\]<>=:\n]*"
+for _ in range(2):
+    _ARGUMENTS = rf"[^\[\]<>=:\n]*(?:[\[<]{_ARGUMENTS}[\]>][^\[\]<>=:\n]*)*"
+_TYPE = rf"""[&*?]*(?:'[a-z]+[ \t]+)?(?:(?:mut|const)[ \t]+)?["']?[A-Za-z_][A-Za-z0-9_.]*(?:::[A-Za-z0-9_]+)*["']?(?:[\[<]{_ARGUMENTS}[\]>])*[!?*&]*"""
+TYPE_AFTER = re.compile(rf"[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[ \t]*(?==(?![=>]))")
+TYPED_BEFORE = re.compile(r"[ \t]*([A-Za-z0-9_.]*[A-Za-z_])[*&\[\]]*[ \t]+([A-Za-z0-9_$]*[A-Za-z_$])([ \t]+(?:rav|tsnoc)(?![A-Za-z0-9_]))?")
+PLAIN_TYPES = frozenset({"string", "str", "byte", "rune", "char", "any", "text", "varchar"})
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|xxxx|\*\*\*|<[^>]*>|\$\{")
@@ -70,22 +81,38 @@ def literal_score(value: str) -> float:
 
 
 def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, whether it came through another name) in order."""
+    """(name, literal, start, end, whether it came through another name) in order; where a type stands between name and operator, both words are names."""
     bound: dict[str, tuple[int, int]] = {}
+    typed: dict[int, str] = {}
+    backwards = text[::-1]
     for op in OPERATOR.finditer(text):
-        before = NAME_BEFORE.search(text[max(0, op.start() - LONGEST_NAME) : op.start()])
-        after = VALUE_AFTER.match(text, op.end()) if before else None
+        at = len(text) - op.start()
+        before = NAME_BEFORE.match(backwards, at)
+        names = [(before[2] or before[3])[::-1]] if before else []
+        if op[0] == ":" and before and (kind := TYPE_AFTER.match(text, op.end())):
+            typed[kind.end()] = names[0]
+        if op[0] == "=":
+            if op.start() in typed:
+                names.append(typed.pop(op.start()))
+            elif (go := TYPED_BEFORE.match(backwards, at)) and (go[3] or go[1][::-1] in PLAIN_TYPES):
+                names.append(go[2][::-1])
+        after = VALUE_AFTER.match(text, op.end()) if names else None
         if not after:
             continue
-        name = before[2] or before[3]
         group = next(k for k in (1, 2, 3) if after[k] is not None)
         start, end = after.span(group)
         value, through = text[start:end], False
         if group == 3 and IDENTIFIER.fullmatch(value) and value in bound:
-            (start, end), through = bound[value], True
+            source = value
+        else:
+            reference = REFERENCE.fullmatch(value) if group != 2 else None
+            source = reference and (reference[1] or reference[2])
+        if source in bound:
+            (start, end), through = bound[source], True
             value = text[start:end]
-        bound[name] = bound[name.rsplit(".", 1)[-1]] = start, end
-        yield name, value, start, end, through
+        for name in names:
+            bound[name] = bound[name.rsplit(".", 1)[-1]] = start, end
+            yield name, value, start, end, through
 
 
 def method_spans(text: str) -> list[tuple[int, str, int]]:

@@ -216,6 +216,26 @@ def test_secrets(spark):
     assert masked[1] is None and "abcdefgh12" not in masked[2] and "Zx9k" not in masked[6] and masked[8] == "a: b = c"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password: str = "Zx9kQ2mP7vL1"', 'const apiKey: string = "Zx9kQ2mP7vL1";', 'var password string = "Zx9kQ2mP7vL1"', '\tpassword string = "Zx9kQ2mP7vL1"', 'const token pkg.Kind = "Zx9kQ2mP7vL1"',
+        'password: Optional[dict[str, list[str]]] = "Zx9kQ2mP7vL1"', "let password: &'static str = \"Zx9kQ2mP7vL1\";", 'secret: string | undefined = "Zx9kQ2mP7vL1"', 'auth_token: std::string = "Zx9kQ2mP7vL1"',
+        "password" + " " * 90 + '= "Zx9kQ2mP7vL1"', "db_password_" + "x" * 85 + ' = "Zx9kQ2mP7vL1"', 'K="Zx9kQ2mP7vL1"\nPASSWORD=$K\n', 'K="Zx9kQ2mP7vL1"\nexport PASSWORD="${K}"\n', "k: Zx9kQ2mP7vL1\npassword: ${k}\n",
+        'note: password = "Zx9kQ2mP7vL1"', 'x["password"] = "Zx9kQ2mP7vL1"', "'api key': 'Zx9kQ2mP7vL1'",
+    ],
+)
+def test_secrets_of_common_syntax(text):
+    at = text.index("Zx9k")
+    assert (at, at + 12) in [(s, e) for s, _, e in secrets.method_spans(text)]
+    assert "Zx9k" not in secrets.masked(text)
+
+
+def test_secrets_leave_others_alone():
+    for text in ("K='Zx9kQ2mP7vL1'\nPASSWORD='$K'\n", "PASSWORD=$K", "PASSWORD=${K}", 'secret sauce = "Zx9kQ2mP7vL1"', 'name: str = "Zx9kQ2mP7vL1"', 'String colour = "Zx9kQ2mP7vL1"', "password: str", "a: b[[[[<<<< = c"):
+        assert secrets.method_spans(text) == []
+
+
 def test_url_filter(spark):
     urls = ["https://www.Foo.example.net/en/1?x", "http://a.net", "http://a.net/", "http://x.example.com/de/1", "http://q.org/fr/", "http://nnet/", None, "nothing", "http://cheap-pills.example.com/en/5", "http://library.example.com/en/5"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
