@@ -4,7 +4,7 @@
    odd sketch: every one of the BANDS * ROWS samples flips one of BITS bits, so the population count of the XOR of two sketches tells how many samples
    differ. Documents with the same set are collapsed to the smallest doc_id before anything is compared.
 2. Documents that share a band key meet in a bucket. Inside a bucket, pairs whose sketches are compatible with the threshold (MARGIN below it) tie documents together; only a
-   spanning forest of a bucket leaves the task. A large bucket is dealt in blocks, and its blocks are tied to its smallest document without any
+   spanning forest of a bucket leaves the task. A large bucket is dealt in blocks, and each of its documents is tied to its smallest one without any
    test, which can only make groups larger. Connected components of those ties are candidate groups: each linked pair that met in a bucket is inside one.
 3. Every group's links are confirmed on the full sets (exact intersections in one matrix product), group by group where a group has at most BLOCK documents, and
    by pairs of blocks beyond. Again only spanning forests of confirmed links leave the tasks; their components are the result.
@@ -155,7 +155,7 @@ def bucket_ties(found: DataFrame, reps: DataFrame, threshold: float, samples: in
         if len(docs) > 1:
             yield batch_of(ties())
 
-    heads = seats.where(f"n > {BLOCK}").groupBy("doc_id").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    heads = seats.where(f"n > {BLOCK}").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     return full.mapInArrow(run, "a long, b long").unionByName(heads)
 
 

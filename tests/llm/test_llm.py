@@ -195,6 +195,16 @@ def test_minhash(spark, corpus, monkeypatch, words, threshold, block):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
+def test_large_buckets_tie_every_seat(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    # documents 1 to 9 share key 1, documents 5 to 20 key 2; sketches are all incompatible, so only the ties of large buckets are left
+    rng = np.random.default_rng(8)
+    rows = [(i, [1] * (i < 10) + [2] * (i > 4), rng.bytes(minhash.BITS // 8)) for i in range(1, 21)]
+    found = spark.createDataFrame(rows, "doc_id long, keys array<long>, sketch binary")
+    got = {(r["a"], r["b"]) for r in minhash.bucket_ties(found, found, 0.99, 1000).collect()}
+    assert got == {(1, i) for i in range(2, 10)} | {(5, i) for i in range(6, 21)}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a, b = minhash.samplers(minhash.ROWS, minhash.BANDS)
