@@ -14,6 +14,7 @@ Merkle roots. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 import zlib
 from array import array
@@ -23,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from inkquarry.llm.common import Cached, mix64, new_path, text_of
 
 #: Ids that the rolling hash sees; a cut where its top bits are zero (one id in CUT); least and most ids of a chunk; documents of a shard.
 WINDOW, CUT, LEAST, MOST, SHARD_DOCS = 8, 256, 64, 2048, 50_000
-END_ID = 2
+END_ID, SLICE_BYTES = 2, 16 << 20
 #: A random 64-bit integer for each id.
 ID_MIX = mix64(np.arange(1, 65537, dtype=np.uint64))
 
@@ -42,11 +44,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: The tokenizer's own pattern of pre-tokens, for lower-case ASCII without white space.
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = re.compile(r"[!-~]*")
+
+
 class WordEncoder:
     """Ids of whole texts as the tokenizers library gives them, with the pieces between blanks remembered.
 
-    The file's pre-tokens never span white space, so a text's ids are those of its pieces in turn. A piece of letters (with a comma or full stop) goes
-    straight to the library's BPE model; any other piece goes through its whole encode(). Texts with "<|" (added tokens) are encoded in one go."""
+    The file's pre-tokens never span white space, so a text's ids are those of its pieces in turn. Arrow splits a batch and finds its distinct pieces; only those
+    are looked up. A piece of ASCII letters, digits and marks is cut into pre-tokens here, a piece of other letters is one (with a comma or full stop, two), and each
+    pre-token goes straight to the library's BPE model; any other piece goes through its whole encode(). Texts with "<|" (added tokens) are encoded in one go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,22 +65,36 @@ class WordEncoder:
         self.model, self.letters, self.pieces, self.words = self.whole.model, byte_letters(), Cached(self.piece, 500_000), Cached(self.word, 500_000)
 
     def word(self, word: str) -> bytes:
-        """Ids of a lower-case run of letters, or of one mark."""
+        """Ids of one lower-case pre-token."""
         letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
         return array("H", [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        mark = piece[-1:]
-        core = piece[:-1] if mark == "." or mark == "," else piece
-        low = core.lower()
-        if core.isalpha() and (core.isascii() or low.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core)):
-            return self.words[low] if core is piece else self.words[low] + self.words[mark]
+        low = piece.lower()
+        if piece.isascii():
+            if piece.isalpha():
+                return self.words[low]
+            if PLAIN.fullmatch(low):
+                return b"".join([self.words[x] for x in PRE_TOKENS.findall(low)])
+        else:
+            mark = piece[-1]
+            core, low = (piece[:-1], low[:-1]) if mark == "." or mark == "," else (piece, low)
+            if core.isalpha() and low.isalpha() and "Σ" not in core and unicodedata.is_normalized("NFC", core):
+                return self.words[low] if core is piece else self.words[low] + self.words[mark]
         return array("H", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode_texts(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each text."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pc.dictionary_encode(parts.values)
+        known = pa.array(list(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary())
+        flat = pc.take(known, coded.indices)
+        data = flat.buffers()[2].to_pybytes() if flat.buffers()[2] else b""
+        ends = np.frombuffer(flat.buffers()[1], "<i8")[parts.offsets.to_numpy()].tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:])]
+        for k in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+            out[k] = array("H", self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -113,20 +135,31 @@ def merkle(digests: list[bytes]) -> bytes:
 CODED = "doc_id long, n_tokens long, root binary, digests array<binary>, chunks array<binary>"
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    size, start = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > most:
+            yield start, k - start
+            size, start = 0, k
+        size += max(n, 1)
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer), array("H", [end_id]).tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 500):
-                out = []
-                for key, text in zip(keys[lo : lo + 500], texts[lo : lo + 500].to_pylist(), strict=True):
-                    data = enc.encode(text) + tail
+            for lo, size in slices(batch.column(1)):
+                part, out = batch.slice(lo, size), []
+                for data in enc.encode_texts(part.column(1)):
+                    data += tail
                     ends = cuts(np.frombuffer(data, dtype="<u2"))
                     chunks = [data[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
                     digests = [hashlib.sha256(c).digest() for c in chunks]
-                    out.append((key, len(data) // 2, merkle(digests), digests, chunks))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)], ["doc_id", "n_tokens", "root", "digests", "chunks"])
+                    out.append((len(data) // 2, merkle(digests), digests, chunks))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())), strict=True)]], ["doc_id", "n_tokens", "root", "digests", "chunks"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, CODED)
 
@@ -163,11 +196,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
 
     ordered.groupBy("shard").applyInPandas(number, RECIPES).write.options(**zstd).parquet(f"{path}/recipes")
 
-    def roots(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "docs": [len(pdf)], "ids": [int(pdf["n_tokens"].sum())], "root": [merkle(list(pdf["root"]))]})
-
-    sums = read_recipes(spark, path).select("shard", "place", "n_tokens", "root").groupBy("shard").applyInPandas(roots, "shard int, docs long, ids long, root binary")
+    sums = shard_sums(read_recipes(spark, path)).select("shard", "docs", "ids", "root")
     # One row per shard of SHARD_DOCS documents: the only ordered sum in one task.
     start = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums.withColumn("start", start).write.parquet(f"{path}/manifest")
@@ -179,18 +208,44 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
+def shard_sums(recipes: DataFrame) -> DataFrame:
+    """What the manifest says of each shard, found from its recipes, and whether their places and starts follow each other."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        before = (pdf["n_tokens"].cumsum() - pdf["n_tokens"]).to_numpy()
+        whole = bool((pdf["place"].to_numpy() == np.arange(len(pdf))).all() and (pdf["before"].to_numpy() == before).all())
+        return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "docs": [len(pdf)], "ids": [int(pdf["n_tokens"].sum())], "root": [merkle(list(pdf["root"]))], "whole": [whole]})
+
+    return recipes.select("shard", "place", "before", "n_tokens", "root").groupBy("shard").applyInPandas(one, "shard int, docs long, ids long, root binary, whole boolean")
+
+
+def checked_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, start, good): good where a shard's recipes have the Merkle root and the numbers that the manifest has."""
+    found = shard_sums(read_recipes(spark, path)).select("shard", F.struct("docs", "ids", "root").alias("found"), "whole")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("shard", F.struct("docs", "ids", "root").alias("said"), "start")
+    # one row per shard of SHARD_DOCS documents
+    start = F.coalesce(F.sum("said.ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = manifest.withColumn("sum", start)
+    return manifest.join(found, "shard", "full").select("shard", "start", F.coalesce(F.col("said").eqNullSafe(F.col("found")) & F.col("whole") & (F.col("start") == F.col("sum")), F.lit(False)).alias("good"))
+
+
 def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """Every document rebuilt from the files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers), or with ids=False their ids_crc32. Fails on any mismatch.
+    """Every document rebuilt from the files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers), or with ids=False their ids_crc32. Fails where a document or a
+    shard doesn't match its Merkle root.
 
     Each chunk goes straight to the document that owns it; only chunks with more than one copy are joined by address, to the other places that name them."""
-    recipes, manifest, chunks = read_recipes(spark, path), spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    own = chunks.select("owner.doc_id", "owner.mark", "owner.part", "data")
-    shared = chunks.where("copies > 1")
-    places = recipes.select("doc_id", F.xxhash64("root").alias("mark"), F.posexplode("digests").alias("part", "digest")).distinct()
-    others = places.join(shared.select("digest", "owner", "data"), "digest").where(~F.struct("doc_id", "mark", "part").eqNullSafe(F.col("owner"))).select("doc_id", "mark", "part", "data")
-    whole = own.unionByName(others).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
-    whole = whole.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    rows = recipes.select("shard", "doc_id", "before", "n_tokens", "root").join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("root") == F.col("_mark")), "left").join(manifest.select("shard", "start"), "shard")
+    recipes, chunks = read_recipes(spark, path), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    # a document's key: its id, also where that is null, and what tells rows apart that repeat an id
+    key = lambda doc_id, mark: [F.coalesce(doc_id, F.lit(0)).alias("key"), doc_id.isNull().alias("idless"), mark.alias("mark")]
+    own = chunks.select(*key(F.col("owner.doc_id"), F.col("owner.mark")), "owner.part", "data")
+    shared = chunks.where("copies > 1").select("digest", F.struct(*key(F.col("owner.doc_id"), F.col("owner.mark")), "owner.part").alias("owner"), "data")
+    places = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), F.posexplode("digests").alias("part", "digest"))
+    others = places.join(shared, "digest").where(F.struct("key", "idless", "mark", "part") != F.col("owner")).dropDuplicates(["digest", "key", "idless", "mark", "part"])
+    whole = own.unionByName(others.drop("digest", "owner")).groupBy("key", "idless", "mark").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
+    start = F.when(F.col("good"), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), F.lit(" does not match the manifest"))).cast("long"))
+    rows = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), "shard", "doc_id", "before", "n_tokens", "root").join(whole, ["key", "idless", "mark"], "left")
+    rows = rows.join(checked_manifest(spark, path).select("shard", start.alias("start")), "shard")
 
     last = "ids binary" if ids else "ids_crc32 long"
 
@@ -213,13 +268,7 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Shards whose recipes don't match the manifest; empty when all is well."""
-
-    def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "found": [merkle(list(pdf.sort_values("place")["root"]))]})
-
-    found = read_recipes(spark, path).select("shard", "place", "root").groupBy("shard").applyInPandas(root, "shard int, found binary")
-    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    return manifest.join(found, "shard", "full").where("not root <=> found")
+    return checked_manifest(spark, path).where("not good")
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
