@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one on a local master; on a cluster that is an error, as other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-inkquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +50,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, whatever its user has called the columns."""
+    taken, names = {c.lower() for c in df.columns}, (f"_own{k}" for k in itertools.count())
+    return list(itertools.islice((x for x in names if x not in taken), n))
+
+
 def packed(column, dtype) -> np.ndarray:
     return np.frombuffer(column, dtype=dtype)
 

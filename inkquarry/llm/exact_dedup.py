@@ -5,7 +5,7 @@ shards by digest; every shard has a minimal perfect hash (levels of bitmaps, Lim
 and each slot holds the full digest, the locator and the size. A lookup computes one slot and compares all 32 bytes, so a digest that
 isn't in the history is always found out; such nonmembers are grouped among themselves.
 
-Null texts count as empty and equal "". Rows that repeat both doc_id and text are one document and get the same answer (unique_documents() keeps one of
+Null and empty texts are equal; texts of any length are hashed whole. Rows that repeat both doc_id and text are one document and get the same answer (unique_documents() keeps one of
 them). A null doc_id never wins against another; further columns are ignored. An empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import HOT_SHARE, mix64, staged, text_of
+from inkquarry.llm.common import HOT_SHARE, mix64, staged, text_of, unused
 
 #: Digests of one shard of the index, and rows of one lookup, on average.
 SHARD_KEYS, SHARD_ROWS, LEVELS = 20_000, 100_000, 40
@@ -93,16 +93,17 @@ def build_history(winners: DataFrame, shards: int) -> DataFrame:
         })
 
     return (
-        winners.where("keep_id is not null").select(_shard(shards), "digest", "keep_id", "group_size").groupBy("shard")
+        winners.select(_shard(shards), "digest", "keep_id", "group_size").groupBy("shard")
         .applyInPandas(build, "shard int, sizes array<int>, bits array<binary>, digests binary, winners binary, counts binary")
     )
 
 
-def lookup(rows: DataFrame, history: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, digest) rows with keep_id and group_size of the history's slot; both null for nonmembers."""
+def lookup(distinct: DataFrame, history: DataFrame, shards: int) -> DataFrame:
+    """distinct: (digest, keep_id, group_size), one row a digest, so no shard holds a hot group. Members get the keep_id and group_size of the history's slot, nonmembers keep
+    their own; `member` tells which, and `times` is the own group_size."""
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "digest": left["digest"], "keep_id": pd.array([pd.NA] * len(left), "Int64"), "group_size": pd.array([pd.NA] * len(left), "Int64")})
+        out = pd.DataFrame({"digest": left["digest"], "keep_id": left["keep_id"].astype("Int64"), "group_size": left["group_size"], "times": left["group_size"].copy(), "member": False})
         if len(right) and len(left):
             index = right.iloc[0]
             levels = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n).astype(bool) for n, b in zip(index["sizes"], index["bits"], strict=True)]
@@ -111,49 +112,49 @@ def lookup(rows: DataFrame, history: DataFrame, shards: int) -> DataFrame:
             same = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
             out.loc[same, "keep_id"] = np.frombuffer(index["winners"], dtype="<i8")[slots[same]]
             out.loc[same, "group_size"] = np.frombuffer(index["counts"], dtype="<i8")[slots[same]]
+            out["member"] = same
         return out
 
     return (
-        rows.select("doc_id", "digest", _shard(shards)).groupBy("shard").cogroup(history.groupBy("shard"))
-        .applyInPandas(find, "doc_id long, digest binary, keep_id long, group_size long")
+        distinct.select("digest", "keep_id", "group_size", _shard(shards)).groupBy("shard").cogroup(history.groupBy("shard"))
+        .applyInPandas(find, "digest binary, keep_id long, group_size long, times long, member boolean")
     )
 
 
-def decide(rows: DataFrame, winners: DataFrame) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size) of every (doc_id, digest) row, given historical winners.
+def decide(rows: DataFrame, own: DataFrame, winners: DataFrame) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size) of every (doc_id, digest) row, given its groups() and the historical winners.
 
-    Digests of at least 1/HOT_SHARE of the rows looked up are answered by a broadcast (HOT_SHARE rows at most, by counting), so no shard of the lookup holds a
-    hot group; only those are left out of the index. A hot digest that the history lacks gets its own group's answer."""
-    n, kept, winners = rows.count(), winners.count(), winners.where("keep_id is not null")
-    shards = max(1, n // SHARD_ROWS, kept // SHARD_KEYS)
-    hot = staged(groups(rows).where(F.col("group_size") * HOT_SHARE >= F.lit(n)), "hot")
-    past = winners.join(F.broadcast(hot.select("digest")), "digest").select("digest", F.struct("keep_id", "group_size").alias("past"))
-    answers = hot.join(past, "digest", "left").select("digest", F.coalesce("past", F.struct("keep_id", "group_size")).alias("answer"))
-    there = rows.join(F.broadcast(answers), "digest", "left")
-    cold = there.where("answer is null").select("doc_id", "digest")
-    index = build_history(winners.join(F.broadcast(hot.select("digest")), "digest", "left_anti"), shards)
-    found = staged(lookup(cold, index, shards), "lookup")
-    new = found.where("keep_id is null").select("doc_id", "digest")
-    return there.where("answer is not null").select("doc_id", "digest", "answer.*").unionByName(found.where("keep_id is not null")).unionByName(new.join(groups(new), "digest").select("doc_id", "digest", "keep_id", "group_size"))
+    Every distinct digest goes through the index once. The answers then go back to the rows: those of digests with at least 1/HOT_SHARE of the rows by a broadcast (HOT_SHARE
+    rows at most, by counting), the others by a join in which no key is hot."""
+    n, kept = rows.count(), winners.count()
+    shards = max(1, own.count() // SHARD_ROWS, kept // SHARD_KEYS)
+    found = lookup(own, build_history(winners, shards), shards)
+    answers = staged(found.select("digest", F.struct("keep_id", "group_size").alias("answer"), (F.col("times") * HOT_SHARE >= F.lit(n)).alias("hot")), "answers")
+    there = rows.join(F.broadcast(answers.where("hot").select("digest", "answer")), "digest", "left")
+    cold = there.where("answer is null").select("doc_id", "digest").join(answers.where("not hot").select("digest", "answer"), "digest")
+    return there.where("answer is not null").select("doc_id", "digest", "answer.*").unionByName(cold.select("doc_id", "digest", "answer.*"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, digest, keep_id, group_size of every document: the digests that repeat are the history, all others are its nonmembers."""
     rows = staged(digests(docs), "digests")
-    return decide(rows, staged(groups(rows).where("group_size > 1 and keep_id is not null"), "winners"))
+    own = staged(groups(rows), "groups")
+    return decide(rows, own, own.where("group_size > 1 and keep_id is not null"))
 
 
 def against_history(batch: DataFrame, history: DataFrame) -> DataFrame:
     """The decisions on a new batch, where `history` are earlier documents: a repeat of one of them goes, whatever its doc_id."""
-    return decide(staged(digests(batch), "digests"), staged(groups(digests(history)), "winners"))
+    rows = staged(digests(batch), "digests")
+    return decide(rows, staged(groups(rows), "groups"), staged(groups(digests(history)).where("keep_id is not null"), "winners"))
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns, one row each."""
-    kept = exact_groups(docs).where("doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
+    mine, key, held = unused(docs, 3)
+    kept = exact_groups(docs).where("doc_id <=> keep_id").select(F.col("doc_id").alias(key), F.col("digest").alias(held)).distinct()
     sha = F.unhex(F.sha2(text_of().cast("binary"), 256))
-    joined = docs.withColumn("_digest", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")))
-    return joined.dropDuplicates(["_id", "_digest"]).select(*[joined[c] for c in docs.columns])
+    joined = docs.withColumn(mine, sha).join(kept, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(held)))
+    return joined.dropDuplicates([key, held]).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@
    spanning forest of a bucket leaves the task. A large bucket is dealt in blocks, and each of its documents is tied to its smallest one without any
    test, which can only make groups larger. Connected components of those ties are candidate groups: each linked pair that met in a bucket is inside one.
 3. Every group's links are confirmed on the full sets (exact intersections in one matrix product), group by group where a group has at most BLOCK documents, and
-   by pairs of blocks beyond. Again only spanning forests of confirmed links leave the tasks; their components are the result.
+   beyond in rounds of blocks, then across what is still apart. Again only spanning forests of confirmed links leave the tasks; their components are the result.
 
 A pair at the threshold 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS < 1e-7; there is no cap on partners. No pair is ever a row but those of spanning forests.
-Null texts and texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are taken as one document with the first of their sets;
-rows without doc_id are left out of links (component null). Further columns are ignored. Empty tables give empty results.
+Null texts and texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are one document with one of their sets
+(the least by digest) and one component; each row has its own n_shingles. Rows without doc_id are left out of links (component null). Further columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import Cached, Forest, connected_components, join_per_key, mix64, staged, text_of
+from inkquarry.llm.common import Cached, Forest, connected_components, join_per_key, mix64, staged, text_of, unused
 
 ROWS, BANDS, BITS, MARGIN, BLOCK = 6, 54, 1024, 0.12, 512
 ODD = tuple(np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 2**62, size=8, dtype=np.int64).tolist())
@@ -49,6 +49,10 @@ def shingles(text: str, words: int, cache: Cached) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(found: bytes) -> bytes:
+    return hashlib.blake2b(found, digest_size=16).digest()
+
+
 def samplers(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
     return rng.integers(0, 2**32, size=(rows * bands, 1), dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size=(rows * bands, 1), dtype=np.uint32)
@@ -93,7 +97,7 @@ def sketch_documents(docs: DataFrame, words: int, rows: int = ROWS, bands: int =
                     if not len(found):
                         digests.append(None), keys.append(None), sketches.append(None)
                         continue
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    digests.append(set_digest(found.tobytes()))
                     samples = minhash(found, a, b)
                     band = samples.reshape(bands, rows).astype(np.uint64)
                     key = salt.copy()
@@ -188,35 +192,24 @@ def links(sets: list[np.ndarray], threshold: tuple[int, int], split: int | None
             yield i, j
 
 
-def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b): a spanning forest of confirmed links in each candidate group. groups: node, component."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    placed = join_per_key(groups, sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).where("node is not null")
-    # always by shuffle: how much is moved then follows the input, whatever the number of groups
-    held = placed.join(texts.hint("merge"), "node").dropDuplicates(["node"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hashes()
-        for batch in batches:
-            packed = [shingles(x, words, cache).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "blocks", "block", "node")], pa.array(packed, pa.binary())], ["component", "blocks", "block", "node", "set"])
-
-    sets = held.select("component", "blocks", "block", "node", "text").mapInArrow(sets_of, "component long, blocks int, block int, node long, set binary")
-    # a group of one block is one unit; of more, each block meets itself and every other block once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = sets.select("component", "block", "node", "set", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
+def forests(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) of units (component, i, j, block, node, set): each node b that confirmed links inside its unit tie to a smaller one, with the smallest, a. A unit of one block (i = j) is
+    compared in full, one of two blocks across only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
 
         def forest() -> pa.RecordBatch:
             rows.sort(key=lambda r: (r[0], r[1]))
-            nodes = [r[1] for r in rows]
             split = None if unit[1] == unit[2] else sum(r[0] == unit[1] for r in rows)
-            pairs = list(links([np.frombuffer(r[2], dtype=np.uint64) for r in rows], threshold, split)) if len(rows) > 1 and split not in (0, len(rows)) else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], ["a", "b"])
+            pairs = links([np.frombuffer(r[2], dtype=np.uint64) for r in rows], threshold, split) if len(rows) > 1 and split not in (0, len(rows)) else ()
+            # nodes in ascending order, so that the root of a tree is its smallest
+            order = {node: k for k, node in enumerate(sorted(r[1] for r in rows))}
+            nodes, tree = list(order), Forest(len(order))
+            for i, j in pairs:
+                tree.union(order[rows[i][1]], order[rows[j][1]])
+            tied = [(nodes[tree.find(k)], node) for k, node in enumerate(nodes) if tree.find(k) != k]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in tied], pa.int64()), pa.array([x[1] for x in tied], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for c, i, j, block, node, found in zip(*(batch.column(k) for k in range(6)), strict=True):
@@ -228,29 +221,105 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[i
         if rows:
             yield forest()
 
-    units = units.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
+    units = units.select("component", "i", "j", "block", "node", "set").repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
     return units.mapInArrow(run, "a long, b long")
 
 
+def sized(nodes: DataFrame) -> DataFrame:
+    """(component, node) rows with n, the number of nodes of the component."""
+    nodes = nodes.select("component", "node")
+    return join_per_key(nodes, nodes.groupBy("component").agg(F.count("*").alias("n")), "component")
+
+
+def block_of(blocks: Column, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+
+
+def member_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+    """component, n, node, set of every member of the candidate groups (node, component, digest)."""
+    placed = sized(groups).join(groups.select("node", "digest"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).where("node is not null")
+    # always by shuffle: how much is moved then follows the input, whatever the number of groups
+    held = placed.join(texts.hint("merge"), "node")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = word_hashes()
+        for batch in batches:
+            sets = [shingles(x, words, cache).tobytes() for x in batch.column("text").to_pylist()]
+            # rows that repeat a doc_id: only the text that was sketched
+            own = [set_digest(x) == d for x, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "n", "node")], pa.array(sets, pa.binary())], ["component", "n", "node", "set"]).filter(pa.array(own, pa.bool_()))
+
+    return held.select("component", "n", "node", "text", "digest").mapInArrow(sets_of, "component long, n long, node long, set binary").dropDuplicates(["node"])
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): confirmed links, a spanning forest of each set of documents that they connect. groups: node, component, digest.
+
+    A group of at most BLOCK documents is compared in full. A larger one is dealt in blocks that are compared in full; of what a block ties together only the smallest document goes on
+    to the next round of blocks, so a group of near copies costs its size and no square of it. What then is still apart in a group is compared across: every document outside
+    the largest part with every document of the group, by pairs of blocks."""
+    sets = staged(member_sets(docs, groups, words), "sets")
+    zero = F.lit(0)
+    found = [forests(sets.where(f"n <= {BLOCK}").withColumns({"i": zero, "j": zero, "block": zero}), threshold)]
+    large = sets.where(f"n > {BLOCK}")
+    level, before = large.select("component", "node", "n"), large.count()
+    if not before:
+        return found[0]
+    rounds = 0
+    while True:
+        block = block_of(F.ceil(F.col("n") / BLOCK), rounds)
+        units = level.withColumn("block", block).join(large.select("node", "set"), "node").withColumns({"i": F.col("block"), "j": F.col("block")})
+        tied = staged(forests(units, threshold), "links")
+        found.append(tied)
+        left = staged(sized(level.join(tied.select(F.col("b").alias("node")), "node", "left_anti")), "left")
+        now, rounds = left.count(), rounds + 1
+        if left.where(f"n > {BLOCK}").isEmpty() or now > 0.9 * before:
+            if rounds == 1 or level.where(f"n > {BLOCK}").isEmpty() or now > 0.9 * before:
+                break
+        level, before = left, now
+    apart = left.where("n > 1").select("component").distinct()
+    ties = found[1]
+    for more in found[2:]:
+        ties = ties.unionByName(more)
+    if apart.isEmpty():
+        return found[0].unionByName(ties)
+    parts = connected_components(ties).withColumnRenamed("component", "part")
+    members = large.select("component", "node").join(apart, "component", "left_semi").join(parts, "node", "left").select("component", "node", F.coalesce("part", "node").alias("part"))
+    counts = members.groupBy("component", "part").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"), F.max("m").alias("held"), F.sum("m").alias("n"))
+    rest, own = F.ceil((F.col("n") - F.col("held")) / BLOCK), F.ceil(F.col("held") / BLOCK)
+    dealt = join_per_key(members, counts, "component").withColumns({"outside": F.col("part") != F.col("main"), "rest": rest, "own": own})
+    dealt = dealt.withColumn("block", F.when(F.col("outside"), block_of(F.col("rest"))).otherwise(F.col("rest").cast("int") + block_of(F.col("own"))))
+    # documents outside the main part meet every block, the others only the blocks outside it
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("rest") + F.col("own")).otherwise(F.col("rest")).cast("int") - 1)).alias("other")
+    units = dealt.select("component", "node", "block", other).join(large.select("node", "set"), "node").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return found[0].unionByName(ties).unionByName(forests(units, threshold))
+
+
 def near_groups(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document. threshold (p, q): linked where q * intersection >= p * union."""
     found = staged(sketch_documents(docs, words, rows, bands), "sketches")
-    usable = found.where("digest is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    heads = found.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = usable.join(heads, (usable["doc_id"] == heads["rep"]) & (usable["digest"] == heads["digest"]), "left_semi")
-    ties = bucket_ties(found, reps, threshold[0] / threshold[1], rows * bands)
-    groups = connected_components(ties)
+    # one set a doc_id, then one document a set
+    first = found.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    first = staged(first, "first")
+    heads = first.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = found.join(heads, (found["doc_id"] == heads["rep"]) & (found["digest"] == heads["digest"]), "left_semi").dropDuplicates(["doc_id"])
+    reps = staged(reps, "representatives")
+    ties = bucket_ties(reps, reps, threshold[0] / threshold[1], rows * bands)
+    groups = connected_components(ties).join(reps.select(F.col("doc_id").alias("node"), "digest"), "node")
     linked = connected_components(confirmed(docs, groups, words, threshold)).withColumnRenamed("node", "rep")
     named = heads.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return found.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
+    of_doc = first.join(named, "digest").select(F.col("doc_id").alias("id"), "component")
+    return found.select("doc_id", "n_shingles").join(of_doc, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The documents of which each is the smallest of its group, all columns."""
-    kept = near_groups(docs, words, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).select(*[docs[c] for c in docs.columns])
+    (key,) = unused(docs, 1)
+    kept = near_groups(docs, words, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key))).select(*docs.columns)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
