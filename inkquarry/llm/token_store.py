@@ -241,8 +241,9 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     own = chunks.select(*key(F.col("owner.doc_id"), F.col("owner.mark")), "owner.part", "data")
     shared = chunks.where("copies > 1").select("digest", F.struct(*key(F.col("owner.doc_id"), F.col("owner.mark")), "owner.part").alias("owner"), "data")
     places = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), F.posexplode("digests").alias("part", "digest"))
-    others = places.join(shared, "digest").where(F.struct("key", "idless", "mark", "part") != F.col("owner")).dropDuplicates(["digest", "key", "idless", "mark", "part"])
-    whole = own.unionByName(others.drop("digest", "owner")).groupBy("key", "idless", "mark").agg(F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
+    others = places.join(shared, "digest").where(F.struct("key", "idless", "mark", "part") != F.col("owner"))
+    # a set, as rows that repeat a document name its chunks again
+    whole = own.unionByName(others.drop("digest", "owner")).groupBy("key", "idless", "mark").agg(F.array_sort(F.collect_set(F.struct("part", "data"))).alias("parts"))
     start = F.when(F.col("good"), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), F.lit(" does not match the manifest"))).cast("long"))
     rows = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), "shard", "doc_id", "before", "n_tokens", "root").join(whole, ["key", "idless", "mark"], "left")
     rows = rows.join(checked_manifest(spark, path).select("shard", start.alias("start")), "shard")
