@@ -5,8 +5,9 @@ its own pivots, adds up Spearman's footrule (a pivot missing from a list has the
 those by exact cosine in double precision. Pivots come from a sample of PIVOTS distinct vectors (the first by hash), and every distinct vector is indexed.
 
 Equal vectors are collapsed first (the k + 1 smallest ids of each are enough for any answer of k, as ties go to the smaller id), so a very common vector is one
-entry. The query set is stated: it meets all shards block by block. Vectors that are null, zero or hold null or non-finite components, those whose length is not the
-table's most frequent one, and rows without vec_id take no part. An empty table gives an empty result.
+entry. The query set is stated: it meets all shards block by block, as vectors without clusters share their few nearest pivots with too few of their neighbours to be routed by those
+(README). Vectors that are null, zero or hold null or non-finite components, those whose length is not the table's most frequent one, and rows without vec_id take no part. Rows that
+repeat a vec_id are one row, with the least of their vectors, so an id is found once. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from pyspark.sql import functions as F
 
 from inkquarry.llm.common import staged
 
-PIVOTS, NEAREST, SHARE, LEAST_KEPT = 128, 64, 0.15, 64
+PIVOTS, NEAREST, SHARE, LEAST_KEPT = 256, 64, 0.15, 128
 SHARD_VECTORS, BLOCK_QUERIES = 8192, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of doubles) of the rows that take part."""
+    """vec_id and v (array of doubles) of the rows that take part, one row a vec_id."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(finite & F.exists("v", lambda x: x != 0))
     size = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("v") == (size["n"] if size else 0))
+    return v.where(F.size("v") == (size["n"] if size else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def permutations(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
