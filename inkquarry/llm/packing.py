@@ -6,7 +6,8 @@ capacity to open is the one of least cost per unit expected to be used (cost: ca
 that fits beside the piece). At the end each bin is downsized to the smallest permitted capacity that holds its contents. A shard leaves a few half-empty bins, whatever
 its size, so the waste does not grow with the number of shards.
 
-Lengths that are null or below 1 count as 1. Null doc_ids are packed like others. Rows that repeat a doc_id are pieces of their own. Further columns are ignored.
+Lengths that are null or below 1 count as 1. Null doc_ids are packed like others. Rows that repeat a doc_id are pieces of their own, and pieces of one length
+go by doc_id and piece. Further columns are ignored, and an empty table gives an empty result. The texts are read once, for their lengths; shards follow the number of pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import text_of
+from inkquarry.llm.common import staged, text_of
 
 CAPACITIES, OVERHEAD, SHARD_PIECES = (512, 1024, 2048, 4096), 16, 20_000
 PLACED = "doc_id long, piece int, length int, shard int, bin int, capacity int, start int, bin_used int"
@@ -30,9 +31,13 @@ def word_length(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1
 
 
-def pieces_of(docs: DataFrame, length: Column, largest: int) -> DataFrame:
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("int"), F.lit(1)), F.lit(1)).alias("n"))
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {largest}").cast("int"))).alias("piece"))
+def sized(docs: DataFrame, length: Column) -> DataFrame:
+    """doc_id and n, the length of each document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("int"), F.lit(1)), F.lit(1)).alias("n"))
+
+
+def pieces_of(lengths: DataFrame, largest: int) -> DataFrame:
+    cut = lengths.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {largest}").cast("int"))).alias("piece"))
     return cut.select("doc_id", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("int").alias("length"))
 
 
@@ -70,7 +75,8 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, ove
 def pack(docs: DataFrame, length: Column, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
     """Every piece of every document with its bin: (shard, bin) names a bin, start is the piece's place in it."""
     capacities = sorted(capacities)
-    n = docs.count()
+    lengths = staged(sized(docs, length), "lengths")
+    n = lengths.agg(F.sum(F.expr(f"(n + {capacities[-1] - 1}) div {capacities[-1]}"))).first()[0] or 0
     shards = max(1, -(-n // SHARD_PIECES))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,7 +85,7 @@ def pack(docs: DataFrame, length: Column, capacities: Sequence[int] = CAPACITIES
         held = np.bincount(bins, pdf["length"].to_numpy()).astype("int32")
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "length": pdf["length"], "shard": pdf["shard"], "bin": np.array(bins, dtype="int32"), "capacity": np.array(sizes, dtype="int32")[bins], "start": np.array(starts, dtype="int32"), "bin_used": held[bins]})
 
-    dealt = pieces_of(docs, length, capacities[-1]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = pieces_of(lengths, capacities[-1]).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(one, PLACED)
 
 
