@@ -1,11 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is a logistic function of its hashed words and their beginnings, a document's is their noisy-or, 1 - prod(1 - p), and the weights
-are trained from document labels alone; the sentence probabilities then locate what offends. Training reads at most MAX_TRAINING labelled documents (the first by
-hash of doc_id; the bound is a parameter); scoring reads every whole text and needs no shuffle, only WIDTH weights per task.
+are trained from document labels alone; the sentence probabilities then locate what offends. Training takes at most MAX_TRAINING labelled documents (the first by
+hash of doc_id) of at most MAX_BYTES of text together, each whole or not at all (both bounds are parameters); scoring reads every whole text and needs no shuffle, only WIDTH weights per task.
 
 Null and empty texts have one empty sentence. A document labelled more than once is toxic if any label says so; null labels don't count. Without any label
-to learn from, every score is 0. Repeated rows get the same answer; further columns are ignored.
+to learn from, every score is 0. Repeated rows get the same answer, and train as one document (of different texts with one doc_id, the first by hash); further columns are ignored. A null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import Cached, text_of
+from inkquarry.llm.common import Cached, staged, text_of
 
-WIDTH, MAX_TRAINING, THRESHOLD = 1 << 20, 6_000, 0.3
+WIDTH, MAX_TRAINING, MAX_BYTES, THRESHOLD = 1 << 20, 6_000, 32 << 20, 0.3
 #: Besides a word as such, its beginnings of these lengths are features; those in fewer training documents than LEAST_DOCS are not learned.
 BEGINNINGS, LEAST_DOCS = (3, 4, 5, 6), 4
 #: Words, and the runs that end a sentence.
@@ -43,7 +43,7 @@ def text_cells(text: str, cells: Cached) -> np.ndarray:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 class Model:
@@ -94,7 +94,7 @@ def train(docs: list[tuple[np.ndarray, int]], steps: int = 400, batch: int = 128
             log_none = -np.bincount(doc, np.logaddexp(0, logit), minlength=len(part))
             some = np.maximum(-np.expm1(log_none), 1e-12)
             pull = np.where(label == 1, -np.exp(log_none) / some, 1.0)  # of log-loss by each sentence's logit, over its probability
-            slope = pull[doc] / (1 + np.exp(-logit))
+            slope = pull[doc] * np.exp(-np.logaddexp(0, -logit))
             used, place = np.unique(cells[word], return_inverse=True)
             grad = np.bincount(place, slope[owner[word]], minlength=len(used)) + ridge * weights[used]
             power[used] += grad * grad
@@ -105,11 +105,23 @@ def train(docs: list[tuple[np.ndarray, int]], steps: int = 400, batch: int = 128
     return Model(weights, bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> list[tuple[np.ndarray, int]]:
-    """The word cells and label of at most `bound` labelled documents that are not held out. The chosen ids are broadcast: `bound` rows of 16 bytes at most."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING, most_bytes: int = MAX_BYTES) -> list[tuple[np.ndarray, int]]:
+    """The word cells and label of labelled documents that are not held out: at most `bound` of them, and at most `most_bytes` of text. The chosen ids are broadcast: `bound` rows of
+    16 bytes at most."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    texts = staged(docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.xxhash64("text").alias("mark")), "training")
+    # one text a doc_id; of those at most `bound` rows, as many as fit, in the order of the hash
+    sizes = texts.groupBy("doc_id").agg(F.min(F.struct("mark", F.octet_length("text").alias("n"))).alias("x")).select("doc_id", "x.mark", "x.n")
+    left, taken = most_bytes, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["doc_id"], r["mark"]))
+    if not taken:
+        return []
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, mark long")
+    rows = texts.join(F.broadcast(taken), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cached(_cells_of)
@@ -117,13 +129,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING)
             packed = [text_cells(x, cells).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("toxic")], ["doc_id", "cells", "toxic"])
 
-    found = rows.mapInArrow(run, "doc_id long, cells binary, toxic int").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["cells"])))
+    found = rows.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(run, "doc_id long, cells binary, toxic int").collect()
+    found.sort(key=lambda r: r["doc_id"])
     return [(np.frombuffer(r["cells"], dtype=np.int32), int(r["toxic"] > 0)) for r in found]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> Model:
-    return train(training_rows(docs, labels, bound))
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING, most_bytes: int = MAX_BYTES) -> Model:
+    return train(training_rows(docs, labels, bound, most_bytes))
 
 
 SCORED = "doc_id long, score double, worst_start int, worst_end int, worst_score double"
