@@ -3,10 +3,12 @@
 The lexer looks at every `=`, `:`, `:=` and `=>` of a text, takes the name before it (quoted or not, of any length, `export`, attributes and subscripts allowed) and the
 literal or name after it, and so turns source code and configuration into name-literal pairs. A type between name and operator is stepped over (`name: type =`, and
 `name type =` with a plain type or after `var` or `const`). A name on the right, also as $NAME or ${NAME}, is replaced by the literal it was last bound to
-(constants propagate through chains of names). A literal is scored by the words of its target's name and by its own entropy; those of at least
+(constants propagate through chains of names), and literals and names joined by `+` or `.` are one value with a span for each
+of its literals. A value is scored by the words of its target's name and by its own entropy; those of at least
 THRESHOLD are reported as kind `literal`, or `constant` where the value came through another name (the span is then that of the literal itself).
 
-Null texts are empty and have no spans. Rows are judged on their own, so the plan has no shuffle; repeated rows and ties need no care, further columns are ignored.
+Null texts are empty and have no spans. Rows are judged on their own, so the plan has no shuffle; repeated rows and ties need no care, further columns are ignored, and an
+empty table gives an empty result.
 Positions are code points, the end is exclusive.
 """
 
@@ -37,10 +39,14 @@ SENSITIVE = {
     "secret key": 3.0, "signing key": 3.0, "encryption key": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 2.0, "authorization": 2.0, "bearer": 2.0, "key": 1.0, "pin": 1.0, "salt": 1.0,
 }
 THRESHOLD, LEAST_LENGTH = 3.5, 8
+#: Joined values grow no further once they have this length or this many literals, as a name may be joined to itself over and over.
+JOIN_MOST = 1024
 OPERATOR = re.compile(r":=|=>|(?<![=!<>])=(?!=)|:(?![:/=])")
 #: The name before an operator, read backwards in the reversed text, so that it has no longest length.
 NAME_BEFORE = re.compile(r"""[ \t]*\]?(?:(["'])([A-Za-z0-9_.\- ]*[A-Za-z_])\1|([A-Za-z0-9_.$-]*[A-Za-z_$]))""")
 VALUE_AFTER = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\{[A-Za-z_][A-Za-z0-9_]*\}(?![A-Za-z0-9+/_.=$-])|[A-Za-z0-9+/_.=$-]+))""")
+#: What joins two literals into one.
+JOINED = re.compile(r"[ \t]*(?:\+|\.(?!\.))(?!=)")
 REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
 #: `: type =` after a name, with brackets three deep and unions; and, read backwards, `name type` before an operator, with a keyword before it.
 _ARGUMENTS = r"[^\[\]<>=:\n]*"
@@ -80,9 +86,44 @@ def literal_score(value: str) -> float:
     return min(entropy / 2, 2.0) + 0.25 * (mixed - 1) - (1.0 if " " in value else 0.0)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, whether it came through another name) in order; where a type stands between name and operator, both words are names."""
-    bound: dict[str, tuple[int, int]] = {}
+#: The places of the literals that a value is made of; what names are bound to.
+Parts = tuple[tuple[int, int], ...]
+Bound = dict[str, tuple[str, Parts]]
+
+
+def operand(text: str, at: int, bound: Bound) -> tuple[str, Parts, bool, bool, int] | None:
+    """The literal or name at a place: its value, the parts (those of what a name is bound to), whether it came through a name, whether it is a quoted literal, and where it ends."""
+    after = VALUE_AFTER.match(text, at)
+    if not after:
+        return None
+    group = next(k for k in (1, 2, 3) if after[k] is not None)
+    value, source = after[group], None
+    if group == 3 and IDENTIFIER.fullmatch(value) and value in bound:
+        source = value
+    elif group != 2 and (reference := REFERENCE.fullmatch(value)):
+        source = reference[1] or reference[2]
+    if source in bound:
+        return *bound[source], True, False, after.end()
+    return value, (after.span(group),), False, group != 3, after.end()
+
+
+def right_side(text: str, at: int, bound: Bound) -> tuple[str, Parts, bool] | None:
+    """The value after an operator, with what is joined to it by `+` or `.`: quoted literals and bound names only."""
+    found = operand(text, at, bound)
+    if not found:
+        return None
+    value, parts, through, quoted, place = found
+    while (quoted or through) and len(value) < JOIN_MOST and len(parts) < JOIN_MOST and (plus := JOINED.match(text, place)):
+        more = operand(text, plus.end(), bound)
+        if not more or not (more[2] or more[3]):
+            break
+        value, parts, through, place = value + more[0], tuple(dict.fromkeys(parts + more[1])), through or more[2], more[4]
+    return value, parts, through
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, Parts, bool]]:
+    """(name, value, places of its literals, whether any came through another name) in order; where a type stands between name and operator, both words are names."""
+    bound: Bound = {}
     typed: dict[int, str] = {}
     backwards = text[::-1]
     for op in OPERATOR.finditer(text):
@@ -96,31 +137,21 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
                 names.append(typed.pop(op.start()))
             elif (go := TYPED_BEFORE.match(backwards, at)) and (go[3] or go[1][::-1] in PLAIN_TYPES):
                 names.append(go[2][::-1])
-        after = VALUE_AFTER.match(text, op.end()) if names else None
-        if not after:
+        found = right_side(text, op.end(), bound) if names else None
+        if not found:
             continue
-        group = next(k for k in (1, 2, 3) if after[k] is not None)
-        start, end = after.span(group)
-        value, through = text[start:end], False
-        if group == 3 and IDENTIFIER.fullmatch(value) and value in bound:
-            source = value
-        else:
-            reference = REFERENCE.fullmatch(value) if group != 2 else None
-            source = reference and (reference[1] or reference[2])
-        if source in bound:
-            (start, end), through = bound[source], True
-            value = text[start:end]
         for name in names:
-            bound[name] = bound[name.rsplit(".", 1)[-1]] = start, end
-            yield name, value, start, end, through
+            bound[name] = bound[name.rsplit(".", 1)[-1]] = found[:2]
+            yield name, *found
 
 
 def method_spans(text: str) -> list[tuple[int, str, int]]:
     found = {}
-    for name, value, start, end, through in pairs(text):
+    for name, value, parts, through in pairs(text):
         target = name_score(name)
         if target and target + literal_score(value) >= THRESHOLD:
-            found.setdefault((start, end), "constant" if through else "literal")
+            for start, end in parts:
+                found.setdefault((start, end), "constant" if through else "literal")
     return sorted((start, kind, end) for (start, end), kind in found.items())
 
 
