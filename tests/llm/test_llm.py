@@ -159,6 +159,26 @@ def test_exact_dedup_against_long_history(spark):
         assert all((r["keep_id"], r["group_size"]) == (last[text[bytes(r["digest"])]], size[text[bytes(r["digest"])]]) for r in got)
 
 
+def test_exact_dedup_uses_the_index(spark, monkeypatch):
+    """With no digest frequent enough to be broadcast, every answer comes from a slot of the index, and hot ones pass through it once as well."""
+    built, asked = [], []
+    build, find = exact_dedup.build_history, exact_dedup.lookup
+    monkeypatch.setattr(exact_dedup, "build_history", lambda winners, n: (built.append(winners.count()), build(winners, n))[1])
+    monkeypatch.setattr(exact_dedup, "lookup", lambda own, index, n: (asked.append(find(own, index, n).where("member").count()), find(own, index, n))[1])
+    past = [(i, f"old {i}") for i in range(3000)]
+    for hot in (1, 10**9):
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", hot)
+        got = exact_dedup.against_history(table(spark, [(9000 + i, f"old {i}") for i in range(900)] + [(1, "hot")] * 50), table(spark, past)).collect()
+        assert len(got) == 950 and sum(r["keep_id"] < 900 and r["doc_id"] >= 9000 for r in got) == 900 and all(r["group_size"] == 50 for r in got if r["doc_id"] == 1)
+    assert built == [3000, 3000] and asked == [900, 900]
+
+
+def test_unique_documents_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "a", 7, 8), (2, "a", 7, 8), (3, None, 9, 1), (4, "", 2, 2)], "doc_id long, text string, _own0 long, _own1 long")
+    assert sorted(map(tuple, exact_dedup.unique_documents(docs).collect())) == [(2, "a", 7, 8), (4, "", 2, 2)]
+    assert sorted(map(tuple, minhash.one_of_each(docs.dropDuplicates(["doc_id"])).select("doc_id", "_own0").collect())) == [(1, 5), (3, 9), (4, 2)]
+
+
 def test_minimal_perfect_hash():
     digests = np.array([hashlib.sha256(str(i).encode()).digest() for i in range(5000)], dtype=object)
     words = exact_dedup._words(digests)
@@ -205,6 +225,41 @@ def test_large_buckets_tie_every_seat(spark, monkeypatch):
     assert got == {(1, i) for i in range(2, 10)} | {(5, i) for i in range(6, 21)}
 
 
+@pytest.mark.parametrize("block", [4, 8, 512])
+def test_large_groups_are_confirmed_in_rounds(spark, monkeypatch, block):
+    """Near copies, two families that only candidates tie together, a chain, and lone documents beside them, all in groups of many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(21)
+    base, other = prose(rng, 120).split(), prose(rng, 40).split()
+    change = lambda words, n: " ".join([x if k not in rng.sample(range(len(words)), n) else "zz" + x for k, x in enumerate(words)])
+    rows = [(100 + k, change(base, rng.choice([0, 1, 2]))) for k in range(40)] + [(200 + k, change(base[:80] + other, 1)) for k in range(15)]
+    rows += [(300 + k, " ".join(base[3 * k :] + other[: 3 * k])) for k in range(12)] + [(400 + k, change(base, 12)) for k in range(8)]
+    want = brute_components(rows, 3, 85, 100)
+    docs = table(spark, rows)
+    for groups in (None, [(i, 100) for i, _ in rows]):
+        if groups is None:
+            got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs, 3, (85, 100)).collect()}
+        else:  # one candidate group of everything
+            digest = {r["doc_id"]: r["digest"] for r in minhash.sketch_documents(docs, 3).collect()}
+            heads = {}
+            for i, _ in rows:
+                heads.setdefault(bytes(digest[i]), i)
+            nodes = spark.createDataFrame([(i, 100, digest[i]) for i in heads.values()], "node long, component long, digest binary")
+            links = {r["node"]: r["component"] for r in common.connected_components(minhash.confirmed(docs, nodes, 3, (85, 100))).collect()}
+            got = {i: min(links.get(heads[bytes(digest[i])], heads[bytes(digest[i])]), i) for i, _ in rows}
+        assert got == {i: c for i, (_, c) in want.items()}
+    assert len(set(got.values())) > 5
+
+
+def test_near_groups_of_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b = prose(rng, 50), prose(rng, 50)
+    got = minhash.near_groups(table(spark, [(5, a), (5, b), (5, b), (6, a), (7, b), (8, None), (8, "one two three four"), (9, "")]), 3, (85, 100)).collect()
+    assert len(got) == 8 and {r["component_id"] for r in got if r["doc_id"] == 5} == {5} and all(r["component_id"] <= r["doc_id"] for r in got)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (6, 7)} in ({6: 5, 7: 7}, {6: 6, 7: 5})
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 8) == [0, 2]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a, b = minhash.samplers(minhash.ROWS, minhash.BANDS)
@@ -241,6 +296,15 @@ def test_secrets_of_common_syntax(text):
     assert "Zx9k" not in secrets.masked(text)
 
 
+def test_secrets_joined_from_parts():
+    found = lambda text: [text[a:b] for a, _, b in secrets.method_spans(text)]
+    assert found('password = "Zx9k" + "Q2mP" + "7vL1"') == ["Zx9k", "Q2mP", "7vL1"]
+    assert found('A = "Zx9kQ2"\nB="mP7vL1"\nsecret_key = A + B\n') == ["Zx9kQ2", "mP7vL1"]
+    assert found("$password = 'Zx9kQ2' . 'mP7vL1';") == ["Zx9kQ2", "mP7vL1"] and found('password = "abc" .. "d"') == []
+    assert found('password = "Zx9kQ2mP7vL1" + os.environ') == ["Zx9kQ2mP7vL1"]
+    assert len(found('a = "Zx9kQ2mP7vL1"\n' + "a = a + a\n" * 300 + "password = a")) == 1
+
+
 def test_secrets_leave_others_alone():
     for text in ("K='Zx9kQ2mP7vL1'\nPASSWORD='$K'\n", "PASSWORD=$K", "PASSWORD=${K}", 'secret sauce = "Zx9kQ2mP7vL1"', 'name: str = "Zx9kQ2mP7vL1"', 'String colour = "Zx9kQ2mP7vL1"', "password: str", "a: b[[[[<<<< = c"):
         assert secrets.method_spans(text) == []
@@ -249,7 +313,7 @@ def test_secrets_leave_others_alone():
 def test_url_filter(spark):
     urls = ["https://www.Foo.example.net/en/1?x", "http://a.net", "http://a.net/", "http://x.example.com/de/1", "http://q.org/fr/", "http://nnet/", None, "nothing", "http://cheap-pills.example.com/en/5", "http://library.example.com/en/5"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    model = url_filter.train([(f"http://{u}", y) for u, y in url_filter.LABELLED])
+    model = url_filter.train(url_filter.labelled_table())
     got = {r["page_id"]: r for r in url_filter.judge(pages, model).collect()}
     assert [got[k]["rule"] for k in range(8)] == ["example.net/en/", None, "net/", "example.com/de/", "org/fr/", None, None, None]
     assert [got[k]["verdict"] for k in (0, 2, 3, 4, 8, 9)] == ["allow", "block", "block", "allow", "block", "allow"]
@@ -258,6 +322,34 @@ def test_url_filter(spark):
         assert (got[k]["host"], got[k]["path"]) == url_filter.split_url(u)
 
 
+def test_url_model_on_held_out_hosts_and_paths():
+    """Hosts and paths that training has not seen, and paths that alone decide."""
+    table, all_hosts, all_paths = [(*url_filter.split_url(u), u, y) for u, y in url_filter.labelled_table()], *url_filter.labelled_parts()
+    right = total = 0
+    for part in range(5):
+        hosts, paths = {h for h, _ in all_hosts[part::5]}, {p for p, _ in all_paths[part::5]} - {"/"}
+        model = url_filter.train([(u, y) for h, p, u, y in table if h not in hosts and p not in paths])
+        left = [(h, p, y) for h, p, _, y in table if h in hosts]
+        got = url_filter.scores([h for h, _, _ in left], [p for _, p, _ in left], *model) >= 0.5
+        right, total = right + int(sum(g == y for g, (_, _, y) in zip(got, left))), total + len(left)
+    assert right / total > 0.95, right / total
+    model = url_filter.train(url_filter.labelled_table())
+    bad = ["http://www.neutral.example.org/casino-win-free-pills", "http://files.example.com/cheap-viagra-pills", "http://casino-bonus-club.example.org/en/5"]
+    good = ["http://www.neutral.example.org/library/opening", "http://files.example.com/docs/guide", "http://www.gardening.example.org/en/5", "http://example.org/"]
+    assert (url_filter.scores(*map(list, zip(*map(url_filter.split_url, bad + good))), *model) >= 0.5).tolist() == [True] * 3 + [False] * 4
+
+
+def test_url_filter_edges(spark):
+    schema = "page_id long, url string, host string, score double"
+    model = url_filter.train(url_filter.labelled_urls(spark.createDataFrame([("http://a.example.com/x", 1), ("b.example.com/y", 0), (None, 1), ("c", None)], "url string, label int")))
+    assert url_filter.judge(spark.createDataFrame([], schema), model).isEmpty()
+    long_url = "http://h.example.com/" + "ab" * 900_000
+    rows = [(1, long_url, "x", 0.0), (2, "http://a.example.com/x", None, None), (2, "http://a.example.com/x", None, None), (None, "", "y", 1.0)]
+    got = url_filter.judge(spark.createDataFrame(rows, schema), model).collect()
+    assert len(got) == 4 and len({(r["page_id"], r["verdict"], r["score"]) for r in got if r["page_id"] == 2}) == 1 and next(r for r in got if r["page_id"] == 1)["path"] == long_url[20:]
+    assert url_filter.train([])[1] < 0
+
+
 def test_packing(spark, corpus):
     docs = table(spark, [*corpus, (70, "w " * 9000)])
     got = packing.pack(docs, packing.word_length(F.coalesce("text", F.lit("")))).collect()
@@ -274,6 +366,46 @@ def test_packing(spark, corpus):
     assert sum(r["length"] for r in got if r["doc_id"] == 70) == 9001 and len([r for r in got if r["doc_id"] == 1]) == 1
 
 
+def brute_best_fit(lengths, capacities, overhead):
+    """The rule in words: longest first into the open bin with the least room that still holds it (ties: the older); else a new bin of the least cost per expected unit."""
+    lengths, bins = sorted(lengths, reverse=True), []
+    for k, n in enumerate(lengths):
+        open_ = [(room, b) for b, (room, _) in enumerate(bins) if room >= n]
+        if open_:
+            b = min(open_)[1]
+        else:
+            cost = lambda c: (c + overhead) / (n + min(c - n, sum(x for x in lengths if x <= c - n), sum(lengths[k + 1 :])))
+            bins.append((min((cost(c), c) for c in capacities if c >= n)[1], []))
+            b = len(bins) - 1
+        bins[b] = bins[b][0] - n, [*bins[b][1], n]
+    return [(held, min(c for c in capacities if c >= sum(held))) for _, held in bins]
+
+
+def test_best_fit_against_brute_force():
+    rng = random.Random(5)
+    for trial in range(60):
+        capacities = (16, 32, 64)
+        lengths = sorted((rng.randint(1, rng.choice([6, 30, 64])) for _ in range(rng.randint(1, 60))), reverse=True)
+        bins, starts, sizes = packing.best_fit(lengths, capacities, 3)
+        held = {}
+        for n, b, at in zip(lengths, bins, starts, strict=True):
+            assert at == sum(held.setdefault(b, []))
+            held[b].append(n)
+        assert [(held[b], sizes[b]) for b in range(len(sizes))] == brute_best_fit(lengths, capacities, 3), trial
+    # cheaper than any one capacity alone
+    lengths = sorted((rng.choice([3, 9, 20, 33, 50]) for _ in range(400)), reverse=True)
+    cost = lambda sizes: sum(c + 3 for c in sizes)
+    assert cost(packing.best_fit(lengths, (16, 32, 64), 3)[2]) <= cost(packing.best_fit(lengths, (64,), 3)[2])
+
+
+def test_packing_counts_pieces_and_breaks_ties(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 10)
+    got = packing.pack(table(spark, [(1, "w " * 4096 * 60), (2, "w " * 90), (3, "w " * 90), (3, "w " * 90), (None, "w")]), packing.word_length(F.coalesce("text", F.lit("")))).collect()
+    assert len({r["shard"] for r in got}) > 3 and sum(r["length"] for r in got if r["doc_id"] == 1) == 4096 * 60 + 1 and len(got) == 65
+    lone = packing.pack(table(spark, [(3, "w " * 90), (2, "w " * 90), (1, "w " * 90)]), packing.word_length(F.col("text"))).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"]) for r in lone] == [(1, 0), (2, 91), (3, 182)]
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 16)).astype(np.float32)
@@ -294,6 +426,61 @@ def test_ann(spark):
     assert [f[1] for f in sorted(got[0])] == [500, 501, 502, 503, 504]
 
 
+def brute_nearest(rows, k=5):
+    """query -> the k nearest ids and scores, by the whole matrix; rows: unique ids and usable vectors."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    unit, out = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for at in np.flatnonzero(ids % 50 == 0).tolist():
+        score = unit @ unit[at]
+        order = [j for j in np.lexsort((ids, -score)).tolist() if j != at][:k]
+        out[int(ids[at])] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall_on_embeddings(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want, hits = brute_nearest(rows), 0
+    got = ann.op3_permutation_index(spark, f"/root/testdata/{sf}").collect()
+    assert len(got) == 5 * len(want)
+    vectors = dict(rows)
+    for r in got:
+        a, b = np.array(vectors[r["query_id"]], dtype=np.float64), np.array(vectors[r["vec_id"]], dtype=np.float64)
+        assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12) and r["vec_id"] != r["query_id"]
+        hits += r["score"] >= want[r["query_id"]][-1][1] - 1e-12
+    assert hits >= 0.95 * len(got), hits / len(got)
+
+
+def test_ann_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(40)] + [(7, [1.0] + [0.0] * 7)] * 6 + [(50, [1.0] + [0.01] * 7), (60, [2.0] + [0.0] * 7), (61, [4.0] + [0.0] * 7), (100, None)]
+    got = {}
+    table_ = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, key long, v string")
+    for r in ann.nearest(table_, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    least = {}
+    for i, v in rows:
+        if v is not None:
+            least[i] = min(v, least.get(i, v))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in brute_nearest(list(least.items())).items()}
+    assert [i for _, i in sorted(got[50])][:2] == [60, 61]
+    few = ann.nearest(table_.where("vec_id in (50, 60, 61)"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 60), (2, 61)]
+
+
+def test_toxicity_bounds_what_it_trains_on(spark):
+    rows = [(1, "good day. " * 10), (1, "good day. " * 10), (2, "bad bad. " * 2000), (3, None), (4, ""), (5, "vile thing."), (5, "another text."), (None, "no id")]
+    labels = spark.createDataFrame([(i, int(i == 5)) for i in range(1, 6)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    used = [i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(toxicity.training_rows(table(spark, rows), labels)) == len(used)
+    assert len(toxicity.training_rows(table(spark, rows), labels, most_bytes=2000)) == len([i for i in used if i != 2])
+    assert len(toxicity.training_rows(table(spark, rows), labels, bound=2)) == 2 and toxicity.training_rows(table(spark, rows), labels.limit(0)) == []
+    got = toxicity.score_documents(table(spark, rows), toxicity.fit(table(spark, rows), labels)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = spark.createDataFrame([(None,), (1,)], "d long").select(toxicity.held_out(F.col("d"))).collect()
+    assert held[0][0] is False
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(1)
     rows, labels = [(9999, None), (9998, "")], []

@@ -144,3 +144,47 @@ def test_op9(spark, folder, rows):
         spans = [x.split(":") for x in r["spans"].split(",") if x]
         assert [int(x[1]) for x in spans] == sorted(int(x[1]) for x in spans)
         assert sum(x[0] in ("assign", "access", "hex") for x in spans) == r["n_assign"] + r["n_access"] + r["n_hex"]
+
+
+def test_op10(spark, folder):
+    """Host, path, rule and verdict by a plain reading of the contract; where no rule fits, by the model's own score."""
+    from inkquarry.llm import url_filter
+
+    rng = random.Random(4)
+    urls = [None, "", "nothing", "://", "http://", "HTTP://WWW.Net/a?b#c", "http://a.net#x/y", "ftp://example.net/en/x://z", "http://example.net/en", "http://sub.EXAMPLE.com/de/1?q=://", "http://org/fr/", "http://morg/fr/", "x://É.org/fr/é"]
+    urls += [f"{rng.choice(['http', 'https'])}://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(['example.net', 'example.com', 'casino.org', 'org', 'net', 'blog.com'])}{rng.choice(['', '/', '/en/', '/de/', '/fr/', '/en/1?x', '/de#f'])}" for _ in range(200)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.mode("overwrite").parquet(f"{folder}/pages.parquet")
+    model = url_filter.train(url_filter.labelled_table())
+    want = []
+    for k, url in enumerate(urls):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0]
+            path = re.split("[?#]", rest[len(host):])[0]
+            host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for h, p, v in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        want.append((k, host, path, rule, verdict or ("block" if url_filter.scores([host], [path], *model)[0] >= 0.5 else "allow")))
+    assert sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in found(spark, folder, "op10_url_filter")) == want
+
+
+def test_op8(spark, folder, rows):
+    from .test_llm import brute_best_fit
+
+    got = found(spark, folder, "op8_best_fit_packing")
+    lengths = [n for _, t in rows for words in [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1] for n in [4096] * ((words - 1) // 4096) + [(words - 1) % 4096 + 1]]
+    assert sorted(r["length"] for r in got) == sorted(lengths)
+    bins = {}
+    for r in got:
+        bins.setdefault((r["shard"], r["bin"]), []).append(r)
+    assert sorted((sorted(r["length"] for r in b), b[0]["capacity"]) for b in bins.values()) == sorted((sorted(held), cap) for held, cap in brute_best_fit(lengths, (512, 1024, 2048, 4096), 16))
+
+
+def test_op4(spark, folder, rows):
+    spark.createDataFrame([(i, 1, int(i in (30, 31))) for i in range(1, 40)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    got = found(spark, folder, "op4_toxicity")
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
