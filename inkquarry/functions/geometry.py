@@ -17,7 +17,7 @@ def large_enough(w: Column, h: Column, dpi: int = 300, least: float = 10_000) ->
 
 
 def source_confidence(source: Column, is_panel: Column) -> Column:
-    return F.when(source == "pdffigures", 0.95).otherwise(0.8) * F.when(is_panel, 0.95).otherwise(1.0)
+    return F.when(source == "pdffigures2", 0.95).otherwise(0.8) * F.when(is_panel, 0.95).otherwise(1.0)
 
 
 def pixel_to_data(px: Column, pixel_min: Column, pixel_max: Column, data_min: Column, data_max: Column, is_log: Column) -> Column:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The taxonomy in order, and the extraction strategy of each type.
-FIGURE_TYPES = ("line_plot", "bar_chart", "scatter_plot", "heatmap", "box_plot", "violin_plot", "histogram", "pie_chart", "microscopy", "table", "diagram", "other")
+#: The taxonomy in order, the extraction strategy of each type, and what counts where an answer can't be read.
+FIGURE_TYPES = ("line_plot", "bar_chart", "scatter_plot", "heatmap", "spectrum_nmr", "spectrum_ir", "spectrum_ms", "western_blot", "microscopy", "table", "diagram", "other")
+STRATEGIES = {
+    "line_plot": "plot_digitizer", "scatter_plot": "plot_digitizer", "bar_chart": "bar_extractor", "heatmap": "heatmap_extractor", "spectrum_nmr": "spectrum_extractor",
+    "spectrum_ir": "spectrum_extractor", "spectrum_ms": "spectrum_extractor", "western_blot": "gel_extractor", "microscopy": "microscopy_extractor", "flowchart": "description_only",
+    "other": "description_only",
+}
+FALLBACK_REASONING = "Classification failed — defaulting to 'other'."
+LEAST_CONFIDENCE, SERIES_CONFIDENCE, THRESHOLD = 0.3, 0.5, 0.7
+#: The taxonomy has no flow charts, the prompt and the strategies have: here they are diagrams.
 ALIASES = {"flowchart": "diagram"}
-STRATEGIES = {"line_plot": "curve", "bar_chart": "bars", "scatter_plot": "points", "heatmap": "grid", "box_plot": "boxes", "violin_plot": "boxes", "histogram": "bars", "pie_chart": "shares"}
 NOT_QUANTITATIVE = ("microscopy", "diagram")
-CLASS_SCHEMA = "struct<figure_type:string,confidence:double,reasoning:string,has_quantitative_data:boolean,sub_types:array<string>>"
+CLASS_SCHEMA = "struct<figure_type:string,confidence:string,reasoning:string,has_quantitative_data:boolean,sub_types:array<string>>"
 POINT = "struct<x:double,y:double,err_x:double,err_y:double>"
 SERIES_SCHEMA = (
     f"array<struct<series_name:string,x_label:string,x_unit:string,y_label:string,y_unit:string,data_points:array<{POINT}>,axis_scale_x:string,axis_scale_y:string,"
@@ -18,15 +27,24 @@ SERIES_SCHEMA = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once: the optimizer would copy the expression into each of its uses, but leaves a lambda's variable alone."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unfenced(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(raw, r"(?m)^\s*```(?:json)?\s*$|```(?:json)?", ""))
+    """Without code fences, and without white space and back quotes at the ends."""
+    return F.regexp_replace(F.regexp_replace(raw, r"```(?:json)?", ""), r"^[\s`]+|[\s`]+$", "")
 
 
 def parse_object(raw: Column, schema: str) -> Column:
     """A struct from an answer: as it stands, else its widest {...}; null if neither parses."""
-    s = unfenced(raw)
-    direct = F.when(s.startswith("{"), F.from_json(s, schema))
-    return F.coalesce(direct, F.from_json(F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit("")), schema))
+
+    def parsed(s: Column) -> Column:
+        direct = F.when(s.startswith("{"), F.from_json(s, schema))
+        return F.coalesce(direct, F.from_json(F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit("")), schema))
+
+    return let(unfenced(raw), parsed)
 
 
 def parse_array(raw: Column, schema: str = SERIES_SCHEMA) -> Column:
@@ -47,14 +65,22 @@ def known_type(raw: Column) -> Column:
     return F.coalesce(F.when(low.isin(*FIGURE_TYPES), low), F.try_element_at(alias, low), inside, F.lit("other"))
 
 
-def classified(raw: Column, threshold: float = 0.7) -> Column:
-    """figure_type, confidence, reasoning, has_quantitative_data, sub_types with every fallback applied."""
-    x = parse_object(raw, CLASS_SCHEMA)
-    kind, score = known_type(x["figure_type"]), F.coalesce(clamp(x["confidence"]), F.lit(0.0))
-    return F.struct(
-        F.when(score < threshold, "other").otherwise(kind).alias("figure_type"), score.alias("confidence"), F.coalesce(x["reasoning"], F.lit("")).alias("reasoning"),
-        F.coalesce(x["has_quantitative_data"], ~kind.isin(*NOT_QUANTITATIVE)).alias("has_quantitative_data"), F.coalesce(x["sub_types"], F.array().cast("array<string>")).alias("sub_types"),
-    )
+def classified(raw: Column, threshold: float = THRESHOLD) -> Column:
+    """figure_type, confidence, reasoning, has_quantitative_data, sub_types of an answer; types under the threshold become other and keep their score. An answer that can't be read, an
+    empty object, or a confidence that is no number gives the fallback: other, 0, not quantitative."""
+    none = F.array().cast("array<string>")
+    as_struct = lambda kind, score, why, data, sub: F.struct(kind.alias("figure_type"), score.alias("confidence"), why.alias("reasoning"), data.alias("has_quantitative_data"), sub.alias("sub_types"))
+    fallback = as_struct(F.lit("other"), F.lit(0.0), F.lit(FALLBACK_REASONING), F.lit(False), none)
+
+    def ruled(x: Column) -> Column:
+        score = F.coalesce(clamp(x["confidence"].try_cast("double")), F.lit(LEAST_CONFIDENCE))
+        unread = x.isNull() | (x["confidence"].isNotNull() & x["confidence"].try_cast("double").isNull())
+        kind = F.when(score < threshold, "other").otherwise(known_type(x["figure_type"]))
+        data = F.coalesce(x["has_quantitative_data"], ~kind.isin(*NOT_QUANTITATIVE))
+        return F.when(unread, fallback).otherwise(as_struct(kind, score, F.coalesce(x["reasoning"], F.lit("")), data, F.coalesce(x["sub_types"], none)))
+
+    empty = unfenced(raw).rlike(r"^\{\s*\}$")
+    return let(F.when(~empty, parse_object(raw, CLASS_SCHEMA)), ruled)
 
 
 def strategy(figure_type: Column) -> Column:

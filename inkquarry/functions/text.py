@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns and limits of the document rules.
-DOI_PREFIXED = r"(?i)doi[:\s/]*(?:org/)?\s*(10\.[0-9]{4,9}/[^\s\"'<>,;]+)"
-DOI_BARE = r"\b(10\.[0-9]{4,9}/[^\s\"'<>,;]+)"
-YEAR = r"\b(19[0-9]{2}|20[0-9]{2})\b"
-SECTION = r"(?im)^[ \t]*(abstract|introduction|materials and methods|methods?|results?|discussion|conclusions?|references|acknowledgements?)[ \t]*$"
-ABSTRACT = r"(?is)abstract[:\s]*(.{50,3000}?)(?:introduction|keywords?|background)"
-PANEL_LABEL = r"(?:\(([A-H])\)|\[([A-H])\]|(?<![A-Za-z0-9])([A-H])\)|(?<![A-Za-z0-9])([A-H])\. )"
-CAPTION_START = r"(?i)^\s*(?:supplementary\s+)?fig(?:ure|\.)?\s*s?[0-9]+"
-STOP_WORDS = ("that", "this", "with", "from", "were", "have", "been", "shown", "figure", "data", "each", "their", "than", "these", "which", "using", "between", "after", "when", "also")
+#: Patterns, words and limits of the document rules.
+DOI_PREFIXED = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)(10\.\d{4,9}/[-._;()/:A-Z0-9a-z]+)"
+DOI_BARE = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9a-z]+)"
+YEAR = r"\b(19\d{2}|20\d{2})\b"
+SECTION = r"(?imd)^\s*(abstract|introduction|methods?|materials?\s+and\s+methods?|results?|discussion|conclusions?|acknowledgements?|references?)\s*$"
+FIGURE_REFERENCE = r"(?i)\b(?:Fig(?:ure|s?\.?)?)\s*\.?\s*([A-Z]?\d+[a-z]?(?:\s*[–-]\s*\d+)?)\b"
+ABSTRACT = r"(?is)\bAbstract\b(.{50,3000}?)\b(?:Introduction|Keywords?|Background)\b"
+PANEL_LABEL = r"(?i)[\(\[]([A-H])[\)\]]|(?<!\w)([A-H])\)|(?<!\w)([A-H])\.\s"
+CAPTION_START = r"(?i)^(Figure|Fig\.|FIGURE|Supplementary\s+Figure|Supp\.?\s*Fig\.?)\s*[\dS]"
+WORD = r"\b[a-zA-Z]{4,}\b"
+STOP_WORDS = (
+    "figure", "shows", "shown", "panel", "panels", "data", "with", "from", "each", "this", "that", "their", "were", "have", "been", "also", "upon",
+    "using", "used", "left", "right", "upper", "lower", "scale", "bars", "images", "image", "error", "mean", "median", "total", "values",
+)
+DOI_CHARS, YEAR_CHARS, REFERENCE_WINDOW, SCANNED_CHARS, LEAST_FONT = 6000, 4000, 200, 100, 4
 
 
 def head(text: Column, n: int) -> Column:
@@ -22,14 +28,14 @@ def head(text: Column, n: int) -> Column:
 
 def doi(text: Column) -> Column:
     """The first DOI of the first 6000 characters, a prefixed one first; trailing full stops go; null if there is none."""
-    s = head(text, 6000)
+    s = head(text, DOI_CHARS)
     found = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
     return F.nullif(F.regexp_replace(F.coalesce(found(DOI_PREFIXED), found(DOI_BARE)), r"\.+$", ""), F.lit(""))
 
 
 def years(text: Column) -> Column:
     """All years of the first 4000 characters, in order."""
-    return F.transform(F.regexp_extract_all(head(text, 4000), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))
+    return F.transform(F.regexp_extract_all(head(text, YEAR_CHARS), F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))
 
 
 def mode_first_seen(values: Column) -> Column:
@@ -39,7 +45,12 @@ def mode_first_seen(values: Column) -> Column:
 
 
 def abstract(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, ABSTRACT, 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(text, ABSTRACT, 1)), F.lit(""))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end, newlines and tabs too."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def match_starts(text: Column, pattern: str) -> Column:
@@ -60,14 +71,42 @@ def window_around(text: Column, start: Column, length: Column, n: int) -> Column
     return F.regexp_replace(F.substring(text, lo + 1, start + length + n - lo), "\n", " ")
 
 
+def snippet_around(text: Column, start: Column, length: Column, n: int) -> Column:
+    """window_around() without white space at the ends, before newlines become spaces."""
+    lo = F.greatest(start - n, F.lit(0))
+    return F.regexp_replace(strip(F.substring(text, lo + 1, start + length + n - lo)), "\n", " ")
+
+
+def literal(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.regexp_replace(text, r"([^A-Za-z0-9])", r"\\$1")
+
+
 def figure_pattern(number: Column) -> Column:
-    """A pattern for mentions of a figure: Fig, Fig., Figs, Figure, Figures."""
-    return F.concat(F.lit(r"(?i)\bFig(?:ure)?s?\.?\s*"), F.regexp_replace(number, r"([^A-Za-z0-9])", r"\\$1"), F.lit(r"(?![0-9])"))
+    """A pattern for mentions of a figure: Fig, Fig., Figs, Figs., Figure and its number, as a whole word."""
+    return F.concat(F.lit(r"(?i)\b(?:Fig(?:ure|s?\.?)?)\.?\s*"), literal(F.trim(number)), F.lit(r"\b"))
+
+
+def page_figure_pattern(number: Column) -> Column:
+    """The same for the text around a figure's page: Fig, Fig. and Figure only."""
+    return F.concat(F.lit(r"(?i)\bFig(?:ure)?\.?\s*"), literal(number), F.lit(r"\b"))
+
+
+def figure_references(text: Column) -> Column:
+    """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them."""
+    found, starts = F.regexp_extract_all(text, F.lit(FIGURE_REFERENCE), F.lit(0)), match_starts(text, FIGURE_REFERENCE)
+    around = lambda x: strip(F.substring(text, F.greatest(x["s"] - REFERENCE_WINDOW, F.lit(0)) + 1, x["s"] + F.length(x["h"]) + REFERENCE_WINDOW - F.greatest(x["s"] - REFERENCE_WINDOW, F.lit(0))))
+    return F.transform(F.arrays_zip(starts.alias("s"), found.alias("h")), lambda x: F.struct(strip(x["h"]).alias("figure_ref"), around(x).alias("context")))
+
+
+def maybe_scanned(text: Column) -> Column:
+    """Pages with hardly any text."""
+    return F.length(strip(text)) < SCANNED_CHARS
 
 
 def keywords(caption: Column) -> Column:
     """Distinct lower-case words of four letters and more, without stop words, in order."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(caption), F.lit("[a-zA-Z]{4,}"), F.lit(0))), F.array(*map(F.lit, STOP_WORDS)))
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(caption), F.lit(WORD), F.lit(0))), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def sentences(text: Column) -> Column:
@@ -97,7 +136,9 @@ def greedy_distinct(snippets: Column, ratio: float = 0.6, most: int = 3) -> Colu
 
 
 def section_name(heading: Column) -> Column:
-    return F.regexp_replace(F.initcap(F.trim(heading)), "^Materials And Methods$", "Methods")
+    """Title case; all kinds of "materials and methods" are Methods."""
+    h = strip(heading)
+    return F.when(F.rlike(h, F.lit(r"(?i)^materials?\s+and\s+methods?$")), "Methods").otherwise(F.initcap(h))
 
 
 def sections(text: Column, swallow_next: bool = False) -> Column:
@@ -118,15 +159,15 @@ def sections(text: Column, swallow_next: bool = False) -> Column:
 
 
 def panel_labels(caption: Column) -> Column:
-    """Distinct panel labels A-H in order."""
+    """Distinct panel labels A-H in order, upper case."""
     hits = F.regexp_extract_all(caption, F.lit(PANEL_LABEL), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.regexp_extract(h, "([A-H])", 1))))
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda h: F.upper(F.regexp_extract(h, "(?i)([A-H])", 1)))))
 
 
 def panel_caption(caption: Column, label: Column) -> Column:
-    """From a label to the next label or the end; the whole caption if the label isn't there."""
-    pattern = F.concat(F.lit(r"(?s)[\(\[]?"), label, F.lit(r"[\)\].]\s*(.*?)(?=[\(\[]?[A-H][\)\].]\s|$)"))
-    return F.coalesce(F.nullif(F.trim(F.call_function("regexp_extract", caption, pattern, F.lit(1))), F.lit("")), caption)
+    """From a label in brackets to the next one or the end; the whole caption if the label isn't there."""
+    pattern = F.concat(F.lit(r"(?is)[\(\[]"), literal(label), F.lit(r"[\)\]].*?(?=[\(\[][A-H][\)\]]|$)"))
+    return F.coalesce(F.nullif(strip(F.call_function("regexp_extract", caption, pattern, F.lit(0))), F.lit("")), caption)
 
 
 def safe_name(*parts: Column) -> Column:
@@ -141,5 +182,7 @@ def authors(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, "[;,]"), F.trim), lambda a: a != "")
 
 
-def journal(creator: Column) -> Column:
-    return F.when(~creator.rlike("Microsoft|Adobe"), head(creator, 120))
+def journal(creator: Column, producer: Column) -> Column:
+    """The creator, else the producer, unless it names an office program."""
+    name = F.coalesce(F.nullif(creator, F.lit("")), F.nullif(producer, F.lit("")))
+    return F.when(~name.rlike("Microsoft|Adobe"), head(name, 120))

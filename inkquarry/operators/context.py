@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from inkquarry.functions import text as T
 
-#: Limits in characters.
-REFS, REF_WINDOW, SECTION_CHARS, SUMMARY_CHARS, SURROUND = 3, 300, 1500, 3000, 750
-METHODS, RESULTS = ("methods", "method", "materials and methods"), ("results", "result")
+#: Limits in characters, names of sections, labels of the summary and lines of the prompt.
+REFS, REF_WINDOW, SECTION_CHARS, SUMMARY_CHARS, SURROUNDING_CHARS, PART_CHARS = 3, 300, 1000, 3000, 1500, 500
+METHODS = ("methods", "method", "materials and methods", "materials & methods", "experimental", "experimental section")
+RESULTS = ("results", "results and discussion")
+LABELS = ("FIGURE CAPTION: ", "IN-TEXT DESCRIPTION: ", "METHODS CONTEXT: ", "RESULTS CONTEXT: ")
+TASK = """=== TASK ===
+Extract ALL numerical data from this figure image.
+For each data series output a JSON object with keys:
+  series_name, x_label, x_unit, y_label, y_unit,
+  axis_scale_x (linear|log), axis_scale_y (linear|log),
+  data_points ([{x, y, err_x, err_y},...]),
+  statistical_annotations ([{marker, x, p_value},...]).
+Output a JSON array of series objects. No extra text."""
 
 
 def papers_from_pages(pages: DataFrame, info: DataFrame) -> DataFrame:
-    """One row per paper from pages (paper_id, page_idx, text) and info (paper_id, title, author, creator): metadata with fallbacks from the text."""
+    """One row per paper from pages (paper_id, page_idx, text) and info (paper_id, title, author, creator, producer; sniffed_title if there is one): metadata with fallbacks from the text."""
     full = pages.groupBy("paper_id").agg(F.count("*").alias("page_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda p: p["text"]), "\n\n").alias("full_text"))
     j = full.join(info, "paper_id", "left")
     return j.select(
-        "paper_id", F.nullif(F.trim("title"), F.lit("")).alias("title"), F.coalesce(T.authors(F.col("author")), F.array().cast("array<string>")).alias("authors"), T.journal(F.col("creator")).alias("journal"),
+        "paper_id", F.coalesce(F.nullif("title", F.lit("")), F.col("sniffed_title") if "sniffed_title" in info.columns else F.lit(None)).alias("title"), F.coalesce(T.authors(F.col("author")), F.array().cast("array<string>")).alias("authors"), T.journal(F.col("creator"), F.col("producer")).alias("journal"),
         T.doi(F.col("full_text")).alias("doi"), T.mode_first_seen(T.years(F.col("full_text"))).alias("year"), T.abstract(F.col("full_text")).alias("abstract"), "page_count", "full_text",
     )
 
@@ -33,7 +43,7 @@ def mentions(full_text: Column, number: Column) -> Column:
             (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("s"), F.length(x["hit"]).alias("n"))).alias("out")
         ),
     )["out"]
-    return T.greedy_distinct(F.transform(starts, lambda m: T.window_around(full_text, m["s"], m["n"], REF_WINDOW)), 0.6, REFS)
+    return T.greedy_distinct(F.transform(starts, lambda m: T.snippet_around(full_text, m["s"], m["n"], REF_WINDOW)), 0.6, REFS)
 
 
 def scored_sentences(text: Column, caption: Column, number: Column, most: int = SECTION_CHARS) -> Column:
@@ -47,7 +57,7 @@ def scored_sentences(text: Column, caption: Column, number: Column, most: int =
             F.struct((acc["n"] + F.length(r["s"])).alias("n"), F.lit(False).alias("full"), F.array_append(acc["out"], r["s"]).alias("out"))
         ),
     )
-    return F.array_join(fold["out"], " ")
+    return T.strip(F.array_join(fold["out"], " "))
 
 
 def section_body(sections: Column, names: tuple[str, ...]) -> Column:
@@ -55,9 +65,9 @@ def section_body(sections: Column, names: tuple[str, ...]) -> Column:
 
 
 def mention_paragraphs(text: Column, number: Column) -> Column:
-    """Paragraphs that mention the figure, else the first 1000 characters."""
+    """Paragraphs that mention the figure, else the beginning, within SECTION_CHARS."""
     hit = F.filter(F.split(text, r"\n{2,}"), lambda p: F.rlike(p, T.figure_pattern(number)))
-    return F.when(F.size(hit) > 0, F.substring(F.array_join(hit, "\n\n"), 1, SECTION_CHARS)).otherwise(F.substring(text, 1, 1000))
+    return T.strip(F.substring(F.when(F.size(hit) > 0, F.array_join(F.transform(hit, T.strip), "\n\n")).otherwise(text), 1, SECTION_CHARS))
 
 
 def surrounding_text(figures: DataFrame, pages: DataFrame) -> DataFrame:
@@ -67,26 +77,48 @@ def surrounding_text(figures: DataFrame, pages: DataFrame) -> DataFrame:
     g = near.join(text, ["paper_id", "page_number"]).groupBy("figure_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("window"), F.max(F.when(F.col("page_number") == F.col("own"), F.col("text"))).alias("own_text"), F.first("figure_number").alias("_number")
     )
-    pattern = T.figure_pattern(F.col("_number"))
-    gap = F.length(F.get(F.split(F.col("window"), pattern, 2), F.lit(0)))
-    around = F.when(F.regexp_count("window", pattern) > 0, T.window_around(F.col("window"), gap, F.lit(0), SURROUND))
-    return figures.join(g.select("figure_id", F.coalesce(around, F.substring("own_text", 1, 1500), F.lit("")).alias("surrounding_text")), "figure_id", "left").fillna("", ["surrounding_text"])
+    found = F.call_function("regexp_extract", F.col("window"), T.page_figure_pattern(F.col("_number")), F.lit(0))
+    gap = F.length(F.get(F.split(F.col("window"), T.page_figure_pattern(F.col("_number")), 2), F.lit(0)))
+    lo = F.greatest(gap - SURROUNDING_CHARS // 2, F.lit(0))
+    around = F.when(found != "", T.strip(F.substring("window", lo + 1, gap + F.length(found) + SURROUNDING_CHARS // 2 - lo)))
+    return figures.join(g.select("figure_id", F.coalesce(around, T.strip(F.substring("own_text", 1, SURROUNDING_CHARS)), F.lit("")).alias("surrounding_text")), "figure_id", "left").fillna("", ["surrounding_text"])
+
+
+def context_summary(caption: Column, references: Column, methods: Column, results: Column) -> Column:
+    """What is known of a figure, labelled, in parts divided by blank lines, within SUMMARY_CHARS."""
+    some = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label), c))
+    parts = caption, F.array_join(F.slice(references, 1, 2), "; "), F.substring(methods, 1, PART_CHARS), F.substring(results, 1, PART_CHARS)
+    return T.strip(F.substring(F.concat_ws("\n\n", *[some(label, c) for label, c in zip(LABELS, parts, strict=True)]), 1, SUMMARY_CHARS))
+
+
+def extraction_prompt(title: Column, doi: Column, number: Column, figure_type: Column, context: Column, caption: Column) -> Column:
+    """The text that goes to the model with the figure's image. Without a context the caption stands in its place."""
+    known = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown"))
+    head = F.concat(F.lit("Figure "), number, F.coalesce(F.concat(F.lit(" ("), F.nullif(figure_type, F.lit("")), F.lit(")")), F.lit("")))
+    block = F.coalesce(F.concat(F.lit("=== CONTEXT ===\n"), F.nullif(context, F.lit(""))), F.concat(F.lit("=== CAPTION ===\n"), F.coalesce(F.nullif(caption, F.lit("")), F.lit("(no caption available)"))))
+    return F.concat_ws("\n", F.concat(F.lit("Paper: "), known(title)), F.concat(F.lit("DOI: "), known(doi)), head, F.lit(""), block, F.lit(""), F.lit(TASK))
 
 
 def build_contexts(figures: DataFrame, papers: DataFrame, mode: str = "rich") -> DataFrame:
-    """figures (paper_id, figure_id, figure_number, caption, ...) with in_text_references, methods_context, results_context, context_summary and prompt."""
+    """figures (paper_id, figure_id, figure_number, caption; figure_type and surrounding_text if there are) with in_text_references, methods_context, results_context, context_summary and
+    prompt. mode "rich": the summary of caption, mentions, methods and results, else the surrounding text; mode "surrounding": the surrounding text alone, after the caption."""
     p = papers.select("paper_id", F.col("title").alias("paper_title"), "doi", "full_text", T.sections(F.col("full_text")).alias("_sections"))
     j = figures.join(p, "paper_id", "left")
     number, caption, text = F.col("figure_number"), F.coalesce("caption", F.lit("")), F.coalesce("full_text", F.lit(""))
-    j = j.withColumns({
-        "in_text_references": mentions(text, number), "methods_context": scored_sentences(section_body(F.col("_sections"), METHODS), caption, number), "results_context": mention_paragraphs(section_body(F.col("_sections"), RESULTS), number),
-    })
-    some = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label), c))
-    summary = F.concat_ws("\n\n", some("Caption: ", caption), some("In text: ", F.array_join(F.slice("in_text_references", 1, 2), " ... ")), some("Methods: ", F.substring("methods_context", 1, 500)), some("Results: ", F.substring("results_context", 1, 500)))
-    j = j.withColumn("context_summary", F.trim(F.substring(summary, 1, SUMMARY_CHARS)) if mode == "rich" else F.lit(""))
-    context = F.coalesce(F.nullif("context_summary", F.lit("")), F.nullif(F.col("surrounding_text"), F.lit("")) if "surrounding_text" in figures.columns else F.lit(None), F.nullif(caption, F.lit("")), F.lit("No context."))
-    prompt = F.concat_ws("\n", some("Paper: ", F.col("paper_title")), some("Figure: ", number), some("Caption: ", caption), F.concat(F.lit("Context: "), context), F.lit("Answer with a JSON array of data series."))
-    return j.withColumn("prompt", prompt).drop("_sections", "full_text")
+    around = F.coalesce("surrounding_text", F.lit("")) if "surrounding_text" in figures.columns else F.lit("")
+    if mode == "rich":
+        j = j.withColumns({
+            "in_text_references": mentions(text, number), "methods_context": scored_sentences(section_body(F.col("_sections"), METHODS), caption, number), "results_context": mention_paragraphs(section_body(F.col("_sections"), RESULTS), number),
+        })
+        j = j.withColumn("context_summary", F.coalesce(F.nullif(context_summary(caption, F.col("in_text_references"), F.col("methods_context"), F.col("results_context")), F.lit("")), around))
+        context = F.col("context_summary")
+    elif mode == "surrounding":
+        j = j.withColumns({"in_text_references": F.array().cast("array<string>"), "methods_context": F.lit(""), "results_context": F.lit(""), "context_summary": around})
+        context = F.when(around != "", F.concat_ws("\n\n", F.nullif(caption, F.lit("")), around))
+    else:
+        raise ValueError(f"no mode {mode}")
+    kind = F.col("figure_type") if "figure_type" in figures.columns else F.lit(None)
+    return j.withColumn("prompt", extraction_prompt(F.col("paper_title"), F.col("doi"), number, kind, context, caption)).drop("_sections", "full_text")
 
 
 def title_of_first_page(spans: DataFrame) -> DataFrame:

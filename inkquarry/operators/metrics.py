@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 RMSE_THRESHOLD, POINT_TOLERANCE = 0.05, 0.05
 
 
-def rmse(true: Column, predicted: Column, low: Column, high: Column) -> Column:
-    """Aggregate: both sides normalised by the truth's range, which is given (it may span more rows than are paired); 0 for no rows or no range."""
-    span = F.nullif(high - low, F.lit(0.0))
-    return F.coalesce(F.sqrt(F.avg(F.pow((true - predicted) / span, 2))), F.lit(0.0))
+def rmse(true: Column, predicted: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """Aggregate: both sides normalised by the truth's range, that of the rows or the given one; 0 for no rows or no range. The range is taken out of the sum, so partial aggregates do."""
+    low, high = F.min(true) if low is None else F.min(low), F.max(true) if high is None else F.max(high)
+    return F.coalesce(F.sqrt(F.avg(F.pow(true - predicted, 2))) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
 
 
 def r2(true: Column, predicted: Column) -> Column:
@@ -48,18 +48,26 @@ def match_series(truth: Column, predicted: Column) -> Column:
 
 
 def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tolerance: float = POINT_TOLERANCE) -> DataFrame:
-    """key, precision, recall of points (key, x, y), each side normalised by itself. Points meet only within neighbouring cells of the size of the tolerance, so no key is compared pair by pair."""
+    """key, precision, recall of points (key, x, y), each side normalised by itself. Cells decide most points without any pair; only the points of cells that
+    the other side leaves empty are compared with the distinct points of cells close by."""
 
     def normal(df: DataFrame) -> DataFrame:
-        return df.select(key, minmax(F.col("x"), key).alias("x"), minmax(F.col("y"), key).alias("y")).withColumn("id", F.monotonically_increasing_id())
+        return df.select(key, minmax(F.col("x"), key).alias("x"), minmax(F.col("y"), key).alias("y"))
+
+    # points of one cell are near each other, whatever their places in it; others may be up to two cells away
+    side = tolerance / 1.415
+    cell = lambda c: F.floor(c / side).cast("long")
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        cell = lambda c: F.floor(c / tolerance).cast("long")
-        spread = right.select(key, F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.sequence(cell(F.col("x")) - 1, cell(F.col("x")) + 1)).alias("cx"), cell(F.col("y")).alias("ry"))
-        spread = spread.withColumn("cy", F.explode(F.sequence(F.col("ry") - 1, F.col("ry") + 1)))
-        l = left.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-        inside = (l[key] == spread[key]) & (l["cx"] == spread["cx"]) & (l["cy"] == spread["cy"]) & (F.sqrt(F.pow(l["x"] - spread["x2"], 2) + F.pow(l["y"] - spread["y2"], 2)) <= tolerance)
-        hit = l.join(spread, inside, "left_semi").groupBy(key).agg(F.count("*").alias("hit"))
+        cells = right.select(key, F.col("x").alias("x2"), F.col("y").alias("y2"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).distinct()
+        full = cells.select(key, "cx", "cy").distinct()
+        l = left.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))}).groupBy(key, "cx", "cy", "x", "y").agg(F.count("*").alias("n"))
+        easy = l.join(full, [key, "cx", "cy"], "left_semi")
+        around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
+        hard = l.join(full, [key, "cx", "cy"], "left_anti").withColumn("d", F.explode(F.array(*around))).select(key, "x", "y", "n", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+        close = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= tolerance
+        found = hard.join(cells, [key, "cx", "cy"]).where(close).select(key, "x", "y", "n").distinct()
+        hit = easy.select(key, "n").unionByName(found.select(key, "n")).groupBy(key).agg(F.sum("n").alias("hit"))
         return left.groupBy(key).agg(F.count("*").alias("all")).join(hit, key, "left").select(key, (F.coalesce("hit", F.lit(0)) / F.col("all")).alias("share"))
 
     t, p = normal(truth), normal(predicted)
@@ -68,25 +76,38 @@ def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tol
 
 
 def report(results: DataFrame, kind: str = "figure_type") -> DataFrame:
-    """Per type and in total (type null): figures, passed, pass rate in percent, mean RMSE and R2 (0 if there are none)."""
-    total = F.count("*")
-    return results.rollup(kind).agg(
-        total.alias("n"), F.count_if("passed").alias("passed"), (100.0 * F.count_if("passed") / F.greatest(total, F.lit(1))).alias("pass_rate"),
+    """Per type and in total (type null): figures, passed, pass rate in percent, mean RMSE and R2 (0 if there are none). Where results have a column `skipped`, skipped figures count in
+    the total only."""
+    skipped = F.col("skipped") if "skipped" in results.columns else F.lit(False)
+    r = results.withColumn("_skipped", skipped)
+    n = F.when(F.grouping(kind) == 1, F.count("*")).otherwise(F.count_if(~F.col("_skipped")))
+    return r.rollup(kind).agg(
+        n.alias("n"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed") & ~F.col("_skipped")).alias("failed"), (100.0 * F.count_if("passed") / F.greatest(n, F.lit(1))).alias("pass_rate"),
         F.coalesce(F.avg("rmse"), F.lit(0.0)).alias("mean_rmse"), F.coalesce(F.avg("r2"), F.lit(0.0)).alias("mean_r2"),
-    )
+    ).where(f"{kind} is null or n > 0")
+
+
+def report_lines(results: DataFrame) -> DataFrame:
+    """The benchmark as text: ord and value, totals first, then the types in alphabetical order. One row a type, so the only ordering is that of a few rows."""
+    r = report(results)
+    total = r.where("figure_type is null").select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("value")) for k, x in enumerate((
+        F.format_string("Total figures : %d", "n"), F.format_string("Passed        : %d", "passed"), F.format_string("Failed        : %d", F.col("failed")),
+        F.format_string("Pass rate     : %.1f%%", "pass_rate"), F.format_string("Mean RMSE     : %.4f  (threshold=%s)", "mean_rmse", F.lit(str(RMSE_THRESHOLD))), F.format_string("Mean R²       : %.4f", "mean_r2"), F.lit("Results by figure type:"),
+    ))])).alias("x")).select("x.k", F.lit("").alias("figure_type"), "x.value")
+    kinds = r.where("figure_type is not null").select(F.lit(99).alias("k"), "figure_type", F.format_string("  %-20s %d/%d passed  RMSE=%.4f", "figure_type", "passed", "n", "mean_rmse").alias("value"))
+    order = Window.orderBy("k", "figure_type")
+    return total.unionByName(kinds).select((F.row_number().over(order) - 1).alias("ord"), "value")
 
 
 def benchmark(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """figure, figure_type, rmse, r2, passed. Inputs: (figure, figure_type, ord, series_name, ys array<double>); figures without a prediction get nulls and don't pass."""
+    """figure, figure_type, rmse, r2, passed. Inputs: (figure, figure_type, ord, series_name, ys array<double>); the type is that of a figure's first series. Series are matched by name
+    and cut to the shorter of both; the range is that of the true values compared. Figures without a prediction get nulls and don't pass."""
     pack = lambda df, name: df.groupBy("figure").agg(F.array_sort(F.collect_list(F.struct("ord", "series_name", "ys"))).alias(name))
-    kinds = truth.groupBy("figure").agg(F.min("figure_type").alias("figure_type"))
-    joined = pack(truth, "t").join(pack(predicted, "p"), "figure", "left")
-    pairs = joined.withColumn("m", F.explode_outer(match_series(F.col("t.series_name"), F.coalesce(F.col("p.series_name"), F.array().cast("array<string>")))))
-    a, b = F.get(F.col("t.ys"), F.col("m.t")), F.get(F.col("p.ys"), F.col("m.p"))
+    kinds = truth.groupBy("figure").agg(F.min_by("figure_type", "ord").alias("figure_type"))
+    joined = pack(truth.where("ord is not null"), "t").join(pack(predicted, "p"), "figure")
+    pairs = joined.select("figure", "t.ys", F.col("p.ys").alias("zs"), F.explode(match_series(F.col("t.series_name"), F.col("p.series_name"))).alias("m"))
+    a, b = F.get("ys", F.col("m.t")), F.get("zs", F.col("m.p"))
     n = F.least(F.size(a), F.size(b))
-    rows = pairs.select("figure", F.explode_outer(F.arrays_zip(F.slice(a, F.lit(1), n).alias("y"), F.slice(b, F.lit(1), n).alias("z"))).alias("v"), F.array_min(F.flatten("t.ys")).alias("low"), F.array_max(F.flatten("t.ys")).alias("high"))
-    scored = rows.groupBy("figure").agg(
-        F.count("v.y").alias("points"), rmse(F.col("v.y"), F.col("v.z"), F.col("low"), F.col("high")).alias("raw"), r2(F.col("v.y"), F.col("v.z")).alias("r2"),
-    )
-    out = scored.select("figure", F.when(F.col("points") > 0, F.col("raw")).alias("rmse"), F.when(F.col("points") > 0, F.col("r2")).alias("r2"))
-    return out.join(kinds, "figure").select("figure", "figure_type", "rmse", "r2", F.coalesce(F.col("rmse") <= RMSE_THRESHOLD, F.lit(False)).alias("passed"))
+    rows = pairs.where(n > 0).select("figure", F.explode(F.arrays_zip(F.slice(a, F.lit(1), n).alias("y"), F.slice(b, F.lit(1), n).alias("z"))).alias("v"))
+    scored = rows.groupBy("figure").agg(rmse(F.col("v.y"), F.col("v.z")).alias("rmse"), r2(F.col("v.y"), F.col("v.z")).alias("r2"))
+    return kinds.join(scored, "figure", "left").select("figure", F.coalesce("figure_type", F.lit("unknown")).alias("figure_type"), "rmse", "r2", F.coalesce(F.col("rmse") <= RMSE_THRESHOLD, F.lit(False)).alias("passed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkquarry.staging import kept
+
 
 def gap_groups(df: DataFrame, keys: list[str], x: str, ties: list[str], gap: float = 5) -> DataFrame:
     """Adds `grp`: a new group starts where x is more than `gap` beyond the previous one; gaps of exactly `gap` merge, in chains."""
@@ -19,14 +21,16 @@ def group_medians(df: DataFrame, keys: list[str], x: str, y: str, ties: list[str
     return g.groupBy(*keys, "grp").agg(F.expr(f"percentile({x}, 0.5)").alias("x"), F.expr(f"percentile({y}, 0.5)").alias("y"), F.count("*").alias("n"))
 
 
-def digitize(coords: DataFrame, calibration: DataFrame, gap: float = 5) -> DataFrame:
-    """Pixels (series_id, px, py) to points (series_id, x, y), rounded to six places. calibration: one row per axis ('x', 'y') of pixel_to_data's arguments; two rows, so they are broadcast."""
+def digitize(coords: DataFrame, calibration: DataFrame, keys: list[str] | None = None, gap: float = 5) -> DataFrame:
+    """Pixels (image_id, series_id, px, py) to points (image_id, series_id, x, y), rounded to six places. calibration: per image one row for each axis ('x', 'y') of pixel_to_data's
+    arguments; an image that lacks an axis gives no points."""
     from inkquarry.functions.geometry import pixel_to_data
 
+    keys = keys or ["image_id"]
     fields = ("pixel_min", "pixel_max", "data_min", "data_max", "is_log")
-    axis = lambda a: F.broadcast(calibration.where(F.col("axis") == a).limit(1).select(F.lit(1).alias("_one"), *[F.col(f).alias(f"{a}_{f}") for f in fields]))
-    points = group_medians(coords, ["series_id"], "px", "py", ["py"], gap).withColumn("_one", F.lit(1)).join(axis("x"), "_one").join(axis("y"), "_one")
-    return points.select("series_id", *[F.bround(pixel_to_data(F.col(a), *[F.col(f"{a}_{f}") for f in fields]), 6).alias(a) for a in ("x", "y")])
+    axes = calibration.groupBy(*keys).agg(*[F.first(F.when(F.col("axis") == a, F.struct(*fields)), ignorenulls=True).alias(f"_{a}") for a in ("x", "y")]).where("_x is not null and _y is not null")
+    points = group_medians(coords, [*keys, "series_id"], "px", "py", ["py"], gap).join(axes, keys)
+    return points.select(*keys, "series_id", *[F.bround(pixel_to_data(F.col(a), *[F.col(f"_{a}.{f}") for f in fields]), 6).alias(a) for a in ("x", "y")])
 
 
 def bands(df: DataFrame, keys: list[str], position: str, gap: float = 5) -> DataFrame:
@@ -58,9 +62,11 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str = "no") -> D
 
 
 def surrogate_ids(new: DataFrame, order: list[str], after: int, name: str = "id") -> DataFrame:
-    """Dense ids after the largest in use. Rows are sorted by range, counted per partition, and only those counts (one per partition) come together."""
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return ranged.join(before, "_p").withColumn(name, F.lit(after) + F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    """Dense ids after the largest in use, in the given order. Rows are dealt by range and sorted, and written with their partition and their place in it, so that both are settled; then
+    only the partitions' sizes (one row each) are added up."""
+    place = F.monotonically_increasing_id()
+    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    ranged = kept(ranged, "numbered").withColumns({"_part": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_place")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.lit(after) + F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")

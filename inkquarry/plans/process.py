@@ -1,60 +1,113 @@
-"""Documents to stored papers, figures, series and errors: one lazy plan between the two Python boundaries, written after each of them."""
+"""Documents to stored papers, figures, series and errors: one lazy plan between the Python boundaries, written after each of them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkquarry.functions.geometry import source_confidence
-from inkquarry.functions.model_json import classified, parse_array
-from inkquarry.operators.context import build_contexts, papers_from_pages
-from inkquarry.sources.files import infer, parse
+from inkquarry.config import Settings
+from inkquarry.functions.geometry import large_enough, source_confidence
+from inkquarry.functions.model_json import SERIES_CONFIDENCE, classified, let, parse_array
+from inkquarry.operators.context import build_contexts, papers_from_pages, surrounding_text, title_of_first_page
+from inkquarry.operators.images import IMAGE, panels_of, png_of, usable
+from inkquarry.schemas import ANNOTATION, POINT
+from inkquarry.sources.files import first_source, infer, page_texts, parse, text_spans
 from inkquarry.sources.store import Store
+from inkquarry.staging import kept
 
+#: A page without figures and with more drawings than this is a figure itself.
+VECTOR_PATHS = 30
+#: What the model is asked of each figure's type, and what its series are called.
+CLASS_PROMPT = """Classify this scientific figure. Return ONLY this JSON with no other text:
+{"figure_type": "<type from list>", "confidence": <0.0-1.0>, "reasoning": "<one sentence explaining your classification>", "has_quantitative_data": <true|false>, "sub_types": ["<optional sub-classification>"]}
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again, so that no answer of a plug-in is asked for twice."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-inkquarry-")
-    path = f"{root.rstrip('/')}/inkquarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+Valid figure_type values:
+line_plot, bar_chart, scatter_plot, heatmap, spectrum_nmr, spectrum_ir, spectrum_ms, western_blot, microscopy, flowchart, other"""
+METHOD = "gemma4_multimodal"
 
 
-def process(files: DataFrame, store: Store, parser: Callable, classify: Callable, extract: Callable, threshold: float = 0.7, most_figures: int | None = None) -> dict[str, DataFrame]:
-    """files: path, content. Documents that can't be parsed become rows of errors; figures are keyed by paper, number and panel. most_figures, if given, keeps only the first ones of a paper."""
+def figures_of(parsed: DataFrame, settings: Settings, primary: DataFrame | None = None) -> DataFrame:
+    """paper_id, ord, figure_number, page_number, caption, x1, y1, x2, y2, source, image of the figures of parsed documents.
+
+    Figures of the parser that are too small go; a page that then has none and many drawings is a figure as a whole. Where `primary`, parsed figures of another extractor, has any for a
+    document, they take the place of the parser's. Figures without a number are counted in the order of pages."""
+    of = lambda df: df.select(F.col("path").alias("paper_id"), F.posexplode("figures").alias("ord", "f")).select("paper_id", "ord", "f.*")
+    size = large_enough(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), settings.image_dpi, settings.least_figure_area)
+    raster = of(parsed).where(F.coalesce(size, F.lit(True)))
+    pages = parsed.select(F.col("path").alias("paper_id"), F.posexplode("page_info").alias("page_idx", "i")).where(F.col("i.n_paths") > VECTOR_PATHS).withColumn("page_number", F.col("page_idx") + 1)
+    vector = pages.join(raster.select("paper_id", "page_number").distinct(), ["paper_id", "page_number"], "left_anti").select(
+        "paper_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("figure_number"), "page_number", F.lit("").alias("caption"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"),
+        F.col("i.width").alias("x2"), F.col("i.height").alias("y2"), F.lit("vector").alias("source"), F.col("i.image").alias("image"),
+    )
+    found = raster.unionByName(vector)
+    if primary is not None:
+        found = first_source(of(primary), found, "paper_id")
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("page_number", F.col("ord").asc_nulls_last(), "figure_number"))
+    found = found.withColumn("ord", place - 1).withColumn("figure_number", F.coalesce("figure_number", place.cast("string")))
+    return found.where(F.col("ord") < settings.most_figures) if settings.most_figures else found
+
+
+def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.struct(x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"))
+
+
+def process(
+    files: DataFrame, store: Store, parser: Callable, classify: Callable, extract: Callable, threshold: float | None = None, most_figures: int | None = None, mode: str = "rich",
+    primary: Callable | None = None, settings: Settings | None = None,
+) -> dict[str, DataFrame]:
+    """files: path, content. Every document that can't be parsed and every figure that a model gave no answer for is a row of errors.
+
+    Figures are split into panels where their images allow it, and keyed by figure and panel through all steps, so panels never share their series. Images too small to be figures go;
+    figures without an image are asked about by their texts alone. mode: as in build_contexts. primary: another figure extractor (bytes to a parser's dict), used where it gives
+    figures. most_figures, if given, keeps only the first ones of a paper."""
+    spark = store.spark
+    settings = settings or Settings.of(spark)
+    if most_figures is not None:
+        settings = Settings(**{**settings.__dict__, "most_figures": most_figures})
+    threshold = settings.confidence_threshold if threshold is None else threshold
     store.init()
     parsed = kept(parse(files, parser), "parsed")
     good = parsed.where("error is null")
-    pages = good.select(F.col("path").alias("paper_id"), F.posexplode("pages").alias("page_idx", "text"))
-    papers = papers_from_pages(pages, good.select(F.col("path").alias("paper_id"), "title", "author", "creator"))
+    pages = page_texts(good)
+    info = good.select(F.col("path").alias("paper_id"), "title", "author", "creator", "producer")
+    titles = title_of_first_page(text_spans(good)).withColumnRenamed("title", "sniffed_title")
+    papers = kept(papers_from_pages(pages, info.join(titles, "paper_id", "left")), "papers")
     store.upsert_papers(papers.select(F.col("paper_id").alias("pdf_path"), "doi", "title", "authors", "journal", "year"))
     ids = store.read("papers").select(F.col("id").alias("pid"), F.col("pdf_path").alias("paper_id"))
-    raw = good.select(F.col("path").alias("paper_id"), F.posexplode("figures").alias("ord", "f")).select("paper_id", "ord", "f.*")
-    if most_figures is not None:
-        raw = raw.where(F.col("ord") < most_figures)
-    raw = raw.withColumn("figure_id", F.concat_ws("#", "paper_id", "ord"))
-    asked = kept(infer(raw.withColumn("prompt", F.concat_ws("\n", F.lit("What type of figure is this?"), "caption")), classify, out="class_answer"), "classified")
-    figures = asked.withColumn("c", classified(F.col("class_answer"), threshold)).drop("prompt", "class_answer")
-    contexts = build_contexts(figures, papers)
-    answered = kept(infer(contexts.where("c.has_quantitative_data"), extract), "extracted")
+
+    whole = figures_of(good, settings, None if primary is None else kept(parse(files, primary), "primary"))
+    whole = whole.where(F.col("image").isNull() | usable(F.col("image"))).withColumn("key", F.concat_ws("#", "paper_id", "ord"))
+    parts = panels_of(whole.select(F.col("key").alias("figure_id"), "caption", F.col("image").cast(IMAGE).alias("image"))).select(F.col("figure_id").alias("key"), "panel_label", "caption", "image")
+    raw = whole.drop("caption", "image").join(parts, "key").withColumn("figure_id", F.concat_ws("#", "key", F.nullif("panel_label", F.lit(""))))
+    raw = kept(raw, "figures")
+    files_png = png_of(raw, ["figure_id"])
+    asked = raw.drop("image").join(files_png, "figure_id", "left").withColumn("prompt", F.concat(F.lit("Figure caption: "), F.coalesce("caption", F.lit("")), F.lit("\n\n" + CLASS_PROMPT)))
+    asked = kept(infer(asked, classify, image="png", attempts=settings.model_attempts, out="class_answer"), "classified")
+    figures = asked.withColumn("c", classified(F.col("class_answer"), threshold)).withColumn("figure_type", F.col("c.figure_type")).drop("prompt", "class_answer", "class_answer_error")
+    contexts = build_contexts(surrounding_text(figures, pages), papers, mode)
+    answered = kept(infer(contexts.where("c.has_quantitative_data"), extract, image="png", attempts=settings.model_attempts), "extracted")
+
+    # each figure's id in the store is found by its place among those of its paper, never by a number that two may share
     rows = figures.join(ids, "paper_id").select(
-        F.col("pid").alias("paper_id"), "figure_number", F.lit(None).cast("string").alias("panel_label"), "page_number", F.col("c.figure_type").alias("figure_type"), "caption", F.lit(None).cast("string").alias("image_path"),
-        F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")).alias("bounding_box"),
-        source_confidence(F.col("source"), F.lit(False)).alias("confidence_score"), F.current_timestamp().alias("processed_at"),
+        F.col("pid").alias("paper_id"), "figure_number", "panel_label", "page_number", "figure_type", "caption", F.when(F.col("png").isNotNull(), F.concat("figure_id", F.lit(".png"))).alias("image_path"),
+        box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("bounding_box"), source_confidence(F.col("source"), F.col("panel_label") != "").alias("confidence_score"),
+        F.current_timestamp().alias("processed_at"), F.col("figure_id").alias("source_key"),
     )
-    store.replace_figures(rows)
-    stored = store.read("figures").select(F.col("id").alias("figure_key"), F.col("paper_id").alias("pid"), "figure_number", "page_number")
-    series = answered.join(ids, "paper_id").join(stored, ["pid", "figure_number", "page_number"]).select("figure_key", F.posexplode(parse_array(F.col("answer"))).alias("ord", "s"))
+    store.replace_figures_of(papers.select("paper_id").join(ids, "paper_id").select(F.col("pid").alias("paper_id")), rows)
+    keys = store.read("figures").select(F.col("id").alias("figure_key"), "source_key")
+    series = answered.where("answer is not null").join(keys, F.col("figure_id") == F.col("source_key")).select("figure_key", F.posexplode(let(F.col("answer"), lambda a: parse_array(a))).alias("ord", "s"))
     store.append("series", series.select(
-        F.col("figure_key").alias("figure_id"), "ord", F.coalesce("s.series_name", F.lit("None")).alias("series_name"), *[F.col(f"s.{c}").alias(c) for c in ("x_label", "x_unit", "y_label", "y_unit", "data_points")],
-        *[F.coalesce(f"s.{c}", F.lit("linear")).alias(c) for c in ("axis_scale_x", "axis_scale_y")], F.col("s.statistical_annotations").alias("statistical_annotations"), F.lit("model").alias("extraction_method"),
-        F.coalesce("s.confidence", F.lit(0.5)).alias("confidence_score"),
+        F.col("figure_key").alias("figure_id"), "ord", *[F.coalesce(f"s.{c}", F.lit("")).alias(c) for c in ("series_name", "x_label", "x_unit", "y_label", "y_unit")],
+        F.coalesce("s.data_points", F.array().cast(f"array<{POINT}>")).alias("data_points"), *[F.coalesce(f"s.{c}", F.lit("linear")).alias(c) for c in ("axis_scale_x", "axis_scale_y")],
+        F.coalesce("s.statistical_annotations", F.array().cast(f"array<{ANNOTATION}>")).alias("statistical_annotations"), F.lit(METHOD).alias("extraction_method"), F.coalesce("s.confidence", F.lit(SERIES_CONFIDENCE)).alias("confidence_score"),
     ), ["figure_id", "ord"])
-    errors = parsed.where("error is not null").select(F.lit(None).cast("long").alias("figure_id"), F.lit("parse").alias("error_type"), F.concat_ws(": ", "path", "error").alias("error_message"), F.current_timestamp().alias("timestamp"))
-    store.append("errors", errors, ["error_message"])
-    return {t: store.read(t) for t in ("papers", "figures", "series", "errors")}
+
+    problem = lambda df, kind, path, message: df.select(F.lit(kind).alias("error_type"), F.concat_ws(": ", path, message).alias("error_message"))
+    errors = problem(parsed.where("error is not null"), "parse", "path", "error").unionByName(problem(asked.where("class_answer_error is not null"), "classify", "figure_id", "class_answer_error"))
+    errors = errors.unionByName(problem(answered.where("answer_error is not null"), "extract", "figure_id", "answer_error"))
+    # a batch that is run again names the same errors, which are there already
+    fresh = errors.distinct().join(store.read("errors").select("error_type", "error_message"), ["error_type", "error_message"], "left_anti")
+    store.append("errors", fresh.select(F.lit(None).cast("long").alias("figure_id"), "error_type", "error_message", F.current_timestamp().alias("timestamp")), ["error_type", "error_message"])
+    return {t: store.read(t) for t in ("papers", "figures", "series", "errors")} | {"images": files_png}

@@ -1,6 +1,7 @@
-"""The stored tables (papers, figures, series, errors) as Parquet: versions of a table are folders, and a one-line pointer file names the current one.
+"""The stored tables (papers, figures, series, errors) as Parquet: a table is a list of folders, named by its newest numbered commit file.
 
-A writer makes a new folder and then moves the pointer, so readers never see half a table."""
+A writer makes new folders first and then the next commit, by a rename that never replaces a file. So readers see a table before or after a write and never between, a table is
+never absent, and of two writers of one version the second fails. Appending adds a folder and rewrites nothing."""
 
 from __future__ import annotations
 
@@ -9,9 +10,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkquarry.functions.text import safe_name
 from inkquarry.operators.ordered import surrogate_ids
 from inkquarry.schemas import TABLES
 
+#: A table of more folders than this is written anew by the next append.
+MOST_FOLDERS = 64
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -21,31 +26,60 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{table}/current.txt")
-        return self.spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
+    def _newest(self, table: str) -> int:
+        """The number of the newest commit; 0 without any."""
+        fs, p = self._fs(f"{self.root}/{table}/commits")
+        return max([int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()], default=0) if fs.exists(p) else 0
+
+    def _folders(self, table: str) -> list[str]:
+        newest = self._newest(table)
+        return [r[0] for r in self.spark.read.text(f"{self.root}/{table}/commits/{newest:012d}").collect() if r[0]] if newest else []
+
+    def _commit(self, table: str, number: int, folders: list[str]) -> None:
+        """Names the table's folders as of commit `number`; fails if there is one of that number."""
+        jvm, name = self.spark._jvm, f"{self.root}/{table}/commits/{number:012d}"
+        fs, new = self._fs(f"{name}.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(bytearray("\n".join(folders).encode()))
+        out.close()
+        _, last = self._fs(name)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(new), fs.makeQualified(last), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+
+    def _written(self, table: str, df: DataFrame) -> str:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.select(*self._empty(table).columns).write.parquet(f"{self.root}/{table}/{folder}")
+        return folder
+
+    def _empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], TABLES[table])
 
     def read(self, table: str) -> DataFrame:
-        version = self._current(table)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{version}") if version else self.spark.createDataFrame([], TABLES[table])
+        folders = self._folders(table)
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{x}" for x in folders]) if folders else self._empty(table)
 
     def write(self, table: str, df: DataFrame) -> None:
-        """Replaces a table: writes a new version, then moves the pointer by a rename."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*self.spark.createDataFrame([], TABLES[table]).columns).write.parquet(f"{self.root}/{table}/{version}")
-        fs, new = self._fs(f"{self.root}/{table}/new-{version}.txt")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, old = self._fs(f"{self.root}/{table}/current.txt")
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
+        """Replaces a table."""
+        number = self._newest(table) + 1
+        self._commit(table, number, [self._written(table, df)])
+
+    def vacuum(self, table: str, keep: int = 2) -> None:
+        """Deletes folders that none of the last `keep` commits names, and the older commits; readers of those versions must be done."""
+        fs, p = self._fs(f"{self.root}/{table}/commits")
+        commits = sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
+        used = {r[0] for c in commits[-keep:] for r in self.spark.read.text(f"{self.root}/{table}/commits/{c}").collect()}
+        _, folder = self._fs(f"{self.root}/{table}")
+        for x in fs.listStatus(folder) if commits else []:
+            if x.getPath().getName().startswith("v-") and x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
+        for c in commits[:-keep]:
+            fs.delete(self._fs(f"{self.root}/{table}/commits/{c}")[1], False)
 
     def init(self) -> None:
+        """Makes the tables that aren't there; those that are stay as they are."""
         for t in TABLES:
-            if self._current(t) is None:
-                self.write(t, self.spark.createDataFrame([], TABLES[t]))
+            if not self._newest(t):
+                self._commit(t, 1, [self._written(t, self._empty(t))])
 
     def _next(self, table: str) -> int:
         return self.read(table).agg(F.max("id")).first()[0] or 0
@@ -55,14 +89,20 @@ class Store:
         self.write("papers", upserted(self.read("papers"), new, self._next("papers")))
 
     def append(self, table: str, rows: DataFrame, order: list[str]) -> None:
-        """Rows without id get dense ones in the given order."""
-        with_ids = surrogate_ids(rows.drop("id"), order, self._next(table))
-        old = self.read(table)
-        self.write(table, old.unionByName(with_ids.select(*[c for c in with_ids.columns if c in old.columns]), allowMissingColumns=True))
+        """Adds rows with dense ids in the given order, in a new folder."""
+        number, folders = self._newest(table) + 1, self._folders(table)
+        with_ids, empty = surrogate_ids(rows.drop("id"), order, self._next(table)), self._empty(table)
+        new = empty.unionByName(with_ids.select(*[c for c in with_ids.columns if c in empty.columns]), allowMissingColumns=True)
+        if len(folders) >= MOST_FOLDERS:
+            new, folders = self.read(table).unionByName(new), []
+        self._commit(table, number, [*folders, self._written(table, new)])
 
     def replace_figures(self, figures: DataFrame) -> None:
         """Figures of the same papers give way to the new ones, with their series (cascade)."""
-        gone = figures.select("paper_id").distinct()
+        self.replace_figures_of(figures.select("paper_id").distinct(), figures)
+
+    def replace_figures_of(self, gone: DataFrame, figures: DataFrame) -> None:
+        """Figures of the given papers (paper_id) give way, also where a paper has no new ones."""
         dropped = self.read("figures").join(gone, "paper_id", "left_semi").select(F.col("id").alias("figure_id"))
         self.write("series", self.read("series").join(dropped, "figure_id", "left_anti"))
         self.write("errors", set_null(self.read("errors"), dropped))
@@ -86,9 +126,27 @@ class Store:
         self.figures_of(papers).write.option("ignoreNullFields", "false").json(path)
 
     def export_points(self, paper_id: int, path: str) -> None:
-        """CSV, one folder per series: fig, panel and series name are in its path."""
+        """CSV, one folder per series: figure, panel and series name are in its path, and the series' id where names repeat."""
         points_of(self.read("figures").where(F.col("paper_id") == paper_id), self.read("series")).write.partitionBy("file").option("header", True).csv(path)
 
+    def export_xlsx(self, paper_id: int, path: str) -> None:
+        """One workbook with a sheet per series that has points; a paper's points go through one task and the driver."""
+        from inkquarry.sources.exports import workbook
+
+        rows = points_of(self.read("figures").where(F.col("paper_id") == paper_id), self.read("series")).orderBy("file", "ord").collect()
+        sheets: dict[str, list] = {}
+        for r in rows:
+            sheets.setdefault(r["file"], []).append([r["x"], r["y"], r["err_x"], r["err_y"]])
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        out.write(bytearray(workbook({name: [["x", "y", "err_x", "err_y"], *points] for name, points in sheets.items()})))
+        out.close()
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """What export_points() wrote: file, ord, x, y, err_x, err_y."""
+    return spark.read.option("header", True).schema("ord int, x double, y double, err_x double, err_y double, file string").csv(path)
+
 
 def upserted(old: DataFrame, new: DataFrame, last_id: int, key: str = "pdf_path") -> DataFrame:
     """Full outer join on the key: values of new win, ids and processed_at of old stay."""
@@ -117,20 +175,40 @@ def nested(papers: DataFrame, figures: DataFrame, series: DataFrame) -> DataFram
 
 
 def points_of(figures: DataFrame, series: DataFrame) -> DataFrame:
-    """file and the points of each series that has any."""
-    from inkquarry.functions.text import safe_name
-
+    """file and the points of each series that has any. Series of one figure whose names are equal get their ids into the name, so no two share a file."""
     j = series.where(F.size("data_points") > 0).join(figures.select(F.col("id").alias("figure_id"), "figure_number", "panel_label"), "figure_id")
-    name = safe_name(F.concat(F.lit("fig"), "figure_number", F.coalesce("panel_label", F.lit(""))), F.coalesce("series_name", F.lit("series")))
-    return j.select(name.alias("file"), F.posexplode("data_points").alias("ord", "p")).select("file", "ord", "p.*")
-
-
-def text_report(figures: DataFrame, series: DataFrame) -> DataFrame:
-    """Fixed-width lines of series and points per figure, and a line of totals."""
-    per = figures.join(series, figures["id"] == series["figure_id"], "left").groupBy("figure_number", "figure_type").agg(F.count("figure_id").alias("n"), F.coalesce(F.sum(F.size("data_points")), F.lit(0)).alias("points"))
-    total = per.agg(F.sum("n").alias("n"), F.sum("points").alias("points")).select(F.lit(1).alias("o"), F.lit("").alias("figure_number"), F.format_string("%-8s %-16s %6d %8d", F.lit("total"), F.lit(""), "n", "points").alias("value"))
-    lines = per.select(F.lit(0).alias("o"), "figure_number", F.format_string("%-8s %-16s %6d %8d", "figure_number", F.coalesce("figure_type", F.lit("")), "n", "points").alias("value"))
-    return lines.unionByName(total).orderBy("o", "figure_number").select("value")
+    name = safe_name(F.concat(F.lit("fig"), "figure_number", F.coalesce("panel_label", F.lit(""))), F.coalesce(F.nullif("series_name", F.lit("")), F.lit("series")))
+    named = j.select(name.alias("name"), "id", "data_points")
+    times = named.groupBy("name").agg(F.count("*").alias("times"))
+    file = F.when(F.col("times") > 1, F.concat_ws("_", "name", "id")).otherwise(F.col("name"))
+    return named.join(times, "name").select(file.alias("file"), F.posexplode("data_points").alias("ord", "p")).select("file", "ord", "p.*")
+
+
+def figure_counts(figures: DataFrame, series: DataFrame) -> DataFrame:
+    """Per figure its number of series and of points."""
+    per = series.groupBy("figure_id").agg(F.count("*").alias("n"), F.sum(F.size("data_points")).alias("points"))
+    j = figures.join(per, figures["id"] == per["figure_id"], "left")
+    return j.select("paper_id", figures["id"].alias("id"), "figure_number", "panel_label", "page_number", "figure_type", F.coalesce("n", F.lit(0)).alias("n_series"), F.coalesce("points", F.lit(0)).alias("n_points"))
+
+
+def text_report(papers: DataFrame, figures: DataFrame, series: DataFrame) -> DataFrame:
+    """paper_id, ord and value, the lines of each paper's report: heading, a line per figure in the order of pages and numbers, and totals."""
+    unknown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    counts = figure_counts(figures, series)
+    line = F.format_string("  Fig %-5s | %-20s | %d series | %d data points", F.concat("figure_number", F.coalesce("panel_label", F.lit(""))), F.coalesce("figure_type", F.lit("unknown")), "n_series", "n_points")
+    per = counts.groupBy("paper_id").agg(
+        F.count("*").alias("figures"), F.sum("n_series").alias("n"), F.sum("n_points").alias("points"),
+        F.transform(F.array_sort(F.collect_list(F.struct("page_number", "figure_number", "id", line.alias("line")))), lambda x: x["line"]).alias("lines"),
+    )
+    j = papers.join(per, papers["id"] == per["paper_id"], "left").drop("paper_id")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    rule = F.lit("=" * 60)
+    lines = F.concat(
+        F.array(rule, F.lit("Extraction Report"), rule, F.concat(F.lit("Paper   : "), unknown("title")), F.concat(F.lit("DOI     : "), unknown("doi")), F.concat(F.lit("PDF     : "), F.col("pdf_path")), F.concat(F.lit("Figures : "), zero("figures")), F.lit("")),
+        F.coalesce("lines", F.array().cast("array<string>")),
+        F.array(F.lit(""), F.concat(F.lit("Total series extracted : "), zero("n")), F.concat(F.lit("Total data points      : "), zero("points")), rule),
+    )
+    return j.select(F.col("id").alias("paper_id"), F.posexplode(lines).alias("ord", "value"))
 
 
 def error_split(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:

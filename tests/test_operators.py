@@ -60,7 +60,7 @@ def test_text_rules(spark):
     assert one(spark, T.mode_first_seen(T.years(F.lit("1999, 2001, 2001, 1999, 18990")))) == 1999
     assert one(spark, T.match_starts(F.lit("ab--ab-ab"), "ab")) == [0, 4, 7]
     assert one(spark, T.panel_labels(F.lit("(A) one (B) two [C] x. (A) again"))) == ["A", "B", "C"]
-    assert one(spark, T.panel_caption(F.lit("(A) one. (B) two"), F.lit("A"))) == "one."
+    assert one(spark, T.panel_caption(F.lit("(A) one. (B) two"), F.lit("A"))) == "(A) one."
     s = one(spark, T.sections(F.lit("x\nIntroduction\nwhy\nMaterials and Methods\nhow\n")))
     assert [(r["name"], r["body"].strip()) for r in s] == [("Introduction", "why"), ("Methods", "how")]
     assert one(spark, T.overlap_ratio(F.lit("abc"), F.lit("abcd"))) == 0.75
@@ -98,7 +98,7 @@ def test_store(spark, tmp_path):
 
 def parser(content):
     out = files.text_parser(content)
-    return out | {"figures": [{"figure_number": "1", "page_number": 1, "caption": "Figure 1. Growth over time", "x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 5.0, "source": "pdffigures"}]}
+    return out | {"figures": [{"figure_number": "1", "page_number": 1, "caption": "Figure 1. Growth over time", "x1": 0.0, "y1": 0.0, "x2": 100.0, "y2": 50.0, "source": "pdffigures2"}]}
 
 
 def classify(prompt, image):
@@ -131,7 +131,7 @@ def test_synthetic_is_repeatable(spark):
 
 
 def many_figures(content):
-    figure = lambda k: {"figure_number": str(k), "page_number": 1, "caption": f"Figure {k}.", "x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 5.0, "source": "pdffigures"}
+    figure = lambda k: {"figure_number": str(k), "page_number": 1, "caption": f"Figure {k}.", "x1": 0.0, "y1": 0.0, "x2": 100.0, "y2": 50.0, "source": "pdffigures2"}
     return files.text_parser(content) | {"figures": [figure(k) for k in range(1, 64)]}
 
 
