@@ -179,7 +179,7 @@ def stem(path: Column) -> Column:
 
 
 def authors(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, "[;,]"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(raw, "[;,]"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def journal(creator: Column, producer: Column) -> Column:

@@ -129,9 +129,10 @@ def title_of_first_page(spans: DataFrame) -> DataFrame:
 
 def captions_below(figures: DataFrame, blocks: DataFrame, strip: float = 80) -> DataFrame:
     """Adds caption: of the blocks within `strip` points under a figure, the first that starts like a caption, else all of them in order. blocks: paper_id, page, y0, text."""
+    starts = F.col("text").rlike(T.CAPTION_START)
     j = figures.select("figure_id", "paper_id", "page", "y1").join(blocks, ["paper_id", "page"]).where((F.col("y0") >= F.col("y1")) & (F.col("y0") <= F.col("y1") + strip))
     g = j.groupBy("figure_id").agg(
-        F.min_by(F.when(F.col("text").rlike(T.CAPTION_START), F.col("text")), F.when(F.col("text").rlike(T.CAPTION_START), F.col("y0"))).alias("_start"),
+        F.min(F.when(starts, F.struct("y0", "text"))).alias("_first"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda b: b["text"]), " ").alias("_all"),
     )
-    return figures.join(g, "figure_id", "left").withColumn("caption", F.coalesce("_start", "_all", F.lit(""))).drop("_start", "_all")
+    return figures.join(g, "figure_id", "left").withColumn("caption", F.coalesce("_first.text", "_all", F.lit(""))).drop("_first", "_all")

@@ -87,4 +87,4 @@ def chat_samples(plots_df: DataFrame, answers: DataFrame) -> DataFrame:
     """plot_id and messages (role, content) of fine-tuning: the instruction with the caption and the answer. plots: plot_id, caption; answers: plot_id, answer."""
     j = plots_df.join(answers, "plot_id")
     user = F.concat(F.lit(INSTRUCTION), "caption", F.lit("\n\nOutput:"))
-    return j.select("plot_id", F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant"), F.col("answer"))).alias("messages"))
+    return j.select("plot_id", F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))).alias("messages"))

@@ -6,7 +6,6 @@ import duckdb
 import pandas as pd
 import pytest
 
-from inkquarry.functions import text as T
 from inkquarry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -48,19 +47,3 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_whole_texts_and_all_languages(spark, tmp_path):
-    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    docs += [(900001, "long body " * 4000 + "\nsecond line\n\nthird\nDISCUSSION\nnot a method", "en"), (900002, None, "fr"), (900003, "", None), (900004, "Wörter ohne Grenze, Straße und Kelvin", "de")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    head = re.compile(T.SECTION.replace("(?im)", ""), re.I | re.M)
-    bodies, words = [], []
-    for i, text, _ in docs:
-        whole = f"Start\nIntroduction\nwhy\nMaterials and Methods\n{text or ''}\nResults\nwhat came out\n"
-        found = list(head.finditer(whole))
-        names = [re.sub("^materials and methods$", "methods", m[1].lower()) for m in found]
-        ends = [m.start() for m in found[1:]] + [len(whole)]
-        bodies.append((i, "\n\n".join(whole[m.end() : e].strip() for m, e, n in zip(found, ends, names) if n == "methods")))
-        words.append((i, len(set(re.findall("[a-z]{4,}", (text or "").lower())) - set(T.STOP_WORDS))))
-    assert sorted((r["doc_id"], r["body"]) for r in catalog.QUERIES["section_slice_whole"](spark, str(tmp_path)).collect()) == sorted(bodies)
-    assert sorted(map(tuple, catalog.QUERIES["caption_keywords_all"](spark, str(tmp_path)).collect())) == sorted(words)
-    assert len(dict(bodies)[900001]) > 40_000 and dict(bodies)[900001].endswith("third")
