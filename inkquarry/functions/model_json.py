@@ -48,9 +48,10 @@ def parse_object(raw: Column, schema: str) -> Column:
 
 
 def parse_array(raw: Column, schema: str = SERIES_SCHEMA) -> Column:
-    """An array from an answer's widest [...]; empty if there is none. A lone object is no array."""
-    found = F.from_json(F.nullif(F.regexp_extract(unfenced(raw), r"(?s)\[.*\]", 0), F.lit("")), schema)
-    return F.coalesce(F.filter(found, lambda x: x.isNotNull()), F.array().cast(schema))
+    """An array from an answer's widest [...], without what is no object; empty if there is none. A lone object is no array."""
+    found = F.from_json(F.nullif(F.regexp_extract(unfenced(raw), r"(?s)\[.*\]", 0), F.lit("")), "array<string>")
+    objects = F.transform(F.filter(found, lambda x: x.startswith("{")), lambda x: F.from_json(x, schema.removeprefix("array<").removesuffix(">")))
+    return F.coalesce(F.filter(objects, lambda x: x.isNotNull()), F.array().cast(schema))
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:

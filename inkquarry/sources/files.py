@@ -209,7 +209,7 @@ def first_pair(files: DataFrame) -> DataFrame:
 def training_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """stem, image_path, caption, ground_truth of every `*_meta.json` below a folder that has its PNG beside it; files that aren't JSON objects are left out."""
     found = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    meta = found("*_meta.json").select(F.regexp_replace("path", r"_meta\.json$", "").alias("base"), F.from_json(F.decode("content", F.lit("utf-8")), "caption string, ground_truth string").alias("m"), F.rlike(F.decode("content", F.lit("utf-8")), F.lit(r"(?s)^\s*\{.*\}\s*$")).alias("whole"))
+    meta = found("*_meta.json").select(F.regexp_replace("path", r"_meta\.json$", "").alias("base"), F.from_json(F.decode("content", "utf-8"), "caption string, ground_truth string").alias("m"), F.rlike(F.decode("content", "utf-8"), F.lit(r"(?s)^\s*\{.*\}\s*$")).alias("whole"))
     images = found("*.png").select(F.regexp_replace("path", r"\.png$", "").alias("base"), F.col("path").alias("image_path"))
     j = meta.where("whole").join(images, "base")
     return j.select(stem(F.col("image_path")).alias("stem"), "image_path", F.coalesce("m.caption", F.lit("")).alias("caption"), F.coalesce("m.ground_truth", F.lit("[]")).alias("ground_truth"))
@@ -219,7 +219,7 @@ def benchmark_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """figure, ord, figure_type, series_name, ys and image_path of every `*_ground_truth.json`: null image_path without the PNG of its stem, and null ord where the file is no array."""
     read = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     schema = "array<struct<figure_type:string,series_name:string,data_points:array<struct<x:double,y:double>>>>"
-    truth = read("*_ground_truth.json").select(F.regexp_extract("path", r"([^/]+)_ground_truth\.json$", 1).alias("figure"), F.from_json(F.decode("content", F.lit("utf-8")), schema).alias("s"))
+    truth = read("*_ground_truth.json").select(F.regexp_extract("path", r"([^/]+)_ground_truth\.json$", 1).alias("figure"), F.from_json(F.decode("content", "utf-8"), schema).alias("s"))
     images = read("*.png").select(F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("figure"), F.col("path").alias("image_path"))
     rows = truth.select("figure", F.posexplode_outer("s").alias("ord", "s")).join(images, "figure", "left")
     return rows.select("figure", "ord", F.coalesce("s.figure_type", F.lit("unknown")).alias("figure_type"), "s.series_name", F.transform("s.data_points", lambda p: p["y"]).alias("ys"), "image_path")
