@@ -557,6 +557,21 @@ def prompt_text(documents):
 # Figures
 
 
+@query("""SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN '1' ELSE o_custkey::VARCHAR END AS figure_number, (o_orderkey % 7 + 1)::INTEGER AS page_number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS caption,
+CASE o_orderkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 3.0 ELSE 1.0 END AS x1, CASE o_orderkey % 5 WHEN 0 THEN 0.0 ELSE o_totalprice END AS y2 FROM orders""")
+def extractor_mapping(orders):
+    """JSON of a figure extractor to figures: names, else places; pages from 1; regions, else those of captions."""
+    from inkquarry.sources.files import extracted_figures
+
+    k = F.col("o_orderkey")
+    region = lambda x: F.struct(F.lit(x).alias("x1"), F.lit(0.0).alias("y1"), F.lit(9.0).alias("x2"), F.col("o_totalprice").alias("y2"))
+    raw = F.to_json(F.array(F.struct(
+        F.lit("Figure").alias("figType"), F.when(k % 3 == 1, F.col("o_custkey").cast("string")).alias("name"), F.when(k % 3 == 2, F.col("o_custkey")).alias("number"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("caption"),
+        (k % 7).cast("int").alias("page"), F.when(k % 5 > 1, region(1.0)).alias("regionBoundary"), F.when(k % 5 > 0, region(3.0)).alias("captionBoundary"),
+    )))
+    return orders.select(k.alias("doc"), F.explode(extracted_figures(raw)).alias("f")).select("doc", "f.figure_number", "f.page_number", "f.caption", "f.x1", "f.y2")
+
+
 @query("""WITH p AS (SELECT o_custkey AS k, o_orderkey AS id, 'pdffigures2' AS source FROM orders WHERE o_totalprice > 150000), s AS (SELECT o_custkey AS k, o_orderkey AS id, 'raster' AS source FROM orders WHERE o_totalprice <= 150000)
 SELECT * FROM p UNION ALL SELECT * FROM s WHERE k NOT IN (SELECT k FROM p)""")
 def source_fallback(orders):

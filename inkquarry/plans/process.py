@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from inkquarry.config import Settings
 from inkquarry.functions.geometry import large_enough, source_confidence
 from inkquarry.functions.model_json import SERIES_CONFIDENCE, classified, let, parse_array
+from inkquarry.functions.text import stem
 from inkquarry.operators.context import build_contexts, papers_from_pages, surrounding_text, title_of_first_page
-from inkquarry.operators.images import IMAGE, panels_of, png_of, usable
+from inkquarry.operators.images import IMAGE, cropped, panels_of, png_of, usable
 from inkquarry.schemas import ANNOTATION, POINT
 from inkquarry.sources.files import first_source, infer, page_texts, parse, text_spans
 from inkquarry.sources.store import Store
@@ -49,19 +50,27 @@ def figures_of(parsed: DataFrame, settings: Settings, primary: DataFrame | None
     return found.where(F.col("ord") < settings.most_figures) if settings.most_figures else found
 
 
+def with_crops(figures: DataFrame, parsed: DataFrame, dpi: int) -> DataFrame:
+    """Figures that come without an image get their part of the page's rendering, where there is one."""
+    lacking = figures.where("image is null and x2 is not null").select("paper_id", "ord", "page_number", box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("bounding_box"))
+    pages = parsed.select(F.col("path").alias("paper_id"), F.posexplode("page_info").alias("page_idx", "i")).select("paper_id", (F.col("page_idx") + 1).alias("page_number"), F.col("i.image").alias("image"))
+    crops = cropped(lacking.join(pages.where("image is not null"), ["paper_id", "page_number"]), ["paper_id", "ord"], dpi).withColumnRenamed("image", "crop")
+    return figures.join(crops, ["paper_id", "ord"], "left").withColumn("image", F.coalesce("image", "crop")).drop("crop")
+
+
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"))
 
 
 def process(
     files: DataFrame, store: Store, parser: Callable, classify: Callable, extract: Callable, threshold: float | None = None, most_figures: int | None = None, mode: str = "rich",
-    primary: Callable | None = None, settings: Settings | None = None,
+    primary: Callable | DataFrame | None = None, settings: Settings | None = None, require_image: bool = False,
 ) -> dict[str, DataFrame]:
     """files: path, content. Every document that can't be parsed and every figure that a model gave no answer for is a row of errors.
 
     Figures are split into panels where their images allow it, and keyed by figure and panel through all steps, so panels never share their series. Images too small to be figures go;
-    figures without an image are asked about by their texts alone. mode: as in build_contexts. primary: another figure extractor (bytes to a parser's dict), used where it gives
-    figures. most_figures, if given, keeps only the first ones of a paper."""
+    figures without an image take it from the page's rendering; without that too, they are asked about by their texts alone, or with require_image give no series. mode: as in
+    build_contexts. primary: another figure extractor (bytes to a parser's dict, or its output as in extractor_output), used where it gives figures. most_figures, if given, keeps only the first ones of a paper."""
     spark = store.spark
     settings = settings or Settings.of(spark)
     if most_figures is not None:
@@ -77,7 +86,11 @@ def process(
     store.upsert_papers(papers.select(F.col("paper_id").alias("pdf_path"), "doi", "title", "authors", "journal", "year"))
     ids = store.read("papers").select(F.col("id").alias("pid"), F.col("pdf_path").alias("paper_id"))
 
-    whole = figures_of(good, settings, None if primary is None else kept(parse(files, primary), "primary"))
+    if isinstance(primary, DataFrame):
+        better = good.select("path", stem(F.col("path")).alias("stem")).join(primary, "stem").select("path", "figures")
+    else:
+        better = None if primary is None else kept(parse(files, primary), "primary")
+    whole = with_crops(figures_of(good, settings, better), good, settings.image_dpi)
     whole = whole.where(F.col("image").isNull() | usable(F.col("image"))).withColumn("key", F.concat_ws("#", "paper_id", "ord"))
     parts = panels_of(whole.select(F.col("key").alias("figure_id"), "caption", F.col("image").cast(IMAGE).alias("image"))).select(F.col("figure_id").alias("key"), "panel_label", "caption", "image")
     raw = whole.drop("caption", "image").join(parts, "key").withColumn("figure_id", F.concat_ws("#", "key", F.nullif("panel_label", F.lit(""))))
@@ -87,7 +100,8 @@ def process(
     asked = kept(infer(asked, classify, image="png", attempts=settings.model_attempts, out="class_answer"), "classified")
     figures = asked.withColumn("c", classified(F.col("class_answer"), threshold)).withColumn("figure_type", F.col("c.figure_type")).drop("prompt", "class_answer", "class_answer_error")
     contexts = build_contexts(surrounding_text(figures, pages), papers, mode)
-    answered = kept(infer(contexts.where("c.has_quantitative_data"), extract, image="png", attempts=settings.model_attempts), "extracted")
+    worth = contexts.where("c.has_quantitative_data" + (" and png is not null" if require_image else ""))
+    answered = kept(infer(worth, extract, image="png", attempts=settings.model_attempts), "extracted")
 
     # each figure's id in the store is found by its place among those of its paper, never by a number that two may share
     rows = figures.join(ids, "paper_id").select(

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from urllib.error import HTTPError, URLError
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
@@ -112,6 +112,35 @@ def render(files: DataFrame, renderer: Callable[[bytes], list]) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, page_idx int, png binary")
 
 
+def extracted_figures(raw: Column) -> Column:
+    """Figures (as FIGURE) from the JSON output of a figure extractor: its type, name or number, caption, page (from 0) and region, else the caption's region; null if it is no array."""
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    found = F.from_json(raw, f"array<struct<name:string,number:string,caption:string,page:int,regionBoundary:{box},captionBoundary:{box}>>")
+
+    def one(f: Column, k: Column) -> Column:
+        corner = lambda c: F.coalesce(F.coalesce(f["regionBoundary"], f["captionBoundary"])[c], F.lit(0.0)).alias(c)
+        return F.struct(
+            F.coalesce(f["name"], f["number"], (k + 1).cast("string")).alias("figure_number"), (F.coalesce(f["page"], F.lit(0)) + 1).alias("page_number"), F.coalesce(f["caption"], F.lit("")).alias("caption"),
+            *[corner(c) for c in ("x1", "y1", "x2", "y2")], F.lit("pdffigures2").alias("source"), F.lit(None).cast(IMAGE).alias("image"),
+        )
+
+    return F.transform(found, one)
+
+
+def extractor_output(spark: SparkSession, folder: str) -> DataFrame:
+    """stem and figures of a folder of an extractor's `<stem>.json` files; process() takes it as its primary source."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    return found.select(stem(F.col("path")).alias("stem"), extracted_figures(F.decode("content", "utf-8")).alias("figures")).where("figures is not null")
+
+
+def extractor_available(jar: str) -> bool:
+    """Whether the extractor's program and Java are there, on this machine."""
+    import shutil
+    from pathlib import Path
+
+    return Path(jar).is_file() and shutil.which("java") is not None
+
+
 def first_source(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
     """Rows of the primary source, and for keys that it has nothing of those of the secondary one."""
     return primary.unionByName(secondary.join(primary.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -534,6 +534,32 @@ def test_process_whole(spark, tmp_path):
     assert max(r["count"] for r in near["figures"].where("panel_label = ''").groupBy("paper_id").count().collect()) == 1
 
 
+def page_parser(content):
+    """Figures by their boxes alone, on pages that are rendered."""
+    picture = blank(400, 300)
+    picture[100:200, 50:200] = 60
+    return {"pages": ["Some page"], "figures": [{"figure_number": "3", "page_number": 1, "caption": "c", "x1": 50.0, "y1": 100.0, "x2": 200.0, "y2": 200.0, "source": "raster"}], "page_info": [{"width": 300.0, "height": 400.0, "n_paths": 0, "image": image(picture)}]}
+
+
+def test_crops_and_extractor_output_in_process(spark, tmp_path):
+    src, made = tmp_path / "in", tmp_path / "json"
+    src.mkdir(), made.mkdir()
+    for name in ("a", "b", "c"):
+        (src / f"{name}.pdf").write_text(f"{name}\n")
+    (made / "b.json").write_text(json.dumps([{"figType": "Table", "name": "7", "caption": "by the extractor", "page": 0, "captionBoundary": {"x1": 0, "y1": 0, "x2": 250, "y2": 250}}]))
+    (made / "c.json").write_text("{broken")
+    primary = files.extractor_output(spark, str(made))
+    settings = Settings(image_dpi=72, least_figure_area=100, model_attempts=1)
+    out = process(files.documents(spark, str(src)), Store(spark, str(tmp_path / "s")), page_parser, by_image, series_of, primary=primary, settings=settings, require_image=True)
+    papers = {r["id"]: r["pdf_path"][-5] for r in out["papers"].collect()}
+    got = sorted((papers[r["paper_id"]], r["figure_number"], r["caption"], r["image_path"] is not None) for r in out["figures"].collect())
+    assert got == [("a", "3", "c", True), ("b", "7", "by the extractor", True), ("c", "3", "c", True)]
+    assert out["series"].count() == 6 and {r["figure_id"].rsplit("/", 1)[1][0]: len(r["png"]) > 50 for r in out["images"].collect()} == {"a": True, "b": True, "c": True}
+    bare = process(files.documents(spark, str(src)), Store(spark, str(tmp_path / "s2")), lambda c: page_parser(c) | {"page_info": []}, by_image, series_of, settings=settings, require_image=True)
+    assert bare["figures"].count() == 3 and bare["series"].isEmpty()
+    assert not files.extractor_available(str(tmp_path / "no.jar"))
+
+
 def test_watch_repeats_no_errors(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
