@@ -89,7 +89,8 @@ def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def benchmark_folder(spark: SparkSession, folder: str, extract: Callable) -> DataFrame:
     """Results per figure of a folder of `<stem>.png` and `<stem>_ground_truth.json`; pairs without an image or with an unreadable truth are skipped, and count as such."""
-    from inkquarry.functions.model_json import let, parse_array
+    from inkquarry.functions.model_json import parse_array
+    from inkquarry.functions.text import let
     from inkquarry.operators.context import extraction_prompt
     from inkquarry.staging import kept
 

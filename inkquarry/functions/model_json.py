@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkquarry.functions.text import let
+
 #: The taxonomy in order, the extraction strategy of each type, and what counts where an answer can't be read.
 FIGURE_TYPES = ("line_plot", "bar_chart", "scatter_plot", "heatmap", "spectrum_nmr", "spectrum_ir", "spectrum_ms", "western_blot", "microscopy", "table", "diagram", "other")
 STRATEGIES = {
@@ -27,11 +27,6 @@ SERIES_SCHEMA = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value evaluated once: the optimizer would copy the expression into each of its uses, but leaves a lambda's variable alone."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unfenced(raw: Column) -> Column:
     """Without code fences, and without white space and back quotes at the ends."""
     return F.regexp_replace(F.regexp_replace(raw, r"```(?:json)?", ""), r"^[\s`]+|[\s`]+$", "")

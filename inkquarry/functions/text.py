@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +55,39 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def match_starts(text: Column, pattern: str) -> Column:
-    """0-based places of all matches: the lengths of what lies between and of the matches, added up."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(x["gap"])).alias("out")),
-    )
-    return step["out"]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once: the optimizer would copy the expression into each of its uses, but leaves a lambda's variable alone."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column, chunk: int = 64) -> Column:
+    """The running sums of an array of whole numbers: by chunks, as a fold that appends copies what it has at every step."""
+    none, append = F.array().cast("array<long>"), lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.array_append(acc["out"], acc["at"] + v).alias("out"))
+    fold = lambda x: F.aggregate(x, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), append, lambda acc: acc["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / chunk).cast("int")), lambda c: fold(F.slice(numbers, c * chunk + 1, chunk)))
+
+    def joined(parts: Column) -> Column:
+        before = fold(F.transform(parts, lambda x: F.element_at(x, -1)))
+        return let(before, lambda ends: F.flatten(F.transform(parts, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(ends, i - 1)).otherwise(0)))))
+
+    return F.when(F.size(numbers) > 0, let(chunks, joined)).otherwise(none)
+
+
+def match_spans(text: Column, pattern: Column | str) -> Column:
+    """0-based places and lengths (s, n) of all matches: the lengths of what lies between and of the matches, added up."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    cut = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("hits"))
+
+    def spans(x: Column) -> Column:
+        sums = running_sums(F.transform(x["hits"], lambda n, i: n + F.get(x["gaps"], i)))
+        return F.zip_with(sums, x["hits"], lambda end, n: F.struct((end - n).cast("int").alias("s"), n.alias("n")))
+
+    return let(cut, spans)
+
+
+def match_starts(text: Column, pattern: Column | str) -> Column:
+    """0-based places of all matches."""
+    return F.transform(match_spans(text, pattern), lambda m: m["s"])
 
 
 def window_around(text: Column, start: Column, length: Column, n: int) -> Column:
@@ -94,9 +119,9 @@ def page_figure_pattern(number: Column) -> Column:
 
 def figure_references(text: Column) -> Column:
     """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them."""
-    found, starts = F.regexp_extract_all(text, F.lit(FIGURE_REFERENCE), F.lit(0)), match_starts(text, FIGURE_REFERENCE)
-    around = lambda x: strip(F.substring(text, F.greatest(x["s"] - REFERENCE_WINDOW, F.lit(0)) + 1, x["s"] + F.length(x["h"]) + REFERENCE_WINDOW - F.greatest(x["s"] - REFERENCE_WINDOW, F.lit(0))))
-    return F.transform(F.arrays_zip(starts.alias("s"), found.alias("h")), lambda x: F.struct(strip(x["h"]).alias("figure_ref"), around(x).alias("context")))
+    low = lambda m: F.greatest(m["s"] - REFERENCE_WINDOW, F.lit(0))
+    around = lambda m: F.substring(text, low(m) + 1, m["s"] + m["n"] + REFERENCE_WINDOW - low(m))
+    return F.transform(match_spans(text, FIGURE_REFERENCE), lambda m: F.struct(strip(F.substring(text, m["s"] + 1, m["n"])).alias("figure_ref"), strip(around(m)).alias("context")))
 
 
 def maybe_scanned(text: Column) -> Column:

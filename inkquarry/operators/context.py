@@ -34,16 +34,8 @@ def papers_from_pages(pages: DataFrame, info: DataFrame) -> DataFrame:
 
 def mentions(full_text: Column, number: Column) -> Column:
     """Snippets around all mentions of a figure, longest first, without near repeats, at most REFS. number must be a column, so the pattern is made per row."""
-    pattern = T.figure_pattern(number)
-    between, found = F.split(full_text, pattern, -1), F.regexp_extract_all(full_text, pattern, F.lit(0))
-    starts = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,n:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("s"), F.length(x["hit"]).alias("n"))).alias("out")
-        ),
-    )["out"]
-    return T.greedy_distinct(F.transform(starts, lambda m: T.snippet_around(full_text, m["s"], m["n"], REF_WINDOW)), 0.6, REFS)
+    snippets = F.transform(T.match_spans(full_text, T.figure_pattern(number)), lambda m: T.snippet_around(full_text, m["s"], m["n"], REF_WINDOW))
+    return T.let(snippets, lambda s: T.greedy_distinct(s, 0.6, REFS))
 
 
 def scored_sentences(text: Column, caption: Column, number: Column, most: int = SECTION_CHARS) -> Column:

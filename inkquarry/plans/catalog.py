@@ -533,15 +533,15 @@ def surrounding_window(conversations):
     return surrounding_text(figures, pages).select("figure_id", "surrounding_text")
 
 
-@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A caption of ' || source END AS caption, substring(text, 1, 700) AS methods, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substring(text, 100, 900) END AS results, text FROM documents)
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A caption of ' || source END AS caption, text AS methods, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang || ': ' || text END AS results, text FROM documents)
 SELECT doc_id, regexp_replace(substring(concat_ws(chr(10) || chr(10), CASE WHEN caption <> '' THEN 'FIGURE CAPTION: ' || caption END, CASE WHEN doc_id % 2 = 0 THEN 'IN-TEXT DESCRIPTION: one ' || doc_id || '; two' END, CASE WHEN methods <> '' THEN 'METHODS CONTEXT: ' || substring(methods, 1, 500) END, CASE WHEN results <> '' THEN 'RESULTS CONTEXT: ' || substring(results, 1, 500) END), 1, 3000), '^\\s+|\\s+$', '', 'g') AS summary FROM d""")
 def context_summary(documents):
     from inkquarry.operators.context import context_summary as summary
 
     i = F.col("doc_id")
     refs = F.when(i % 2 == 0, F.array(F.concat(F.lit("one "), i.cast("string")), F.lit("two"), F.lit("three"))).otherwise(F.array().cast("array<string>"))
-    caption, results = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("A caption of "), "source")), F.when(i % 4 == 0, "").otherwise(F.substring("text", 100, 900))
-    return documents.select("doc_id", summary(caption, refs, F.substring("text", 1, 700), results).alias("summary"))
+    caption, results = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("A caption of "), "source")), F.when(i % 4 == 0, "").otherwise(F.concat_ws(": ", "lang", "text"))
+    return documents.select("doc_id", summary(caption, refs, F.col("text"), results).alias("summary"))
 
 
 @query("""SELECT doc_id, concat_ws(chr(10), 'Paper: ' || CASE WHEN doc_id % 5 = 0 THEN 'Unknown' ELSE source END, 'DOI: Unknown', 'Figure ' || doc_id || CASE WHEN lang = 'en' THEN ' (line_plot)' ELSE '' END, '', CASE WHEN doc_id % 3 = 0 THEN '=== CAPTION ===' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '(no caption available)' ELSE 'about ' || lang END ELSE '=== CONTEXT ===' || chr(10) || text END, '',

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from inkquarry.config import Settings
 from inkquarry.functions.geometry import large_enough, source_confidence
-from inkquarry.functions.model_json import SERIES_CONFIDENCE, classified, let, parse_array
-from inkquarry.functions.text import stem
+from inkquarry.functions.model_json import SERIES_CONFIDENCE, classified, parse_array
+from inkquarry.functions.text import let, stem
 from inkquarry.operators.context import build_contexts, papers_from_pages, surrounding_text, title_of_first_page
 from inkquarry.operators.images import IMAGE, cropped, panels_of, png_of, usable
 from inkquarry.schemas import ANNOTATION, POINT

@@ -110,7 +110,9 @@ class Store:
         self.append("figures", figures, ["paper_id", "page_number", "figure_number"])
 
     def figures_of(self, papers: DataFrame) -> DataFrame:
-        return nested(papers, self.read("figures"), self.read("series"))
+        """Papers with their figures and series; only the rows of these papers are grouped."""
+        figures = self.read("figures").join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+        return nested(papers, figures, self.read("series").join(figures.select(F.col("id").alias("figure_id")), "figure_id", "left_semi"))
 
     def search(self, doi: str) -> DataFrame:
         return self.figures_of(self.read("papers").where(F.col("doi") == doi).orderBy("id").limit(1))

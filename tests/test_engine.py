@@ -284,6 +284,17 @@ def test_fixed_rules(spark):
     assert one(spark, T.journal(F.lit(""), F.lit("Elsevier"))) == "Elsevier" and one(spark, T.journal(F.lit(None).cast("string"), F.lit("Adobe X"))) is None
 
 
+def test_places_of_matches(spark):
+    rng = random.Random(3)
+    texts = ["", "none", "ab" * 700, None] + ["".join(rng.choices("ab  x\n", k=rng.randint(0, 900))) for _ in range(20)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.match_spans(F.col("t"), "a b?|ab").alias("m"), T.running_sums(F.transform(F.split("t", ""), lambda c: F.length(c) + 1)).alias("r"))
+    for row in df.collect():
+        t = texts[row["k"]]
+        if t is not None:
+            assert [tuple(m) for m in row["m"]] == [(m.start(), m.end() - m.start()) for m in re.finditer("a b?|ab", t)]
+            assert row["r"] == [2 * (i + 1) for i in range(len(t))] if t else True
+
+
 @pytest.mark.parametrize("raw,kind,score,data", [('{"figure_type":"western_blot","confidence":"0.9"}', "western_blot", 0.9, True), ('{"figure_type":"microscopy","confidence":0.9}', "microscopy", 0.9, False), ('{"figure_type":"microscopy","confidence":0.5}', "other", 0.5, True), ('{"figure_type":"heatmap"}', "other", 0.3, True), ("{}", "other", 0.0, False), ('{"figure_type":"heatmap","confidence":"sure"}', "other", 0.0, False), ('{"figure_type":"box_plot","confidence":1}', "other", 1.0, True), ("[1]", "other", 0.0, False), (None, "other", 0.0, False)])
 def test_answers(spark, raw, kind, score, data):
     got = one(spark, J.classified(F.lit(raw).cast("string")))
