@@ -245,8 +245,9 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     # a set, as rows that repeat a document name its chunks again
     whole = own.unionByName(others.drop("digest", "owner")).groupBy("key", "idless", "mark").agg(F.array_sort(F.collect_set(F.struct("part", "data"))).alias("parts"))
     start = F.when(F.col("good"), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("shard "), F.col("shard").cast("string"), F.lit(" does not match the manifest"))).cast("long"))
-    rows = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), "shard", "doc_id", "before", "n_tokens", "root").join(whole, ["key", "idless", "mark"], "left")
-    rows = rows.join(checked_manifest(spark, path).select("shard", start.alias("start")), "shard")
+    # the manifest meets the slim recipes, never the data, whatever way Spark joins them
+    slim = recipes.select(*key(F.col("doc_id"), F.xxhash64("root")), "shard", "doc_id", "before", "n_tokens", "root").join(checked_manifest(spark, path).select("shard", start.alias("start")), "shard")
+    rows = slim.join(whole, ["key", "idless", "mark"], "left")
 
     last = "ids binary" if ids else "ids_crc32 long"
 
