@@ -50,9 +50,13 @@ def abstract(text: Column) -> Column:
     return F.nullif(strip(F.regexp_extract(text, ABSTRACT, 1)), F.lit(""))
 
 
+#: What counts as white space at the ends of a text.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, newlines and tabs too."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -120,8 +124,9 @@ def page_figure_pattern(number: Column) -> Column:
 def figure_references(text: Column) -> Column:
     """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them."""
     low = lambda m: F.greatest(m["s"] - REFERENCE_WINDOW, F.lit(0))
-    around = lambda m: F.substring(text, low(m) + 1, m["s"] + m["n"] + REFERENCE_WINDOW - low(m))
-    return F.transform(match_spans(text, FIGURE_REFERENCE), lambda m: F.struct(strip(F.substring(text, m["s"] + 1, m["n"])).alias("figure_ref"), strip(around(m)).alias("context")))
+    around = lambda t, m: F.substring(t, low(m) + 1, m["s"] + m["n"] + REFERENCE_WINDOW - low(m))
+    one = lambda t, m: F.struct(strip(F.substring(t, m["s"] + 1, m["n"])).alias("figure_ref"), strip(around(t, m)).alias("context"))
+    return let(text, lambda t: F.transform(match_spans(t, FIGURE_REFERENCE), lambda m: one(t, m)))
 
 
 def maybe_scanned(text: Column) -> Column:
@@ -172,7 +177,7 @@ def sections(text: Column, swallow_next: bool = False) -> Column:
     heads = F.regexp_extract_all(text, F.lit(SECTION), F.lit(0))
     bodies = F.slice(F.split(text, SECTION, -1), F.lit(2), F.size(heads))
     tail = lambda i: F.when(F.lit(swallow_next), F.coalesce(F.get(heads, i + 1), F.lit(""))).otherwise("")
-    each = F.transform(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda x, i: F.struct(section_name(x["h"]).alias("name"), F.regexp_replace(F.concat(x["b"], tail(i)), r"^\s+|\s+$", "").alias("body")))
+    each = F.transform(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda x, i: F.struct(section_name(x["h"]).alias("name"), strip(F.concat(x["b"], tail(i))).alias("body")))
     # through a fold, so that the array of all sections is made once and not for every name
     return F.aggregate(
         F.array(each), F.array().cast("array<struct<ord:int,name:string,body:string>>"),

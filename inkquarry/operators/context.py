@@ -34,8 +34,8 @@ def papers_from_pages(pages: DataFrame, info: DataFrame) -> DataFrame:
 
 def mentions(full_text: Column, number: Column) -> Column:
     """Snippets around all mentions of a figure, longest first, without near repeats, at most REFS. number must be a column, so the pattern is made per row."""
-    snippets = F.transform(T.match_spans(full_text, T.figure_pattern(number)), lambda m: T.snippet_around(full_text, m["s"], m["n"], REF_WINDOW))
-    return T.let(snippets, lambda s: T.greedy_distinct(s, 0.6, REFS))
+    around = lambda t: F.transform(T.match_spans(t, T.figure_pattern(number)), lambda m: T.snippet_around(t, m["s"], m["n"], REF_WINDOW))
+    return T.let(T.let(full_text, around), lambda s: T.greedy_distinct(s, 0.6, REFS))
 
 
 def scored_sentences(text: Column, caption: Column, number: Column, most: int = SECTION_CHARS) -> Column:

@@ -54,17 +54,18 @@ def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tol
     def normal(df: DataFrame) -> DataFrame:
         return df.select(key, minmax(F.col("x"), key).alias("x"), minmax(F.col("y"), key).alias("y"))
 
-    # points of one cell are near each other, whatever their places in it; others may be up to two cells away
-    side = tolerance / 1.415
-    cell = lambda c: F.floor(c / side).cast("long")
+    # points of one small cell are near each other, whatever their places in it; others are in the nine cells of the tolerance around a point
+    small, cell = tolerance / 1.415, lambda c, side: F.floor(c / side).cast("long")
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        cells = right.select(key, F.col("x").alias("x2"), F.col("y").alias("y2"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).distinct()
-        full = cells.select(key, "cx", "cy").distinct()
-        l = left.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))}).groupBy(key, "cx", "cy", "x", "y").agg(F.count("*").alias("n"))
+        spots = right.select(key, F.col("x").alias("x2"), F.col("y").alias("y2")).distinct()
+        full = spots.select(key, cell(F.col("x2"), small).alias("cx"), cell(F.col("y2"), small).alias("cy")).distinct()
+        l = left.groupBy(key, "x", "y").agg(F.count("*").alias("n")).withColumns({"cx": cell(F.col("x"), small), "cy": cell(F.col("y"), small)})
         easy = l.join(full, [key, "cx", "cy"], "left_semi")
-        around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
-        hard = l.join(full, [key, "cx", "cy"], "left_anti").withColumn("d", F.explode(F.array(*around))).select(key, "x", "y", "n", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        hard = l.join(full, [key, "cx", "cy"], "left_anti").select(key, "x", "y", "n", F.explode(around).alias("d"))
+        hard = hard.select(key, "x", "y", "n", (cell(F.col("x"), tolerance) + F.col("d.i")).alias("cx"), (cell(F.col("y"), tolerance) + F.col("d.j")).alias("cy"))
+        cells = spots.select(key, "x2", "y2", cell(F.col("x2"), tolerance).alias("cx"), cell(F.col("y2"), tolerance).alias("cy"))
         close = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)) <= tolerance
         found = hard.join(cells, [key, "cx", "cy"]).where(close).select(key, "x", "y", "n").distinct()
         hit = easy.select(key, "n").unionByName(found.select(key, "n")).groupBy(key).agg(F.sum("n").alias("hit"))
