@@ -112,20 +112,23 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path.split("#")[0].split("?")[0]
 
 
-def train(labelled, epochs: int = 300, rate: float = 0.03, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression by full-batch gradient descent over (url, label) rows."""
+def train(labelled, epochs: int = 60, rate: float = 0.01, ridge: float = 1e-2, momentum: float = 0.9) -> tuple[np.ndarray, float]:
+    """Weights and bias of logistic regression by full-batch gradient descent with momentum over (url, label) rows."""
     rows = sorted(labelled, key=lambda r: (str(r[0]), r[1]))[:MAX_LABELLED]
     weights, bias = np.zeros(WIDTH), 0.0
     if not rows:
         return weights, -1.0
     owner, flat = features(*map(list, zip(*(split_url(url) for url, _ in rows), strict=True)))
-    label = np.array([y for _, y in rows], dtype=float)
+    used, flat = np.unique(flat, return_inverse=True)
+    label, own, move, shift = np.array([y for _, y in rows], dtype=float), np.zeros(len(used)), np.zeros(len(used)), 0.0
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(rows))))
     for _ in range(epochs):
-        margin = np.bincount(owner, weights[flat], minlength=len(rows)) * scale + bias
+        margin = np.bincount(owner, own[flat], minlength=len(rows)) * scale + bias
         error = 1 / (1 + np.exp(-margin)) - label
-        weights -= rate * (np.bincount(flat, (error * scale)[owner], minlength=WIDTH) + ridge * weights)
-        bias -= rate * float(error.mean())
+        move = momentum * move - rate * (np.bincount(flat, (error * scale)[owner], minlength=len(used)) + ridge * own)
+        shift = momentum * shift - rate * float(error.mean())
+        own, bias = own + move, bias + shift
+    weights[used] = own
     return weights, bias
 
 
