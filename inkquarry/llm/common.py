@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +135,28 @@ class Forest:
             return False
         self.up[max(x, y)] = min(x, y)
         return True
+
+
+def batched(batches, most_words: int):
+    """(ids, texts as lists of words) of parts of Arrow batches of (doc_id, text as binary) of some `most_words` words; a longer text is a part of its own.
+
+    Words are what lies between space, tab, line feed, vertical tab, form feed and carriage return, which is how bytes.split() cuts."""
+    for batch in batches:
+        ids, texts, n = [], [], 0
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words = text.split()
+                if ids and n + len(words) > most_words:
+                    yield ids, texts
+                    ids, texts, n = [], [], 0
+                ids.append(doc_id)
+                texts.append(words)
+                n += len(words)
+        if ids:
+            yield ids, texts
+
+
+def codes_of(words: list[bytes]) -> np.ndarray:
+    """A number for each word; equal words have equal numbers."""
+    return pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
