@@ -1,21 +1,125 @@
-"""The stored tables (papers, figures, series, errors) as Parquet: a table is a list of folders, named by its newest numbered commit file.
+"""The stored tables (papers, figures, series, errors) as Parquet, under one log of numbered commits for the whole store.
 
-A writer makes new folders first and then the next commit, by a rename that never replaces a file. So readers see a table before or after a write and never between, a table is
-never absent, and of two writers of one version the second fails. Appending adds a folder and rewrites nothing."""
+A commit is a small JSON file that names every table's folders, its last id and the stream batches that are in. A transaction writes new folders first and then the next commit, by a
+rename that never replaces a file. So a reader sees all tables before or after a transaction and never between, whenever a writer dies; of two writers of one version the second
+finds the file there, and runs its transaction again on what the first one wrote.
+
+Rows are never rewritten in place (merge on read): a change adds a folder of new rows, and a folder of the keys whose older rows are dead. Folders carry a number that grows with each
+change, and a row is dead if a later folder names its key. What a transaction writes therefore grows with what it changes; a table of more than MOST_FOLDERS folders is
+compacted by the next transaction that adds to it."""
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkquarry.functions.text import safe_name
 from inkquarry.operators.ordered import surrogate_ids
 from inkquarry.schemas import TABLES
+from inkquarry.staging import kept
 
-#: A table of more folders than this is written anew by the next append.
+#: A table of more folders than this is written anew by the next transaction that adds to it.
 MOST_FOLDERS = 64
+#: How often a transaction is run again because another writer was faster.
+MOST_TRIES = 20
+
+T = TypeVar("T")
+
+
+class Snapshot:
+    """All tables as of one commit."""
+
+    def __init__(self, spark: SparkSession, root: str, state: dict):
+        self.spark, self.root, self.state = spark, root, state
+
+    def _empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], TABLES[table])
+
+    def read(self, table: str) -> DataFrame:
+        """The live rows. Deleted keys are grouped before they are joined, so each is one row, whatever its number of rows in the table."""
+        held = self.state["tables"][table]
+        if not held["rows"]:
+            return self._empty(table)
+        rows = self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{x}" for x in held["rows"]])
+        for column in sorted({c for c, _ in held["gone"]}):
+            folders = [f"{self.root}/{table}/{x}" for c, x in held["gone"] if c == column]
+            number = F.regexp_extract("_metadata.file_path", r"/[rd]-(\d+)-", 1).cast("long")
+            gone = self.spark.read.schema("key long").parquet(*folders).select("key", number.alias("_gone")).groupBy("key").agg(F.max("_gone").alias("_gone"))
+            rows = rows.withColumn("_at", number) if "_at" not in rows.columns else rows
+            rows = rows.join(gone, (F.col(column) == F.col("key")) & (F.col("_at") < F.col("_gone")), "left_anti")
+        return rows.select(*self._empty(table).columns)
+
+
+class Transaction(Snapshot):
+    """Changes to a snapshot, which reads of the same transaction see; nobody else does before the commit."""
+
+    def _next(self, table: str) -> int:
+        return self.state["tables"][table]["last"]
+
+    def _written(self, table: str, df: DataFrame, kind: str = "r") -> str:
+        self.state["changes"] += 1
+        folder = f"{kind}-{self.state['changes']}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{table}/{folder}")
+        return folder
+
+    def _add(self, table: str, df: DataFrame) -> DataFrame:
+        """Adds rows with ids in a folder of their own; what was written."""
+        held = self.state["tables"][table]
+        if len(held["rows"]) + len(held["gone"]) >= MOST_FOLDERS:
+            held["rows"], held["gone"] = [self._written(table, self.read(table))], []
+        folder = self._written(table, df.select(*self._empty(table).columns))
+        held["rows"].append(folder)
+        added = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{folder}")
+        held["last"] = max(held["last"], added.agg(F.max("id")).first()[0] or 0)
+        return added
+
+    def _drop(self, table: str, column: str, keys: DataFrame) -> None:
+        """Rows that are there now and whose column has one of the keys (one column of longs) are dead."""
+        if self.state["tables"][table]["rows"]:
+            self.state["tables"][table]["gone"].append([column, self._written(table, keys.toDF("key").distinct(), "d")])
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """Replaces a table."""
+        rows = self._written(table, df.select(*self._empty(table).columns))
+        self.state["tables"][table] = {"rows": [], "gone": [], "last": self._next(table)}
+        last = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{rows}").agg(F.max("id")).first()[0] or 0
+        self.state["tables"][table] = {"rows": [rows], "gone": [], "last": max(self._next(table), last)}
+
+    def upsert_papers(self, new: DataFrame) -> None:
+        """By pdf_path: known papers keep id and processed_at and take every other value, nulls too; new ones get ids. Of rows with one path, the one with the largest values counts."""
+        one = kept(one_per_key(new, "pdf_path"), "upsert")
+        known = kept(self.read("papers").join(one.select("pdf_path"), "pdf_path", "left_semi"), "known")
+        rows = kept(self._empty("papers").unionByName(upserted(known, one, self._next("papers")), allowMissingColumns=True), "upserted")
+        self._drop("papers", "id", known.select("id"))
+        self._add("papers", rows)
+
+    def append(self, table: str, rows: DataFrame, order: list[str]) -> None:
+        """Adds rows with dense ids in the given order, in a new folder."""
+        with_ids, empty = surrogate_ids(rows.drop("id"), order, self._next(table)), self._empty(table)
+        self._add(table, empty.unionByName(with_ids.select(*[c for c in with_ids.columns if c in empty.columns]), allowMissingColumns=True))
+
+    def replace_figures(self, figures: DataFrame) -> None:
+        """Figures of the same papers give way to the new ones, with their series (cascade)."""
+        self.replace_figures_of(figures.select("paper_id").distinct(), figures)
+
+    def replace_figures_of(self, gone: DataFrame, figures: DataFrame) -> None:
+        """Figures of the given papers (paper_id) give way, also where a paper has no new ones: their series go too, and errors keep no figure."""
+        dropped = kept(self.read("figures").join(gone, "paper_id", "left_semi").select(F.col("id").alias("figure_id")), "dropped")
+        if not dropped.isEmpty():
+            errors = kept(self.read("errors").join(dropped, "figure_id", "left_semi"), "errors")
+            if not errors.isEmpty():
+                self._drop("errors", "id", errors.select("id"))
+                self._add("errors", errors.withColumn("figure_id", F.lit(None).cast("long")))
+            self._drop("series", "figure_id", dropped)
+            self._drop("figures", "id", dropped)
+        self.append("figures", figures, ["paper_id", "page_number", "figure_number"])
 
 
 class Store:
@@ -26,93 +130,108 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _newest(self, table: str) -> int:
+    def _commits(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/commits")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _newest(self) -> int:
         """The number of the newest commit; 0 without any."""
-        fs, p = self._fs(f"{self.root}/{table}/commits")
-        return max([int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()], default=0) if fs.exists(p) else 0
+        return max(self._commits(), default=0)
+
+    def _state(self, number: int) -> dict:
+        if not number:
+            return {"changes": 0, "tables": {t: {"rows": [], "gone": [], "last": 0} for t in TABLES}, "batches": {}}
+        lines = self.spark.read.option("wholetext", True).text(f"{self.root}/commits/{number:012d}").first()
+        return json.loads(lines[0])
 
     def _folders(self, table: str) -> list[str]:
-        newest = self._newest(table)
-        return [r[0] for r in self.spark.read.text(f"{self.root}/{table}/commits/{newest:012d}").collect() if r[0]] if newest else []
+        held = self._state(self._newest())["tables"][table]
+        return held["rows"] + [x for _, x in held["gone"]]
 
-    def _commit(self, table: str, number: int, folders: list[str]) -> None:
-        """Names the table's folders as of commit `number`; fails if there is one of that number."""
-        jvm, name = self.spark._jvm, f"{self.root}/{table}/commits/{number:012d}"
+    def _commit(self, number: int, state: dict) -> bool:
+        """Makes `state` the commit `number`; False if there is one of that number."""
+        jvm, name = self.spark._jvm, f"{self.root}/commits/{number:012d}"
         fs, new = self._fs(f"{name}.{uuid.uuid4().hex}")
         out = fs.create(new, False)
-        out.write(bytearray("\n".join(folders).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
         _, last = self._fs(name)
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(new), fs.makeQualified(last), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-
-    def _written(self, table: str, df: DataFrame) -> str:
-        folder = f"v-{uuid.uuid4().hex}"
-        df.select(*self._empty(table).columns).write.parquet(f"{self.root}/{table}/{folder}")
-        return folder
-
-    def _empty(self, table: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[table])
+        try:
+            context.rename(fs.makeQualified(new), fs.makeQualified(last), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            fs.delete(new, False)
+            return False
+        return True
+
+    def snapshot(self) -> Snapshot:
+        """All tables as of the newest commit; later transactions don't change what it reads."""
+        return Snapshot(self.spark, self.root, self._state(self._newest()))
+
+    def transact(self, change: Callable[[Transaction], T], batch: tuple[str, int] | None = None) -> T | None:
+        """All that `change` does to a transaction, in one commit. It runs again from the start where another writer was faster, so what it reads must be settled (kept) before.
+
+        batch: (name of a stream, number of its batch). A batch whose number is in already does nothing and gives None, so each takes effect once."""
+        for _ in range(MOST_TRIES):
+            number = self._newest()
+            state = self._state(number)
+            if batch and state["batches"].get(batch[0], -1) >= batch[1]:
+                return None
+            out = change(Transaction(self.spark, self.root, state))
+            if batch:
+                state["batches"][batch[0]] = batch[1]
+            if self._commit(number + 1, state):
+                return out
+        raise RuntimeError(f"other writers were faster {MOST_TRIES} times")
+
+    def has_batch(self, batch: tuple[str, int]) -> bool:
+        return self._state(self._newest())["batches"].get(batch[0], -1) >= batch[1]
 
     def read(self, table: str) -> DataFrame:
-        folders = self._folders(table)
-        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{x}" for x in folders]) if folders else self._empty(table)
+        return self.snapshot().read(table)
 
     def write(self, table: str, df: DataFrame) -> None:
         """Replaces a table."""
-        number = self._newest(table) + 1
-        self._commit(table, number, [self._written(table, df)])
-
-    def vacuum(self, table: str, keep: int = 2) -> None:
-        """Deletes folders that none of the last `keep` commits names, and the older commits; readers of those versions must be done."""
-        fs, p = self._fs(f"{self.root}/{table}/commits")
-        commits = sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
-        used = {r[0] for c in commits[-keep:] for r in self.spark.read.text(f"{self.root}/{table}/commits/{c}").collect()}
-        _, folder = self._fs(f"{self.root}/{table}")
-        for x in fs.listStatus(folder) if commits else []:
-            if x.getPath().getName().startswith("v-") and x.getPath().getName() not in used:
-                fs.delete(x.getPath(), True)
-        for c in commits[:-keep]:
-            fs.delete(self._fs(f"{self.root}/{table}/commits/{c}")[1], False)
-
-    def init(self) -> None:
-        """Makes the tables that aren't there; those that are stay as they are."""
-        for t in TABLES:
-            if not self._newest(t):
-                self._commit(t, 1, [self._written(t, self._empty(t))])
-
-    def _next(self, table: str) -> int:
-        return self.read(table).agg(F.max("id")).first()[0] or 0
+        self.transact(lambda t: t.write(table, df))
 
     def upsert_papers(self, new: DataFrame) -> None:
-        """By pdf_path: known papers keep id and processed_at and take every other value, nulls too; new ones get ids."""
-        self.write("papers", upserted(self.read("papers"), new, self._next("papers")))
+        self.transact(lambda t: t.upsert_papers(new))
 
     def append(self, table: str, rows: DataFrame, order: list[str]) -> None:
-        """Adds rows with dense ids in the given order, in a new folder."""
-        number, folders = self._newest(table) + 1, self._folders(table)
-        with_ids, empty = surrogate_ids(rows.drop("id"), order, self._next(table)), self._empty(table)
-        new = empty.unionByName(with_ids.select(*[c for c in with_ids.columns if c in empty.columns]), allowMissingColumns=True)
-        if len(folders) >= MOST_FOLDERS:
-            new, folders = self.read(table).unionByName(new), []
-        self._commit(table, number, [*folders, self._written(table, new)])
+        self.transact(lambda t: t.append(table, rows, order))
 
     def replace_figures(self, figures: DataFrame) -> None:
-        """Figures of the same papers give way to the new ones, with their series (cascade)."""
-        self.replace_figures_of(figures.select("paper_id").distinct(), figures)
+        self.transact(lambda t: t.replace_figures(figures))
 
     def replace_figures_of(self, gone: DataFrame, figures: DataFrame) -> None:
-        """Figures of the given papers (paper_id) give way, also where a paper has no new ones."""
-        dropped = self.read("figures").join(gone, "paper_id", "left_semi").select(F.col("id").alias("figure_id"))
-        self.write("series", self.read("series").join(dropped, "figure_id", "left_anti"))
-        self.write("errors", set_null(self.read("errors"), dropped))
-        self.write("figures", self.read("figures").join(gone, "paper_id", "left_anti"))
-        self.append("figures", figures, ["paper_id", "page_number", "figure_number"])
+        self.transact(lambda t: t.replace_figures_of(gone, figures))
+
+    def vacuum(self, keep: int = 2, older_than: float = 0) -> None:
+        """Deletes folders that none of the last `keep` commits names and that are `older_than` seconds old, and the older commits. Readers of those versions must be done, and
+        transactions that are under way must be younger."""
+        commits, latest = self._commits(), (time.time() - older_than) * 1000
+        used = {f for c in commits[-keep:] for t in self._state(c)["tables"].values() for f in t["rows"] + [x for _, x in t["gone"]]}
+        for table in TABLES:
+            fs, folder = self._fs(f"{self.root}/{table}")
+            for x in fs.listStatus(folder) if fs.exists(folder) else []:
+                if x.getPath().getName()[:2] in ("r-", "d-") and x.getPath().getName() not in used and x.getModificationTime() <= latest:
+                    fs.delete(x.getPath(), True)
+        for c in commits[:-keep]:
+            fs, path = self._fs(f"{self.root}/commits/{c:012d}")
+            fs.delete(path, False)
+
+    def init(self) -> None:
+        """Makes a store where there is none; one that is there stays as it is."""
+        if not self._newest():
+            self._commit(1, self._state(0))
 
     def figures_of(self, papers: DataFrame) -> DataFrame:
         """Papers with their figures and series; only the rows of these papers are grouped."""
-        figures = self.read("figures").join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-        return nested(papers, figures, self.read("series").join(figures.select(F.col("id").alias("figure_id")), "figure_id", "left_semi"))
+        now = self.snapshot()
+        figures = now.read("figures").join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+        return nested(papers, figures, now.read("series").join(figures.select(F.col("id").alias("figure_id")), "figure_id", "left_semi"))
 
     def search(self, doi: str) -> DataFrame:
         return self.figures_of(self.read("papers").where(F.col("doi") == doi).orderBy("id").limit(1))
@@ -150,8 +269,15 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("ord int, x double, y double, err_x double, err_y double, file string").csv(path)
 
 
+def one_per_key(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key, that with the largest values by the order of columns (nulls are smallest); rows without a key count as rows of one key. Partial sums, so a hot key is one row a task."""
+    values = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*values)).alias("_v")).select(key, "_v.*") if values else rows.distinct()
+
+
 def upserted(old: DataFrame, new: DataFrame, last_id: int, key: str = "pdf_path") -> DataFrame:
-    """Full outer join on the key: values of new win, ids and processed_at of old stay."""
+    """Full outer join on the key: values of new win, ids and processed_at of old stay. Of new rows with one key, the one with the largest values counts."""
+    new = one_per_key(new, key)
     fresh = surrogate_ids(new.join(old.select(key), key, "left_anti").drop("id"), [key], last_id)
     kept = ["id", "processed_at"] if "processed_at" in old.columns else ["id"]
     values = [c for c in old.columns if c not in (*kept, key)]

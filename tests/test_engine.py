@@ -74,17 +74,116 @@ def test_store_versions(spark, tmp_path):
     row = lambda k: spark.createDataFrame([(None, "x", f"m{k}")], "figure_id long, error_type string, error_message string")
     for k in range(3):
         store.append("errors", row(k), ["error_message"])
-    assert [r["id"] for r in store.read("errors").orderBy("id").collect()] == [1, 2, 3] and len(store._folders("errors")) == 4
+    assert [r["id"] for r in store.read("errors").orderBy("id").collect()] == [1, 2, 3] and len(store._folders("errors")) == 3
     held = store.read("errors")
     store.init()
     assert held.count() == 3 and store.read("errors").count() == 3
-    with pytest.raises(Exception, match="(?i)exist"):  # a second writer of the same version
-        store._commit("errors", store._newest("errors"), ["v-other"])
+    assert not store._commit(store._newest(), store._state(0))  # a second writer of the same version
     assert store.read("errors").count() == 3
     store.write("errors", store.read("errors").where("id = 2"))
-    store.vacuum("errors", keep=1)
+    store.vacuum(keep=1)
     assert [r["error_message"] for r in store.read("errors").collect()] == ["m1"]
-    assert len([p for p in (tmp_path / "errors").iterdir() if p.name.startswith("v-")]) == 1
+    assert len([p for p in (tmp_path / "errors").iterdir() if p.name[:2] == "r-"]) == 1
+    store.append("errors", row(9), ["error_message"])
+    assert store.read("errors").agg(F.max("id")).first()[0] == 4  # ids of rows that are gone aren't given again
+
+
+PAPER, FIGURE = "pdf_path string, doi string", "paper_id long, figure_number string, panel_label string, page_number int"
+
+
+def state_of(store):
+    now = store.snapshot()
+    papers = {r["pdf_path"]: (r["id"], r["doi"]) for r in now.read("papers").collect()}
+    figures = {(r["paper_id"], r["figure_number"]): r["id"] for r in now.read("figures").collect()}
+    series = sorted((r["figure_id"], r["series_name"]) for r in now.read("series").collect())
+    return papers, figures, series, sorted((r["figure_id"] or 0, r["error_message"]) for r in now.read("errors").collect())
+
+
+def filled(spark, path):
+    store = Store(spark, str(path))
+    store.upsert_papers(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], PAPER))
+    store.replace_figures(spark.createDataFrame([(1, "1", "", 1), (1, "2", "", 1), (2, "1", "", 1)], FIGURE))
+    store.append("series", spark.createDataFrame([(1, "s1"), (1, "s2"), (2, "s3"), (3, "s4")], "figure_id long, series_name string"), ["figure_id", "series_name"])
+    store.append("errors", spark.createDataFrame([(1, "e1"), (3, "e3"), (None, "e0")], "figure_id long, error_message string"), ["error_message"])
+    return store
+
+
+def test_merge_on_read(spark, tmp_path):
+    store = filled(spark, tmp_path)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    # a key that comes twice has the row of the largest values
+    store.upsert_papers(spark.createDataFrame([("b", "9"), ("b", "5"), ("d", "4"), ("d", None)], PAPER))
+    store.replace_figures(spark.createDataFrame([(1, "7", "", 1)], FIGURE))
+    papers, figures, series, errors = state_of(store)
+    assert papers == {"a": (1, "1"), "b": (2, "9"), "c": (3, "3"), "d": (4, "4")}
+    assert figures == {(2, "1"): 3, (1, "7"): 4} and series == [(3, "s4")] and errors == [(0, "e0"), (0, "e1"), (3, "e3")]
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())  # nothing that was there is written again
+    added = [r[0] for p in tmp_path.rglob("*.parquet") if p not in before for r in [spark.read.parquet(str(p)).agg(F.count("*")).first()]]
+    assert sum(added) <= 12
+    store.replace_figures_of(spark.createDataFrame([(2,), (99,)], "paper_id long"), spark.createDataFrame([], FIGURE))
+    assert state_of(store)[1:] == ({(1, "7"): 4}, [], [(0, "e0"), (0, "e1"), (0, "e3")])
+
+
+def test_compaction_keeps_all(spark, tmp_path, monkeypatch):
+    from inkquarry.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_FOLDERS", 5)
+    store = filled(spark, tmp_path)
+    for k in range(6):
+        store.upsert_papers(spark.createDataFrame([("b", str(k)), (f"n{k}", "n")], PAPER))
+        store.replace_figures(spark.createDataFrame([(2, str(k), "", 1)], FIGURE))
+    papers, figures, series, errors = state_of(store)
+    assert papers["b"] == (2, "5") and len(papers) == 9 and figures.keys() == {(1, "1"), (1, "2"), (2, "5")} and series == [(1, "s1"), (1, "s2"), (2, "s3")] and errors == [(0, "e0"), (0, "e3"), (1, "e1")]
+    assert len(store._folders("papers")) <= 7
+
+
+def test_transactions(spark, tmp_path):
+    store = filled(spark, tmp_path)
+    old = state_of(store)
+    change = lambda t, doi: (t.upsert_papers(spark.createDataFrame([("a", doi), (doi, doi)], PAPER)), t.replace_figures(spark.createDataFrame([(1, doi, "", 1)], FIGURE)))
+
+    class Killed(Exception):
+        pass
+
+    from inkquarry.sources.store import Transaction
+
+    writes = Transaction._written
+    for k in range(1, 30):  # a writer that dies after any of its writes leaves the old state
+        count = iter(range(1, 100))
+
+        def dying(self, *a, k=k, count=count):
+            out = writes(self, *a)
+            if next(count) == k:
+                raise Killed
+            return out
+
+        Transaction._written = dying
+        try:
+            store.transact(lambda t: change(t, "x"))
+            break
+        except Killed:
+            assert state_of(store) == old
+        finally:
+            Transaction._written = writes
+    assert 4 < k < 29
+    papers, figures, series, errors = state_of(store)
+    assert papers["a"] == (1, "x") and papers["x"] == (4, "x") and set(figures) == {(1, "x"), (2, "1")} and series == [(3, "s4")] and errors == [(0, "e0"), (0, "e1"), (3, "e3")]
+
+    other = Store(spark, str(tmp_path))
+    runs = []
+
+    def slow(t):
+        runs.append(1)
+        change(t, "slow")
+        if len(runs) == 1:  # another writer commits in between
+            other.transact(lambda u: u.upsert_papers(spark.createDataFrame([("quick", "q")], PAPER)))
+
+    store.transact(slow)
+    papers = state_of(store)[0]
+    assert len(runs) == 2 and papers["quick"] == (5, "q") and papers["slow"] == (6, "slow") and papers["a"] == (1, "slow")
+    assert store.transact(lambda t: t.upsert_papers(spark.createDataFrame([("s1", "1")], PAPER)) or 1, batch=("stream", 3)) == 1
+    assert store.transact(lambda t: t.upsert_papers(spark.createDataFrame([("s2", "1")], PAPER)) or 1, batch=("stream", 3)) is None
+    assert store.has_batch(("stream", 3)) and not store.has_batch(("stream", 4)) and not store.has_batch(("other", 0)) and "s2" not in state_of(store)[0]
 
 
 def test_exports(spark, tmp_path):
