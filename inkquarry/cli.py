@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from inkquarry.config import Settings
 from inkquarry.operators.metrics import benchmark, report_lines
-from inkquarry.plans.process import process
+from inkquarry.plans.process import CLASS_SYSTEM, process
 from inkquarry.sources import files
 from inkquarry.sources.exports import write_files
-from inkquarry.sources.store import Store, points_of, text_report
+from inkquarry.sources.store import Store, csv_text, series_files, text_report
+from inkquarry.staging import dropping
 
 logger = logging.getLogger("inkquarry")
 
@@ -30,23 +31,24 @@ def plugin(name: str | None, default: Callable) -> Callable:
 
 
 def write_outputs(store: Store, tables: dict[str, DataFrame], papers: DataFrame, out: str) -> None:
-    """CSV of points, JSON, reports and figures' metadata of papers below a folder, and their images as PNG files."""
+    """CSV of points (a file a series, below its paper's id), JSON, reports and figures' metadata of papers below a folder, and their images as PNG files where their image_path says."""
     figures = tables["figures"].join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-    points_of(figures, tables["series"]).write.mode("overwrite").partitionBy("file").option("header", True).csv(f"{out}/csv")
+    series = series_files(figures, tables["series"])
+    write_files(series.select(F.concat_ws("/", F.lit("csv"), "paper_id", F.concat("file", F.lit(".csv"))).alias("name"), F.encode(csv_text(F.col("data_points")), "utf-8").alias("content")), out)
     store.figures_of(papers).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/json")
     # a paper's lines stay in one file and in order
     text_report(papers, figures, tables["series"]).repartition("paper_id").sortWithinPartitions("paper_id", "ord").select("paper_id", "value").write.mode("overwrite").partitionBy("paper_id").text(f"{out}/report")
     figures.repartition("paper_id").sortWithinPartitions("paper_id", "page_number", "figure_number").write.mode("overwrite").partitionBy("paper_id").option("ignoreNullFields", "false").json(f"{out}/metadata")
     if "images" in tables:
-        name = F.concat(F.regexp_replace("figure_id", r"^.*/", ""), F.lit(".png"))
-        write_files(tables["images"].select(F.concat(F.lit("figures/"), name).alias("name"), F.col("png").alias("content")), out)
+        named = figures.where("image_path is not null").select(F.col("source_key").alias("figure_id"), F.col("image_path").alias("name"))
+        write_files(tables["images"].join(named, "figure_id").select("name", F.col("png").alias("content")), out)
 
 
 def run_process(spark: SparkSession, a: argparse.Namespace, pattern: str | None) -> int:
     settings = Settings.of(spark)
-    model = files.HttpModel(settings.model_url, settings.model_name, timeout=settings.model_timeout)
-    classify, extract = plugin(a.classify, model), plugin(a.extract, model)
-    if model in (classify, extract) and not model.available():
+    model = lambda system: files.HttpModel(settings.model_url, settings.model_name, timeout=settings.model_timeout, system=system)
+    classify, extract = plugin(a.classify, model(CLASS_SYSTEM)), plugin(a.extract, model(None))
+    if not (a.classify and a.extract) and not model(None).available():
         logger.error("the model server at %s can't be reached, or lacks the model %s", settings.model_url, settings.model_name)
         return 1
     found = files.documents(spark, a.path, pattern) if pattern else spark.read.format("binaryFile").load(a.path).select("path", "content")
@@ -55,10 +57,11 @@ def run_process(spark: SparkSession, a: argparse.Namespace, pattern: str | None)
         logger.warning("no documents in %s", a.path)
         return 0
     store = Store(spark, a.store)
-    tables = process(found, store, plugin(a.parser, files.text_parser), classify, extract, mode=a.mode)
-    papers = tables["papers"].join(found.select(F.col("path").alias("pdf_path")), "pdf_path", "left_semi")
-    write_outputs(store, tables, papers, a.output)
-    good = papers.count()
+    with dropping(spark):
+        tables = process(found, store, plugin(a.parser, files.text_parser), classify, extract, mode=a.mode)
+        papers = tables["papers"].join(found.select(F.col("path").alias("pdf_path")), "pdf_path", "left_semi")
+        write_outputs(store, tables, papers, a.output)
+        good = papers.count()
     print(f"{good}/{n} succeeded; results in {a.output}")
     return 0 if good == n else 1
 

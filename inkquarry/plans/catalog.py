@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -628,13 +629,27 @@ SELECT CASE WHEN count(*) OVER (PARTITION BY file) > 1 THEN file || '_' || id EL
 def csv_names(orders):
     """Points by the names of their files: names that repeat get the series' id, series without points no file."""
     fig = (F.col("o_orderkey") % 3).cast("string")
-    figures = orders.select((F.col("o_orderkey") % 3).alias("id"), fig.alias("figure_number"), F.lit("A").alias("panel_label")).distinct()
+    figures = orders.select((F.col("o_orderkey") % 3).alias("id"), fig.alias("figure_number"), F.lit("A").alias("panel_label"), F.lit(1).alias("paper_id")).distinct()
     k, none = F.col("o_orderkey") % 4, F.lit(None).cast("double")
     point = F.struct(none.alias("x"), F.col("o_totalprice").alias("y"))
     series = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("figure_id"), F.when(k == 0, "").when(k == 1, "a b/c").otherwise(F.col("o_orderpriority")).alias("series_name"), F.when(F.col("o_orderkey") % 5 == 0, F.slice(F.array(point), 1, 0)).otherwise(F.array(point)).alias("data_points"))
     return store.points_of(figures, series).select("file", "ord", "y")
 
 
+@query("""WITH s AS (SELECT o_custkey % 40 AS paper_id, o_orderkey % 3 AS fig, o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a b/c' ELSE o_orderpriority || o_orderkey END AS name, o_totalprice AS y FROM orders),
+n AS (SELECT *, 'fig' || fig || 'A_' || replace(replace(CASE WHEN name = '' THEN 'series' ELSE name END, ' ', '_'), '/', '-') AS file FROM s WHERE id % 5 <> 0)
+SELECT paper_id, CASE WHEN count(*) OVER (PARTITION BY paper_id, file) > 1 THEN file || '_' || id ELSE file END AS file, 'x,y,err_x,err_y' || chr(10) || ',' || round(y)::BIGINT || '.0,,' || chr(10) AS content FROM n""")
+def csv_files_per_paper(orders):
+    """The CSV files of all papers: names count within their paper."""
+    paper, fig = F.col("o_custkey") % 40, F.col("o_orderkey") % 3
+    figures = orders.select((paper * 3 + fig).alias("id"), paper.alias("paper_id"), fig.cast("string").alias("figure_number"), F.lit("A").alias("panel_label")).distinct()
+    k, none = F.col("o_orderkey") % 4, F.lit(None).cast("double")
+    point = F.struct(none.alias("x"), F.round("o_totalprice").alias("y"), none.alias("err_x"), none.alias("err_y"))
+    name = F.when(k == 0, "").when(k == 1, "a b/c").otherwise(F.concat("o_orderpriority", "o_orderkey"))
+    series = orders.select(F.col("o_orderkey").alias("id"), (paper * 3 + fig).alias("figure_id"), name.alias("series_name"), F.when(F.col("o_orderkey") % 5 == 0, F.slice(F.array(point), 1, 0)).otherwise(F.array(point)).alias("data_points"))
+    return store.series_files(figures, series).select("paper_id", "file", store.csv_text(F.col("data_points")).alias("content"))
+
+
 def _stored(customer, orders, lineitem) -> tuple[DataFrame, DataFrame, DataFrame]:
     papers = customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("title"), F.lit(None).cast("string").alias("doi"), F.concat(F.lit("/p/"), F.col("c_custkey").cast("string")).alias("pdf_path"))
     figures = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").cast("string").alias("figure_number"), F.lit("").alias("panel_label"), (F.col("o_orderkey") % 5).cast("int").alias("page_number"), F.col("o_orderpriority").alias("figure_type"))
@@ -645,6 +660,36 @@ def _stored(customer, orders, lineitem) -> tuple[DataFrame, DataFrame, DataFrame
 _COUNTS = "WITH s AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity::INTEGER)::BIGINT AS p FROM lineitem GROUP BY 1), f AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 AS page, o_orderpriority, coalesce(n, 0) AS n, coalesce(p, 0) AS p FROM orders LEFT JOIN s ON l_orderkey = o_orderkey), "
 
 
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY c_name) AS id, c_custkey, c_name, c_acctbal, c_nationkey FROM customer WHERE c_custkey % 4 <> 0),
+q AS (SELECT (SELECT count(*) FROM p) + row_number() OVER (ORDER BY c_name) AS id, c_custkey, c_name, c_acctbal, c_nationkey FROM customer WHERE c_custkey % 4 = 0),
+f AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) AS first, count(*) FILTER (o_orderkey % 2 = 1) AS second FROM orders GROUP BY 1),
+a AS (SELECT * FROM p UNION ALL SELECT * FROM q)
+SELECT id, c_name AS pdf_path, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN 'new ' || c_nationkey ELSE c_nationkey::VARCHAR END AS title, coalesce(CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN second ELSE first END, 0)::BIGINT AS n_figures FROM a LEFT JOIN f ON o_custkey = c_custkey""")
+def merge_on_read(customer, orders):
+    """A store of customers as papers and orders as figures after two transactions: new and known papers, each key twice in the second one, and figures that give way to others."""
+    from inkquarry.staging import shared_folder
+
+    spark = customer.sparkSession
+    held = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+    papers = customer.select("c_custkey", F.col("c_name").alias("pdf_path"), F.col("c_nationkey").cast("string").alias("title"))
+    figures = orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderkey").cast("string").alias("figure_number"), F.lit("").alias("panel_label"), F.lit(1).alias("page_number"))
+
+    def put(rows: DataFrame, parity: int):
+        def change(t: store.Transaction) -> None:
+            t.upsert_papers(rows.select("pdf_path", "title"))
+            ids = t.read("papers").select("pdf_path", F.col("id").alias("paper_id")).join(rows.select("c_custkey", "pdf_path").distinct(), "pdf_path")
+            t.replace_figures_of(ids.select("paper_id"), figures.where(F.col("o_orderkey") % 2 == parity).join(ids, "c_custkey"))
+
+        held.transact(change)
+
+    put(papers.where("c_custkey % 4 <> 0"), 0)
+    again = papers.where("c_custkey % 3 = 0 or c_custkey % 4 = 0")
+    put(again.withColumn("title", F.concat(F.lit("new "), "title")).unionByName(again.withColumn("title", F.lit("0 older"))), 1)
+    now = held.snapshot()
+    n = now.read("figures").groupBy("paper_id").agg(F.count("*").alias("n_figures"))
+    return now.read("papers").join(n, F.col("id") == F.col("paper_id"), "left").select("id", "pdf_path", "title", F.coalesce("n_figures", F.lit(0)).alias("n_figures"))
+
+
 @query(_COUNTS + """t AS (SELECT c_custkey, c_name, count(o_orderkey) AS figs, coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(p), 0)::BIGINT AS p, list(printf('  Fig %-5s | %-20s | %d series | %d data points', o_orderkey::VARCHAR, o_orderpriority, n, p) ORDER BY page, o_orderkey::VARCHAR) FILTER (o_orderkey IS NOT NULL) AS lines FROM customer LEFT JOIN f ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT c_custkey AS paper_id, array_to_string(list_concat(list_concat([repeat('=', 60), 'Extraction Report', repeat('=', 60), 'Paper   : ' || CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Unknown' END, 'DOI     : Unknown', 'PDF     : /p/' || c_custkey, 'Figures : ' || figs, ''], coalesce(lines, [])), ['', 'Total series extracted : ' || n, 'Total data points      : ' || p, repeat('=', 60)]), chr(10)) AS report FROM t""")
 def report_text(customer, orders, lineitem):

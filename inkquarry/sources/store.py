@@ -248,13 +248,15 @@ class Store:
 
     def export_points(self, paper_id: int, path: str) -> None:
         """CSV, one folder per series: figure, panel and series name are in its path, and the series' id where names repeat."""
-        points_of(self.read("figures").where(F.col("paper_id") == paper_id), self.read("series")).write.partitionBy("file").option("header", True).csv(path)
+        now = self.snapshot()
+        points_of(now.read("figures").where(F.col("paper_id") == paper_id), now.read("series")).drop("paper_id").write.partitionBy("file").option("header", True).csv(path)
 
     def export_xlsx(self, paper_id: int, path: str) -> None:
         """One workbook with a sheet per series that has points; a paper's points go through one task and the driver."""
         from inkquarry.sources.exports import workbook
 
-        rows = points_of(self.read("figures").where(F.col("paper_id") == paper_id), self.read("series")).orderBy("file", "ord").collect()
+        now = self.snapshot()
+        rows = points_of(now.read("figures").where(F.col("paper_id") == paper_id), now.read("series")).orderBy("file", "ord").collect()
         sheets: dict[str, list] = {}
         for r in rows:
             sheets.setdefault(r["file"], []).append([r["x"], r["y"], r["err_x"], r["err_y"]])
@@ -302,14 +304,28 @@ def nested(papers: DataFrame, figures: DataFrame, series: DataFrame) -> DataFram
     return papers.join(f, papers["id"] == f["paper_id"], "left").drop("paper_id")
 
 
-def points_of(figures: DataFrame, series: DataFrame) -> DataFrame:
-    """file and the points of each series that has any. Series of one figure whose names are equal get their ids into the name, so no two share a file."""
-    j = series.where(F.size("data_points") > 0).join(figures.select(F.col("id").alias("figure_id"), "figure_number", "panel_label"), "figure_id")
+def series_files(figures: DataFrame, series: DataFrame) -> DataFrame:
+    """paper_id, file and data_points of each series that has any. Names count within their paper: series of one paper whose names are equal get their ids into the name, so no two share a
+    file, and no name depends on other papers."""
+    f = figures.select(F.col("id").alias("figure_id"), "paper_id", "figure_number", "panel_label")
+    j = series.where(F.size("data_points") > 0).join(f, "figure_id")
     name = safe_name(F.concat(F.lit("fig"), "figure_number", F.coalesce("panel_label", F.lit(""))), F.coalesce(F.nullif("series_name", F.lit("")), F.lit("series")))
-    named = j.select(name.alias("name"), "id", "data_points")
-    times = named.groupBy("name").agg(F.count("*").alias("times"))
+    named = j.select("paper_id", name.alias("name"), "id", "data_points")
+    times = named.groupBy(F.col("paper_id").alias("_paper"), F.col("name").alias("_name")).agg(F.count("*").alias("times"))
     file = F.when(F.col("times") > 1, F.concat_ws("_", "name", "id")).otherwise(F.col("name"))
-    return named.join(times, "name").select(file.alias("file"), F.posexplode("data_points").alias("ord", "p")).select("file", "ord", "p.*")
+    return named.join(times, F.col("paper_id").eqNullSafe(F.col("_paper")) & (F.col("name") == F.col("_name"))).select("paper_id", file.alias("file"), "data_points")
+
+
+def points_of(figures: DataFrame, series: DataFrame) -> DataFrame:
+    """paper_id, file and the points of each series that has any."""
+    return series_files(figures, series).select("paper_id", "file", F.posexplode("data_points").alias("ord", "p")).select("paper_id", "file", "ord", "p.*")
+
+
+def csv_text(points: Column) -> Column:
+    """A series' points as the text of a CSV file; what is not known is empty."""
+    cell = lambda v: F.coalesce(v.cast("string"), F.lit(""))
+    line = lambda p: F.concat_ws(",", *[cell(p[c]) for c in ("x", "y", "err_x", "err_y")])
+    return F.concat(F.lit("x,y,err_x,err_y\n"), F.array_join(F.transform(points, line), "\n"), F.lit("\n"))
 
 
 def figure_counts(figures: DataFrame, series: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +22,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/inkquarry-{spark.sparkContext.applicationId}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that kept() wrote within it, in this thread; results must be written by then."""
+    before, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _open.paths = before
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: what a plug-in answered, or where a row lay, is settled once, also when an executor is lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,8 +4,10 @@ import io
 import json
 import random
 import re
+import tempfile
 import zipfile
 import zlib
+from pathlib import Path
 from xml.etree import ElementTree
 
 import numpy as np
@@ -631,7 +633,7 @@ def test_process_whole(spark, tmp_path):
     assert mine("fails") == mine("full") and [f[2:] for f in mine("plain")] == [(1, ""), (3, "")] or [f[2:] for f in mine("plain")] == [(3, "")]
     assert mine("primary") == [("9", "", 2, "better")]
     panel = next(r for r in figures if r["panel_label"] == "A")
-    assert panel["confidence_score"] == pytest.approx(0.8 * 0.95) and panel["image_path"].endswith("#A.png") and next(r for r in figures if r["caption"] == "better")["confidence_score"] == 0.95
+    assert panel["confidence_score"] == pytest.approx(0.8 * 0.95) and panel["image_path"] == f"figures/{panel['paper_id']}/0000_A.png" and next(r for r in figures if r["caption"] == "better")["confidence_score"] == 0.95
     by_id = {r["id"]: r for r in figures}
     series = out["series"].collect()
     named = [(by_id[s["figure_id"]]["panel_label"], s["series_name"]) for s in series if by_id[s["figure_id"]]["paper_id"] == papers["full.pdf"]["id"]]
@@ -700,17 +702,68 @@ def articles_page(number):
     return [{"doi": f"10.1/{number}-{k}" if k % 2 else "", "n": k} for k in range(4)] if number < 4 else []
 
 
+def half_usable(number):
+    return [{"doi": f"10.1/{number}-{k}" if k % 2 else None} for k in range(10)] if number < 30 else []
+
+
 def sets_page(number):
     if number == 2:
         raise TimeoutError("slow")
     return [{"id": 10 * number + k, "files": [{"name": "x.txt", "url": "t"}, {"name": f"{k}.PNG", "url": f"i{k}"}, {"name": "d.csv", "url": f"c{k}"}, {"name": "e.csv", "url": "late"}][: 3 + k % 2 if k else 2]} for k in range(3)]
 
 
+def few_pairs(number):
+    return sets_page(number if number != 2 else 200) if number < 40 else []
+
+
+MARKS = Path(tempfile.gettempdir()) / "inkquarry-test-marks"
+
+
+def fails_once(number):
+    mark = MARKS / f"page-{number}"
+    if number in (2, 3) and not mark.exists():
+        mark.write_text("asked")
+        raise ConnectionError("gone")
+    return half_usable(number)
+
+
 def test_collections(spark):
     module = "tests.test_engine"
     got = [r["doi"] for r in collect.articles(spark, f"{module}:articles_page", 5, per_page=1).collect()]
     assert got == ["10.1/1-1", "10.1/1-3", "10.1/2-1", "10.1/2-3", "10.1/3-1"]
-    assert sorted((r["article_id"], r["image_url"], r["csv_url"]) for r in collect.dataset_pairs(spark, f"{module}:sets_page", 75).collect()) == [(11, "i1", "c1"), (12, "i2", "c2"), (31, "i1", "c1"), (32, "i2", "c2")]
+    assert len(collect.articles(spark, f"{module}:articles_page", 100).collect()) == 6  # all there are
+    assert collect.articles(spark, f"{module}:articles_page", 0).isEmpty()
+
+
+def test_collections_go_on_until_enough(spark, tmp_path):
+    module, folder = "tests.test_engine", str(tmp_path / "c")
+    want = [f"10.1/{p}-{k}" for p in range(1, 30) for k in range(1, 10, 2)]
+    assert [r["doi"] for r in collect.articles(spark, f"{module}:half_usable", 20, folder=folder).collect()] == want[:20]
+    assert collect.asked_pages(spark, folder).agg(F.max("page")).first()[0] <= 6  # and asks for no more than the yield suggests
+    assert [r["doi"] for r in collect.articles(spark, f"{module}:half_usable", 40, folder=folder).collect()] == want[:40]  # goes on where it ended
+    pairs = collect.dataset_pairs(spark, f"{module}:few_pairs", 50).collect()
+    assert [r["article_id"] for r in pairs] == [10 * p + k for p in [1, 200, *range(3, 26)] for k in (1, 2)] and pairs[0]["image_url"] == "i1"
+
+
+def test_pages_that_fail(spark, tmp_path, caplog):
+    module = "tests.test_engine"
+    # page 2 never comes: the collection ends before it and says so
+    folder = str(tmp_path / "never")
+    got = collect.dataset_pairs(spark, f"{module}:sets_page", 75, folder=folder).collect()
+    assert sorted((r["article_id"], r["image_url"], r["csv_url"]) for r in got) == [(11, "i1", "c1"), (12, "i2", "c2")]
+    assert [tuple(r) for r in collect.failed_pages(spark, folder).collect()] == [(2, "TimeoutError: slow")] and "page 2" in caplog.text
+    rounds = {p.name for p in (tmp_path / "never/pages").iterdir() if p.name.startswith("round")}
+    assert rounds == {"round=0", "round=1", "round=2"}  # it was asked three times
+
+
+def test_pages_that_fail_once(spark, tmp_path):
+    folder = str(tmp_path / "once")
+    for p in MARKS.glob("page-*"):
+        p.unlink()
+    MARKS.mkdir(exist_ok=True)
+    got = [r["doi"] for r in collect.articles(spark, "tests.test_engine:fails_once", 20, per_page=5, folder=folder).collect()]
+    assert got == [f"10.1/{p}-{k}" for p in range(1, 5) for k in range(1, 10, 2)] and collect.failed_pages(spark, folder).isEmpty()
+    assert len(list(MARKS.glob("page-*"))) == 2
 
 
 def test_training_pairs(spark, tmp_path):
@@ -760,7 +813,11 @@ def test_benchmark_folder_and_cli(spark, tmp_path, capsys):
     (src / "full.pdf").write_text("full\n10.5/x")
     plug = ["--parser", "tests.test_engine:rich_parser", "--classify", "tests.test_engine:by_image", "--extract", "tests.test_engine:series_of", "-o", str(out)]
     assert cli.main(["--store", store, "process", str(src / "full.pdf"), *plug], spark) == 0
-    assert "1/1 succeeded" in capsys.readouterr().out and list((out / "figures").glob("full.pdf#*A.png")) and "Extraction Report" in spark.read.text(str(out / "report")).where("value like '%Report'").first()["value"]
+    held = Store(spark, store)
+    written = {str(x.relative_to(out)) for x in (out / "figures").rglob("*.png")}
+    assert written == {r["image_path"] for r in held.read("figures").collect() if r["image_path"]} and any(x.endswith("_A.png") for x in written)
+    assert {x.name for x in (out / "csv/1").iterdir() if not x.name.startswith(".")} >= {"fig1A_A.csv", "fig1B_B.csv"} and (out / "csv/1/fig1A_A.csv").read_text() == "x,y,err_x,err_y\n1.0,2.0,,\n"
+    assert "1/1 succeeded" in capsys.readouterr().out and "Extraction Report" in spark.read.text(str(out / "report")).where("value like '%Report'").first()["value"]
     (src / "broken.pdf").write_text("broken\n")
     assert cli.main(["--store", store, "process-batch", str(src), *plug], spark) == 1
     assert "1/2 succeeded" in capsys.readouterr().out
@@ -772,6 +829,25 @@ def test_benchmark_folder_and_cli(spark, tmp_path, capsys):
     assert cli.main(["--store", store, "process", str(src / "full.pdf"), "--parser", "tests.test_engine:rich_parser", "-o", str(out)], spark) == 1  # no model server
 
 
+def test_papers_of_one_base_name(spark, tmp_path, capsys):
+    for k, folder in enumerate(("a", "b")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.pdf").write_text(f"full\n10.5/{k}")
+    out = tmp_path / "out"
+    plug = ["--parser", "tests.test_engine:rich_parser", "--classify", "tests.test_engine:by_image", "--extract", "tests.test_engine:series_of", "-o", str(out)]
+    for folder in ("a", "b"):
+        assert cli.main(["--store", str(tmp_path / "s"), "process", str(tmp_path / "in" / folder / "x.pdf"), *plug], spark) == 0
+    now = Store(spark, str(tmp_path / "s")).snapshot()
+    paths = [r["image_path"] for r in now.read("figures").collect() if r["image_path"]]
+    assert len(paths) == len(set(paths)) and {p.split("/")[1] for p in paths} == {"1", "2"} and all((out / p).is_file() for p in paths)
+    names = lambda k: {x.name for x in (out / f"csv/{k}").iterdir() if x.suffix == ".csv"}
+    assert names(1) == names(2) and "fig1A_A.csv" in names(1)  # a name doesn't depend on the other paper
+    primary = spark.createDataFrame([("x", [("9", 1, "by stem", 0.0, 0.0, 200.0, 200.0, "pdffigures2")])], "stem string, figures array<struct<figure_number:string,page_number:int,caption:string,x1:double,y1:double,x2:double,y2:double,source:string>>")
+    primary = primary.withColumn("figures", F.transform("figures", lambda f: f.withField("image", F.lit(None).cast(I.IMAGE))))
+    both = process(spark.read.format("binaryFile").load([str(tmp_path / "in" / d / "x.pdf") for d in "ab"]).select("path", "content"), Store(spark, str(tmp_path / "s2")), rich_parser, by_image, series_of, primary=primary, settings=Settings(model_attempts=1))
+    assert both["figures"].where("caption = 'by stem'").isEmpty()  # nobody's, as both have the stem
+
+
 def test_settings(spark, monkeypatch):
     assert Settings.of(spark) == Settings()
     monkeypatch.setenv("INKQUARRY_CONFIDENCE_THRESHOLD", "0.4")
