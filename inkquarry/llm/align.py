@@ -4,6 +4,9 @@ The tokens of one text by A and by B are the nodes of a bipartite graph, with an
 ranges between neighbouring ends of either. Union-find joins the nodes along the edges; the connected components are exactly the minimal groups, as two tokens are connected
 unless both tokenizers end a token between them. The members of a component, in order, give its group and its links.
 
+Texts are cut into units that both tokenizers code apart from each other: between a visible character and a space. So each distinct unit is aligned once per worker, as a graph of its own,
+and a document's groups and links are those of its units, one behind the other.
+
 The links of some million bytes of documents (a part) are counted together as pairs of ids before anything is shuffled. The counts of all parts are summed by pair, the highest of each B id
 is found from the sums, and both go back to the parts that hold the pair. A pair that every document holds is therefore one row a part; its sum is one row that a skew join deals out.
 Pairs are bounded by the two vocabularies, parts grow with the corpus; nothing is collected.
@@ -17,8 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.bpe import bpe
-from inkquarry.llm.common import Cached, join_per_key, staged, text_of
+from inkquarry.llm.bpe import PATTERN, Bpe, bpe
+from inkquarry.llm.common import join_per_key, staged, text_of
 
-#: Documents are aligned together up to this many bytes, and their links counted together up to this many.
-ALIGN_BYTES, PART_BYTES = 1 << 20, 8 << 20
-#: A run of spaces and what follows it: pieces hold a space at their start only, so nothing is merged over these borders.
-UNITS = re.compile(r" *[^ ]+| +")
+#: Documents are aligned together up to this many characters, their links counted together up to this many, and a worker remembers this many units.
+ALIGN_CHARS, PART_CHARS, MOST_UNITS = 1 << 20, 8 << 20, 400_000
+#: Units end only before a space behind something visible. Pieces hold a space at their start only, and byte-level pre-tokens look no further than a run of white space and what follows
+#: it, so nothing is merged over these borders.
+UNITS = re.compile(r"\s*(?:\S+(?:[^\S ]\s*)?)+|\s+")
 DOCUMENT = "struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>"
 
 
@@ -49,34 +54,95 @@ class Pieces:
         self.token = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         #: Units are coded apart only if no piece has a space behind anything but spaces.
         self.apart = not any("▁" in p.lstrip("▁") for p in names)
-        self.cache = Cached(lambda unit: np.array(self.model.encode(unit[1:]), dtype="<u4").tobytes())
 
-    def encode(self, spaced: str) -> bytes:
-        """The model adds one space itself, so each unit is given to it without its first one."""
-        return b"".join(map(self.cache.__getitem__, UNITS.findall(spaced))) if self.apart else np.array(self.model.encode(spaced[1:]), dtype="<u4").tobytes()
+    def encode(self, units: list[str]) -> list[list[int]]:
+        """The ids of texts that start with a space; the model adds one itself, so each is given to it without its own."""
+        return self.model.encode([x[1:] for x in units], num_threads=1)
+
+
+def ordinary(enc: Bpe) -> Callable[[str], list[int]]:
+    """Byte-level BPE of a text in which special tokens are plain text: by a library that merges by the ids of merged tokens, where merges come in the order of ids, else by ours."""
+    if all(i == 256 + rank for rank, i in enc.merge.values()):
+        import tiktoken
+
+        special = set(enc.special.values())
+        ranks = {t: i for i, t in enc.token.items() if i not in special}
+        return tiktoken.Encoding("ordinary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: np.frombuffer(enc._plain(text), dtype="<u4").tolist()
 
 
 class Aligner:
-    """Tokenizers A (byte-level BPE) and B (pieces), with tables of their tokens' bytes and of the texts of their ids in groups."""
+    """Tokenizers A (byte-level BPE) and B (pieces), and the units of texts that were aligned already.
+
+    Of each unit: counts (A tokens, B tokens, groups, links), its groups as text, and its links as numbers of pairs; a unit whose tokens don't give back its bytes has counts of -1."""
 
     def __init__(self, a: str, b: str):
         enc, self.b = bpe(a), Pieces(b)
-        self.a = enc
+        self.encode_a = ordinary(enc)
         self.bytes_a = [enc.token.get(i, b"") for i in range(max(enc.token) + 1)]
         self.size_a, self.size_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.b.token))
         # an id's text before a further id of its side (0), or at the end of its side (1)
         self.text = [[np.array([f"{i}{end}" for i in range(n)], dtype=object) for end in ends] for n, ends in ((len(self.size_a), ",|"), (len(self.size_b), ",;"))]
-
-    def ids(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of A and B as unsigned 32-bit integers; nothing where their bytes aren't those of the text."""
-        spaced = " " + text
-        # special tokens are plain text here
-        a, data = self.a._plain(spaced), spaced.encode()
-        b = self.b.encode(spaced)
-        ia, ib = np.frombuffer(a, dtype="<u4").tolist(), np.frombuffer(b, dtype="<u4").tolist()
-        if b"".join(map(self.bytes_a.__getitem__, ia)) != data or b"".join(map(self.b.token.__getitem__, ib)) != data:
-            return b"", b""
-        return a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pair_number: dict[int, int] = {}
+        self.texts: list[str] = []
+        self.pairs = np.zeros(0, dtype=np.int64)
+        self.counts, self.first, self.links = np.zeros((0, 4), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of A and how many each unit has, and those of B; none for units that either doesn't give back byte for byte. Special tokens are plain text here."""
+        a, b = [self.encode_a(x) for x in units], self.b.encode(units)
+        data = [x.encode() for x in units]
+        whole = b"".join(data)
+        if any(b"".join(map(t.__getitem__, chain.from_iterable(ids))) != whole for ids, t in ((a, self.bytes_a), (b, self.b.token))):
+            lost = [self._differs(*x) for x in zip(a, b, data)]
+            a, b = ([[] if gone else x for x, gone in zip(ids, lost)] for ids in (a, b))
+        flat = lambda ids: (np.fromiter(chain.from_iterable(ids), dtype=np.int64), np.array(list(map(len, ids)), dtype=np.int64))
+        return *flat(a), *flat(b)
+
+    def _differs(self, a: list[int], b: list[int], data: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.b.token.__getitem__, b)) != data
+
+    def learn(self, units: list[str]) -> None:
+        """Aligns units that are not known yet, all at once."""
+        rows, texts, pairs = align(self, *self.ids(units))
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        self.texts += texts
+        distinct, which = np.unique(pairs, return_inverse=True)
+        new = [x for x in distinct.tolist() if x not in self.pair_number]
+        self.pair_number.update(zip(new, range(len(self.pair_number), len(self.pair_number) + len(new))))
+        self.pairs = np.concatenate((self.pairs, np.array(new, dtype=np.int64)))
+        numbers = np.array([self.pair_number[x] for x in distinct.tolist()], dtype=np.int32)
+        ends = len(self.links) + np.cumsum(rows[:, 3])
+        self.first = np.concatenate((self.first, ends - rows[:, 3]))
+        self.links = np.concatenate((self.links, numbers[which])) if len(which) else self.links
+        rows[rows[:, 0] == 0, :3] = -1
+        self.counts = np.concatenate((self.counts, rows))
+
+    def documents(self, texts: list[str]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links, groups as text) of each text, the distinct pairs (A id << 32 | B id) and the place of each link's pair among them, in order."""
+        if len(self.number) > MOST_UNITS:
+            self.forget()
+        cut = [(UNITS.findall(" " + t) if self.b.apart else [" " + t]) if t else [] for t in texts]
+        unknown = list(dict.fromkeys(u for units in cut for u in units if u not in self.number))
+        if unknown:
+            self.learn(unknown)
+        number, found, out = self.number, [], []
+        for units in cut:
+            codes = [number[u] for u in units]
+            counts = self.counts[codes]
+            if not codes or counts.min() < 0:
+                out.append((0, 0, 0, 0, ""))
+                continue
+            out.append((*counts.sum(axis=0).tolist(), ";".join(map(self.texts.__getitem__, codes))))
+            found += codes
+        at = np.array(found, dtype=np.int64)
+        n = self.counts[at, 3]
+        places = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return out, self.pairs, self.links[places]
 
 
 @lru_cache(maxsize=2)
@@ -107,34 +173,29 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.cumsum(a) - a, np.cumsum(b) - b
 
 
-def align(of: Aligner, ids_a: list[bytes], ids_b: list[bytes]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray]:
-    """For some documents' ids: (n_a, n_b, n_groups, n_links, groups as text) of each, and the pair (A id << 32 | B id) of each link, in order."""
-    n_a, n_b = (np.array([len(x) // 4 for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64) for ids in (ids_a, ids_b))
+def align(of: Aligner, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """For some units, their ids one behind the other and how many each has: rows (n_a, n_b, n_groups, n_links), groups as text, and the pair (A id << 32 | B id) of each link, in order."""
     if not len(a):
-        return [(0, 0, 0, 0, "")] * len(ids_a), np.zeros(0, dtype=np.int64)
+        return np.zeros((len(n_a), 4), dtype=np.int64), [""] * len(n_a), np.zeros(0, dtype=np.int64)
     la, lb = overlaps(np.cumsum(of.size_a[a]), np.cumsum(of.size_b[b]))
     root = union_find(len(a) + len(b), la, lb + len(a))
     # a component's smallest node is its first A token, so components are numbered in the order of the text
     first = root[: len(a)] == np.arange(len(a))
     group = np.cumsum(first) - 1
     group_a, group_b = group[root[: len(a)]], group[root[len(a) :]]
-    # a document's groups as text: its members in order, those of A before those of B within each component
+    # a unit's groups as text: its members in order, those of A before those of B within each component
     last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
     texts = np.empty(len(a) + len(b), dtype=object)
     place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
     place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
     for (plain, closing), ids, last, place in zip(of.text, (a, b), (last_a, last_b), (place_a, place_b)):
         texts[place] = np.where(last, closing[ids], plain[ids])
-    ends_a, ends = np.cumsum(n_a), np.cumsum(n_a + n_b)
-    links = np.searchsorted(la, ends_a)  # links are in the order of A tokens, and end with their document
-    out, at = [], 0
-    groups = np.concatenate(([0], np.cumsum(first)))
-    for d in range(len(n_a)):
-        text = "".join(texts[ends[d] - n_a[d] - n_b[d] : ends[d]].tolist())[:-1]
-        out.append((int(n_a[d]), int(n_b[d]), int(groups[ends_a[d]] - groups[ends_a[d] - n_a[d]]), int(links[d] - at), text))
-        at = links[d]
-    return out, (a[la] << 32) | b[lb]
+    ends_a, ends = np.cumsum(n_a), np.cumsum(n_a + n_b).tolist()
+    # links are in the order of A tokens and end with their unit, as groups do
+    links, groups = np.searchsorted(la, ends_a), np.concatenate(([0], np.cumsum(first)))[ends_a]
+    flat = texts.tolist()
+    named = ["".join(flat[lo:hi])[:-1] for lo, hi in zip([0, *ends], ends)]
+    return np.stack((n_a, n_b, np.diff(groups, prepend=0), np.diff(links, prepend=0)), axis=1), named, (a[la] << 32) | b[lb]
 
 
 def aligned_parts(docs: DataFrame, a: str, b: str) -> DataFrame:
@@ -147,30 +208,33 @@ def aligned_parts(docs: DataFrame, a: str, b: str) -> DataFrame:
         documents, linked, size, waiting, waiting_size = [], [], 0, [], 0
 
         def settle() -> None:
-            rows, pairs = align(of, [w[1] for w in waiting], [w[2] for w in waiting])
-            for (doc_id, _, _), (n_a, n_b, n_groups, n_links, text) in zip(waiting, rows):
+            rows, pairs, links = of.documents([text for _, text in waiting])
+            for (doc_id, _), (n_a, n_b, n_groups, n_links, text) in zip(waiting, rows):
                 digest = hashlib.sha256(text.encode()).hexdigest() if n_a else ""
                 documents.append({"doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest})
-            linked.append(pairs)
+            used = np.flatnonzero(np.bincount(links, minlength=1))
+            linked.append((pairs[used], np.searchsorted(used, links)) if len(links) else (pairs[:0], links))
 
         def part() -> pa.RecordBatch:
-            pairs, which, counts = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
+            pairs = np.unique(np.concatenate([x[0] for x in linked]))
+            which = np.concatenate([np.searchsorted(pairs, x[0]).astype(np.int32)[x[1]] for x in linked])
+            counts = np.bincount(which, minlength=len(pairs))
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), dtype="<u4")
             rank[order] = np.arange(len(order))
-            links = zstandard.ZstdCompressor(level=1).compress(rank[which].reshape(-1, 1).view("u1").T.tobytes())
+            links = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(rank[which].reshape(-1, 1).view("u1").T).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, documents, pairs[order], counts[order], links), schema.types)], schema=schema)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    waiting.append((doc_id, *(of.ids(text) if text else (b"", b""))))
+                    waiting.append((doc_id, text))
                     waiting_size += len(text)
-                    if waiting_size >= ALIGN_BYTES:
+                    if waiting_size >= ALIGN_CHARS:
                         settle()
                         waiting, size, waiting_size = [], size + waiting_size, 0
-                    if size >= PART_BYTES:
+                    if size >= PART_CHARS:
                         yield part()
                         number, documents, linked, size = number + 1, [], [], 0
         if waiting:
