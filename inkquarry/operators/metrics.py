@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkquarry.operators.ordered import with_groups
+from inkquarry.staging import kept
+
 RMSE_THRESHOLD, POINT_TOLERANCE = 0.05, 0.05
 
 
@@ -29,6 +32,14 @@ def minmax(value: Column, *keys: str) -> Column:
     return F.when(span > 0, (value - low) / span).otherwise(value - low)
 
 
+def minmax_rows(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """df with each of the columns normalised as minmax() does, by one aggregate of each key and a join, so that no task has all rows of a hot key."""
+    ends = {f"_{side}_{c}": f(c) for c in columns for side, f in (("low", F.min), ("high", F.max))}
+    j = with_groups(df, keys, **ends)
+    span = lambda c: F.col(f"_high_{c}") - F.col(f"_low_{c}")
+    return j.withColumns({c: F.when(span(c) > 0, (F.col(c) - F.col(f"_low_{c}")) / span(c)).otherwise(F.col(c) - F.col(f"_low_{c}")) for c in columns}).drop(*ends)
+
+
 def match_series(truth: Column, predicted: Column) -> Column:
     """Greedy matching of two arrays of names: in order of truth, the first exact name (case and outer blanks aside), else the first that contains or is contained, else the first left. Each prediction is used once.
     Result: array of (t, p) places. A fold over the array, so nothing leaves the row."""
@@ -52,7 +63,7 @@ def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tol
     the other side leaves empty are compared with the distinct points of cells close by."""
 
     def normal(df: DataFrame) -> DataFrame:
-        return df.select(key, minmax(F.col("x"), key).alias("x"), minmax(F.col("y"), key).alias("y"))
+        return kept(minmax_rows(df.select(key, "x", "y"), ["x", "y"], [key]), "normal")
 
     # points of one small cell are near each other, whatever their places in it; others are in the nine cells of the tolerance around a point
     small, cell = tolerance / 1.415, lambda c, side: F.floor(c / side).cast("long")

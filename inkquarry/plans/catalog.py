@@ -156,7 +156,7 @@ def argmax_first(documents):
 
 @query("SELECT event_type, round(median(value), 6) AS median_value FROM events GROUP BY 1")
 def exact_median(events):
-    return events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median_value"))
+    return O.medians(events, ["event_type"], ["value"]).select("event_type", F.round("value", 6).alias("median_value"))
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1")
@@ -178,7 +178,7 @@ def ordered_listagg(conversations):
 @query("""WITH v AS (SELECT p_partkey, p_retailprice AS v, min(p_retailprice) OVER (PARTITION BY p_brand) AS lo, max(p_retailprice) OVER (PARTITION BY p_brand) AS hi FROM part)
 SELECT p_partkey, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v - lo END, 6) AS normal FROM v""")
 def minmax_normalise(part):
-    return part.select("p_partkey", F.round(M.minmax(F.col("p_retailprice"), "p_brand"), 6).alias("normal"))
+    return M.minmax_rows(part.select("p_partkey", "p_brand", F.col("p_retailprice").alias("v")), ["v"], ["p_brand"]).select("p_partkey", F.round("v", 6).alias("normal"))
 
 
 @query("SELECT count(*)::BIGINT AS n, count(*) FILTER (v IS NULL)::BIGINT AS failed, count(*) FILTER (v IS NOT NULL)::BIGINT AS good FROM (SELECT try_cast(json_extract_string(props, '$.k') AS INTEGER) AS v FROM events)")
@@ -199,6 +199,27 @@ def gap_sessionize_median(events):
     return O.group_medians(s, ["user_id"], "x", "y", ["event_id"]).select("user_id", "grp", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
 
 
+@query(_GAPS.replace("user_id", "event_type").replace("> 5", "> 0.02").replace("floor(value)", "value") + "SELECT event_type, grp::BIGINT AS grp, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*)::BIGINT AS n FROM g GROUP BY 1, 2")
+def hot_gap_medians(events):
+    """Gap groups and their medians where every key is over the bound for slices."""
+    s = events.select("event_type", "event_id", F.col("value").alias("x"), F.col("value").alias("y"))
+    return O.group_medians(s, ["event_type"], "x", "y", ["event_id"], gap=0.02, most=100).select("event_type", "grp", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
+
+
+@query("SELECT 1 AS k, round(median(l_extendedprice), 6) AS l_extendedprice, round(median(l_quantity), 6) AS l_quantity, count(*)::BIGINT AS n FROM lineitem UNION ALL SELECT 2, round(median(l_extendedprice), 6), round(median(l_quantity), 6), count(*)::BIGINT FROM lineitem WHERE l_orderkey % 2 = 0")
+def hot_medians(lineitem):
+    """Exact medians of one group that holds all rows, and of one that holds some half of them."""
+    rows = lineitem.select(F.lit(1).alias("k"), "l_extendedprice", "l_quantity")
+    both = rows.unionByName(lineitem.where("l_orderkey % 2 = 0").select(F.lit(2).alias("k"), "l_extendedprice", "l_quantity"))
+    return O.medians(both, ["k"], ["l_extendedprice", "l_quantity"], most=1000).select("k", F.round("l_extendedprice", 6).alias("l_extendedprice"), F.round("l_quantity", 6).alias("l_quantity"), "n")
+
+
+@query("SELECT o_orderstatus, o_orderkey, coalesce(lead(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey), -1)::BIGINT AS next FROM orders")
+def hot_boundaries(orders):
+    """Each key with the next one of its status, in slices."""
+    return O.cut_pairs(orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey", F.lit(-1), most=100)
+
+
 @query("""WITH s AS (SELECT DISTINCT user_id, floor(value) AS x FROM events), b AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x) > 5 THEN 1 ELSE 0 END AS brk FROM s),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS grp FROM b), e AS (SELECT user_id, min(x) AS a, max(x) AS z FROM g GROUP BY user_id, grp),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z - a DESC, a) AS r FROM e)

@@ -154,3 +154,38 @@ def test_repeated_sections_are_joined(spark):
     figures = spark.createDataFrame([("p", "p#0", "1", "Figure 1. Growth of second")], "paper_id string, figure_id string, figure_number string, caption string")
     row = build_contexts(figures, papers).first()
     assert "second way of growth" in row["methods_context"] and "fell" in row["results_context"] and "rose" in row["results_context"]
+
+
+def test_hot_keys_by_slices(spark):
+    import numpy as np
+    import pandas as pd
+
+    from inkquarry.operators import metrics, ordered
+
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 4000, p=[0.7, 0.25, 0.05]), "i": np.arange(4000), "x": rng.integers(0, 9000, 4000).astype(float)})
+    frame.loc[rng.choice(4000, 60, replace=False), "x"] = np.nan
+    rows = [(None if r.k == "c" else r.k, int(r.i), None if np.isnan(r.x) else float(r.x)) for r in frame.itertuples()]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small slices stay apart
+    try:
+        values = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=repr)
+        for gap in (1, 5, 40):
+            want = values(ordered.gap_groups(df, ["k"], "x", ["i"], gap), "k", "i", "x", "grp")
+            for most in (0, 300, 1500):
+                assert values(ordered.gap_groups(df, ["k"], "x", ["i"], gap, most), "k", "i", "x", "grp") == want
+        want = values(ordered.medians(df, ["k"], ["x", "i"]), "k", "x", "i", "n")
+        assert values(ordered.medians(df, ["k"], ["x", "i"], most=0), "k", "x", "i", "n") == want == values(ordered.medians(df, ["k"], ["x", "i"], most=500), "k", "x", "i", "n")
+        full = df.where("x is not null").select("k", (F.col("x") * 10_000 + F.col("i")).alias("p"))
+        for end in (None, F.lit(-1.0)):
+            assert values(ordered.cut_pairs(full, ["k"], "p", end, most=0), "k", "p", "next") == values(ordered.cut_pairs(full, ["k"], "p", end), "k", "p", "next")
+        assert ordered.slices(df.where("k = 'a'"), ["k"], ["x", "i"]).select("_part").distinct().count() > 1
+        few = df.where("x is null")
+        assert values(ordered.medians(few, ["k"], ["x"], most=0), "k", "x", "n") == values(ordered.medians(few, ["k"], ["x"]), "k", "x", "n")
+        got = values(metrics.minmax_rows(df, ["x"], ["k"]), "k", "i", "x")
+        assert [(k, i, None if x is None else round(x, 9)) for k, i, x in got] == [(k, i, None if x is None else round(x, 9)) for k, i, x in values(df.select("k", "i", metrics.minmax(F.col("x"), "k").alias("x")), "k", "i", "x")]
+        empty = df.limit(0)
+        assert ordered.gap_groups(empty, ["k"], "x", ["i"], most=0).isEmpty() and ordered.medians(empty, ["k"], ["x"], most=0).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
