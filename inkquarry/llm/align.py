@@ -38,9 +38,10 @@ from inkquarry.llm.common import join_per_key, staged, text_of
 #: Documents are aligned together up to this many characters, their links counted together up to this many, and a worker remembers this many units.
 ALIGN_CHARS, PART_CHARS, MOST_UNITS = 1 << 20, 8 << 20, 400_000
 #: Units end only before a space behind something visible. Pieces hold a space at their start only, and byte-level pre-tokens look no further than a run of white space and what follows
-#: it, so nothing is merged over these borders.
-UNITS = re.compile(r"\s*(?:\S+(?:[^\S ]\s*)?)+|\s+")
-DOCUMENT = "struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>"
+#: it, so nothing is merged over these borders. White space at the end stays with what is before it, as piece models give an empty text no space.
+UNITS = re.compile(r"\s*(?:\S+(?:[^\S ]\s*|\s+\Z)?)+|\s+")
+#: The id is a text in here, as lists of numbers with nulls become floats on their way through pandas.
+DOCUMENT = "struct<doc_id:string,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>"
 
 
 class Pieces:
@@ -200,7 +201,7 @@ def align(of: Aligner, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.nd
 
 def aligned_parts(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row per part: its documents, its distinct pairs with their counts, and each link's place among the pairs (commonest first), in the order of documents."""
-    document = pa.struct([(x, pa.int64()) for x in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [("groups_sha256", pa.string())])
+    document = pa.struct([("doc_id", pa.string()), *[(x, pa.int64()) for x in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string())])
     schema = pa.schema([("part", pa.int64()), ("documents", pa.list_(document)), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def aligned_parts(docs: DataFrame, a: str, b: str) -> DataFrame:
             rows, pairs, links = of.documents([text for _, text in waiting])
             for (doc_id, _), (n_a, n_b, n_groups, n_links, text) in zip(waiting, rows):
                 digest = hashlib.sha256(text.encode()).hexdigest() if n_a else ""
-                documents.append({"doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest})
+                documents.append({"doc_id": None if doc_id is None else str(doc_id), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest})
             used = np.flatnonzero(np.bincount(links, minlength=1))
             linked.append((pairs[used], np.searchsorted(used, links)) if len(links) else (pairs[:0], links))
 
@@ -271,11 +272,12 @@ def alignment(docs: DataFrame, a: str, b: str) -> DataFrame:
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(left["links"].iat[0]), dtype="u1").reshape(4, -1)
         links = np.ascontiguousarray(planes.T).view("<u4").ravel()
         sums, bests = (np.concatenate(([0], np.cumsum(x[links]))) for x in (n, best))
-        out = pd.DataFrame(list(left["documents"].iat[0]))
+        documents = list(left["documents"].iat[0])
+        out = pd.DataFrame(documents)
         end = out["n_links"].to_numpy().cumsum()
         start = end - out["n_links"].to_numpy()
         out["count_sum"], out["n_best"] = sums[end] - sums[start], bests[end] - bests[start]
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out["doc_id"] = pd.array([None if x["doc_id"] is None else int(x["doc_id"]) for x in documents], dtype="Int64")
         return out[columns]
 
     return (

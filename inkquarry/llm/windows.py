@@ -33,7 +33,12 @@ from inkquarry.llm.common import mix64, staged, text_of
 #: Words of a segment, keys of a bucket on average, and the length up to which windows are not halved.
 SEGMENT_WORDS, BUCKET_KEYS, SHORTEST = 1_000_000, 500_000, 7
 LAST_ID = np.iinfo(np.int64).max
-STATE = "segment long, ids array<long>, counts array<long>, words binary, alive binary, candidates long, done array<struct<doc_id:bigint,n_words:bigint,kept:binary>>"
+#: Ids are texts in here, as lists of numbers with nulls become floats on their way through pandas.
+STATE = "segment long, ids array<string>, counts array<long>, words binary, alive binary, candidates long, done array<struct<doc_id:string,n_words:bigint,kept:binary>>"
+
+
+def named(doc_id: int | None) -> str | None:
+    return None if doc_id is None else str(doc_id)
 
 
 def ladder(width: int) -> list[int]:
@@ -110,7 +115,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, counts, texts = TaskContext.get().partitionId() << 32, [], [], []
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+        types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
 
         def segment() -> pa.RecordBatch:
             row = number, ids, counts, zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts)), sum(counts)
@@ -125,7 +130,7 @@ def segments(docs: DataFrame) -> DataFrame:
                     if ids and n + len(words) > SEGMENT_WORDS:
                         yield segment()
                         number, ids, counts, texts, n = number + 1, [], [], [], 0
-                    ids.append(doc_id)
+                    ids.append(named(doc_id))
                     counts.append(len(words))
                     texts.append(b" ".join(words))
                     n += len(words)
@@ -133,12 +138,12 @@ def segments(docs: DataFrame) -> DataFrame:
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text"))
-    found = rows.mapInArrow(work, "segment long, ids array<long>, counts array<long>, words binary, candidates long")
-    return found.select("segment", "ids", "counts", "words", F.lit(None).cast("binary").alias("alive"), "candidates", F.array().cast("array<struct<doc_id:bigint,n_words:bigint,kept:binary>>").alias("done"))
+    found = rows.mapInArrow(work, "segment long, ids array<string>, counts array<long>, words binary, candidates long")
+    return found.select("segment", "ids", "counts", "words", F.lit(None).cast("binary").alias("alive"), "candidates", F.array().cast("array<struct<doc_id:string,n_words:bigint,kept:binary>>").alias("done"))
 
 
 def opened(row: dict) -> Segment:
-    return Segment(list(row["ids"]), np.asarray(row["counts"], dtype=np.int64), row["words"], row["alive"])
+    return Segment([None if x is None else int(x) for x in row["ids"]], np.asarray(row["counts"], dtype=np.int64), row["words"], row["alive"])
 
 
 def _bits(candidates: int) -> int:
@@ -235,10 +240,10 @@ def advanced(state: DataFrame, answers: DataFrame, length: int, following: int,
         for d, doc_id in enumerate(seg.ids):
             text = seg.document(d)
             if stay[d]:
-                ids.append(doc_id)
+                ids.append(named(doc_id))
                 texts.append(text)
             else:
-                done.append({"doc_id": doc_id, "n_words": int(seg.counts[d]), "kept": of_kept(text)})
+                done.append({"doc_id": named(doc_id), "n_words": int(seg.counts[d]), "kept": of_kept(text)})
         bits = np.packbits(alive[np.repeat(stay, seg.counts)]).tobytes()
         return pd.DataFrame([[row["segment"], ids, seg.counts[stay].tolist(), zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts)), bits, len(places), done]], columns=columns)
 
@@ -247,7 +252,7 @@ def advanced(state: DataFrame, answers: DataFrame, length: int, following: int,
 
 def without_repeats(state: DataFrame, answers: DataFrame, width: int, of_kept) -> DataFrame:
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [] if not len(left) else [(x["doc_id"], x["n_words"], 0, x["kept"]) for x in left.iloc[0]["done"]]
+        out = [] if not len(left) else [(None if x["doc_id"] is None else int(x["doc_id"]), x["n_words"], 0, x["kept"]) for x in left.iloc[0]["done"]]
         if len(left) and len(left.iloc[0]["ids"]):
             seg = opened(left.iloc[0])
             at, start, _, _, doc = seg.distinct(width, True)
@@ -262,7 +267,8 @@ def without_repeats(state: DataFrame, answers: DataFrame, width: int, of_kept) -
             for d, doc_id in enumerate(seg.ids):
                 mine = stays[seg.ends[d] - seg.counts[d] : seg.ends[d]]
                 out.append((doc_id, int(seg.counts[d]), int(len(mine) - mine.sum()), of_kept(seg.document(d, mine))))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
+        doc_id, n_words, n_removed, kept = zip(*out) if out else ((), (), (), ())
+        return pd.DataFrame({"doc_id": pd.array(doc_id, dtype="Int64"), "n_words": n_words, "n_removed": n_removed, "kept": kept})
 
     return state.groupBy("segment").cogroup(answers.groupBy("segment")).applyInPandas(finish, "doc_id long, n_words long, n_removed long, kept binary")
 
