@@ -2,13 +2,17 @@
 
 The lexer looks at every `=`, `:`, `:=` and `=>` of a text, takes the name before it (quoted or not, of any length, `export`, attributes and subscripts allowed) and the
 literal or name after it, and so turns source code and configuration into name-literal pairs. A type between name and operator is stepped over (`name: type =`, and
-`name type =` with a plain type or after `var` or `const`). A name on the right, also as $NAME or ${NAME}, is replaced by the literal it was last bound to
-(constants propagate through chains of names), and literals and names joined by `+` or `.` are one value with a span for each
-of its literals. A value is scored by the words of its target's name and by its own entropy; those of at least
-THRESHOLD are reported as kind `literal`, or `constant` where the value came through another name (the span is then that of the literal itself).
+`name type =` with a plain type or after `var` or `const`). A name on the right, also as $NAME or ${NAME}, is replaced by the value it was last bound to
+(constants propagate through chains of names), and literals and names joined by `+` or `.` are one value with a span for each of its literals, however many. Members of lists, literals in
+triple quotes, blocks of indented lines behind `name: |` and arguments of setters (`setPassword("...")`) are values too; what is called or indexed (`os.environ["HOME"]`) is none. A value is
+scored by the words of its target's name and by its own entropy; those of at least THRESHOLD are reported as kind `literal`, or `constant` where the value came
+through another name (the span is then that of the literal itself).
 
-Null texts are empty and have no spans. Rows are judged on their own, so the plan has no shuffle; repeated rows and ties need no care, further columns are ignored, and an
-empty table gives an empty result.
+Values are ropes: a join refers to its two sides, and what scoring needs (length, counts of characters, the first and last few of them) is made from theirs. So nothing is cut off and a name
+may be joined to itself without end; each part is reported once. Time is linear in the text for any kind of repetition of names, operators, quotes and joins.
+
+Null texts are empty and have no spans. Very long texts are read as a whole, by one task each. Rows are judged on their own, so the plan has no shuffle; repeated rows and ties need no
+care, further columns are ignored, and an empty table gives an empty result.
 Positions are code points, the end is exclusive.
 """
 
@@ -19,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +44,19 @@ SENSITIVE = {
     "secret key": 3.0, "signing key": 3.0, "encryption key": 3.0, "credential": 2.5, "credentials": 2.5, "auth": 2.0, "authorization": 2.0, "bearer": 2.0, "key": 1.0, "pin": 1.0, "salt": 1.0,
 }
 THRESHOLD, LEAST_LENGTH = 3.5, 8
-#: Joined values grow no further once they have this length or this many literals, as a name may be joined to itself over and over.
-JOIN_MOST = 1024
 OPERATOR = re.compile(r":=|=>|(?<![=!<>])=(?!=)|:(?![:/=])")
 #: The name before an operator, read backwards in the reversed text, so that it has no longest length.
 NAME_BEFORE = re.compile(r"""[ \t]*\]?(?:(["'])([A-Za-z0-9_.\- ]*[A-Za-z_])\1|([A-Za-z0-9_.$-]*[A-Za-z_$]))""")
-VALUE_AFTER = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\{[A-Za-z_][A-Za-z0-9_]*\}(?![A-Za-z0-9+/_.=$-])|[A-Za-z0-9+/_.=$-]+))""")
+#: A literal in quotes (groups 1 to 4: triple ones first), with a prefix as in f"..."; what is in single quotes takes no references.
+QUOTED = r"""[fFrRbBuU]{0,2}(?:\"{3}([\s\S]*?)\"{3}|'{3}([\s\S]*?)'{3}|"([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)')"""
+VALUE_AFTER = re.compile(rf"[ \t]*(?:{QUOTED}|(\$\{{[A-Za-z_][A-Za-z0-9_]*\}}(?![A-Za-z0-9+/_.=$-])|[A-Za-z0-9+/_.=$-]))")
+UNQUOTED = re.compile(r"[A-Za-z0-9+/_.=$-]+")
+LIST_AFTER = re.compile(r"[ \t]*[\[(]\s*(?=[fFrRbBuU]{0,2}[\"'])")
+MEMBER = re.compile(rf"{QUOTED}\s*(,?)\s*")
+BLOCK_AFTER = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n")
+LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|$)")
+#: A setter and its first argument.
+SETTER = re.compile(rf"(?<![A-Za-z0-9_])(?:set|with|use)_?([A-Za-z0-9_]+)[ \t]*\(\s*{QUOTED}")
 #: What joins two literals into one.
 JOINED = re.compile(r"[ \t]*(?:\+|\.(?!\.))(?!=)")
 REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
@@ -58,7 +70,11 @@ TYPED_BEFORE = re.compile(r"[ \t]*([A-Za-z0-9_.]*[A-Za-z_])[*&\[\]]*[ \t]+([A-Za
 PLAIN_TYPES = frozenset({"string", "str", "byte", "rune", "char", "any", "text", "varchar"})
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|xxxx|\*\*\*|<[^>]*>|\$\{")
+#: Words of values that are none; so is a `<` with a `>` somewhere behind it.
+PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|xxxx|\*\*\*|\$\{")
+PLACEHOLDER_STARTS = re.compile(rf"(?=(?:{PLACEHOLDER.pattern[4:]}))", re.IGNORECASE)
+#: One character less than the longest of these words.
+BORDER = 10
 
 
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, int]]:
@@ -73,90 +89,226 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[int, int, in
 
 def name_score(name: str) -> float:
     words = [w.lower() for w in NAME_WORDS.findall(name)]
+    words = [w[:-1] if w.endswith("s") and w[:-1] in SENSITIVE else w for w in words]
     return max([SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE.get(f"{a} {b}", 0.0) for a, b in zip(words, words[1:])], default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 for short values and placeholders, else up to 2 by entropy per character, and more for mixed classes."""
-    if len(value) < LEAST_LENGTH or PLACEHOLDER.search(value):
-        return -10.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search(r"\d", value), re.search(r"[^A-Za-z0-9]", value))))
-    return min(entropy / 2, 2.0) + 0.25 * (mixed - 1) - (1.0 if " " in value else 0.0)
-
-
-#: The places of the literals that a value is made of; what names are bound to.
-Parts = tuple[tuple[int, int], ...]
-Bound = dict[str, tuple[str, Parts]]
-
-
-def operand(text: str, at: int, bound: Bound) -> tuple[str, Parts, bool, bool, int] | None:
-    """The literal or name at a place: its value, the parts (those of what a name is bound to), whether it came through a name, whether it is a quoted literal, and where it ends."""
-    after = VALUE_AFTER.match(text, at)
-    if not after:
-        return None
-    group = next(k for k in (1, 2, 3) if after[k] is not None)
-    value, source = after[group], None
-    if group == 3 and IDENTIFIER.fullmatch(value) and value in bound:
-        source = value
-    elif group != 2 and (reference := REFERENCE.fullmatch(value)):
-        source = reference[1] or reference[2]
-    if source in bound:
-        return *bound[source], True, False, after.end()
-    return value, (after.span(group),), False, group != 3, after.end()
-
-
-def right_side(text: str, at: int, bound: Bound) -> tuple[str, Parts, bool] | None:
-    """The value after an operator, with what is joined to it by `+` or `.`: quoted literals and bound names only."""
-    found = operand(text, at, bound)
-    if not found:
-        return None
-    value, parts, through, quoted, place = found
-    while (quoted or through) and len(value) < JOIN_MOST and len(parts) < JOIN_MOST and (plus := JOINED.match(text, place)):
-        more = operand(text, plus.end(), bound)
-        if not more or not (more[2] or more[3]):
-            break
-        value, parts, through, place = value + more[0], tuple(dict.fromkeys(parts + more[1])), through or more[2], more[4]
-    return value, parts, through
-
-
-def pairs(text: str) -> Iterator[tuple[str, str, Parts, bool]]:
-    """(name, value, places of its literals, whether any came through another name) in order; where a type stands between name and operator, both words are names."""
-    bound: Bound = {}
-    typed: dict[int, str] = {}
-    backwards = text[::-1]
-    for op in OPERATOR.finditer(text):
-        at = len(text) - op.start()
-        before = NAME_BEFORE.match(backwards, at)
-        names = [(before[2] or before[3])[::-1]] if before else []
-        if op[0] == ":" and before and (kind := TYPE_AFTER.match(text, op.end())):
-            typed[kind.end()] = names[0]
-        if op[0] == "=":
-            if op.start() in typed:
-                names.append(typed.pop(op.start()))
-            elif (go := TYPED_BEFORE.match(backwards, at)) and (go[3] or go[1][::-1] in PLAIN_TYPES):
-                names.append(go[2][::-1])
-        found = right_side(text, op.end(), bound) if names else None
+@dataclass(slots=True)
+class Traits:
+    """What a value's score depends on. Counts are floats, as a value may be joined to itself without end; head and tail are its first and last BORDER characters."""
+
+    counts: dict[str, float]
+    placeholder: bool
+    opens: bool
+    closes: bool
+    head: str
+    tail: str
+
+    @classmethod
+    def of(cls, text: str) -> Traits:
+        opens = text.find("<")
+        held = bool(PLACEHOLDER.search(text)) or (opens >= 0 and text.find(">", opens) >= 0)
+        return cls({c: float(n) for c, n in Counter(text).items()}, held, opens >= 0, ">" in text, text[:BORDER], text[-BORDER:])
+
+    def __add__(self, other: Traits) -> Traits:
+        counts = dict(self.counts)
+        for c, n in other.counts.items():
+            counts[c] = counts.get(c, 0.0) + n
+        if sum(counts.values()) > 1e200:  # only proportions matter from here on
+            counts = {c: n / 1e100 for c, n in counts.items()}
+        held = self.placeholder or other.placeholder or (self.opens and other.closes) or bool(PLACEHOLDER.search(self.tail + other.head))
+        return Traits(counts, held, self.opens or other.opens, self.closes or other.closes, (self.head + other.head)[:BORDER], (self.tail + other.tail)[-BORDER:])
+
+    def score(self) -> float:
+        """-10 for short values and placeholders, else up to 2 by entropy per character, and more for mixed classes."""
+        n = sum(self.counts.values())
+        if n < LEAST_LENGTH or self.placeholder:
+            return -10.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c)
+        letters = "".join(self.counts)
+        mixed = sum(map(bool, (re.search("[a-z]", letters), re.search("[A-Z]", letters), re.search(r"\d", letters), re.search(r"[^A-Za-z0-9]", letters))))
+        return min(entropy / 2, 2.0) + 0.25 * (mixed - 1) - (1.0 if " " in self.counts else 0.0)
+
+
+class Value:
+    """A literal of the text (start, end), or the join of two values."""
+
+    __slots__ = ("start", "end", "left", "right", "traits")
+
+    def __init__(self, start: int = 0, end: int = 0, left: Value | None = None, right: Value | None = None, traits: Traits | None = None):
+        self.start, self.end, self.left, self.right, self.traits = start, end, left, right, traits
+
+    def known(self, text: str) -> Traits:
+        """The traits, made from those of the sides, without recursion: a value may be joined very often."""
+        open_values = [self]
+        while open_values:
+            v = open_values[-1]
+            if v.traits is None and v.left is not None:
+                lacking = [x for x in (v.left, v.right) if x.traits is None]
+                if lacking:
+                    open_values += lacking
+                    continue
+                v.traits = v.left.traits + v.right.traits
+            elif v.traits is None:
+                v.traits = Traits.of(text[v.start : v.end])
+            open_values.pop()
+        return self.traits
+
+    def literals(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """The places of its literals, but for those of values that were seen before."""
+        waiting = [self]
+        while waiting:
+            v = waiting.pop()
+            if id(v) in seen:
+                continue
+            seen.add(id(v))
+            if v.left is None:
+                yield v.start, v.end
+            else:
+                waiting += [v.right, v.left]
+
+
+class Runs:
+    """Values without quotes, which may hold further assignments (`a=b=c`). Such a run's values end together and begin one behind the other, so their traits are made by taking away what
+    the next one lacks, and every character is counted once."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.at = text, -1, -1
+        self.counts: Counter[str] = Counter()
+        self.last_placeholder = -1
+
+    def value(self, start: int) -> Value:
+        if start >= self.end or start < self.at:
+            self.at, self.end = start, UNQUOTED.match(self.text, start).end()
+            self.several = self.text.find("=", start, self.end) >= 0
+            if self.several:
+                self.counts = Counter(self.text[start : self.end])
+                self.last_placeholder = max((m.start() for m in PLACEHOLDER_STARTS.finditer(self.text, start, self.end)), default=-1)
+        elif self.several:
+            for c, n in Counter(self.text[self.at : start]).items():
+                self.counts[c] -= n
+                if not self.counts[c]:
+                    del self.counts[c]
+        self.at = start
+        if not self.several:
+            return Value(start, self.end)
+        head, tail = self.text[start : min(start + BORDER, self.end)], self.text[max(start, self.end - BORDER) : self.end]
+        return Value(start, self.end, traits=Traits({c: float(n) for c, n in self.counts.items()}, self.last_placeholder >= start, False, False, head, tail))
+
+
+class Lexer:
+    """Reads one text from its start to its end; bound: what each name was last bound to."""
+
+    def __init__(self, text: str):
+        self.text, self.bound, self.runs = text, {}, Runs(text)
+
+    def operand(self, at: int) -> tuple[Value, bool, bool, int] | None:
+        """The literal or name at a place: its value, whether it came through a name, whether it is a quoted literal, and where it ends."""
+        text, after = self.text, VALUE_AFTER.match(self.text, at)
+        if not after:
+            return None
+        group = next(k for k in range(1, 6) if after[k] is not None)
+        start, end = after.span(group)
+        if group == 5 and end - start == 1:  # the whole run is not part of the pattern, as runs may hold each other
+            value = self.runs.value(start)
+            end = value.end
+            if text[end : end + 1] in ("[", "("):  # called or indexed: code, not a value
+                return None
+            name = IDENTIFIER.match(text, start)
+            source = name[0] if name and name.end() == end and name[0] in self.bound else None
+            stop = end
+        else:
+            value, source, stop = Value(start, end), None, after.end()
+        if source is None and group not in (2, 4) and (reference := REFERENCE.match(text, start)) and reference.end() == end:
+            source = reference[1] or reference[2]
+        if source in self.bound:
+            return self.bound[source], True, False, stop
+        return value, False, group != 5, stop
+
+    def values(self, at: int) -> list[tuple[Value, bool]]:
+        """The values after an operator, and whether each came through a name: the members of a list, or one value with what is joined to it (quoted literals and bound names only)."""
+        if opening := LIST_AFTER.match(self.text, at):
+            out, place = [], opening.end()
+            while member := MEMBER.match(self.text, place):
+                start, end = next(member.span(k) for k in range(1, 5) if member[k] is not None)
+                out.append((Value(start, end), False))
+                place = member.end()
+                if not member[5]:
+                    break
+            return out
+        found = self.operand(at)
         if not found:
-            continue
-        for name in names:
-            bound[name] = bound[name.rsplit(".", 1)[-1]] = found[:2]
-            yield name, *found
+            return []
+        value, through, quoted, place = found
+        while (quoted or through) and (plus := JOINED.match(self.text, place)):
+            more = self.operand(plus.end())
+            if not more or not (more[1] or more[2]):
+                break
+            value, through, place = Value(left=value, right=more[0]), through or more[1], more[3]
+        return [(value, through)]
+
+    def block(self, name_at: int, at: int) -> Value | None:
+        """The indented lines of a block behind `name: |`, as one value."""
+        opening = BLOCK_AFTER.match(self.text, at)
+        if not opening:
+            return None
+        line_start = self.text.rfind("\n", 0, name_at) + 1
+        indent = len(self.text[line_start:name_at]) - len(self.text[line_start:name_at].lstrip(" \t-"))
+        value, place = None, opening.end()
+        while place < len(self.text):
+            line = LINE.match(self.text, place)
+            if line[2].strip() and len(line[1]) <= indent:
+                break
+            if line[2].strip():
+                part = Value(line.start(2), line.start(2) + len(line[2].rstrip()))
+                value = part if value is None else Value(left=value, right=part)
+            place = line.end()
+        return value
+
+    def pairs(self) -> Iterator[tuple[str, Value, bool]]:
+        """(name, value, whether it came through another name) in order; where a type stands between name and operator, both words are names."""
+        text, bound = self.text, self.bound
+        typed: dict[int, str] = {}
+        backwards = text[::-1]
+        for op in OPERATOR.finditer(text):
+            at = len(text) - op.start()
+            before = NAME_BEFORE.match(backwards, at)
+            names = [(before[2] or before[3])[::-1]] if before else []
+            if op[0] == ":" and before and (kind := TYPE_AFTER.match(text, op.end())):
+                typed[kind.end()] = names[0]
+            if op[0] == "=":
+                if op.start() in typed:
+                    names.append(typed.pop(op.start()))
+                elif (go := TYPED_BEFORE.match(backwards, at)) and (go[3] or go[1][::-1] in PLAIN_TYPES):
+                    names.append(go[2][::-1])
+            if not names:
+                continue
+            found = self.values(op.end())
+            if not found and op[0] == ":" and (block := self.block(len(text) - before.end(), op.end())):
+                found = [(block, False)]
+            for name in names:
+                for value, through in found:
+                    bound[name] = bound[name.rsplit(".", 1)[-1]] = value
+                    yield name, value, through
+        for m in SETTER.finditer(text):
+            yield m[1], Value(*next(m.span(k) for k in range(2, 6) if m[k] is not None)), False
 
 
 def method_spans(text: str) -> list[tuple[int, str, int]]:
-    found = {}
-    for name, value, parts, through in pairs(text):
-        target = name_score(name)
-        if target and target + literal_score(value) >= THRESHOLD:
-            for start, end in parts:
-                found.setdefault((start, end), "constant" if through else "literal")
+    found: dict[tuple[int, int], str] = {}
+    seen: set[int] = set()
+    held, targets = [], {}
+    for name, value, through in Lexer(text).pairs():
+        target = targets[name] if name in targets else targets.setdefault(name, name_score(name))
+        if target and target + value.known(text).score() >= THRESHOLD:
+            held.append(value)  # values are told apart by id(), so they stay
+            for part in value.literals(seen):
+                found.setdefault(part, "constant" if through else "literal")
     return sorted((start, kind, end) for (start, end), kind in found.items())
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
-    return base_spans(text), method_spans(text) if "=" in text or ":" in text else []
+    return base_spans(text), method_spans(text) if "=" in text or ":" in text or "(" in text else []
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

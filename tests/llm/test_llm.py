@@ -305,6 +305,43 @@ def test_secrets_joined_from_parts():
     assert len(found('a = "Zx9kQ2mP7vL1"\n' + "a = a + a\n" * 300 + "password = a")) == 1
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("PASSWORD='''Zx9kQ2\nmP7vL1'''", ["Zx9kQ2\nmP7vL1"]), ('token = """Zx9kQ2mP7vL1"""', ["Zx9kQ2mP7vL1"]), ('passwords = [\n  "Zx9kQ2mP7vL1",\n  \'Ab9kQ2mP7vL1\',\n]', ["Zx9kQ2mP7vL1", "Ab9kQ2mP7vL1"]),
+        ("a:\n  secret: |\n    Zx9kQ2mP\n    7vL1abcd\n  other: 5", ["Zx9kQ2mP", "7vL1abcd"]), ('conn.setPassword("Zx9kQ2mP7vL1")', ["Zx9kQ2mP7vL1"]), ('password = f"Zx9kQ2mP7vL1"', ["Zx9kQ2mP7vL1"]),
+        ('password = os.environ["HOME_DIR_X9"]', []), ("password = getpass.getpass_q9()", []), ('password = "<none>" + "Zx9kQ2mP7vL1"', []), ('password = "exam" + "pleZx9kQ2mP7vL1"', []),
+    ],
+)
+def test_secrets_of_more_syntax(text, want):
+    assert [text[a:b] for a, _, b in secrets.method_spans(text)] == want
+
+
+def test_secrets_of_very_long_values():
+    many = "password = " + " + ".join(f'"Zx{k:05d}q"' for k in range(5000))
+    assert len(secrets.method_spans(many)) == 5000 and "Zx" not in secrets.masked(many)
+    chain = 'a = "Zx9kQ2mP7vL1"\n' + 'a = a + "k9"\n' * 20_000 + "password = a"
+    assert len(secrets.method_spans(chain)) == 20_001
+    for text in ("x=" * 200_000, "a:" * 200_000, "x='" * 100_000, 'password = "' + "<" * 1_000_000 + '"', 'a = "Zx9k"\n' + "a = a + a\n" * 20_000, " " * 1_000_000 + "="):
+        assert secrets.method_spans(text) == []  # in seconds: each of these took minutes in quadratic time
+    # values that hold each other are scored like the slices they are
+    text = "password=Zx9kQ2=token=mP7vL1aB=salt=changeme9"
+    assert [text[a:b] for a, _, b in secrets.method_spans(text)] == []
+    text = "password=Zx9kQ2=token=mP7vL1aB=salt=q0w9e8r7"
+    assert [text[a:b] for a, _, b in secrets.method_spans(text)][:2] == [text[9:], text[22:]]
+
+
+def test_value_traits_of_joins():
+    rng = random.Random(2)
+    for _ in range(300):
+        parts = ["".join(rng.choices(["a", "B", "3", "x", "<", ">", "$", "{", "your_", "exam", "ple", "*", " "], k=rng.randint(0, 6))) for _ in range(rng.randint(1, 6))]
+        whole = "".join(parts)
+        joined = secrets.Traits.of(parts[0])
+        for p in parts[1:]:
+            joined = joined + secrets.Traits.of(p)
+        assert joined.score() == pytest.approx(secrets.Traits.of(whole).score()) and joined.placeholder == secrets.Traits.of(whole).placeholder
+
+
 def test_secrets_leave_others_alone():
     for text in ("K='Zx9kQ2mP7vL1'\nPASSWORD='$K'\n", "PASSWORD=$K", "PASSWORD=${K}", 'secret sauce = "Zx9kQ2mP7vL1"', 'name: str = "Zx9kQ2mP7vL1"', 'String colour = "Zx9kQ2mP7vL1"', "password: str", "a: b[[[[<<<< = c"):
         assert secrets.method_spans(text) == []
