@@ -1,4 +1,4 @@
-"""Text rules as Column -> Column functions; all run inside whole-stage code generation, without Python workers."""
+"""Text rules as Column -> Column functions, all in the JVM. Patterns and plain functions are compiled with their stage; transform, filter and aggregate over arrays are interpreted."""
 
 from __future__ import annotations
 

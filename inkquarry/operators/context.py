@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from inkquarry.functions import text as T
 REFS, REF_WINDOW, SECTION_CHARS, SUMMARY_CHARS, SURROUNDING_CHARS, PART_CHARS = 3, 300, 1000, 3000, 1500, 500
 METHODS = ("methods", "method", "materials and methods", "materials & methods", "experimental", "experimental section")
 RESULTS = ("results", "results and discussion")
+#: What mentions of figures start with, whatever follows; T.figure_pattern() decides.
+MAY_MENTION = re.compile(r"Fig(?:ure|s)?\.{0,2}\s*", re.IGNORECASE)
 LABELS = ("FIGURE CAPTION: ", "IN-TEXT DESCRIPTION: ", "METHODS CONTEXT: ", "RESULTS CONTEXT: ")
 TASK = """=== TASK ===
 Extract ALL numerical data from this figure image.
@@ -32,17 +37,47 @@ def papers_from_pages(pages: DataFrame, info: DataFrame) -> DataFrame:
     )
 
 
-def mentions(full_text: Column, number: Column) -> Column:
-    """Snippets around all mentions of a figure, longest first, without near repeats, at most REFS. number must be a column, so the pattern is made per row."""
-    around = lambda t: F.transform(T.match_spans(t, T.figure_pattern(number)), lambda m: T.snippet_around(t, m["s"], m["n"], REF_WINDOW))
-    return T.let(T.let(full_text, around), lambda s: T.greedy_distinct(s, 0.6, REFS))
+def mention_windows(text: Column, longest: int) -> Column:
+    """Places that may mention a figure, found in one pass over a text: array of (tail, gap, window). tail: the character before "Fig" (a newline at the start of the text) and what follows
+    it, as far as a number of `longest` characters and one more may reach; window: the text from REF_WINDOW before to REF_WINDOW behind that, and gap: where "Fig" is in it."""
+
+    @F.pandas_udf("array<struct<tail:string,gap:int,window:string>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            out = []
+            for m in MAY_MENTION.finditer(t or ""):
+                lo, end = max(m.start() - REF_WINDOW, 0), m.end() + longest + 1
+                out.append({"tail": (t[m.start() - 1] if m.start() else "\n") + t[m.start() : end], "gap": m.start() - lo, "window": t[lo : end + REF_WINDOW]})
+            return out
+
+        return texts.map(one)
+
+    return scan(text)
+
+
+def mention_length(tail: Column, number: Column) -> Column:
+    """How long the mention of a figure at a place is; 0 if it is of another one. number must be a column, so the pattern is made per row."""
+    return F.length(F.call_function("regexp_extract", tail, F.concat(F.lit("(?s)^."), T.figure_pattern(number)), F.lit(0))) - 1
+
+
+def mentions(windows: Column, number: Column) -> Column:
+    """Snippets around all mentions of a figure, longest first, without near repeats, at most REFS."""
+    snippet = lambda w: F.regexp_replace(T.strip(F.substring(w["window"], F.lit(1), w["gap"] + mention_length(w["tail"], number) + REF_WINDOW)), "\n", " ")
+    return T.let(F.transform(F.filter(windows, lambda w: mention_length(w["tail"], number) > 0), snippet), lambda s: T.greedy_distinct(s, 0.6, REFS))
 
 
 def scored_sentences(text: Column, caption: Column, number: Column, most: int = SECTION_CHARS) -> Column:
     """Sentences by keyword hits (plus 2 for a mention of the figure), best first, while they fit the budget."""
-    words = T.keywords(caption)
-    rows = F.transform(T.sentences(text), lambda s, i: F.struct((-(T.keyword_hits(s, words) + F.when(F.rlike(s, T.figure_pattern(number)), 2).otherwise(0))).alias("score"), i.alias("i"), s.alias("s")))
-    ranked = F.array_sort(F.filter(rows, lambda r: r["score"] < 0))
+    return best_sentences(T.sentences(text), caption, number, most)
+
+
+def best_sentences(sentences: Column, caption: Column, number: Column, most: int = SECTION_CHARS) -> Column:
+    """The same for an array of sentences. A sentence that doesn't fit ends the list."""
+
+    def rank(words: Column) -> Column:
+        return F.transform(sentences, lambda s, i: F.struct((-(T.keyword_hits(s, words) + F.when(F.rlike(s, T.figure_pattern(number)), 2).otherwise(0))).alias("score"), i.alias("i"), s.alias("s")))
+
+    ranked = F.array_sort(F.filter(T.let(T.keywords(caption), rank), lambda r: r["score"] < 0))
     fold = F.aggregate(
         ranked, F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("out")),
         lambda acc, r: F.when(acc["full"] | (acc["n"] + F.length(r["s"]) > most), F.struct(acc["n"].alias("n"), F.lit(True).alias("full"), acc["out"].alias("out"))).otherwise(
@@ -56,10 +91,28 @@ def section_body(sections: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(F.get(F.filter(sections, lambda s: F.lower(s["name"]).isin(*names)), F.lit(0))["body"], F.lit(""))
 
 
-def mention_paragraphs(text: Column, number: Column) -> Column:
+def mention_paragraphs(text: Column, paragraphs: Column, number: Column) -> Column:
     """Paragraphs that mention the figure, else the beginning, within SECTION_CHARS."""
-    hit = F.filter(F.split(text, r"\n{2,}"), lambda p: F.rlike(p, T.figure_pattern(number)))
-    return T.strip(F.substring(F.when(F.size(hit) > 0, F.array_join(F.transform(hit, T.strip), "\n\n")).otherwise(text), 1, SECTION_CHARS))
+    chosen = lambda hit: F.when(F.size(hit) > 0, F.array_join(F.transform(hit, T.strip), "\n\n")).otherwise(text)
+    return T.strip(F.substring(T.let(F.filter(paragraphs, lambda p: F.rlike(p, T.figure_pattern(number))), chosen), 1, SECTION_CHARS))
+
+
+def figure_contexts(figures: DataFrame, papers: DataFrame) -> DataFrame:
+    """paper_id, figure_id, in_text_references, methods_context and results_context of figures (paper_id, figure_id, figure_number, caption; figure_id is unique).
+
+    The figures of a paper come together in one row with its text, which is read once: for places that may mention a figure, and for its sections. Each figure then looks at those
+    places, sentences and paragraphs only; no figure has a copy of the text."""
+    longest = figures.agg(F.max(F.length("figure_number"))).first()[0] or 0
+    of = figures.groupBy("paper_id").agg(F.collect_list(F.struct("figure_id", F.coalesce("figure_number", F.lit("")).alias("number"), F.coalesce("caption", F.lit("")).alias("caption"))).alias("_figures"))
+    text = papers.select("paper_id", F.coalesce("full_text", F.lit("")).alias("full_text")).join(of, "paper_id")
+    read = text.select("paper_id", "_figures", mention_windows(F.col("full_text"), longest).alias("w"), T.sections(F.col("full_text")).alias("_sections"))
+    read = read.select("paper_id", "_figures", "w", section_body(F.col("_sections"), METHODS).alias("m"), section_body(F.col("_sections"), RESULTS).alias("r"))
+    parts = F.array(F.struct("w", T.sentences(F.col("m")).alias("sentences"), "r", F.split("r", r"\n{2,}").alias("paragraphs")))
+    one = lambda t, f: F.struct(
+        f["figure_id"].alias("figure_id"), mentions(t["w"], f["number"]).alias("in_text_references"), best_sentences(t["sentences"], f["caption"], f["number"]).alias("methods_context"),
+        mention_paragraphs(t["r"], t["paragraphs"], f["number"]).alias("results_context"),
+    )
+    return read.select("paper_id", F.explode(F.flatten(F.transform(parts, lambda t: F.transform("_figures", lambda f: one(t, f))))).alias("x")).select("paper_id", "x.*")
 
 
 def surrounding_text(figures: DataFrame, pages: DataFrame) -> DataFrame:
@@ -94,14 +147,12 @@ def extraction_prompt(title: Column, doi: Column, number: Column, figure_type: C
 def build_contexts(figures: DataFrame, papers: DataFrame, mode: str = "rich") -> DataFrame:
     """figures (paper_id, figure_id, figure_number, caption; figure_type and surrounding_text if there are) with in_text_references, methods_context, results_context, context_summary and
     prompt. mode "rich": the summary of caption, mentions, methods and results, else the surrounding text; mode "surrounding": the surrounding text alone, after the caption."""
-    p = papers.select("paper_id", F.col("title").alias("paper_title"), "doi", "full_text", T.sections(F.col("full_text")).alias("_sections"))
-    j = figures.join(p, "paper_id", "left")
-    number, caption, text = F.col("figure_number"), F.coalesce("caption", F.lit("")), F.coalesce("full_text", F.lit(""))
+    j = figures.join(papers.select("paper_id", F.col("title").alias("paper_title"), "doi"), "paper_id", "left")
+    number, caption = F.col("figure_number"), F.coalesce("caption", F.lit(""))
     around = F.coalesce("surrounding_text", F.lit("")) if "surrounding_text" in figures.columns else F.lit("")
     if mode == "rich":
-        j = j.withColumns({
-            "in_text_references": mentions(text, number), "methods_context": scored_sentences(section_body(F.col("_sections"), METHODS), caption, number), "results_context": mention_paragraphs(section_body(F.col("_sections"), RESULTS), number),
-        })
+        j = j.join(figure_contexts(figures, papers), ["paper_id", "figure_id"], "left").fillna("", ["methods_context", "results_context"])
+        j = j.withColumn("in_text_references", F.coalesce("in_text_references", F.array().cast("array<string>")))
         j = j.withColumn("context_summary", F.coalesce(F.nullif(context_summary(caption, F.col("in_text_references"), F.col("methods_context"), F.col("results_context")), F.lit("")), around))
         context = F.col("context_summary")
     elif mode == "surrounding":
@@ -110,7 +161,7 @@ def build_contexts(figures: DataFrame, papers: DataFrame, mode: str = "rich") ->
     else:
         raise ValueError(f"no mode {mode}")
     kind = F.col("figure_type") if "figure_type" in figures.columns else F.lit(None)
-    return j.withColumn("prompt", extraction_prompt(F.col("paper_title"), F.col("doi"), number, kind, context, caption)).drop("_sections", "full_text")
+    return j.withColumn("prompt", extraction_prompt(F.col("paper_title"), F.col("doi"), number, kind, context, caption))
 
 
 def title_of_first_page(spans: DataFrame) -> DataFrame:

@@ -381,6 +381,17 @@ def greedy_match(nation):
     return names.select("n_regionkey", M.match_series(F.col("truth"), F.reverse(F.transform("truth", lambda x: F.lower(F.substring(x, 1, 4))))).alias("pairs"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, replace(replace(text, ' the ', ' (Figs. 1) '), ' of ', ' FIGURE  12 ') || ' Fig 2' AS t FROM documents), n AS (SELECT unnest(['1', '2', '12']) AS number)
+SELECT doc_id, number, len(regexp_extract_all(t, '(?i)\b(?:Fig(?:ure|s?\.?)?)\.?\s*' || number || '\b'))::INTEGER AS n FROM t, n""")
+def mention_counts(documents):
+    """How often each of three figures is mentioned in each text, by one scan of the text."""
+    from inkquarry.operators.context import mention_length, mention_windows
+
+    t = F.concat(F.replace(F.replace("text", F.lit(" the "), F.lit(" (Figs. 1) ")), F.lit(" of "), F.lit(" FIGURE  12 ")), F.lit(" Fig 2"))
+    w = documents.select("doc_id", mention_windows(t, 2).alias("w")).select("doc_id", "w", F.explode(F.array(*map(F.lit, ("1", "2", "12")))).alias("number"))
+    return w.select("doc_id", "number", F.size(F.filter("w", lambda x: mention_length(x["tail"], F.col("number")) > 0)).alias("n"))
+
+
 @query()
 def scored_context(documents):
     from inkquarry.operators.context import scored_sentences

@@ -444,6 +444,42 @@ def test_contexts(spark):
     assert got == {r["doc_id"]: brute_sentences(r["text"], "Then there were others with this thing", "3") for r in docs}
 
 
+def brute_mentions(text, number):
+    snippets = []
+    for m in re.finditer(rf"\b(?:Fig(?:ure|s?\.?)?)\.?\s*{re.escape(number.strip())}\b", text, re.I):
+        snippets.append(text[max(m.start() - 300, 0) : m.end() + 300].strip().replace("\n", " "))
+    kept = []
+    for s in sorted(snippets, key=len, reverse=True):
+
+        def near(a, b):
+            short, long = sorted((a, b), key=len)
+            return sum(c in long for c in short) / len(long) if short else 0.0
+
+        if len(kept) < 3 and all(near(s, k) <= 0.6 for k in kept):
+            kept.append(s)
+    return kept
+
+
+def test_mentions_of_many_figures(spark):
+    """The index of mentions against one search of the whole text per figure."""
+    import random
+
+    rng = random.Random(17)
+    forms = ["Fig. {}", "Figure {}", "Figs.{}", "FIGS {}", "fig.. {}", "Figure  \n{}", "figs.. {}", "Fig{}", "Config 1 {}", "Figures {}", "Fig. {}-9", "(Fig. {}a)"]
+    numbers = ["1", "2", "12", "S3", "1a", " 4 ", "3.1", "(2)", "no"]
+    papers, figures = [], []
+    for p in range(12):
+        text = "".join(("".join(rng.choices("abcdefgh \n", k=rng.choice([3, 40, 700]))) + " " + rng.choice(forms).format(rng.choice(numbers).strip()) + rng.choice([" ", ".", ", "])) for _ in range(rng.choice([0, 1, 5, 40])))
+        papers.append((f"p{p}", None, None, text if p else None))
+        figures += [(f"p{p}", f"p{p}#{k}", n, "Caption about viability") for k, n in enumerate(numbers)]
+    figures.append(("gone", "gone#0", "1", None))
+    papers_df = spark.createDataFrame(papers, "paper_id string, title string, doi string, full_text string")
+    figures_df = spark.createDataFrame(figures, "paper_id string, figure_id string, figure_number string, caption string")
+    got = {r["figure_id"]: r["in_text_references"] for r in C.build_contexts(figures_df, papers_df).collect()}
+    texts = {p: t or "" for p, _, _, t in papers}
+    assert got == {f: brute_mentions(texts.get(p, ""), n) for p, f, n, _ in figures} and sum(map(len, got.values())) > 20
+
+
 def test_greedy_choices(spark):
     def ratio(a, b):
         short, long = (a, b) if len(a) <= len(b) else (b, a)
