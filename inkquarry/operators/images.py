@@ -21,6 +21,8 @@ from inkquarry.sources.exports import png
 #: Brightness over which a pixel is white, the share of white of an empty line, the least side of an image, pixels of padding, and the bounds of colour clusters.
 WHITE, EMPTY_SHARE, LEAST_SIDE, PAD, CLUSTERS, LEAST_PIXELS, LEAST_CLUSTER, ROUNDS = 245, 0.98, 100, 50, 5, 50, 20, 10
 IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
+#: The gradients that an edge has to pass and to reach somewhere, and the tangent of 22.5 degrees, within which an edge counts as upright.
+LOW_EDGE, HIGH_EDGE, TANGENT = 50, 150, 0.4142135623730951
 DARK = 128
 
 
@@ -176,15 +178,118 @@ def largest_dark_box(grey: np.ndarray, dark: int = DARK) -> tuple[int, int, int,
     return int(lo_x[best]), int(lo_y[best]), int(hi_x[best] - lo_x[best]), int(hi_y[best] - lo_y[best])
 
 
-def plot_areas(images: DataFrame) -> DataFrame:
-    """image_id, x, y, w, h of each image's plot: the box of its largest dark connected region, as the frame of a plot is. Images without any are left out."""
-    found = lambda row: [b for b in [largest_dark_box(grey_of(array_of(row["image"])))] if b]
+def edge_map(grey: np.ndarray, low: int = LOW_EDGE, high: int = HIGH_EDGE) -> np.ndarray:
+    """Edges after Canny (1986): where the gradient (3 x 3 differences, sum of both directions) is largest across the edge and over `low`, and connected to one over `high`."""
+    g = np.pad(grey.astype(np.int64), 1, mode="edge")
+    rows, columns = g[:-2] + 2 * g[1:-1] + g[2:], g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+    gx, gy = rows[:, 2:] - rows[:, :-2], columns[2:] - columns[:-2]
+    size = np.abs(gx) + np.abs(gy)
+    m = np.pad(size, 1)
+    around = lambda dy, dx: m[1 + dy : m.shape[0] - 1 + dy, 1 + dx : m.shape[1] - 1 + dx]
+    ax, ay, same = np.abs(gx), np.abs(gy), (gx < 0) == (gy < 0)
+    flat, steep = ay < ax * TANGENT, ay > ax / TANGENT
+    # of two equal neighbours across an edge, the first one counts
+    peak = np.where(
+        flat, (size > around(0, -1)) & (size >= around(0, 1)),
+        np.where(steep, (size > around(-1, 0)) & (size >= around(1, 0)), np.where(same, (size > around(-1, -1)) & (size > around(1, 1)), (size > around(-1, 1)) & (size > around(1, -1)))),
+    )
+    weak = peak & (size > low)
+    label, n = connected(weak)
+    strong = np.zeros(n, dtype=bool)
+    strong[label[weak & (size > high)]] = True
+    return weak & strong[label]
+
+
+def connected(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each pixel: 0 off the mask, else that of its region (neighbours in eight directions), and how many numbers there are."""
+    at = np.flatnonzero(mask)
+    place = np.full(mask.size + 1, -1, dtype=np.int64)
+    place[at] = np.arange(len(at))
+    h, w = mask.shape
+    y, x = np.divmod(at, max(w, 1))
+    up = np.arange(len(at))
+    pairs = []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        inside = (y + dy < h) & (x + dx >= 0) & (x + dx < w)
+        other = place[at[inside] + dy * w + dx]
+        pairs.append(np.stack((np.flatnonzero(inside)[other >= 0], other[other >= 0])))
+    u, v = np.concatenate(pairs, axis=1)
+    while len(u):
+        a, b = up[u], up[v]
+        apart = a != b
+        u, v = u[apart], v[apart]
+        np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up, higher := up[up]):
+            up = higher
+    roots, number = np.unique(up, return_inverse=True)
+    label = np.zeros(mask.size, dtype=np.int64)
+    label[at] = number + 1
+    return label.reshape(mask.shape), len(roots) + 1
+
+
+#: The eight neighbours of a pixel (down, right), clockwise from the left one.
+CLOCKWISE = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+def outer_border(label: np.ndarray, number: int, y: int, x: int) -> list[tuple[int, int]]:
+    """The pixels around a region, from its first one (the leftmost of its top row) clockwise until the first step would be taken again."""
+    h, w = label.shape
+    mine = lambda a, b: 0 <= a < h and 0 <= b < w and label[a, b] == number
+    border, start, came = [(y, x)], (y, x), 0
+    first = None
+    while True:
+        for k in range(1, 9):
+            d = (came + k) % 8
+            if mine(y + CLOCKWISE[d][0], x + CLOCKWISE[d][1]):
+                break
+        else:
+            return border
+        if (y, x) == start:
+            if first == d:
+                return border[:-1]
+            first = d if first is None else first
+        y, x = y + CLOCKWISE[d][0], x + CLOCKWISE[d][1]
+        border.append((y, x))
+        came = (d + 4) % 8  # the neighbour that it was entered from
+
+
+def polygon_area(border: list[tuple[int, int]]) -> float:
+    p = np.array(border, dtype=np.int64)
+    q = np.roll(p, -1, axis=0)
+    return abs(int((p[:, 1] * q[:, 0] - q[:, 1] * p[:, 0]).sum())) / 2
+
+
+def largest_outline(grey: np.ndarray) -> tuple[int, int, int, int] | None:
+    """x, y, width, height of the edge whose outline encloses the largest area, of equal ones the first; None without edges. What lies inside another outline encloses less than it, so all edges may compete."""
+    label, n = connected(edge_map(grey))
+    if n == 1:
+        return None
+    numbers, first = np.unique(label, return_index=True)
+    lo_y, lo_x, hi_y, hi_x = (np.full(n, v) for v in (1 << 30, 1 << 30, -1, -1))
+    y, x = np.nonzero(label)
+    of = label[y, x]
+    np.minimum.at(lo_y, of, y), np.minimum.at(lo_x, of, x), np.maximum.at(hi_y, of, y), np.maximum.at(hi_x, of, x)
+    best, most = 0, -1.0
+    for number, at in sorted(zip(numbers[numbers > 0].tolist(), first[numbers > 0].tolist()), key=lambda k: -(hi_y[k[0]] - lo_y[k[0]]) * (hi_x[k[0]] - lo_x[k[0]])):
+        if (hi_y[number] - lo_y[number]) * (hi_x[number] - lo_x[number]) < most:
+            break  # an outline encloses no more than its box
+        area = polygon_area(outer_border(label, number, *divmod(at, label.shape[1])))
+        if area > most or (area == most and number < best):
+            best, most = number, area
+    return int(lo_x[best]), int(lo_y[best]), int(hi_x[best] - lo_x[best] + 1), int(hi_y[best] - lo_y[best] + 1)
+
+
+def plot_areas(images: DataFrame, by: str = "dark") -> DataFrame:
+    """image_id, x, y, w, h of each image's plot, as the frame of a plot is: the box of its largest dark connected region, or with by="edges" of the edge with the largest outline, which
+    also finds frames that are tinted, pale or drawn on a dark ground. Images without any are left out."""
+    largest = {"dark": largest_dark_box, "edges": largest_outline}[by]
+    found = lambda row: [b for b in [largest(grey_of(array_of(row["image"])))] if b]
     return per_image(images.where("image is not null").select("image_id", _plain(F.col("image"))), ["image_id"], found, "x int, y int, w int, h int")
 
 
-def auto_digitize(images: DataFrame, calibration: DataFrame, gap: float = 5) -> DataFrame:
+def auto_digitize(images: DataFrame, calibration: DataFrame, gap: float = 5, by: str = "dark") -> DataFrame:
     """image_id, series_id, x, y: colours inside the plot area (the whole image where there is none) as series, their columns of pixels as points."""
-    p, area = pixels_of(images), plot_areas(images).select(F.col("image_id").cast("string").alias("image_id"), F.struct("x", "y", "w", "h").alias("box"))
+    p, area = pixels_of(images), plot_areas(images, by).select(F.col("image_id").cast("string").alias("image_id"), F.struct("x", "y", "w", "h").alias("box"))
     inside = F.col("box").isNull() | (F.col("x").between(F.col("box.x"), F.col("box.x") + F.col("box.w") - 1) & F.col("y").between(F.col("box.y"), F.col("box.y") + F.col("box.h") - 1))
     c = colour_clusters(p.join(area, "image_id", "left").where(inside).drop("box"))
     return digitize(c.select("image_id", "series_id", F.col("x").alias("px"), F.col("y").alias("py")), calibration, gap=gap)

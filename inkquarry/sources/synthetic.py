@@ -64,8 +64,9 @@ def ground_truth(points_df: DataFrame) -> DataFrame:
     return per.groupBy("plot_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda q: q["s"])).alias("answer"))
 
 
-def save_pairs(plots_df: DataFrame, points_df: DataFrame, folder: str) -> int:
-    """Writes `<stem>.csv` and `<stem>_meta.json` (plot_type, caption, n_rows, ground_truth) of every plot, by the tasks; the number of files."""
+def save_pairs(plots_df: DataFrame, points_df: DataFrame, folder: str, images: bool = True) -> int:
+    """Writes `<stem>.csv`, `<stem>_meta.json` (plot_type, caption, n_rows, ground_truth) and, unless images is False, `<stem>.png` of every plot, by the tasks; the number of files."""
+    from inkquarry.operators.images import png_of
     from inkquarry.sources.exports import write_files
 
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -80,7 +81,13 @@ def save_pairs(plots_df: DataFrame, points_df: DataFrame, folder: str) -> int:
     j = plots_df.join(rows, "plot_id").join(ground_truth(points_df).withColumnRenamed("answer", "ground_truth"), "plot_id")
     csv = j.select(F.concat("stem", F.lit(".csv")).alias("name"), F.concat("head", F.lit("\n"), "body", F.lit("\n")).cast("binary").alias("content"))
     meta = j.select(F.concat("stem", F.lit("_meta.json")).alias("name"), F.to_json(F.struct("plot_type", "caption", "n_rows", "ground_truth")).cast("binary").alias("content"))
-    return write_files(csv.unionByName(meta), folder)
+    n = write_files(csv.unionByName(meta), folder)
+    if images:
+        from inkquarry.sources.plots import plot_images
+
+        pictures = png_of(plot_images(points_df).join(plots_df.select("plot_id", "stem"), "plot_id"), ["stem"])
+        n += write_files(pictures.select(F.concat("stem", F.lit(".png")).alias("name"), F.col("png").alias("content")), folder)
+    return n
 
 
 def chat_samples(plots_df: DataFrame, answers: DataFrame) -> DataFrame:

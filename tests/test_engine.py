@@ -805,7 +805,7 @@ def test_pages_that_fail_once(spark, tmp_path):
 def test_training_pairs(spark, tmp_path):
     plots = synthetic.plots(spark, 12)
     points = synthetic.points(plots)
-    assert synthetic.save_pairs(plots, points, str(tmp_path / "deep" / "er")) == 24
+    assert synthetic.save_pairs(plots, points, str(tmp_path / "deep" / "er"), images=False) == 24
     stems = {r["stem"]: r for r in plots.collect()}
     for p in (tmp_path / "deep/er").glob("*.csv"):
         kind = stems[p.stem]["plot_type"]
@@ -822,6 +822,126 @@ def test_training_pairs(spark, tmp_path):
     assert len(truth) == stems[pairs[0]["stem"]]["n_series"] and len(truth[0]["data_points"]) == stems[pairs[0]["stem"]]["n_points"]
 
 
+def test_drawn_plots(spark, tmp_path):
+    from inkquarry.sources import plots as P
+
+    made = synthetic.plots(spark, 24)
+    points = synthetic.points(made)
+    assert synthetic.save_pairs(made, points, str(tmp_path)) == 72
+    assert files.training_pairs(spark, str(tmp_path)).count() == 24  # every plot has its image
+    kinds, rows = {r["plot_id"]: r["plot_type"] for r in made.collect()}, {}
+    for r in points.orderBy("series", "i").collect():
+        rows.setdefault(r["plot_id"], []).append(r)
+    assert set(kinds.values()) == set(synthetic.KINDS)
+    drawn = P.plot_images(points)
+    left, top, right, bottom = P.FRAME
+    for r in drawn.collect():
+        pixels, kind, mine = I.array_of(r["image"].asDict()), kinds[r["plot_id"]], rows[r["plot_id"]]
+        px = lambda x: left + (x - r["x_min"]) / (r["x_max"] - r["x_min"]) * (right - left)  # noqa: B023, E731
+        py = lambda y: bottom - (y - r["y_min"]) / (r["y_max"] - r["y_min"]) * (bottom - top)  # noqa: B023, E731
+        n = max(p["series"] for p in mine) + 1
+        last = [p for p in mine if p["series"] == n - 1]
+        if kind == "heatmap":
+            columns = len(last)
+            for p in mine:
+                cell = pixels[round(top + (bottom - top) * (p["series"] + 0.5) / n), round(left + (right - left) * (p["i"] + 0.5) / columns)]
+                assert abs(P.cell_value(cell) - p["y"]) < 0.004
+        elif kind == "bar_chart":
+            wide = 0.8 * (right - left) / len(last) / n
+            for p in mine:  # the top of each bar, beside its error bar
+                x = round(px(p["i"]) + (p["series"] - (n - 1) / 2) * wide - wide / 4)
+                column = np.flatnonzero((pixels[top + 1 : bottom, x] == P.COLOURS[p["series"]]).all(axis=1)) + top + 1
+                assert abs(column.min() - py(p["y"])) <= 1.5
+        else:  # nothing is drawn over the markers of the last series
+            assert all((pixels[round(py(p["y"])), round(px(p["x"]))] == P.COLOURS[n - 1]).all() for p in last)
+    for by in ("dark", "edges"):
+        areas = {(r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]) for r in I.plot_areas(drawn.select(F.col("plot_id").alias("image_id"), "image"), by).collect()}
+        assert all(abs(a - b) <= 6 for area in areas for a, b in zip(area, (left, top, right, bottom)))  # the frame with its ticks
+
+
+def test_digitised_plots_are_near_the_truth(spark):
+    """From drawn points to digitised ones: each within two pixels."""
+    from inkquarry.sources import plots as P
+
+    rng = np.random.default_rng(4)
+    truth = {k: [(10.0 * i + k, float(v)) for i, v in enumerate(rng.random(25) * 100)] for k in range(3)}
+    rows = [(k, "scatter_plot", 0, i, x, y, None) for k, pts in truth.items() for i, (x, y) in enumerate(pts)]
+    images = P.plot_images(spark.createDataFrame(rows, "plot_id long, plot_type string, series int, i int, x double, y double, err_y double"))
+    for by in ("dark", "edges"):
+        got = {}
+        for r in I.auto_digitize(images.select(F.col("plot_id").cast("string").alias("image_id"), "image"), P.calibration(images), by=by).collect():
+            got.setdefault(int(r["image_id"]), []).append((r["x"], r["y"]))
+        for r in images.collect():
+            one_x, one_y = (r["x_max"] - r["x_min"]) / (P.FRAME[2] - P.FRAME[0]), (r["y_max"] - r["y_min"]) / (P.FRAME[3] - P.FRAME[1])
+            mine = sorted(got[r["plot_id"]])
+            assert len(mine) == 25 and all(abs(a[0] - b[0]) <= 2 * one_x and abs(a[1] - b[1]) <= 2 * one_y for a, b in zip(mine, sorted(truth[r["plot_id"]])))
+
+
+def brute_edges(grey, low=50, high=150):
+    """Canny's steps pixel by pixel."""
+    h, w = grey.shape
+    g = lambda y, x: int(grey[min(max(y, 0), h - 1), min(max(x, 0), w - 1)])
+    grad = {}
+    for y in range(h):
+        for x in range(w):
+            gx = sum(k * (g(y + d, x + 1) - g(y + d, x - 1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            gy = sum(k * (g(y + 1, x + d) - g(y - 1, x + d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            grad[y, x] = gx, gy, abs(gx) + abs(gy)
+    m = lambda y, x: grad.get((y, x), (0, 0, 0))[2]
+    weak = set()
+    for (y, x), (gx, gy, n) in grad.items():
+        t = np.tan(np.pi / 8)
+        if abs(gy) < abs(gx) * t:
+            peak = n > m(y, x - 1) and n >= m(y, x + 1)
+        elif abs(gy) > abs(gx) / t:
+            peak = n > m(y - 1, x) and n >= m(y + 1, x)
+        else:
+            s = 1 if (gx < 0) == (gy < 0) else -1
+            peak = n > m(y - 1, x - s) and n > m(y + 1, x + s)
+        if peak and n > low:
+            weak.add((y, x))
+    kept, waiting = set(), [p for p in weak if m(*p) > high]
+    while waiting:
+        p = waiting.pop()
+        if p in kept:
+            continue
+        kept.add(p)
+        waiting += [q for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (q := (p[0] + dy, p[1] + dx)) in weak]
+    return kept
+
+
+def test_edges_against_brute_force():
+    rng = np.random.default_rng(11)
+    for k in range(6):
+        grey = rng.integers(0, 60, (40, 50)) + 150
+        grey[5:30, 8:40] = rng.integers(0, 40 + 10 * k, (25, 32))
+        got = I.edge_map(grey)
+        assert set(zip(*map(list, np.nonzero(got)))) == brute_edges(grey)
+        label, n = I.connected(got)
+        assert (label > 0).sum() == got.sum() and n == label.max() + 1
+    # a filled disc: the outline's area is that of the pixels' centres
+    y, x = np.mgrid[:60, :60]
+    label, n = I.connected((y - 30) ** 2 + (x - 30) ** 2 <= 400)
+    assert n == 2 and I.polygon_area(I.outer_border(label, 1, 10, 30)) == pytest.approx(np.pi * 400, rel=0.05)
+    for one in (np.eye(9, dtype=bool), np.ones((1, 9), dtype=bool), np.ones((1, 1), dtype=bool)):  # lines enclose nothing
+        label, _ = I.connected(one)
+        assert I.polygon_area(I.outer_border(label, 1, 0, 0)) == 0
+    assert I.largest_outline(np.full((20, 20), 200)) is None
+
+
+@pytest.mark.parametrize(("ground", "frame", "noise"), [(255, 20, 0), (255, 20, 12), (225, 150, 6), (40, 230, 6), (255, 205, 0)])
+def test_plot_area_of_noisy_and_tinted_frames(ground, frame, noise):
+    rng = np.random.default_rng(ground + noise)
+    pixels = np.full((240, 320, 3), ground, dtype=float)
+    pixels[30:200, 40:290] = frame
+    pixels[33:197, 43:287] = ground
+    for k in range(60):
+        pixels[110:112, 50 + 4 * k : 53 + 4 * k] = (30, 90, 220)
+    pixels = np.clip(pixels + rng.normal(0, noise or 1e-9, pixels.shape), 0, 255).astype(np.uint8)
+    x, y, w, h = I.largest_outline(I.grey_of(pixels))
+    assert abs(x - 40) <= 3 and abs(y - 30) <= 3 and abs(w - 250) <= 6 and abs(h - 170) <= 6
+
+
 def exact_answer(prompt, picture):
     if "Figure good" in prompt:
         return json.dumps([{"series_name": "b", "data_points": [{"x": 0, "y": 5}]}, {"series_name": "A ", "data_points": [{"x": 0, "y": 1}, {"x": 1, "y": 2}, {"x": 2, "y": 9}]}])
