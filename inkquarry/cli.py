@@ -85,33 +85,34 @@ def run_export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
     settings = Settings.of(spark)
-    results = benchmark_folder(spark, a.test_set, plugin(a.extract, files.HttpModel(settings.model_url, settings.model_name, timeout=settings.model_timeout)))
-    print("\n".join(r["value"] for r in report_lines(results).orderBy("ord").collect()))
+    results = benchmark_folder(spark, a.test_set, plugin(a.extract, files.HttpModel(settings.model_url, settings.model_name, timeout=settings.model_timeout)), settings)
+    print("\n".join(r["value"] for r in report_lines(results, settings.rmse_threshold).orderBy("ord").collect()))
     return 0
 
 
-def benchmark_folder(spark: SparkSession, folder: str, extract: Callable) -> DataFrame:
+def benchmark_folder(spark: SparkSession, folder: str, extract: Callable, settings: Settings | None = None) -> DataFrame:
     """Results per figure of a folder of `<stem>.png` and `<stem>_ground_truth.json`; pairs without an image or with an unreadable truth are skipped, and count as such."""
     from inkquarry.functions.model_json import parse_array
     from inkquarry.functions.text import let
     from inkquarry.operators.context import extraction_prompt
     from inkquarry.staging import kept
 
+    settings = settings or Settings.of(spark)
     pairs = kept(files.benchmark_pairs(spark, folder), "truth")
     ok = pairs.where("image_path is not null and ord is not null")
     images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(F.col("path").alias("image_path"), "content")
     none = F.lit(None).cast("string")
     asked = ok.select("figure", "image_path").distinct().join(images, "image_path").withColumn("prompt", extraction_prompt(none, none, F.col("figure"), none, none, none))
-    answered = kept(files.infer(asked, extract, image="content").drop("content"), "answers")
+    answered = kept(files.infer(asked, extract, image="content", attempts=settings.model_attempts, memo=settings.answers_folder or None, calls=settings.model_calls).drop("content"), "answers")
     predicted = answered.select("figure", F.posexplode(let(F.col("answer"), lambda a: parse_array(a))).alias("ord", "s")).select("figure", "ord", F.coalesce("s.series_name", F.lit("")).alias("series_name"), F.transform("s.data_points", lambda p: p["y"]).alias("ys"))
-    scored = benchmark(ok.select("figure", "figure_type", "ord", "series_name", "ys"), predicted).withColumn("skipped", F.lit(False))
+    scored = benchmark(ok.select("figure", "figure_type", "ord", "series_name", "ys"), predicted, settings.rmse_threshold).withColumn("skipped", F.lit(False))
     lost = pairs.join(ok.select("figure").distinct(), "figure", "left_anti").select("figure").distinct()
     return scored.unionByName(lost.withColumns({"skipped": F.lit(True), "passed": F.lit(False), "figure_type": F.lit("unknown")}), allowMissingColumns=True)
 
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkquarry", description="Numeric data from scientific documents.")
-    p.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR"])
+    p.add_argument("--log-level", choices=["DEBUG", "INFO", "WARNING", "ERROR"], help="instead of the setting log_level")
     p.add_argument("--store", default="store", help="folder of the stored tables")
     sub = p.add_subparsers(dest="command", required=True)
     for name, of in (("process", "document"), ("process-batch", "folder of documents")):
@@ -136,8 +137,9 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """The exit code: 0 if all went well, 1 if something failed or wasn't found."""
     a = arguments().parse_args(argv)
-    logging.basicConfig(level=a.log_level)
     spark = spark or SparkSession.builder.appName("inkquarry").getOrCreate()
+    logging.basicConfig()
+    logger.setLevel(a.log_level or Settings.of(spark).log_level)
     run = {"process": lambda: run_process(spark, a, None), "process-batch": lambda: run_process(spark, a, "*.pdf"), "search": lambda: run_search(spark, a), "export": lambda: run_export(spark, a), "benchmark": lambda: run_benchmark(spark, a)}
     return run[a.command]()
 

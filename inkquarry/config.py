@@ -16,6 +16,8 @@ class Settings:
     model_name: str = "gemma4:4b"
     model_timeout: int = 120
     model_attempts: int = 3
+    model_calls: int = 4  #: questions that a task has under way at once
+    answers_folder: str = ""  #: where answers of models last; '': nowhere
     confidence_threshold: float = 0.7
     most_figures: int = 0  #: figures kept of a paper; 0: all
     image_dpi: int = 300

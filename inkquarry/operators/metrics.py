@@ -99,19 +99,19 @@ def report(results: DataFrame, kind: str = "figure_type") -> DataFrame:
     ).where(f"{kind} is null or n > 0")
 
 
-def report_lines(results: DataFrame) -> DataFrame:
+def report_lines(results: DataFrame, threshold: float = RMSE_THRESHOLD) -> DataFrame:
     """The benchmark as text: ord and value, totals first, then the types in alphabetical order. One row a type, so the only ordering is that of a few rows."""
     r = report(results)
     total = r.where("figure_type is null").select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("value")) for k, x in enumerate((
         F.format_string("Total figures : %d", "n"), F.format_string("Passed        : %d", "passed"), F.format_string("Failed        : %d", F.col("failed")),
-        F.format_string("Pass rate     : %.1f%%", "pass_rate"), F.format_string("Mean RMSE     : %.4f  (threshold=%s)", "mean_rmse", F.lit(str(RMSE_THRESHOLD))), F.format_string("Mean R²       : %.4f", "mean_r2"), F.lit("Results by figure type:"),
+        F.format_string("Pass rate     : %.1f%%", "pass_rate"), F.format_string("Mean RMSE     : %.4f  (threshold=%s)", "mean_rmse", F.lit(str(threshold))), F.format_string("Mean R²       : %.4f", "mean_r2"), F.lit("Results by figure type:"),
     ))])).alias("x")).select("x.k", F.lit("").alias("figure_type"), "x.value")
     kinds = r.where("figure_type is not null").select(F.lit(99).alias("k"), "figure_type", F.format_string("  %-20s %d/%d passed  RMSE=%.4f", "figure_type", "passed", "n", "mean_rmse").alias("value"))
     order = Window.orderBy("k", "figure_type")
     return total.unionByName(kinds).select((F.row_number().over(order) - 1).alias("ord"), "value")
 
 
-def benchmark(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+def benchmark(truth: DataFrame, predicted: DataFrame, threshold: float = RMSE_THRESHOLD) -> DataFrame:
     """figure, figure_type, rmse, r2, passed. Inputs: (figure, figure_type, ord, series_name, ys array<double>); the type is that of a figure's first series. Series are matched by name
     and cut to the shorter of both; the range is that of the true values compared. Figures without a prediction get nulls and don't pass."""
     pack = lambda df, name: df.groupBy("figure").agg(F.array_sort(F.collect_list(F.struct("ord", "series_name", "ys"))).alias(name))
@@ -122,4 +122,4 @@ def benchmark(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     n = F.least(F.size(a), F.size(b))
     rows = pairs.where(n > 0).select("figure", F.explode(F.arrays_zip(F.slice(a, F.lit(1), n).alias("y"), F.slice(b, F.lit(1), n).alias("z"))).alias("v"))
     scored = rows.groupBy("figure").agg(rmse(F.col("v.y"), F.col("v.z")).alias("rmse"), r2(F.col("v.y"), F.col("v.z")).alias("r2"))
-    return kinds.join(scored, "figure", "left").select("figure", F.coalesce("figure_type", F.lit("unknown")).alias("figure_type"), "rmse", "r2", F.coalesce(F.col("rmse") <= RMSE_THRESHOLD, F.lit(False)).alias("passed"))
+    return kinds.join(scored, "figure", "left").select("figure", F.coalesce("figure_type", F.lit("unknown")).alias("figure_type"), "rmse", "r2", F.coalesce(F.col("rmse") <= threshold, F.lit(False)).alias("passed"))

@@ -113,11 +113,12 @@ def process(
     raw = kept(raw, "figures")
     files_png = png_of(raw, ["figure_id"])
     asked = raw.drop("image").join(files_png, "figure_id", "left").withColumn("prompt", F.concat(F.lit("Figure caption: "), F.coalesce("caption", F.lit("")), F.lit("\n\n" + CLASS_PROMPT)))
-    asked = kept(infer(asked, classify, image="png", attempts=settings.model_attempts, out="class_answer"), "classified")
+    how = {"image": "png", "attempts": settings.model_attempts, "memo": settings.answers_folder or None, "calls": settings.model_calls}
+    asked = kept(infer(asked, classify, out="class_answer", **how), "classified")
     figures = asked.withColumn("c", classified(F.col("class_answer"), threshold)).withColumn("figure_type", F.col("c.figure_type")).drop("prompt", "class_answer", "class_answer_error")
     contexts = build_contexts(surrounding_text(figures, pages), papers, mode)
     worth = contexts.where("c.has_quantitative_data" + (" and png is not null" if require_image else ""))
-    answered = kept(infer(worth, extract, image="png", attempts=settings.model_attempts), "extracted")
+    answered = kept(infer(worth, extract, **how), "extracted")
 
     problem = lambda df, kind, path, message: df.select(F.lit(kind).alias("error_type"), F.concat_ws(": ", path, message).alias("error_message"))
     errors = problem(parsed.where("error is not null"), "parse", "path", "error").unionByName(problem(asked.where("class_answer_error is not null"), "classify", "figure_id", "class_answer_error"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.error import HTTPError, URLError
 
 import pyarrow as pa
@@ -156,9 +159,44 @@ def text_parser(content: bytes) -> dict:
     return {"pages": pages, "title": title, "author": "", "creator": "", "producer": "", "figures": []}
 
 
-def infer(df: DataFrame, model: Callable[[str, bytes | None], str], prompt: str = "prompt", image: str | None = None, attempts: int = ATTEMPTS, wait: float = 2.0, out: str = "answer") -> DataFrame:
+class Memo:
+    """Answers of a model in a folder that all tasks reach: a file an answer, named by the hash of model, prompt and image. A task that runs again, or a job, asks for nothing twice."""
+
+    def __init__(self, folder: str, model: Callable):
+        from pyarrow import fs as afs
+
+        self.fs, root = afs.FileSystem.from_uri(folder) if "://" in folder else (afs.LocalFileSystem(), folder)
+        self.root, self.name = root.rstrip("/"), repr(sorted(vars(model).items())) if hasattr(model, "__dict__") and vars(model) else getattr(model, "__qualname__", type(model).__qualname__)
+
+    def path(self, text: str, data: bytes | None) -> str:
+        key = hashlib.sha256(b"\0".join((self.name.encode(), hashlib.sha256(text.encode()).digest(), b"-" if data is None else hashlib.sha256(data).digest()))).hexdigest()
+        return f"{self.root}/{key[:2]}/{key}"
+
+    def get(self, path: str) -> str | None:
+        from pyarrow import fs as afs
+
+        if self.fs.get_file_info(path).type != afs.FileType.File:
+            return None
+        with self.fs.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def put(self, path: str, answer: str) -> None:
+        """By a file beside it and a move, so that no one reads half an answer."""
+        self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            f.write(answer.encode())
+        self.fs.move(part, path)
+
+
+def infer(
+    df: DataFrame, model: Callable[[str, bytes | None], str], prompt: str = "prompt", image: str | None = None, attempts: int = ATTEMPTS, wait: float = 2.0, out: str = "answer", memo: str | None = None, calls: int = 4,
+) -> DataFrame:
     """Adds the model's answer, and in `<out>_error` why there is none. What can't be reached or takes too long is asked again, after wait, 2 wait, 4 wait ... seconds; a refusal by the
-    server or an error of the model is not. No failure ends the job. Filter rows before this boundary and write its result, as answers are dear."""
+    server or an error of the model is not. No failure ends the job. Filter rows before this boundary and write its result, as answers are dear.
+
+    Each task has up to `calls` questions under way at once. memo: a folder (see Memo) in which answers last, so that a task that is lost or a job that runs again asks only what
+    has no answer yet; refusals and failures are not kept."""
     schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
     columns = [prompt, *([image] if image else [])]
     where = [df.columns.index(c) for c in columns]
@@ -177,10 +215,27 @@ def infer(df: DataFrame, model: Callable[[str, bytes | None], str], prompt: str
         return None, f"unreachable after {attempts} attempts: {last}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, data = batch.column(where[0]).to_pylist(), batch.column(where[1]).to_pylist() if image else [None] * batch.num_rows
-            answers = [ask(t, d) for t, d in zip(texts, data, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([a[k] for a in answers], pa.string()) for k in range(2)]], [*batch.schema.names, out, f"{out}_error"])
+        held = Memo(memo, model) if memo else None
+
+        def answer(text: str, data: bytes | None) -> tuple[str | None, str | None]:
+            if held is None or text is None:
+                return ask(text, data)
+            path = held.path(text, data)
+            known = held.get(path)
+            if known is not None:
+                return known, None
+            found = ask(text, data)
+            if found[0] is not None:
+                held.put(path, found[0])
+            return found
+
+        with ThreadPoolExecutor(max_workers=max(1, calls)) as pool:
+            for batch in batches:
+                texts, data = batch.column(where[0]).to_pylist(), batch.column(where[1]).to_pylist() if image else [None] * batch.num_rows
+                asked = dict.fromkeys(zip(texts, data))  # a question that comes twice in a batch is asked once
+                asked.update(zip(asked, pool.map(lambda q: answer(*q), list(asked))))
+                answers = [asked[q] for q in zip(texts, data)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([a[k] for a in answers], pa.string()) for k in range(2)]], [*batch.schema.names, out, f"{out}_error"])
 
     return df.mapInArrow(run, schema)
 

@@ -579,6 +579,46 @@ def test_infer_retries(spark, tmp_path):
     assert calls == {"fine": 1, "refused": 3, "never": 3, "bad": 1, "bug": 1}
 
 
+class Counted:
+    """A model that notes each question, and dies at one of them until told not to."""
+
+    def __init__(self, folder, dies_at):
+        self.folder, self.dies_at = folder, dies_at
+
+    def __call__(self, prompt, image=None):
+        with open(f"{self.folder}/{prompt}", "a") as f:
+            f.write("x")
+        if prompt == self.dies_at and not Path(self.folder, "mended").exists():
+            import os
+
+            os._exit(1)  # the worker is gone, as on a lost executor
+        if prompt == "refused":
+            raise KeyError("no")
+        return f"answer to {prompt}"
+
+
+def test_answers_outlive_lost_workers(spark, tmp_path):
+    marks, memo = tmp_path / "marks", str(tmp_path / "memo")
+    marks.mkdir()
+    questions = spark.createDataFrame([(f"q{k}", bytes([k % 3]) if k % 2 else None) for k in range(12)] + [("refused", None), ("q1", bytes([1])), (None, None)], "prompt string, image binary").where("prompt is not null").coalesce(1)
+    model = Counted(str(marks), "q9")
+    run = lambda calls: {(r["prompt"]): (r["answer"], r["answer_error"]) for r in files.infer(questions, model, image="image", memo=memo, calls=calls).collect()}
+    with pytest.raises(Exception):  # noqa: B017
+        run(1)
+    before = {p.name for p in marks.iterdir()}
+    assert {"q0", "q8", "q9"} <= before and "q10" not in before
+    (marks / "mended").write_text("")
+    got = run(3)
+    assert all(got[f"q{k}"] == (f"answer to q{k}", None) for k in range(12)) and got["refused"][0] is None
+    calls = {p.name: len(p.read_text()) for p in marks.iterdir() if p.name != "mended"}
+    assert all(calls[f"q{k}"] == 1 for k in range(12) if k != 9) and calls["q9"] == 2  # what was answered before the loss is not asked again
+    again = run(3)
+    assert again == got and {p.name: len(p.read_text()) for p in marks.iterdir() if p.name != "mended"} == calls | {"refused": calls["refused"] + 1}
+    other = Counted(str(marks), "none")  # another model has answers of its own
+    files.infer(questions, other, image="image", memo=memo).collect()
+    assert len((marks / "q0").read_text()) == 2
+
+
 def test_http_model(spark):
     import http.server
     import threading
@@ -962,6 +1002,11 @@ def test_benchmark_folder_and_cli(spark, tmp_path, capsys):
     assert got["mute"]["rmse"] is None and not got["mute"]["passed"] and got["lost"]["skipped"] and got["torn"]["skipped"]
     assert cli.main(["benchmark", "--test-set", str(folder), "--extract", "tests.test_engine:exact_answer"], spark) == 0
     lines = capsys.readouterr().out.splitlines()
+    spark.conf.set("spark.inkquarry.rmse_threshold", "-1.0")
+    try:
+        assert not any(r["passed"] for r in cli.benchmark_folder(spark, str(folder), exact_answer).collect())
+    finally:
+        spark.conf.unset("spark.inkquarry.rmse_threshold")
     assert lines[:4] == ["Total figures : 4", "Passed        : 1", "Failed        : 1", "Pass rate     : 25.0%"] and lines[-2].startswith("  heatmap") and lines[-1].startswith("  line_plot            1/1 passed  RMSE=0.0000")
 
     src, store, out = tmp_path / "in", str(tmp_path / "store"), tmp_path / "out"
