@@ -770,6 +770,23 @@ def cosine_topk(embeddings):
     return embeddings.where("vec_id <> 0").select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 7 <> 3), q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM q, e WHERE q.vec_id <> e.vec_id)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5""")
+def vector_collection(embeddings):
+    """A collection that is built from some vectors, then gets others, changes some and loses some; all lists are looked into, so the neighbours are exact."""
+    from inkquarry.sources.vectors import Vectors
+    from inkquarry.staging import shared_folder
+
+    spark, v = embeddings.sparkSession, embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    held = Vectors(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex[:12]}")
+    held.build(v.where("id % 3 = 0"), lists=16)
+    held.upsert(v.where("id % 2 = 0").withColumn("vector", F.reverse("vector")))
+    held.upsert(v.where("id % 3 <> 0 or id % 2 = 0"))
+    held.remove(v.where("id % 7 = 3").select("id"))
+    return held.search(v.where("id % 50 = 0"), 5, probes=16).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query()
 def colour_series(part):
     """Pixels of images of 10,000 each, clustered by colour image by image."""

@@ -36,18 +36,18 @@ T = TypeVar("T")
 class Snapshot:
     """All tables as of one commit."""
 
-    def __init__(self, spark: SparkSession, root: str, state: dict):
-        self.spark, self.root, self.state = spark, root, state
+    def __init__(self, spark: SparkSession, root: str, state: dict, schemas: dict[str, str] = TABLES):
+        self.spark, self.root, self.state, self.schemas = spark, root, state, schemas
 
     def _empty(self, table: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.createDataFrame([], self.schemas[table])
 
     def read(self, table: str) -> DataFrame:
         """The live rows. Deleted keys are grouped before they are joined, so each is one row, whatever its number of rows in the table."""
         held = self.state["tables"][table]
         if not held["rows"]:
             return self._empty(table)
-        rows = self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{x}" for x in held["rows"]])
+        rows = self.spark.read.schema(self.schemas[table]).parquet(*[f"{self.root}/{table}/{x}" for x in held["rows"]])
         for column in sorted({c for c, _ in held["gone"]}):
             folders = [f"{self.root}/{table}/{x}" for c, x in held["gone"] if c == column]
             number = F.regexp_extract("_metadata.file_path", r"/[rd]-(\d+)-", 1).cast("long")
@@ -76,7 +76,7 @@ class Transaction(Snapshot):
             held["rows"], held["gone"] = [self._written(table, self.read(table))], []
         folder = self._written(table, df.select(*self._empty(table).columns))
         held["rows"].append(folder)
-        added = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{folder}")
+        added = self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}/{folder}")
         held["last"] = max(held["last"], added.agg(F.max("id")).first()[0] or 0)
         return added
 
@@ -89,7 +89,7 @@ class Transaction(Snapshot):
         """Replaces a table."""
         rows = self._written(table, df.select(*self._empty(table).columns))
         self.state["tables"][table] = {"rows": [], "gone": [], "last": self._next(table)}
-        last = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{rows}").agg(F.max("id")).first()[0] or 0
+        last = self.spark.read.schema(self.schemas[table]).parquet(f"{self.root}/{table}/{rows}").agg(F.max("id")).first()[0] or 0
         self.state["tables"][table] = {"rows": [rows], "gone": [], "last": max(self._next(table), last)}
 
     def upsert_papers(self, new: DataFrame) -> None:
@@ -100,6 +100,16 @@ class Transaction(Snapshot):
         self._drop("papers", "id", known.select("id"))
         self._add("papers", rows)
 
+    def replace_rows(self, table: str, rows: DataFrame) -> None:
+        """Rows take the place of those of their ids, which they bring along; one row an id."""
+        settled = kept(rows, "replace")
+        self._drop(table, "id", settled.select("id"))
+        self._add(table, settled)
+
+    def remove_rows(self, table: str, ids: DataFrame) -> None:
+        """Rows of these ids (one column) go."""
+        self._drop(table, "id", kept(ids.distinct(), "remove"))
+
     def append(self, table: str, rows: DataFrame, order: list[str]) -> None:
         """Adds rows with dense ids in the given order, in a new folder."""
         with_ids, empty = surrogate_ids(rows.drop("id"), order, self._next(table)), self._empty(table)
@@ -123,8 +133,10 @@ class Transaction(Snapshot):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """schemas: the tables, each with an `id long`; those of the document engine if not given."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str] = TABLES):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -140,7 +152,7 @@ class Store:
 
     def _state(self, number: int) -> dict:
         if not number:
-            return {"changes": 0, "tables": {t: {"rows": [], "gone": [], "last": 0} for t in TABLES}, "batches": {}}
+            return {"changes": 0, "tables": {t: {"rows": [], "gone": [], "last": 0} for t in self.schemas}, "batches": {}}
         lines = self.spark.read.option("wholetext", True).text(f"{self.root}/commits/{number:012d}").first()
         return json.loads(lines[0])
 
@@ -168,7 +180,7 @@ class Store:
 
     def snapshot(self) -> Snapshot:
         """All tables as of the newest commit; later transactions don't change what it reads."""
-        return Snapshot(self.spark, self.root, self._state(self._newest()))
+        return Snapshot(self.spark, self.root, self._state(self._newest()), self.schemas)
 
     def transact(self, change: Callable[[Transaction], T], batch: tuple[str, int] | None = None) -> T | None:
         """All that `change` does to a transaction, in one commit. It runs again from the start where another writer was faster, so what it reads must be settled (kept) before.
@@ -179,7 +191,7 @@ class Store:
             state = self._state(number)
             if batch and state["batches"].get(batch[0], -1) >= batch[1]:
                 return None
-            out = change(Transaction(self.spark, self.root, state))
+            out = change(Transaction(self.spark, self.root, state, self.schemas))
             if batch:
                 state["batches"][batch[0]] = batch[1]
             if self._commit(number + 1, state):
@@ -213,7 +225,7 @@ class Store:
         transactions that are under way must be younger."""
         commits, latest = self._commits(), (time.time() - older_than) * 1000
         used = {f for c in commits[-keep:] for t in self._state(c)["tables"].values() for f in t["rows"] + [x for _, x in t["gone"]]}
-        for table in TABLES:
+        for table in self.schemas:
             fs, folder = self._fs(f"{self.root}/{table}")
             for x in fs.listStatus(folder) if fs.exists(folder) else []:
                 if x.getPath().getName()[:2] in ("r-", "d-") and x.getPath().getName() not in used and x.getModificationTime() <= latest:

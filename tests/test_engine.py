@@ -215,6 +215,33 @@ def test_exports(spark, tmp_path):
     assert n == 2 and (tmp_path / "files/a/b.bin").read_bytes() == b"xy"
 
 
+def test_vector_collection(spark, tmp_path):
+    from inkquarry.sources.vectors import Vectors
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    held = Vectors(spark, str(tmp_path / "v"))
+    held.build(vectors.where("id < 1500"), lists=32)
+    bad = [(-1, None), (-2, []), (-3, [0.0] * 64), (-4, [None] * 64), (-5, [float("nan")] * 64), (-6, [float("inf")] * 64), (None, rows[0][1]), (7, rows[7][1]), (7, rows[7][1])]
+    held.upsert(vectors.where("id >= 1500").unionByName(spark.createDataFrame(bad, "id long, vector array<float>")))
+    now = held.store.read("vectors")
+    assert now.count() == len(rows) and now.agg(F.count_distinct("id")).first()[0] == len(rows)
+    x = np.array([r[1] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, mine = np.array([r[0] for r in rows]), [k for k, r in enumerate(rows) if r[0] % 50 == 0]
+    sims = x[mine] @ x.T
+    sims[np.arange(len(mine)), mine] = -2
+    want = {int(ids[m]): set(ids[np.argsort(-s)[:5]].tolist()) for m, s in zip(mine, sims)}
+    found = held.search(vectors.where("id % 50 = 0"), 5, probes=22).collect()
+    recall = sum(r["id"] in want[r["query_id"]] for r in found) / (5 * len(want))
+    assert recall >= 0.95 and any(r["id"] >= 1500 for r in found)  # added ones are found without a rebuild
+    held.remove(vectors.where("id >= 1500").select("id"))
+    assert all(r["id"] < 1500 for r in held.search(vectors.where("id % 50 = 0"), 3, probes=4).collect())
+    alone = Vectors(spark, str(tmp_path / "none"))
+    alone.build(vectors.limit(0))
+    assert alone.search(vectors.limit(3), 5, probes=3).isEmpty()
+
+
 # Images
 
 
