@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.bpe import PATTERN, Bpe, bpe
+from inkquarry.llm.bpe import bpe, ordinary
 from inkquarry.llm.common import join_per_key, staged, text_of
 
 #: Documents are aligned together up to this many characters, their links counted together up to this many, and a worker remembers this many units.
@@ -61,17 +61,6 @@ class Pieces:
         return self.model.encode([x[1:] for x in units], num_threads=1)
 
 
-def ordinary(enc: Bpe) -> Callable[[str], list[int]]:
-    """Byte-level BPE of a text in which special tokens are plain text: by a library that merges by the ids of merged tokens, where merges come in the order of ids, else by ours."""
-    if all(i == 256 + rank for rank, i in enc.merge.values()):
-        import tiktoken
-
-        special = set(enc.special.values())
-        ranks = {t: i for i, t in enc.token.items() if i not in special}
-        return tiktoken.Encoding("ordinary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: np.frombuffer(enc._plain(text), dtype="<u4").tolist()
-
-
 class Aligner:
     """Tokenizers A (byte-level BPE) and B (pieces), and the units of texts that were aligned already.
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +109,22 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
+#: Stretches without a change between white space and other characters that the library of ordinary() would take long for.
+LONG = re.compile(r"\S{2000}|\s{2000}")
+
+
+def ordinary(enc: Bpe) -> Callable[[str], list[int]]:
+    """Encodes a text in which special tokens are plain text: by a library that merges by the ids of merged tokens, where merges come in the order of ids, else and for long stretches by Bpe."""
+    own = lambda text: np.frombuffer(enc._plain(text), dtype="<u4").tolist()
+    if any(i != 256 + rank for rank, i in enc.merge.values()):
+        return own
+    import tiktoken
+
+    special = set(enc.special.values())
+    quick = tiktoken.Encoding("ordinary", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enc.token.items() if i not in special}, special_tokens={}).encode_ordinary
+    return lambda text: own(text) if LONG.search(text) else quick(text)
+
+
 @lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
     return Bpe(path)

@@ -6,6 +6,9 @@ capacity to open is the one of least cost per unit expected to be used (cost: ca
 that fits beside the piece). At the end each bin is downsized to the smallest permitted capacity that holds its contents. A shard leaves a few half-empty bins, whatever
 its size, so the waste does not grow with the number of shards.
 
+sequences() packs token ids: each document's ids and an end id are cut into pieces, pieces travel to their shard with their ids, and a row comes out for each sequence: its ids with padding, and
+which documents' pieces lie where in it. pack() places lengths alone. Null texts are empty documents, which are an end id; texts of any length are encoded whole and cut after.
+
 Lengths that are null or below 1 count as 1. Null doc_ids are packed like others. Rows that repeat a doc_id are pieces of their own, and pieces of one length
 go by doc_id and piece. Further columns are ignored, and an empty table gives an empty result. The texts are read once, for their lengths; shards follow the number of pieces.
 """
@@ -13,16 +16,21 @@ go by doc_id and piece. Further columns are ignored, and an empty table gives an
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkquarry.llm.bpe import bpe, ordinary
 from inkquarry.llm.common import staged, text_of
 
 CAPACITIES, OVERHEAD, SHARD_PIECES = (512, 1024, 2048, 4096), 16, 20_000
+#: Ids that one task packs, and the share of a sequence's cost that grows with its square, as attention does: at this length it costs twice as much per id.
+SHARD_IDS, ATTENTION = 4_000_000, 16_384
+SEQUENCES = "shard int, bin int, capacity int, used int, doc_ids array<bigint>, pieces array<int>, starts array<int>, lengths array<int>, ids binary"
 PLACED = "doc_id long, piece int, length int, shard int, bin int, capacity int, start int, bin_used int"
 
 
@@ -41,8 +49,8 @@ def pieces_of(lengths: DataFrame, largest: int) -> DataFrame:
     return cut.select("doc_id", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("int").alias("length"))
 
 
-def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """The bin and start of each piece (given longest first), and each bin's final capacity."""
+def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, attention: float = float("inf")) -> tuple[list[int], list[int], list[int]]:
+    """The bin and start of each piece (given longest first), and each bin's final capacity. A sequence of capacity c costs c (1 + c / attention) + overhead."""
     capacities = sorted(capacities)
     left = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacities[-1] + 1).astype(np.int64)
     units = np.arange(len(left)) * left
@@ -61,7 +69,7 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, ove
             for c in capacities:
                 if c >= n:
                     fits = min(int(smaller[min(c - n, len(left) - 1)]), to_come)
-                    costs.append(((c + overhead) / (n + min(c - n, fits)), c))
+                    costs.append(((c * (1 + c / attention) + overhead) / (n + min(c - n, fits)), c))
             room, b = min(costs)[1], len(used)
             used.append(0)
         bins.append(b)
@@ -89,5 +97,55 @@ def pack(docs: DataFrame, length: Column, capacities: Sequence[int] = CAPACITIES
     return dealt.groupBy("shard").applyInPandas(one, PLACED)
 
 
+def id_pieces(docs: DataFrame, tokenizer: str, largest: int) -> DataFrame:
+    """doc_id, piece, length and ids (little-endian unsigned 16-bit integers, as the vocabulary has fewer than 65,536) of every document, an end id behind it. Special tokens in a text are plain text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe(tokenizer)
+        encode, end = ordinary(enc), max(enc.special.values())
+        if max(enc.token) > 65535:
+            raise ValueError("ids don't fit into 16 bits")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, out = batch.slice(lo, 256), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    data = np.array([*encode(text), end], dtype="<u2")
+                    out += [(doc_id, k, len(x), x.tobytes()) for k, x in enumerate(np.split(data, range(largest, len(data), largest)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "piece", "length", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, piece int, length int, ids binary")
+
+
+def sequences(docs: DataFrame, tokenizer: str, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, attention: float = ATTENTION) -> DataFrame:
+    """A row per sequence: (shard, bin) names it, used of its capacity are ids of documents and the others padding with the end id; doc_ids, pieces, starts and lengths tell what lies where."""
+    capacities = sorted(capacities)
+    pieces = staged(id_pieces(docs, tokenizer, capacities[-1]), "pieces")
+    shards = max(1, -(-(pieces.agg(F.sum("length")).first()[0] or 0) // SHARD_IDS))
+
+    def one(t: pa.Table) -> pa.Table:
+        doc_ids, places, lengths, ids = (t[c].to_pylist() for c in ("doc_id", "piece", "length", "ids"))
+        order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], doc_ids[k] is not None, doc_ids[k] or 0, places[k], ids[k]))
+        bins, starts, sizes = best_fit([lengths[k] for k in order], capacities, overhead, attention)
+        held: list[list[tuple[int, int]]] = [[] for _ in sizes]
+        for k, b, at in zip(order, bins, starts):
+            held[b].append((k, at))
+        out = []
+        for b, (members, size) in enumerate(zip(held, sizes)):
+            used = sum(lengths[k] for k, _ in members)
+            out.append((t["shard"][0].as_py(), b, size, used, [doc_ids[k] for k, _ in members], [places[k] for k, _ in members], [at for _, at in members], [lengths[k] for k, _ in members], b"".join(ids[k] for k, _ in members)))
+        columns = list(zip(*out))
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    i32 = pa.int32()
+    schema = pa.schema(list(zip(("shard", "bin", "capacity", "used", "doc_ids", "pieces", "starts", "lengths", "ids"), (i32, i32, i32, i32, pa.list_(pa.int64()), pa.list_(i32), pa.list_(i32), pa.list_(i32), pa.binary()))))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).cast("int"))
+    packed = dealt.groupBy("shard").applyInArrow(one, SEQUENCES)
+    end_id = max(bpe(tokenizer).special.values())
+    padding = F.unhex(F.expr(f"repeat('{np.array([end_id], dtype='<u2').tobytes().hex()}', capacity - used)"))
+    return packed.withColumn("ids", F.concat("ids", padding))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_length(text_of()))
+    import public_tokenizers
+
+    return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

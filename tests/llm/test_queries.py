@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from inkquarry.llm import entries, token_store
+from inkquarry.llm import entries, packing, token_store
 
 from .test_llm import brute_components, brute_removed, prose
 
@@ -170,15 +170,19 @@ def test_op10(spark, folder):
 
 
 def test_op8(spark, folder, rows):
-    from .test_llm import brute_best_fit
+    from .test_llm import unpacked
 
     got = found(spark, folder, "op8_best_fit_packing")
-    lengths = [n for _, t in rows for words in [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1] for n in [4096] * ((words - 1) // 4096) + [(words - 1) % 4096 + 1]]
-    assert sorted(r["length"] for r in got) == sorted(lengths)
-    bins = {}
-    for r in got:
-        bins.setdefault((r["shard"], r["bin"]), []).append(r)
-    assert sorted((sorted(r["length"] for r in b), b[0]["capacity"]) for b in bins.values()) == sorted((sorted(held), cap) for held, cap in brute_best_fit(lengths, (512, 1024, 2048, 4096), 16))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    want = sorted(((i, [*whole.encode(t or "", add_special_tokens=False).ids, 50256]) for i, t in rows), key=repr)
+    assert unpacked(got) == want
+    # the bins are those of the rule, tried in words on the lengths of pieces
+    lengths = [n for _, ids in want for n in [4096] * ((len(ids) - 1) // 4096) + [(len(ids) - 1) % 4096 + 1]]
+    cost = lambda c: c * (1 + c / packing.ATTENTION) + packing.OVERHEAD
+    from .test_llm import brute_best_fit
+
+    assert sorted((sorted(r["lengths"]), r["capacity"]) for r in got) == sorted((sorted(held), c) for held, c in brute_best_fit(lengths, packing.CAPACITIES, 0, cost))
 
 
 def test_op4(spark, folder, rows):
