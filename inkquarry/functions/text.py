@@ -1,9 +1,11 @@
-"""Text rules as Column -> Column functions, all in the JVM. Patterns and plain functions are compiled with their stage; transform, filter and aggregate over arrays are interpreted."""
+"""Text rules as Column -> Column functions, all in the JVM but for figure_references(). Patterns and plain functions are compiled with their stage; transform, filter and aggregate over arrays are interpreted."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,12 +123,20 @@ def page_figure_pattern(number: Column) -> Column:
     return F.concat(F.lit(r"(?i)\bFig(?:ure)?\.?\s*"), literal(number), F.lit(r"\b"))
 
 
+#: FIGURE_REFERENCE for Python: letters, digits and white space are those of ASCII, as in Java; word borders are those of all letters in both.
+_REFERENCE = re.compile(r"\b[Ff][Ii][Gg](?:[Uu][Rr][Ee]|[Ss]?\.?)?[ \t-\r]*\.?[ \t-\r]*[A-Za-z]?[0-9]+[A-Za-z]?(?:[ \t-\r]*[–-][ \t-\r]*[0-9]+)?\b")
+
+
 def figure_references(text: Column) -> Column:
-    """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them."""
-    low = lambda m: F.greatest(m["s"] - REFERENCE_WINDOW, F.lit(0))
-    around = lambda t, m: F.substring(t, low(m) + 1, m["s"] + m["n"] + REFERENCE_WINDOW - low(m))
-    one = lambda t, m: F.struct(strip(F.substring(t, m["s"] + 1, m["n"])).alias("figure_ref"), strip(around(t, m)).alias("context"))
-    return let(text, lambda t: F.transform(match_spans(t, FIGURE_REFERENCE), lambda m: one(t, m)))
+    """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them. One pass over the text in an Arrow batch: cutting a piece out of a text costs
+    its length there, and its place in the JVM."""
+
+    @F.pandas_udf("array<struct<figure_ref:string,context:string>>")
+    def scan(texts: pd.Series) -> pd.Series:
+        around = lambda t, m: t[max(m.start() - REFERENCE_WINDOW, 0) : m.end() + REFERENCE_WINDOW].strip(SPACES)
+        return texts.map(lambda t: None if t is None else [{"figure_ref": m[0].strip(SPACES), "context": around(t, m)} for m in _REFERENCE.finditer(t)])
+
+    return scan(text)
 
 
 def maybe_scanned(text: Column) -> Column:

@@ -471,6 +471,18 @@ def test_contexts(spark):
     assert got == {r["doc_id"]: brute_sentences(r["text"], "Then there were others with this thing", "3") for r in docs}
 
 
+def test_figure_references_with_contexts(spark):
+    """The JVM's own matches of the pattern, and what is around them."""
+    rng = random.Random(23)
+    parts = ["Fig. 1", "Figure 2a", "FIGS. S3 – 5", "figs 4-6", "fig.. 7", "Fig\u00a08", "xFig. 9", "Fig. 10é", "éFig. 11", "Fig. 12_", "Fig.13b", "Ｆig. 1", "ſ Figſ 2", "Fig. ٣", " word ", "\n", "\u2028", ", ", "text " * 60]
+    texts = [None, ""] + ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", T.figure_references(F.col("t")).alias("r"), T.match_spans(F.col("t"), T.FIGURE_REFERENCE).alias("spans")).collect():
+        t, spans = r["t"], [(x["s"], x["s"] + x["n"]) for x in r["spans"] or ()]
+        got = None if r["r"] is None else [tuple(x) for x in r["r"]]
+        assert got == (None if t is None else [(t[a:b].strip(T.SPACES), t[max(a - 200, 0) : b + 200].strip(T.SPACES)) for a, b in spans])
+
+
 def brute_mentions(text, number):
     snippets = []
     for m in re.finditer(rf"\b(?:Fig(?:ure|s?\.?)?)\.?\s*{re.escape(number.strip())}\b", text, re.I):
