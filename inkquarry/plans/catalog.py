@@ -795,8 +795,7 @@ def colour_series(part):
     return colour_clusters(pixels)
 
 
-def synth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.points(synthetic.plots(spark, 50))
-
-
-QUERIES["synth_rows"] = synth_rows
+@query()
+def synth_rows(part):
+    """The points of a generated plot for each part."""
+    return synthetic.points(synthetic.plots_of(part.select(F.col("p_partkey").alias("plot_id"))))

@@ -29,9 +29,14 @@ def choice(values: tuple[str, ...], *keys: Column | int) -> Column:
 
 
 def plots(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """plot_id, stem, plot_type, n_series, n_points, caption: lines of 1-4 series of 5-29 points, bars of 1-3 conditions in 2-6 groups, scatters of 20-79 points, heat maps of 4-9 by 4-9 cells."""
+    """n plots as in plots_of()."""
+    return plots_of(spark.range(n).withColumnRenamed("id", "plot_id"), seed)
+
+
+def plots_of(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """For each plot_id: plot_id, stem, plot_type, n_series, n_points, caption: lines of 1-4 series of 5-29 points, bars of 1-3 conditions in 2-6 groups, scatters of 20-79 points, heat maps of 4-9 by 4-9 cells."""
     k = F.col("plot_id")
-    p = spark.range(n).withColumnRenamed("id", "plot_id").withColumn("plot_type", choice(KINDS, k, seed))
+    p = ids.select("plot_id").withColumn("plot_type", choice(KINDS, k, seed))
     by_kind = lambda line, bar, scatter, heat: F.when(F.col("plot_type") == "line_plot", line).when(F.col("plot_type") == "bar_chart", bar).when(F.col("plot_type") == "scatter_plot", scatter).otherwise(heat)
     p = p.withColumn("n_series", by_kind(between(1, 5, k, seed + 1), between(1, 4, k, seed + 1), F.lit(1), between(4, 10, k, seed + 1)))
     p = p.withColumn("n_points", by_kind(between(5, 30, k, seed + 2), between(2, 7, k, seed + 2), between(20, 80, k, seed + 2), between(4, 10, k, seed + 2)))

@@ -573,9 +573,14 @@ def test_clusters_and_generated_rows(spark):
     want = sorted((*p, int(k)) for p, k in zip(bright, label) if (label == k).sum() >= 20)
     assert sorted((r["x"], r["y"], r["b"], r["g"], r["r"], r["series_id"]) for r in catalog.QUERIES["colour_series"](spark, SF).collect()) == want
     made = catalog.QUERIES["synth_rows"](spark, SF).collect()
-    plots = {r["plot_id"]: r for r in synthetic.plots(spark, 50).collect()}
+    parts = spark.read.parquet(f"{SF}/part.parquet").select(F.col("p_partkey").alias("plot_id"))
+    plots = {r["plot_id"]: r for r in synthetic.plots_of(parts).collect()}
+    assert len(plots) == parts.count() and {r["plot_id"]: r for r in synthetic.plots(spark, 9).collect()}[5] == plots[5]
+    by_plot = {}
+    for r in made:
+        by_plot.setdefault(r["plot_id"], []).append(r)
     for k, p in plots.items():
-        mine = [r for r in made if r["plot_id"] == k]
+        mine = by_plot[k]
         assert len(mine) == p["n_series"] * p["n_points"] and all(r["plot_type"] == p["plot_type"] for r in mine)
         low, high = {"line_plot": (1, 4), "bar_chart": (1, 3), "scatter_plot": (1, 1), "heatmap": (4, 9)}[p["plot_type"]]
         assert low <= p["n_series"] <= high and str(p["n_points"] if p["plot_type"] == "scatter_plot" else p["n_series"]) in p["caption"]
