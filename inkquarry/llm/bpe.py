@@ -3,7 +3,8 @@
 Each distinct pre-token is merged once per worker: its part boundaries and the ranks of adjacent parts lie in two arrays; the least rank is found by a
 scan, its boundary is deleted, and the two ranks beside it are looked up anew. Pre-tokens longer than SCAN_BYTES use the same merges from a heap, since
 repeated scans take quadratic time. Special tokens in a text become their own ids, as in the tokenizers library; null texts are empty.
-Nothing depends on other rows, so the plan has no shuffle; repeated rows, ties and further columns need no care.
+Nothing depends on other rows, so the plan has no shuffle; repeated rows, ties and further columns need no care. A very long text is encoded whole, by one task; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@
 
 A pair at the threshold 0.8 is missed with probability (1 - 0.8^ROWS)^BANDS < 1e-7; there is no cap on partners. No pair is ever a row but those of spanning forests.
 Null texts and texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are one document with one of their sets
-(the least by digest) and one component; each row has its own n_shingles. Rows without doc_id are left out of links (component null). Further columns are ignored. Empty tables give empty results.
+(the least by digest) and one component; each row has its own n_shingles. Rows without doc_id are left out of links (component null). Further columns are ignored. Very long texts are read whole, and their sets compared whole. Empty tables give empty results.
 """
 
 from __future__ import annotations

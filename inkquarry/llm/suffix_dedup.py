@@ -12,7 +12,8 @@ A string of LENGTH bytes (a window) that starts in two places is a repeat. The s
 So the result is exact; hashes only decide which bytes meet, but for two 64-bit hashes that must both agree for step 2.
 
 keep="none" removes all copies; keep="first" leaves the first one (by doc_id, then place). Matches never cross documents; null texts are empty; a null doc_id sorts
-before all others; rows that repeat a doc_id are documents of their own. Further columns are ignored.
+before all others; rows that repeat a doc_id are documents of their own. Very long texts are cut into runs whole, by one task; further columns are ignored, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ are trained from document labels alone; the sentence probabilities then locate w
 hash of doc_id) of at most MAX_BYTES of text together, each whole or not at all (both bounds are parameters); scoring reads every whole text and needs no shuffle, only WIDTH weights per task.
 
 Null and empty texts have one empty sentence. A document labelled more than once is toxic if any label says so; null labels don't count. Without any label
-to learn from, every score is 0. Repeated rows get the same answer, and train as one document (of different texts with one doc_id, the first by hash); further columns are ignored. A null doc_id is not held out.
+to learn from, every score is 0. Repeated rows get the same answer, and train as one document (of different texts with one doc_id, the first by hash); further columns are ignored. A null doc_id is not held out. Very long texts are scored whole, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -192,3 +192,12 @@ def test_op4(spark, folder, rows):
     for r in got:
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_op4_on_held_out_documents(spark):
+    """At the contract's threshold on documents whose labels were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] > 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in entries.QUERIES["op4_toxicity"](spark, sf).select("doc_id", "held_out", "predicted").collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = sum(r["predicted"] and toxic[r["doc_id"]] for r in rows)
+    assert caught / sum(r["predicted"] for r in rows) >= 0.9 and caught / sum(toxic[r["doc_id"]] for r in rows) >= 0.7 and len(rows) > 900
