@@ -26,9 +26,10 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 
 def hot_apart(df: DataFrame, keys: list[str], plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
     """plain() of the keys that have at most `most` rows (HOT_ROWS) and sliced() of the others, if there are any."""
-    hot = kept(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (HOT_ROWS if most is None else most)).drop("_n"), "hot")
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > (HOT_ROWS if most is None else most)).drop("_n")
     if hot.isEmpty():
         return plain(df)
+    hot = kept(hot, "hot")
     return plain(same_keys(df, hot, keys, "left_anti")).unionByName(sliced(same_keys(df, hot, keys, "left_semi")))
 
 
@@ -40,13 +41,8 @@ def slices(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def gap_groups(df: DataFrame, keys: list[str], x: str, ties: list[str], gap: float = 5, most: int | None = None) -> DataFrame:
     """Adds `grp`: a new group starts where x is more than `gap` beyond the previous one; gaps of exactly `gap` merge, in chains. Nulls come first and start no group."""
 
-    def runs(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(x, *ties)
-        starts = F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0)
-        return rows.withColumn("_new", starts).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
     def sliced(rows: DataFrame) -> DataFrame:
-        r = kept(runs(slices(rows, keys, [x, *ties]), [*keys, "_part"], "_run"), "runs")
+        r = kept(_runs(slices(rows, keys, [x, *ties]), [*keys, "_part"], x, ties, gap, "_run"), "runs")
         per = r.groupBy(*keys, "_part").agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.max("_run").alias("_runs"))
         w = Window.partitionBy(*keys).orderBy("_part")
         step = F.when(F.col("_low") - F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap, 1).otherwise(0)
@@ -54,16 +50,19 @@ def gap_groups(df: DataFrame, keys: list[str], x: str, ties: list[str], gap: flo
         joined = same_keys(r, kept(per.select(*keys, "_part", "_base"), "carry"), [*keys, "_part"], "inner")
         return joined.withColumn("grp", F.col("_run") + F.col("_base")).drop("_part", "_run", "_base")
 
-    return hot_apart(df, keys, lambda rows: runs(rows, keys, "grp"), sliced, most)
+    return hot_apart(df, keys, lambda rows: _runs(rows, keys, x, ties, gap, "grp"), sliced, most)
+
+
+def _runs(df: DataFrame, by: list[str], x: str, ties: list[str], gap: float, name: str) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(x, *ties)
+    starts = F.when(F.col(x) - F.lag(x).over(w) > gap, 1).otherwise(0)
+    return df.withColumn("_new", starts).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def medians(df: DataFrame, keys: list[str], columns: list[str], most: int | None = None) -> DataFrame:
     """Exact median of each column and n, the number of rows, of each key. An exact percentile holds all distinct values of a group; for groups of more than HOT_ROWS rows the middle ones are
     found by counts: of slices by range, only those that hold a middle place are looked into, at the place that the slices before leave."""
 
-    def plain(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in columns], F.count("*").alias("n"))
-
     def middle(rows: DataFrame, column: str) -> DataFrame:
         r = slices(rows.select(*keys, F.col(column).cast("double").alias(column)).where(F.col(column).isNotNull()), keys, [column])
         w = Window.partitionBy(*keys).orderBy("_part")
@@ -82,13 +81,18 @@ def medians(df: DataFrame, keys: list[str], columns: list[str], most: int | None
             out = same_keys(out, middle(rows, c), keys, "left")
         return out.select(*keys, *columns, "n")
 
-    return hot_apart(df, keys, plain, sliced, most)
+    return hot_apart(df, keys, lambda rows: _percentiles(rows, keys, columns), sliced, most)
+
+
+def _percentiles(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in columns], F.count("*").alias("n"))
 
 
 def group_medians(df: DataFrame, keys: list[str], x: str, y: str, ties: list[str], gap: float = 5, most: int | None = None) -> DataFrame:
-    """One point per gap group: exact medians of x and y, and the group's size."""
-    g = gap_groups(df, keys, x, ties, gap, most)
-    return medians(g.select(*keys, "grp", F.col(x).alias("x"), F.col(y).alias("y")), [*keys, "grp"], ["x", "y"], most)
+    """One point per gap group: exact medians of x and y, and the group's size. A group can only be hot if its key is."""
+    named, by = lambda g: g.select(*keys, "grp", F.col(x).alias("x"), F.col(y).alias("y")), [*keys, "grp"]
+    plain = lambda rows: _percentiles(named(_runs(rows, keys, x, ties, gap, "grp")), by, ["x", "y"])
+    return hot_apart(df, keys, plain, lambda rows: medians(named(gap_groups(rows, keys, x, ties, gap, most)), by, ["x", "y"], most), most)
 
 
 def digitize(coords: DataFrame, calibration: DataFrame, keys: list[str] | None = None, gap: float = 5) -> DataFrame:
