@@ -8,7 +8,7 @@ passage's edges differ) are stored once. Reading joins recipes to
 chunks and checks every chunk against its address and every document and shard against its Merkle root.
 
 Null texts are empty documents and hold the end id only. Null doc_ids come first; rows that repeat a doc_id are stored each, in the order of their
-Merkle roots. Further columns are ignored.
+Merkle roots. Further columns are ignored. Very long texts are encoded whole, by one task, and an empty table gives a store without documents.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,23 +186,23 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
     unique.select("digest", (F.octet_length("data") / 2).cast("int").alias("n"), "data", "copies", "owner").write.options(**zstd).parquet(f"{path}/chunks")
     shards = max(1, -(-coded.count() // SHARD_DOCS))
     slim = coded.select("doc_id", "n_tokens", "root", "digests").repartitionByRange(shards, "doc_id", "root").sortWithinPartitions("doc_id", "root")
-    slim.withColumn("shard", F.spark_partition_id()).write.options(**zstd).parquet(f"{path}/_ordered")
-    ordered = spark.read.schema("doc_id long, n_tokens long, root binary, digests array<binary>, shard int").parquet(f"{path}/_ordered")
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "root"], na_position="first", kind="stable")
-        pdf["place"] = np.arange(len(pdf), dtype="int64")
-        pdf["before"] = pdf["n_tokens"].cumsum() - pdf["n_tokens"]
-        return pdf
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition comes in its order, so places and starts are running sums: no shard is ever held as a whole
+        shard, place, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy()
+            more = np.full(len(n), shard, dtype="int32"), place + np.arange(len(n)), before + np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], [*batch.schema.names, "shard", "place", "before"])
+            place, before = place + len(n), before + int(n.sum())
 
-    ordered.groupBy("shard").applyInPandas(number, RECIPES).write.options(**zstd).parquet(f"{path}/recipes")
+    slim.mapInArrow(number, RECIPES).write.options(**zstd).parquet(f"{path}/recipes")
 
     sums = shard_sums(read_recipes(spark, path)).select("shard", "docs", "ids", "root")
     # One row per shard of SHARD_DOCS documents: the only ordered sum in one task.
     start = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums.withColumn("start", start).write.parquet(f"{path}/manifest")
-    for temporary in ("_encoded", "_ordered"):
-        _drop(spark, f"{path}/{temporary}")
+    _drop(spark, f"{path}/_encoded")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
