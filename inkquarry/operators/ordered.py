@@ -136,10 +136,11 @@ def cut_pairs(df: DataFrame, keys: list[str], position: str, end: Column | None
 def within_budget(df: DataFrame, keys: list[str], order: list, size: str, most: int, slices: int = 64) -> DataFrame:
     """The rows, in order, while their running sum of sizes (none negative) stays within the budget.
 
-    A row that is beyond the budget among the rows of its slice of a key is so among all of them. So each slice keeps only what fits it, in tasks of its own, and what is left of a
-    key, however many rows it has, is a few times the budget."""
+    A row that is beyond the budget among the rows of its slice of a key is so among all of them. So each slice keeps what fits it and the first row that doesn't, which ends the list
+    of the whole key where no other row does before; in tasks of their own, and what is left of a key, however many rows it has, is a few times the budget."""
     held = lambda *by: F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices))).withColumn("running", held(*keys, "_slice")).where(F.col("running") <= most)
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices))).withColumn("running", held(*keys, "_slice"))
+    sliced = sliced.where(F.coalesce(F.col("running") - F.col(size), "running", F.lit(0)) <= most)
     return sliced.drop("_slice").withColumn("running", held(*keys)).where(F.col("running") <= most)
 
 

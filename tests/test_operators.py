@@ -189,3 +189,12 @@ def test_hot_keys_by_slices(spark):
         assert ordered.gap_groups(empty, ["k"], "x", ["i"], most=0).isEmpty() and ordered.medians(empty, ["k"], ["x"], most=0).isEmpty()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("slices", [1, 2, 64])
+def test_budget_ends_at_the_first_row_beyond_it(spark, slices):
+    """A row beyond the budget counts for all rows behind it, also for smaller ones of other slices."""
+    rows = [(k, i, None if i == 40 else 1000 // (i + 1)) for k in ("a", "b", None) for i in range(41)]
+    got = O.within_budget(spark.createDataFrame(rows, "k string, id int, n int"), ["k"], [F.desc("n"), "id"], "n", 2_050, slices).collect()
+    want = [(k, i, sum(1000 // (j + 1) for j in range(i + 1))) for k in ("a", "b", None) for i in range(3)]
+    assert sorted(map(repr, ((r["k"], r["id"], r["running"]) for r in got))) == sorted(map(repr, want))
