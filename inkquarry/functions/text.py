@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: Patterns, words and limits of the document rules.
 DOI_PREFIXED = r"(?i)(?:doi[:\s]*|https?://(?:dx\.)?doi\.org/)(10\.\d{4,9}/[-._;()/:A-Z0-9a-z]+)"
@@ -127,18 +128,44 @@ def page_figure_pattern(number: Column) -> Column:
 _REFERENCE = re.compile(r"\b[Ff][Ii][Gg](?:[Uu][Rr][Ee]|[Ss]?\.?)?[ \t-\r]*\.?[ \t-\r]*[A-Za-z]?[0-9]+[A-Za-z]?(?:[ \t-\r]*[–-][ \t-\r]*[0-9]+)?\b")
 
 
-def figure_references(text: Column) -> Column:
-    """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them. One pass over the text in an Arrow batch: cutting a piece out of a text costs
-    its length there, and its place in the JVM."""
+#: Texts of an Arrow batch that a scan takes at a time, and characters of them (one text at least).
+SCAN_TEXTS, SCAN_CHARS = 256, 1 << 20
+
+
+def in_parts(batches: Iterator[pa.Array], kind: pa.DataType, one: Callable[[str], list[tuple]]) -> Iterator[pa.Array]:
+    """What scanned() hands on for the texts of Arrow batches: arrays of some SCAN_TEXTS rows."""
+    names = [f.name for f in kind.value_type]
+    for batch in batches:
+        part, chars = [], 0
+        for x in batch:
+            t = x.as_py()
+            if part and (len(part) >= SCAN_TEXTS or chars + len(t or "") > SCAN_CHARS):
+                yield pa.array(part, kind)
+                part, chars = [], 0
+            part.append(None if t is None else [dict(zip(names, found, strict=True)) for found in one(t)])
+            chars += len(t or "")
+        yield pa.array(part, kind)
+
 
-    @F.pandas_udf("array<struct<figure_ref:string,context:string>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        around = lambda t, m: t[max(m.start() - REFERENCE_WINDOW, 0) : m.end() + REFERENCE_WINDOW].strip(SPACES)
-        return texts.map(lambda t: None if t is None else [{"figure_ref": m[0].strip(SPACES), "context": around(t, m)} for m in _REFERENCE.finditer(t)])
+def scanned(text: Column, fields: dict[str, pa.DataType], one: Callable[[str], list[tuple]]) -> Column:
+    """An array of structs of each text (null: null) by a function of the text, in Python. What is found can be many times the texts, so it is handed on a part at a time: beside its batch
+    of texts, a worker holds what was found in one part, or in one text that is longer than a part."""
+    kind = pa.list_(pa.struct(list(fields.items())))
+
+    @F.arrow_udf(from_arrow_type(kind))
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_parts(batches, kind, one)
 
     return scan(text)
 
 
+def figure_references(text: Column) -> Column:
+    """Array of (figure_ref, context) of all references to figures in a page, in order, with what is around them. One pass over the text in an Arrow batch: cutting a piece out of a text costs
+    its length there, and its place in the JVM."""
+    around = lambda t, m: t[max(m.start() - REFERENCE_WINDOW, 0) : m.end() + REFERENCE_WINDOW].strip(SPACES)
+    return scanned(text, {"figure_ref": pa.string(), "context": pa.string()}, lambda t: [(m[0].strip(SPACES), around(t, m)) for m in _REFERENCE.finditer(t)])
+
+
 def maybe_scanned(text: Column) -> Column:
     """Pages with hardly any text."""
     return F.length(strip(text)) < SCANNED_CHARS

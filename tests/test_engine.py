@@ -483,6 +483,41 @@ def test_figure_references_with_contexts(spark):
         assert got == (None if t is None else [(t[a:b].strip(T.SPACES), t[max(a - 200, 0) : b + 200].strip(T.SPACES)) for a, b in spans])
 
 
+def test_scans_hand_on_part_by_part():
+    """What is found in a batch of texts never comes as one array, whatever their number or length; nothing is lost between parts."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("s", pa.string()), ("n", pa.int32())]))
+    one = lambda t: [(t[:3], k) for k in range(len(t) % 4)]
+    texts = [None, "", "x" * (T.SCAN_CHARS + 2), *["word " * (k % 7) for k in range(2000)], None]
+    parts = list(T.in_parts(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["abcde"])]), kind, one))
+    assert max(map(len, parts)) <= T.SCAN_TEXTS and len(parts[0]) == 2 and len(parts[1]) == 1
+    assert [x for part in parts for x in part.to_pylist()] == [None if t is None else [{"s": s, "n": n} for s, n in one(t)] for t in [*texts, "abcde"]]
+
+
+def test_workers_dont_hold_all_that_is_found(spark):
+    """Texts whose references are some 40 times as long as they are: the memory of the worker that scans them."""
+    script = """if True:
+        import resource, sys
+        from pyspark.sql import SparkSession, functions as F
+        from inkquarry.functions import text as T
+        from inkquarry.operators.context import mention_windows
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+        t = spark.range(0, 4000, 1, 1).select(F.concat(F.repeat(F.lit("Fig. 1, "), 500), F.col("id").cast("string")).alias("t"))
+        found = t.select(F.size(T.figure_references(F.col("t"))).alias("a"), F.size(mention_windows(F.col("t"), 2)).alias("b"))
+        print("counts", found.agg(F.sum("a"), F.sum("b")).first()[:])
+        peak = lambda batches: ([b for b in batches], __import__("pandas").DataFrame({"kb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss]}))[1:]
+        print("kb", spark.range(0, 1, 1, 1).mapInPandas(lambda b: iter(peak(b)), "kb long").first()[0])
+    """
+    import os
+    import subprocess
+    import sys
+
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"}
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, env=env, timeout=300, cwd=Path(__file__).parent.parent).stdout
+    assert "counts (2000000, 2000000)" in out and int(out.split("kb ")[1]) < 700_000, out
+
+
 def brute_mentions(text, number):
     snippets = []
     for m in re.finditer(rf"\b(?:Fig(?:ure|s?\.?)?)\.?\s*{re.escape(number.strip())}\b", text, re.I):
