@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +41,14 @@ def mention_windows(text: Column, longest: int) -> Column:
     """Places that may mention a figure, found in one pass over a text: array of (tail, gap, window). tail: the character before "Fig" (a newline at the start of the text) and what follows
     it, as far as a number of `longest` characters and one more may reach; window: the text from REF_WINDOW before to REF_WINDOW behind that, and gap: where "Fig" is in it."""
 
-    @F.pandas_udf("array<struct<tail:string,gap:int,window:string>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            out = []
-            for m in MAY_MENTION.finditer(t or ""):
-                lo, end = max(m.start() - REF_WINDOW, 0), m.end() + longest + 1
-                out.append({"tail": (t[m.start() - 1] if m.start() else "\n") + t[m.start() : end], "gap": m.start() - lo, "window": t[lo : end + REF_WINDOW]})
-            return out
+    def one(t: str) -> list[tuple]:
+        out = []
+        for m in MAY_MENTION.finditer(t):
+            lo, end = max(m.start() - REF_WINDOW, 0), m.end() + longest + 1
+            out.append(((t[m.start() - 1] if m.start() else "\n") + t[m.start() : end], m.start() - lo, t[lo : end + REF_WINDOW]))
+        return out
 
-        return texts.map(one)
-
-    return scan(text)
+    return T.scanned(F.coalesce(text, F.lit("")), {"tail": pa.string(), "gap": pa.int32(), "window": pa.string()}, one)
 
 
 def mention_length(tail: Column, number: Column) -> Column:
