@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inkquarry.operators.ordered import with_groups
+from inkquarry.operators.ordered import hot_apart, with_groups
 from inkquarry.staging import kept
 
 RMSE_THRESHOLD, POINT_TOLERANCE = 0.05, 0.05
+#: Points of a key, of both sides together, that one task compares.
+MOST_POINTS = 500_000
 
 
 def rmse(true: Column, predicted: Column, low: Column | None = None, high: Column | None = None) -> Column:
@@ -58,9 +63,57 @@ def match_series(truth: Column, predicted: Column) -> Column:
     return F.aggregate(named, start, step, lambda acc: acc["out"])
 
 
-def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tolerance: float = POINT_TOLERANCE) -> DataFrame:
-    """key, precision, recall of points (key, x, y), each side normalised by itself. Cells decide most points without any pair; only the points of cells that
-    the other side leaves empty are compared with the distinct points of cells close by."""
+def _share_near(left: np.ndarray, right: np.ndarray, tolerance: float, pairs: int = 1 << 20) -> float:
+    """The share of the left points (rows of x, y; each side normalised here) that have a right one within the tolerance. Cells decide most of them; the others are compared with the points
+    whose x is near, about `pairs` at a time."""
+    if not len(left):
+        return 0.0
+
+    def normal(v: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            low, high = np.fmin.reduce(v, axis=0, initial=np.inf), np.fmax.reduce(v, axis=0, initial=-np.inf)
+            v = np.where(high > low, (v - low) / (high - low), v - low)
+        return v[np.isfinite(v).all(axis=1)]
+
+    a, b = normal(left), normal(right)
+    code = lambda v: (c := np.floor(v / (tolerance / 1.415)).astype(np.int64))[:, 0] * (1 << 31) + c[:, 1]
+    easy = np.isin(code(a), code(b))
+    a, b, hits = a[~easy], b[np.argsort(b[:, 0], kind="stable")], int(easy.sum())
+    reach = tolerance * (1 + 1e-9)
+    lo, hi = np.searchsorted(b[:, 0], a[:, 0] - reach), np.searchsorted(b[:, 0], a[:, 0] + reach, "right")
+    a, lo, n = a[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + pairs, "right")))
+        m, first = n[at:to], np.cumsum(n[at:to]) - n[at:to]
+        d = np.repeat(a[at:to], m, axis=0) - b[np.arange(m.sum()) - np.repeat(first - lo[at:to], m)]
+        hits += int(np.logical_or.reduceat(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) <= tolerance, first).sum())
+        at = to
+    return hits / len(left)
+
+
+def point_precision_recall(truth: DataFrame, predicted: DataFrame, key: str, tolerance: float = POINT_TOLERANCE, most: int = MOST_POINTS) -> DataFrame:
+    """key, precision, recall of points (key, x, y), each side normalised by itself; points without a key are left out. The points of a key come together in one shuffle; keys of more than
+    `most` points go by cells, whose points are spread over tasks."""
+    held = lambda df, side: df.where(F.col(key).isNotNull()).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(side).alias("side"))
+    both = held(truth, True).unionByName(held(predicted, False))
+    schema = StructType([StructField(key, both.schema[key].dataType), StructField("precision", DoubleType()), StructField("recall", DoubleType())])
+
+    def one(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        v = np.column_stack([t[c].to_numpy().astype(np.float64) for c in ("x", "y")])  # nulls are NaN
+        a, b = v[side], v[~side]
+        return pa.table([t[key].slice(0, 1).combine_chunks(), pa.array([_share_near(b, a, tolerance)]), pa.array([_share_near(a, b, tolerance)])], [key, "precision", "recall"])
+
+    def by_cells(rows: DataFrame) -> DataFrame:
+        return _by_cells(rows.where("side").drop("side"), rows.where("not side").drop("side"), key, tolerance)
+
+    return hot_apart(both, [key], lambda rows: rows.groupBy(key).applyInArrow(one, schema), by_cells, most)
+
+
+def _by_cells(truth: DataFrame, predicted: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """Cells decide most points without any pair; only the points of cells that the other side leaves empty are compared with the distinct points of cells close by."""
 
     def normal(df: DataFrame) -> DataFrame:
         return kept(minmax_rows(df.select(key, "x", "y"), ["x", "y"], [key]), "normal")

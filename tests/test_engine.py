@@ -1155,3 +1155,29 @@ def test_precision_and_recall_against_all_pairs(spark):
         near = (((a[:, None] - b[None]) ** 2).sum(axis=2) ** 0.5 <= 0.05) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
         assert got[k] == (pytest.approx(near.any(axis=0).mean() if len(b) else 0.0), pytest.approx(near.any(axis=1).mean() if len(a) else 0.0))
     assert set(got) == {0, 1, 2, 7, 8}
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_precision_and_recall_move_each_point_once(spark, most):
+    """Both ways against all pairs, with nulls, ties and single points; what is shuffled by points of usual keys is one exchange of them."""
+    rng = np.random.default_rng(6)
+    value = lambda: None if rng.random() < 0.05 else float(rng.choice([rng.random(), 0.25, 0.5]))
+    sides = [[(int(rng.integers(0, 6)), value(), value()) for _ in range(300)] + extra for extra in ([(7, 1.0, 1.0), (None, 1.0, 1.0)], [(8, 1.0, 1.0), (None, 1.0, 1.0)])]
+    t, p = (spark.createDataFrame(s, "k int, x double, y double") for s in sides)
+    df = M.point_precision_recall(t, p, "k", most=most)
+    got = {r["k"]: (r["precision"], r["recall"]) for r in df.collect()}
+
+    def normal(side, k):
+        v = np.array([[np.nan if c is None else c for c in r[1:]] for r in side if r[0] == k], dtype=float).reshape(-1, 2)
+        if not len(v):
+            return v
+        span = np.nanmax(v, axis=0) - np.nanmin(v, axis=0)
+        return (v - np.nanmin(v, axis=0)) / np.where(span > 0, span, 1)
+
+    for k in got:
+        a, b = normal(sides[0], k), normal(sides[1], k)
+        near = ((a[:, None] - b[None]) ** 2).sum(axis=2) ** 0.5 <= 0.05
+        assert got[k] == (pytest.approx(near.any(axis=0).mean() if near.size else 0.0), pytest.approx(near.any(axis=1).mean() if near.size else 0.0))
+    assert set(got) == {0, 1, 2, 3, 4, 5, 7, 8}
+    if most:
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
