@@ -1181,3 +1181,28 @@ def test_precision_and_recall_move_each_point_once(spark, most):
     assert set(got) == {0, 1, 2, 3, 4, 5, 7, 8}
     if most:
         assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_vector_search_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of vectors and of queries against all pairs: copies go by their ids, wherever they lie; null ids, other lengths, and no join of all pairs."""
+    from inkquarry.sources import vectors as V
+
+    for name, n in (("BLOCK", 40), ("QUERIES", 7), ("SCORES", 90)):
+        monkeypatch.setattr(V, name, n, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    rows = [(k, x[k % 60 if k < 240 else 0].tolist()) for k in range(300)]
+    df = spark.createDataFrame([*rows, (1000, [1.0, 2.0])], "id long, vector array<double>")
+    held = V.Vectors(spark, str(tmp_path / "v"))
+    held.build(df.where("id < 1000"), lists=3)
+    held.upsert(df.where("id = 1000"))
+    asked = df.where("id % 10 = 0 and id < 1000").unionByName(spark.createDataFrame([(None, x[3].tolist()), (2**53 + 1, x[4].tolist())], df.schema))
+    found = held.search(asked, 7, probes=3)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "CoGroups" in plan
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for r in asked.collect():
+        near = sorted(((-round(float(unit(r["vector"]) @ unit(v)), 9), k) for k, v in rows if k != r["id"]))[:7]
+        assert got[r["id"]] == [(k, -s) for s, k in near]
