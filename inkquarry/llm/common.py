@@ -97,16 +97,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) of every node of an edge; component is the smallest node that can be reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) in joins and partial aggregates: a node with very many
-    neighbours is never collected, adaptive skew join splits its rows. Each round is staged in the shared folder.
+    neighbours is never collected, adaptive skew join splits its rows. Each round is staged in the shared folder. Its joins go by shuffle always: as many small broadcasts as there are
+    rounds leave the driver with their threads and buffers.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = staged(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_per_key(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_per_key(both, low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = join_per_key(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = join_per_key(large, low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:

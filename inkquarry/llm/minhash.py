@@ -228,7 +228,7 @@ def forests(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 def sized(nodes: DataFrame) -> DataFrame:
     """(component, node) rows with n, the number of nodes of the component."""
     nodes = nodes.select("component", "node")
-    return join_per_key(nodes, nodes.groupBy("component").agg(F.count("*").alias("n")), "component")
+    return join_per_key(nodes, nodes.groupBy("component").agg(F.count("*").alias("n")).hint("merge"), "component")
 
 
 def block_of(blocks: Column, salt: int = 0) -> Column:
