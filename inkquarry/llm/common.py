@@ -93,26 +93,28 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_key", F.bitwise_not(F.col(key))).join(other, "_key").drop("_key")
 
 
+def are_stars(e: DataFrame) -> bool:
+    """Whether distinct edges (u, v), u > v, tie each u to one v that is no u itself: then v is the smallest node of its component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.agg(F.count_if(F.col("up") + F.col("down") > 1)).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge; component is the smallest node that can be reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) in joins and partial aggregates: a node with very many
     neighbours is never collected, adaptive skew join splits its rows. Each round is staged in the shared folder. Its joins go by shuffle always: as many small broadcasts as there are
-    rounds leave the driver with their threads and buffers.
+    rounds leave the driver with their threads and buffers. Edges that are stars already, as those of one forest are, take no round: what a round's tasks and plans leave in the driver adds up.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, before = staged(e, "edges"), None
-    while True:
+    e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    while not are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = join_per_key(both, low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = join_per_key(large, low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -266,23 +266,25 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[i
     level, before = large.select("component", "node", "n"), large.count()
     if not before:
         return found[0]
-    rounds = 0
+    rounds, wide = 0, True
     while True:
         block = block_of(F.ceil(F.col("n") / BLOCK), rounds)
         units = level.withColumn("block", block).join(large.select("node", "set"), "node").withColumns({"i": F.col("block"), "j": F.col("block")})
         tied = staged(forests(units, threshold), "links")
         found.append(tied)
         left = staged(sized(level.join(tied.select(F.col("b").alias("node")), "node", "left_anti")), "left")
-        now, rounds = left.count(), rounds + 1
-        if left.where(f"n > {BLOCK}").isEmpty() or now > 0.9 * before:
-            if rounds == 1 or level.where(f"n > {BLOCK}").isEmpty() or now > 0.9 * before:
+        # one job tells all that is asked about a round
+        now, still_wide, still_apart = left.agg(F.count("*"), F.count_if(F.col("n") > BLOCK) > 0, F.count_if(F.col("n") > 1) > 0).first()
+        rounds += 1
+        if not still_wide or now > 0.9 * before:
+            if rounds == 1 or not wide or now > 0.9 * before:
                 break
-        level, before = left, now
+        level, before, wide = left, now, still_wide
     apart = left.where("n > 1").select("component").distinct()
     ties = found[1]
     for more in found[2:]:
         ties = ties.unionByName(more)
-    if apart.isEmpty():
+    if not still_apart:
         return found[0].unionByName(ties)
     parts = connected_components(ties).withColumnRenamed("component", "part")
     members = large.select("component", "node").join(apart, "component", "left_semi").join(parts, "node", "left").select("component", "node", F.coalesce("part", "node").alias("part"))

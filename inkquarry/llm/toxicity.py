@@ -77,7 +77,16 @@ def train(docs: list[tuple[np.ndarray, int]], steps: int = 400, batch: int = 128
     for cells, _ in docs:
         distinct = np.unique(cells)
         seen[distinct[distinct >= 0]] += 1
-    docs = [(cells[(cells < 0) | (seen[cells] >= LEAST_DOCS)], label) for cells, label in docs]
+    learned, docs = docs, []
+    # in one array, which goes back to the system as a whole
+    kept, end = np.empty(sum(len(cells) for cells, _ in learned), dtype=np.int32), 0
+    for cells, label in learned:
+        cells = cells[(cells < 0) | (seen[cells] >= LEAST_DOCS)]
+        own = kept[end : end + len(cells)]
+        own[:] = cells
+        docs.append((own, label))
+        end += len(cells)
+    del learned
     for _ in range(max(1, steps // -(-len(docs) // batch))):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
@@ -129,9 +138,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING,
             packed = [text_cells(x, cells).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("toxic")], ["doc_id", "cells", "toxic"])
 
-    found = rows.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(run, "doc_id long, cells binary, toxic int").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [(np.frombuffer(r["cells"], dtype=np.int32), int(r["toxic"] > 0)) for r in found]
+    # Arrow's buffers as they are: rows would be held by the JVM, by the reader and by Python one by one
+    found = rows.select(F.col("doc_id").cast("long"), "text", "toxic").mapInArrow(run, "doc_id long, cells binary, toxic int").toArrow()
+    found = sorted(zip(*(found.column(c) for c in ("doc_id", "cells", "toxic")), strict=True), key=lambda r: r[0].as_py())
+    return [(np.frombuffer(cells.as_buffer(), dtype=np.int32), int(toxic.as_py() > 0)) for _, cells, toxic in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING, most_bytes: int = MAX_BYTES) -> Model:

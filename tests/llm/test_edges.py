@@ -6,6 +6,7 @@ import sys
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from inkquarry.llm import bpe, exact_dedup, minhash, secrets, suffix_dedup, toxicity, url_filter
 
@@ -142,3 +143,33 @@ def test_rounds_of_components_make_no_broadcasts(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(21), 0), 40: 40, 50: 40, 60: 40}
     assert len(plans) > 2 and all(p.count("Join Inner") == p.count("rightHint=(strategy=merge)") >= 2 for p in plans[1:])
+
+
+def test_stars_take_no_round_of_components(spark, monkeypatch):
+    """Rounds end with the one that makes stars, and edges that are stars take none: each round leaves its plans and tasks in the driver."""
+    from inkquarry.llm import common
+
+    names, staged = [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, name: names.append(name) or staged(df, name))
+    for edges, expected, rounds in (
+        ([(1, 3), (3, 1), (1, 4), (5, 9), (7, 7)], {1: 1, 3: 1, 4: 1, 5: 5, 9: 5}, 0),
+        ([(1, 2), (2, 3)], dict.fromkeys((1, 2, 3), 1), 1),
+        ([(1, 3), (2, 3)], dict.fromkeys((1, 2, 3), 1), 1),
+        ([(7, 7)], {}, 0),
+    ):
+        names.clear()
+        got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == expected and names == ["edges"] * (1 + rounds)
+
+
+def test_training_rows_are_views_of_arrow_buffers(spark):
+    """The driver holds the cells of the training texts once, not as rows and bytes besides."""
+    from inkquarry.llm import toxicity
+
+    docs = spark.createDataFrame([(k, None if k == 3 else f"word{k} and more. end") for k in range(12)], "doc_id long, text string")
+    rows = toxicity.training_rows(docs, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int"))
+    cells = toxicity.Cached(toxicity._cells_of)
+    used = [r["doc_id"] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).orderBy("doc_id").collect()]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert [(c.tolist(), y) for c, y in rows] == [(toxicity.text_cells(texts[k], cells).tolist(), k % 2) for k in used] and len(used) > 3
+    assert not any(isinstance(c.base, bytes) for c, _ in rows)
