@@ -26,27 +26,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import Cached, Forest, connected_components, join_per_key, mix64, staged, text_of, unused
+from inkquarry.llm.common import Forest, connected_components, join_per_key, mix64, staged, text_of, unused
 
 ROWS, BANDS, BITS, MARGIN, BLOCK = 6, 54, 1024, 0.12, 512
+#: Shingles that one pass of a sample covers, of as many documents as they belong to: 256 KB an array.
+TOGETHER = 65_536
 ODD = tuple(np.uint64(x | 1) for x in np.random.default_rng(11).integers(1, 2**62, size=8, dtype=np.int64).tolist())
 
 
-def word_hashes() -> Cached:
-    return Cached(xxhash.xxh3_64_intdigest)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which for 64-bit integers takes a fraction of the time of its hash table."""
+    x = np.sort(x)
+    first = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
 
 
-def shingles(text: str, words: int, cache: Cached) -> np.ndarray:
-    """The distinct hashed shingles, sorted. bytes.lower() and bytes.split() know A-Z and the white space of ASCII only, as wanted."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """The distinct hashed shingles, sorted. bytes.lower() and bytes.split() know A-Z and the white space of ASCII only, as wanted. Words are hashed anew each time: that takes
+    less than looking them up."""
     parts = text.encode().lower().split()
     if not parts:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(cache.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype=np.uint64, count=len(parts))
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, np.uint64(n))
     for k in range(n):
         out = mix64(out + h[k : len(h) - n + 1 + k] * ODD[k % 8])
-    return np.unique(out)
+    return distinct(out)
 
 
 def set_digest(found: bytes) -> bytes:
@@ -58,21 +65,50 @@ def samplers(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, size=(rows * bands, 1), dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, size=(rows * bands, 1), dtype=np.uint32)
 
 
+def minhashes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row of 32-bit minima for each set, one a sample; no set is empty. A pass covers TOGETHER shingles, of many small sets or of a part of a large one."""
+    low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    ends = np.cumsum([len(x) for x in sets])
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.full((len(a), len(sets)), 0xFFFFFFFF, dtype=np.uint32)
+    for lo in range(0, len(low), TOGETHER):
+        x = low[lo : lo + TOGETHER]
+        y, high = np.empty_like(x), np.empty_like(x)
+        i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, lo + len(x))
+        at = np.maximum(starts[i:j] - lo, 0)
+        for k, (times, plus) in enumerate(zip(a[:, 0], b[:, 0], strict=True)):
+            np.multiply(x, times, out=y)
+            y += plus
+            np.right_shift(y, np.uint32(15), out=high)
+            y ^= high
+            np.minimum(out[k, i:j], np.minimum.reduceat(y, at), out=out[k, i:j])
+    return np.ascontiguousarray(out.T)
+
+
 def minhash(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 32-bit minimum per sample."""
-    low, out = (found >> np.uint64(32)).astype(np.uint32), np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
-    for lo in range(0, len(low), 512):
-        x = low[lo : lo + 512] * a
-        x += b
-        x ^= x >> np.uint32(15)
-        np.minimum(out, x.min(axis=1), out=out)
-    return out
+    return minhashes([found], a, b)[0]
+
+
+def band_keys(samples: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A row of keys, one a band, for each row of samples."""
+    band = samples.reshape(len(samples), bands, rows).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(rows):
+        key = mix64(key + band[:, :, k] * ODD[k % 8])
+    return key.view(np.int64)
+
+
+def odd_sketches(samples: np.ndarray, bits: int = BITS) -> list[bytes]:
+    """A parity bitmap for each row of samples: each (sample number, value) flips one bit."""
+    place = mix64((np.arange(samples.shape[1], dtype=np.uint64) << np.uint64(32)) | samples.astype(np.uint64)) % np.uint64(bits)
+    place = place.astype(np.int64) + np.arange(len(samples))[:, None] * bits
+    odd = np.bincount(place.ravel(), minlength=len(samples) * bits).reshape(-1, bits) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
 
 
 def odd_sketch(samples: np.ndarray, bits: int = BITS) -> bytes:
-    """Parity bitmap: each (sample number, value) flips one bit."""
-    place = mix64((np.arange(len(samples), dtype=np.uint64) << np.uint64(32)) | samples.astype(np.uint64)) % np.uint64(bits)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return odd_sketches(samples[None], bits)[0]
 
 
 def estimate(differing_bits: np.ndarray, samples: int, bits: int = BITS) -> np.ndarray:
@@ -86,26 +122,30 @@ SKETCHED = "doc_id long, n_shingles long, digest binary, keys array<long>, sketc
 
 def sketch_documents(docs: DataFrame, words: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (a, b), salt = word_hashes(), samplers(rows, bands), np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        a, b = samplers(rows, bands)
+
+        def rows_of(ids: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
+            full = [k for k, found in enumerate(sets) if len(found)]
+            digests, keys, sketches = ([None] * len(sets) for _ in range(3))
+            if full:
+                samples = minhashes([sets[k] for k in full], a, b)
+                for k, key, sketch in zip(full, band_keys(samples, rows, bands), odd_sketches(samples), strict=True):
+                    digests[k], keys[k], sketches[k] = set_digest(sets[k].tobytes()), key, sketch
+            n = [len(found) for found in sets]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                n, digests, keys, sketches = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    found = shingles(text, words, cache)
-                    n.append(len(found))
-                    if not len(found):
-                        digests.append(None), keys.append(None), sketches.append(None)
-                        continue
-                    digests.append(set_digest(found.tobytes()))
-                    samples = minhash(found, a, b)
-                    band = samples.reshape(bands, rows).astype(np.uint64)
-                    key = salt.copy()
-                    for k in range(rows):
-                        key = mix64(key + band[:, k] * ODD[k % 8])
-                    keys.append(key.view(np.int64))
-                    sketches.append(odd_sketch(samples))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+            ids, sets, held = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc_id.as_py())
+                sets.append(shingles(text.as_py(), words))
+                held += len(sets[-1])
+                # the sets of few documents at once, or one long one
+                if held >= TOGETHER or len(sets) == 500:
+                    yield rows_of(ids, sets)
+                    ids, sets, held = [], [], 0
+            if sets:
+                yield rows_of(ids, sets)
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SKETCHED)
 
@@ -176,8 +216,10 @@ def links(sets: list[np.ndarray], threshold: tuple[int, int], split: int | None
     owner, place = owner[order], place[order]
     left = n if split is None else split
     common = np.zeros((left, n if split is None else n - split), dtype=np.float32)
-    width = max(256, 8_000_000 // max(1, n))
-    for lo in range(0, int(shared.sum()), width):
+    most = int(shared.sum())
+    # no wider than what is shared: groups are mostly a few documents, whose product then costs as much as their sets
+    width = min(most, max(256, 8_000_000 // max(1, n)))
+    for lo in range(0, most, max(1, width)):
         i, j = np.searchsorted(place, [lo, lo + width])
         dense = np.zeros((n, width), dtype=np.float32)
         dense[owner[i:j], place[i:j] - lo] = 1
@@ -243,9 +285,8 @@ def member_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     held = placed.join(texts.hint("merge"), "node")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hashes()
         for batch in batches:
-            sets = [shingles(x, words, cache).tobytes() for x in batch.column("text").to_pylist()]
+            sets = [shingles(x, words).tobytes() for x in batch.column("text").to_pylist()]
             # rows that repeat a doc_id: only the text that was sketched
             own = [set_digest(x) == d for x, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "n", "node")], pa.array(sets, pa.binary())], ["component", "n", "node", "set"]).filter(pa.array(own, pa.bool_()))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -272,6 +273,47 @@ def test_odd_sketch_estimates():
         assert got == pytest.approx(same / (2000 - same), abs=0.1)
 
 
+def test_sketches_of_many_sets_at_once(spark, monkeypatch):
+    """Minima, keys and sketches of sets that share passes, or need several, are those of each set alone."""
+    rng = np.random.default_rng(4)
+    a, b = minhash.samplers(minhash.ROWS, minhash.BANDS)
+    sets = [np.unique(rng.integers(0, 2**63, size=n, dtype=np.int64).astype(np.uint64)) for n in (1, 7, 1, 300, 12, 64, 1, 5)]
+    for together in (1, 5, 64, 65_536):
+        monkeypatch.setattr(minhash, "TOGETHER", together)
+        got = minhash.minhashes(sets, a, b)
+        for x, one in zip(got, sets, strict=True):
+            y = (one >> np.uint64(32)).astype(np.uint32) * a + b
+            assert (x == (y ^ (y >> np.uint32(15))).min(axis=1)).all()
+    for x, key, sketch in zip(got, minhash.band_keys(got, minhash.ROWS, minhash.BANDS), minhash.odd_sketches(got), strict=True):
+        assert (key == minhash.band_keys(x[None], minhash.ROWS, minhash.BANDS)[0]).all() and sketch == minhash.odd_sketch(x)
+        flips = np.zeros(minhash.BITS, dtype=int)
+        for n, value in enumerate(x.tolist()):
+            flips[int(common.mix64(np.array([n << 32 | value], dtype=np.uint64))[0]) % minhash.BITS] ^= 1
+        assert sketch == np.packbits(flips).tobytes()
+    # rows without text lie between the others and keep their places
+    prng = random.Random(6)
+    texts = {k: None if k % 5 == 0 else prose(prng, 4 + k) for k in range(40)}
+    rows = {r["doc_id"]: r for r in minhash.sketch_documents(table(spark, list(texts.items())), 3).collect()}
+    assert rows.keys() == texts.keys()
+    for k, text in texts.items():
+        one = minhash.shingles(text or "", 3)
+        assert rows[k]["n_shingles"] == len(one)
+        assert (rows[k]["digest"], rows[k]["sketch"]) == ((minhash.set_digest(one.tobytes()), minhash.odd_sketch(minhash.minhash(one, a, b))) if len(one) else (None, None))
+
+
+def test_links_of_small_groups_cost_their_sets():
+    """Two documents are compared in arrays of their own size."""
+    rng = np.random.default_rng(9)
+    x = np.unique(rng.integers(0, 2**63, size=200, dtype=np.int64).astype(np.uint64))
+    tracemalloc.start()
+    try:
+        assert list(minhash.links([x, x[:190]], (85, 100))) == [(0, 1)] and list(minhash.links([x, x[:100]], (85, 100))) == []
+        assert list(minhash.links([x[:100], x[100:]], (85, 100))) == [] and list(minhash.links([x, x[:190], x[5:]], (85, 100), 1)) == [(0, 1), (0, 2)]
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_secrets(spark):
     rows = [(1, None), (2, 'x token = "abcdefgh12" y'), (3, "API_KEY: short"), (4, "AKIA" + "A1" * 8), (5, "0123456789abcdef" * 2), (6, 'k = "Zx9kQ2mP7vL1"\npassword = k\n'), (7, "token: token: abcdefghij"), (8, "a: b = c"), (9, 'tokeﬀn = "abcdefghij" ſecret=abcdefghijk')]
     got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan_documents(table(spark, rows)).collect()}
