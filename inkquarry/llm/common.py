@@ -119,6 +119,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def pointer_roots(pointers: DataFrame) -> DataFrame:
+    """(node, component) of every b of pointers (a, b), a < b, where each b has one a only: the root of its tree, which is its smallest node and itself no b.
+
+    Each join takes all nodes to their pointer's own pointer, which halves all depths for a quarter of the shuffles of a round of connected_components."""
+    e = staged(pointers.select(F.col("b").alias("u"), F.col("a").alias("v")), "pointers")
+    while not are_stars(e):
+        above = e.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        e = staged(e.join(above.hint("merge"), "v", "left").select("u", F.coalesce("top", "v").alias("v")), "pointers")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
 class Forest:
     """Union-find over 0..n-1 inside one task."""
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkquarry.llm.common import Forest, connected_components, join_per_key, mix64, staged, text_of, unused
+from inkquarry.llm.common import Forest, connected_components, join_per_key, mix64, pointer_roots, staged, text_of, unused
 
 ROWS, BANDS, BITS, MARGIN, BLOCK = 6, 54, 1024, 0.12, 512
 #: Shingles that one pass of a sample covers, of as many documents as they belong to: 256 KB an array.
@@ -267,9 +267,9 @@ def forests(units: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
-def sized(nodes: DataFrame) -> DataFrame:
-    """(component, node) rows with n, the number of nodes of the component."""
-    nodes = nodes.select("component", "node")
+def sized(nodes: DataFrame, *more: str) -> DataFrame:
+    """(component, node) rows, and more columns, with n, the number of nodes of the component."""
+    nodes = nodes.select("component", "node", *more)
     return join_per_key(nodes, nodes.groupBy("component").agg(F.count("*").alias("n")).hint("merge"), "component")
 
 
@@ -279,7 +279,7 @@ def block_of(blocks: Column, salt: int = 0) -> Column:
 
 def member_sets(docs: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     """component, n, node, set of every member of the candidate groups (node, component, digest)."""
-    placed = sized(groups).join(groups.select("node", "digest"), "node")
+    placed = sized(groups, "digest")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text")).where("node is not null")
     # always by shuffle: how much is moved then follows the input, whatever the number of groups
     held = placed.join(texts.hint("merge"), "node")
@@ -327,7 +327,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[i
         ties = ties.unionByName(more)
     if not still_apart:
         return found[0].unionByName(ties)
-    parts = connected_components(ties).withColumnRenamed("component", "part")
+    # a document that was tied to a smaller one left its level, so it has one such tie
+    parts = pointer_roots(ties).withColumnRenamed("component", "part")
     members = large.select("component", "node").join(apart, "component", "left_semi").join(parts, "node", "left").select("component", "node", F.coalesce("part", "node").alias("part"))
     counts = members.groupBy("component", "part").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"), F.max("m").alias("held"), F.sum("m").alias("n"))
     rest, own = F.ceil((F.col("n") - F.col("held")) / BLOCK), F.ceil(F.col("held") / BLOCK)
@@ -336,7 +337,9 @@ def confirmed(docs: DataFrame, groups: DataFrame, words: int, threshold: tuple[i
     # documents outside the main part meet every block, the others only the blocks outside it
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("rest") + F.col("own")).otherwise(F.col("rest")).cast("int") - 1)).alias("other")
     units = dealt.select("component", "node", "block", other).join(large.select("node", "set"), "node").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return found[0].unionByName(ties).unionByName(forests(units, threshold))
+    # the parts tie what all rounds tied, and are stars already
+    stars = parts.select(F.col("part").alias("a"), F.col("node").alias("b"))
+    return found[0].unionByName(stars).unionByName(forests(units, threshold))
 
 
 def near_groups(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, bands: int = BANDS) -> DataFrame:

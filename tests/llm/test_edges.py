@@ -173,3 +173,17 @@ def test_training_rows_are_views_of_arrow_buffers(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert [(c.tolist(), y) for c, y in rows] == [(toxicity.text_cells(texts[k], cells).tolist(), k % 2) for k in used] and len(used) > 3
     assert not any(isinstance(c.base, bytes) for c, _ in rows)
+
+
+def test_roots_of_pointers(spark, monkeypatch):
+    """Joins to the pointer's own pointer find the roots, in rounds that grow with the logarithm of the depth."""
+    from inkquarry.llm import common
+
+    names, staged = [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, name: names.append(name) or staged(df, name))
+    edges = [(k, k + 1) for k in range(1, 12)] + [(100, k) for k in range(101, 130)] + [(110, 300), (300, 301)]
+    up = {b: a for a, b in edges}
+    root = lambda x: root(up[x]) if x in up else x
+    got = [tuple(r) for r in common.pointer_roots(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((b, root(b)) for b in up) and len(names) == 5
+    assert common.pointer_roots(spark.createDataFrame([], "a long, b long")).isEmpty()
